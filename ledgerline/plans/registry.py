@@ -62,3 +62,160 @@ MODEL_QUERIES = {
 }
 for _q, _m in MODEL_QUERIES.items():
     QUERIES[_q] = _model(_m)
+
+
+# Step 5: quality suite and cross-grain invariant.
+def _qa(layer: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ledgerline.plans import quality
+
+        return quality.run_layer(for_testdata(spark, sf_dir), layer)
+
+    return run
+
+
+for _layer in ("staging", "silver", "gold", "star"):
+    QUERIES[f"qa_{_layer}"] = _qa(_layer)
+
+
+@register("grain_invariant")
+def _grain_invariant(spark, sf_dir):
+    from ledgerline.plans import quality
+
+    return quality.grain_totals(for_testdata(spark, sf_dir))
+
+
+# Step 7: dashboard analytics.  Scopes are feature parameters: the whole
+# snapshot, a product selection, and one calendar year with its prior year.
+import datetime as _dt  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ledgerline.functions.keys import surrogate_key  # noqa: E402
+from ledgerline.plans import analytics as A  # noqa: E402
+from ledgerline.plans.scope import Scope  # noqa: E402
+
+FULL = Scope(_dt.date(1990, 1, 1), _dt.date(2030, 12, 31))
+PRODUCTS = Scope(_dt.date(1990, 1, 1), _dt.date(2030, 12, 31), products=("ECONOMY", "PROMO"))
+YEAR = Scope(_dt.date(1999, 1, 1), _dt.date(1999, 12, 31))
+
+
+def _g(spark, sf_dir, dataset="overview"):
+    return for_testdata(spark, sf_dir).grain(dataset)
+
+
+QUERIES.update(
+    {
+        "headline": lambda s, d: A.headline(_g(s, d), FULL),
+        "headline_products": lambda s, d: A.headline(_g(s, d), PRODUCTS),
+        "trend_month": lambda s, d: A.trend(_g(s, d), FULL, "month"),
+        "trend_week": lambda s, d: A.trend(_g(s, d), PRODUCTS, "week"),
+        "trend_day": lambda s, d: A.trend(_g(s, d), YEAR, "day"),
+        "weekly_report": lambda s, d: A.weekly_report(_g(s, d), FULL),
+        "rank_company": lambda s, d: A.rank(_g(s, d), FULL, "company_name", limit=15),
+        "rank_product": lambda s, d: A.rank(_g(s, d), FULL, "product", limit=5),
+        "rank_issue": lambda s, d: A.rank(_g(s, d, "issues"), FULL, "issue"),
+        "rank_sub_issue": lambda s, d: A.rank(_g(s, d, "issues"), FULL, "sub_issue"),
+        "rank_channel": lambda s, d: A.rank(_g(s, d, "channels"), FULL, "submission_channel"),
+        "rank_state": lambda s, d: A.rank(_g(s, d, "geography"), FULL, "state", limit=100),
+        "issue_drilldown": lambda s, d: A.issue_drilldown(_g(s, d, "issues"), FULL, "BUILDING"),
+        "top5_share": lambda s, d: A.top_share(_g(s, d), FULL, "company_name", 5),
+        "company_comparison": lambda s, d: A.company_comparison(_g(s, d), FULL),
+        "product_share": lambda s, d: A.product_share(_g(s, d), PRODUCTS),
+        "outcome_mix": lambda s, d: A.outcome_mix(_g(s, d), FULL),
+        "response_rates": lambda s, d: A.response_rates(_g(s, d), FULL),
+        "location_totals": lambda s, d: A.location_totals(_g(s, d, "geography"), FULL),
+        "prior_period": lambda s, d: A.prior_period(_g(s, d), YEAR),
+        "filter_companies": lambda s, d: A.filter_options(_g(s, d), "company_name"),
+        "filter_sub_products": lambda s, d: A.filter_options(_g(s, d), "sub_product", ("ECONOMY",)),
+    }
+)
+
+
+@register("tag_filter_semi")
+def _tag_filter_semi(spark, sf_dir):
+    """Complaints carrying tag 'R', by product, without multiplying rows (JOIN-8)."""
+    w = for_testdata(spark, sf_dir)
+    tagged = w["complaint_tags"].filter(F.col("tag_id") == surrogate_key(F.lit("R")))
+    return (
+        w["complaint_metrics"]
+        .join(tagged, "complaint_id", "left_semi")
+        .groupBy("product")
+        .agg(F.sum("complaint_count").alias("complaints"))
+    )
+
+
+@register("star_role_dates")
+def _star_role_dates(spark, sf_dir):
+    """Star query with dim_date in two roles, received and sent (JOIN-10)."""
+    w = for_testdata(spark, sf_dir)
+    r = w["dim_date"].select(F.col("date_key").alias("r_key"), F.col("iso_year").alias("received_iso_year"))
+    s = w["dim_date"].select(F.col("date_key").alias("s_key"), F.col("is_weekend").alias("sent_on_weekend"))
+    return (
+        w["fact_complaints"]
+        .join(r, F.col("received_date_key") == F.col("r_key"))
+        .join(s, F.col("sent_date_key") == F.col("s_key"))
+        .groupBy("received_iso_year", "sent_on_weekend")
+        .agg(
+            F.sum("complaint_count").alias("complaints"),
+            F.sum("sent_before_received_count").alias("sent_before_received"),
+        )
+    )
+
+
+@register("gold_summary")
+def _gold_summary(spark, sf_dir):
+    m = for_testdata(spark, sf_dir)["complaint_metrics"]
+    return m.agg(
+        F.count(F.lit(1)).alias("complaints"),
+        F.sum("complaint_count").alias("complaint_count_total"),
+        F.sum("narrative_count").alias("complaints_with_narrative"),
+        F.sum("timely_response_count").alias("timely_responses"),
+        F.sum("not_timely_response_count").alias("not_timely_responses"),
+        F.sum("known_timeliness_count").alias("known_timeliness"),
+        F.sum("unknown_response_outcome_count").alias("missing_response_outcomes"),
+    )
+
+
+# Step 8: governed metric query.
+from ledgerline.plans import metric_query as MQ  # noqa: E402
+
+MQ_REQUESTS = {
+    "mq_basic": MQ.MetricRequest(
+        "overview", ("product",), ("complaint_count", "timely_response_rate"), order_by="complaint_count"
+    ),
+    "mq_period": MQ.MetricRequest(
+        "overview",
+        ("period",),
+        ("complaint_count", "narrative_coverage", "monetary_relief_share"),
+        interval="quarter",
+        start_date="1996-01-01",
+        end_date="2000-12-31",
+        order_by="period",
+        descending=False,
+        limit=50,
+    ),
+    "mq_null_filter": MQ.MetricRequest(
+        "issues",
+        ("issue",),
+        ("complaint_count", "company_count", "non_monetary_relief_share"),
+        filters=(("issue", (None, "BUILDING")),),
+        order_by="issue",
+        descending=False,
+    ),
+    "mq_truncated": MQ.MetricRequest(
+        "geography",
+        ("state", "product"),
+        ("complaint_count", "missing_zip_count"),
+        filters=(("product", ("ECONOMY", "STANDARD")),),
+        order_by="complaint_count",
+        limit=5,
+    ),
+    "mq_totals": MQ.MetricRequest(
+        "channels", (), ("complaint_count", "timely_response_rate", "company_count"), order_by="complaint_count"
+    ),
+}
+for _name, _req in MQ_REQUESTS.items():
+    QUERIES[_name] = (lambda req: lambda s, d: MQ.query_metrics(_g(s, d, req.dataset), FULL, req))(_req)
+
+QUERIES["dataset_bounds"] = lambda s, d: MQ.dataset_bounds(_g(s, d))

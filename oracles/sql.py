@@ -9,3 +9,281 @@ ORACLES: dict[str, str] = {}
 
 for _q, _m in MODEL_QUERIES.items():
     ORACLES[_q] = with_models(f"SELECT * FROM {_m}")
+
+
+# --- Step 5: quality suite -------------------------------------------------
+from ledgerline.plans.quality import LAYERS, PRESERVES, SUITE  # noqa: E402
+from ledgerline.schema import FLAGS, OUTCOMES  # noqa: E402
+
+
+def _generic(model: str) -> list[str]:
+    not_null, unique, rels = SUITE[model]
+    out = [
+        f"SELECT 'not_null:{model}.{c}' AS check, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS failures FROM {model}"
+        for c in not_null
+    ]
+    out += [
+        f"SELECT 'unique:{model}.{c}' AS check, CAST(count(*) AS BIGINT) AS failures FROM "
+        f"(SELECT {c} FROM {model} GROUP BY {c} HAVING count(*) > 1)"
+        for c in unique
+    ]
+    out += [
+        f"SELECT 'relationships:{model}.{c}->{p}.{pc}' AS check, CAST(count(*) AS BIGINT) AS failures "
+        f"FROM {model} ch WHERE ch.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} pa WHERE pa.{pc} = ch.{c})"
+        for c, (p, pc) in rels.items()
+    ]
+    return out
+
+
+def _singular(layer: str) -> list[str]:
+    out = [
+        f"SELECT '{n}' AS check, CAST(abs((SELECT count(*) FROM {a}) - (SELECT count(*) FROM {b})) AS BIGINT) AS failures"
+        for n, a, b in PRESERVES
+        if n.startswith(layer)
+    ]
+    if layer == "silver":
+        out += [
+            "SELECT 'silver_preserves_narratives' AS check, CAST(abs((SELECT count(*) FROM stg_complaints WHERE narrative IS NOT NULL) - (SELECT count(*) FROM complaint_narratives)) AS BIGINT) AS failures",
+            "SELECT 'consistent_product_issue' AS check, CAST(count(*) AS BIGINT) AS failures FROM complaints c JOIN issue_categories i ON c.issue_category_id = i.issue_category_id WHERE c.product_category_id <> i.product_category_id",
+            "SELECT 'unique_complaint_tag_pairs' AS check, CAST(count(*) AS BIGINT) AS failures FROM (SELECT complaint_id, tag_id FROM complaint_tags GROUP BY ALL HAVING count(*) > 1)",
+        ]
+    if layer == "gold":
+        binary = " OR ".join(["complaint_count <> 1"] + [f"{f} NOT IN (0, 1)" for f in FLAGS[1:]])
+        outcomes = " + ".join(list(OUTCOMES) + ["unknown_response_outcome_count"])
+        consistency = (
+            "timely_response_count + not_timely_response_count <> known_timeliness_count "
+            "OR known_timeliness_count + unknown_timeliness_count <> 1 "
+            "OR narrative_count <> CASE WHEN has_narrative THEN 1 ELSE 0 END "
+            f"OR {outcomes} <> 1"
+        )
+        out += [
+            "SELECT 'gold_preserves_narratives' AS check, CAST(abs((SELECT count(*) FROM complaint_narratives) - (SELECT sum(narrative_count) FROM complaint_metrics)) AS BIGINT) AS failures",
+            f"SELECT 'gold_flags_are_binary' AS check, CAST(count(*) AS BIGINT) AS failures FROM complaint_metrics WHERE {binary}",
+            f"SELECT 'gold_flag_consistency' AS check, CAST(count(*) AS BIGINT) AS failures FROM complaint_metrics WHERE {consistency}",
+        ]
+    if layer == "star":
+        sums_s = ", ".join(["count(*) AS rows"] + [f"sum({f}) AS {f}" for f in FLAGS])
+        diffs = " + ".join(
+            f"CASE WHEN s.{n} IS DISTINCT FROM g.{n} THEN 1 ELSE 0 END" for n in ["rows"] + FLAGS
+        )
+        out.append(
+            f"SELECT 'star_matches_wide_gold' AS check, CAST({diffs} AS BIGINT) AS failures "
+            f"FROM (SELECT {sums_s} FROM fact_complaints) s CROSS JOIN (SELECT {sums_s} FROM complaint_metrics) g"
+        )
+    return out
+
+
+for _layer, _models in LAYERS.items():
+    _parts = [q for m in _models for q in _generic(m)] + _singular(_layer)
+    ORACLES[f"qa_{_layer}"] = with_models("\nUNION ALL\n".join(_parts))
+
+_TOTALS = ", ".join(f"CAST(sum({f}) AS BIGINT) AS {f}" for f in FLAGS)
+ORACLES["grain_invariant"] = with_models(
+    "\nUNION ALL\n".join(
+        f"SELECT '{label}' AS source, {_TOTALS} FROM {rel}"
+        for label, rel in [
+            ("gold", "complaint_metrics"),
+            ("overview", "grain_overview"),
+            ("issues", "grain_issues"),
+            ("geography", "grain_geography"),
+            ("channels", "grain_channels"),
+        ]
+    )
+)
+
+# --- Step 7: analytics -----------------------------------------------------
+FULL = "date_received BETWEEN DATE '1990-01-01' AND DATE '2030-12-31'"
+PRODUCTS = FULL + " AND product IN ('ECONOMY', 'PROMO')"
+YEAR = "date_received BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'"
+
+
+def _rate(n: str, d: str) -> str:
+    return f"100.0 * {n} / NULLIF({d}, 0)"
+
+
+def _rank(col: str, rel: str, where: str, limit: int) -> str:
+    return (
+        f"SELECT COALESCE({col}, 'Missing label') AS category, CAST(SUM(complaint_count) AS BIGINT) AS complaints "
+        f"FROM {rel} WHERE {where} GROUP BY 1 ORDER BY complaints DESC, category LIMIT {limit}"
+    )
+
+
+def _headline(where: str) -> str:
+    return with_models(
+        "SELECT *, " + _rate("timely", "known") + " AS timely_rate_pct, "
+        + _rate("narratives", "complaints") + " AS narrative_coverage_pct FROM ("
+        "SELECT CAST(COALESCE(SUM(complaint_count), 0) AS BIGINT) AS complaints, "
+        "CAST(COALESCE(SUM(timely_response_count), 0) AS BIGINT) AS timely, "
+        "CAST(COALESCE(SUM(known_timeliness_count), 0) AS BIGINT) AS known, "
+        "CAST(COALESCE(SUM(narrative_count), 0) AS BIGINT) AS narratives, "
+        "CAST(COALESCE(SUM(unknown_timeliness_count), 0) AS BIGINT) AS unknown "
+        f"FROM grain_overview WHERE {where})"
+    )
+
+
+def _trend(interval: str, where: str) -> str:
+    period = "date_received" if interval == "day" else f"CAST(date_trunc('{interval}', date_received) AS DATE)"
+    return with_models(
+        f"SELECT *, {_rate('narratives', 'complaints')} AS coverage_pct FROM ("
+        f"SELECT {period} AS period, CAST(SUM(complaint_count) AS BIGINT) AS complaints, "
+        f"CAST(SUM(narrative_count) AS BIGINT) AS narratives FROM grain_overview WHERE {where} GROUP BY 1)"
+    )
+
+
+ORACLES.update(
+    {
+        "headline": _headline(FULL),
+        "headline_products": _headline(PRODUCTS),
+        "trend_month": _trend("month", FULL),
+        "trend_week": _trend("week", PRODUCTS),
+        "trend_day": _trend("day", YEAR),
+        "weekly_report": with_models(
+            "SELECT CAST(date_trunc('week', date_received) AS DATE) AS week_start, "
+            "CAST(SUM(complaint_count) AS BIGINT) AS complaints, "
+            f"{_rate('SUM(timely_response_count)', 'SUM(known_timeliness_count)')} AS timely_response_rate, "
+            f"{_rate('SUM(narrative_count)', 'SUM(complaint_count)')} AS narrative_coverage "
+            f"FROM grain_overview WHERE {FULL} GROUP BY 1"
+        ),
+        "rank_company": with_models(_rank("company_name", "grain_overview", FULL, 15)),
+        "rank_product": with_models(_rank("product", "grain_overview", FULL, 5)),
+        "rank_issue": with_models(_rank("issue", "grain_issues", FULL, 10)),
+        "rank_sub_issue": with_models(_rank("sub_issue", "grain_issues", FULL, 10)),
+        "rank_channel": with_models(_rank("submission_channel", "grain_channels", FULL, 10)),
+        "rank_state": with_models(_rank("state", "grain_geography", FULL, 100)),
+        "issue_drilldown": with_models(_rank("sub_issue", "grain_issues", FULL + " AND issue = 'BUILDING'", 10)),
+        "top5_share": with_models(
+            "SELECT top_complaints, scope_total, 100.0 * top_complaints / scope_total AS top_share_pct FROM "
+            f"(SELECT CAST(SUM(complaints) AS BIGINT) AS top_complaints FROM ({_rank('company_name', 'grain_overview', FULL, 5)})) "
+            f"CROSS JOIN (SELECT CAST(SUM(complaint_count) AS BIGINT) AS scope_total FROM grain_overview WHERE {FULL})"
+        ),
+        "company_comparison": with_models(
+            "SELECT company, complaints, timely_rate_pct, narrative_coverage_pct, "
+            "100.0 * complaints / scope_total AS complaint_share_pct FROM ("
+            "SELECT COALESCE(company_name, 'Missing label') AS company, CAST(SUM(complaint_count) AS BIGINT) AS complaints, "
+            f"{_rate('SUM(timely_response_count)', 'SUM(known_timeliness_count)')} AS timely_rate_pct, "
+            f"{_rate('SUM(narrative_count)', 'SUM(complaint_count)')} AS narrative_coverage_pct "
+            f"FROM grain_overview WHERE {FULL} GROUP BY 1) "
+            f"CROSS JOIN (SELECT CAST(SUM(complaint_count) AS BIGINT) AS scope_total FROM grain_overview WHERE {FULL})"
+        ),
+        "product_share": with_models(
+            "SELECT category, complaints, 100.0 * complaints / scope_total AS share_pct FROM "
+            f"({_rank('product', 'grain_overview', PRODUCTS, 100)}) "
+            f"CROSS JOIN (SELECT CAST(SUM(complaint_count) AS BIGINT) AS scope_total FROM grain_overview WHERE {PRODUCTS})"
+        ),
+        "response_rates": with_models(
+            f"SELECT {_rate('SUM(not_timely_response_count)', 'SUM(known_timeliness_count)')} AS not_timely_rate_pct, "
+            f"{_rate('(SUM(monetary_relief_count) + SUM(non_monetary_relief_count))', 'SUM(complaint_count)')} AS relief_share_pct, "
+            "CAST(COALESCE(SUM(unknown_response_outcome_count), 0) AS BIGINT) AS missing_outcomes "
+            f"FROM grain_overview WHERE {FULL}"
+        ),
+        "location_totals": with_models(
+            "SELECT CAST(COALESCE(SUM(complaints) FILTER (WHERE mapped), 0) AS BIGINT) AS mapped_complaints, "
+            "CAST(COALESCE(SUM(complaints) FILTER (WHERE NOT mapped), 0) AS BIGINT) AS omitted_complaints, "
+            "CAST(count(*) FILTER (WHERE mapped) AS BIGINT) AS mapped_locations, "
+            "CAST(count(*) FILTER (WHERE NOT mapped) AS BIGINT) AS omitted_locations FROM ("
+            "SELECT *, category IN ('" + "', '".join(__import__('ledgerline.schema', fromlist=['x']).STATE_CODES) + "') AS mapped "
+            f"FROM ({_rank('state', 'grain_geography', FULL, 100)}))"
+        ),
+        "prior_period": with_models(
+            "SELECT DATE '1998-01-01' AS prior_start, DATE '1998-12-31' AS prior_end, available, current_complaints, "
+            "CASE WHEN available THEN previous_complaints END AS previous_complaints, "
+            "CASE WHEN available AND previous_complaints <> 0 THEN 100.0 * (current_complaints / previous_complaints - 1.0) END AS change_pct "
+            "FROM (SELECT "
+            "CAST(COALESCE(SUM(complaint_count) FILTER (WHERE date_received BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'), 0) AS BIGINT) AS current_complaints, "
+            "CAST(COALESCE(SUM(complaint_count) FILTER (WHERE date_received BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'), 0) AS BIGINT) AS previous_complaints "
+            "FROM grain_overview) CROSS JOIN (SELECT DATE '1998-01-01' >= min(date_received) AS available FROM grain_overview)"
+        ),
+        "filter_companies": with_models(
+            "SELECT DISTINCT company_name FROM grain_overview WHERE company_name IS NOT NULL"
+        ),
+        "filter_sub_products": with_models(
+            "SELECT DISTINCT sub_product FROM grain_overview WHERE product IN ('ECONOMY') AND sub_product IS NOT NULL"
+        ),
+        "tag_filter_semi": with_models(
+            "SELECT product, CAST(SUM(complaint_count) AS BIGINT) AS complaints FROM complaint_metrics m "
+            "WHERE EXISTS (SELECT 1 FROM complaint_tags t WHERE t.complaint_id = m.complaint_id "
+            "AND t.tag_id = md5(CAST(to_json(list_value('R')) AS VARCHAR))) GROUP BY product"
+        ),
+        "star_role_dates": with_models(
+            "SELECT r.iso_year AS received_iso_year, s.is_weekend AS sent_on_weekend, "
+            "CAST(SUM(f.complaint_count) AS BIGINT) AS complaints, "
+            "CAST(SUM(f.sent_before_received_count) AS BIGINT) AS sent_before_received "
+            "FROM fact_complaints f JOIN dim_date r ON f.received_date_key = r.date_key "
+            "JOIN dim_date s ON f.sent_date_key = s.date_key GROUP BY 1, 2"
+        ),
+        "gold_summary": with_models(
+            "SELECT count(*) AS complaints, CAST(SUM(complaint_count) AS BIGINT) AS complaint_count_total, "
+            "CAST(SUM(narrative_count) AS BIGINT) AS complaints_with_narrative, "
+            "CAST(SUM(timely_response_count) AS BIGINT) AS timely_responses, "
+            "CAST(SUM(not_timely_response_count) AS BIGINT) AS not_timely_responses, "
+            "CAST(SUM(known_timeliness_count) AS BIGINT) AS known_timeliness, "
+            "CAST(SUM(unknown_response_outcome_count) AS BIGINT) AS missing_response_outcomes FROM complaint_metrics"
+        ),
+    }
+)
+
+_OUTCOME_ROWS = [
+    ("Closed with explanation", "closed_with_explanation_count"),
+    ("Monetary relief", "monetary_relief_count"),
+    ("Non-monetary relief", "non_monetary_relief_count"),
+    ("In progress", "in_progress_count"),
+    ("Untimely response outcome", "untimely_response_outcome_count"),
+    ("Missing outcome", "unknown_response_outcome_count"),
+]
+_osums = ", ".join(
+    f"CAST(COALESCE(SUM({f}), 0) AS BIGINT) AS o{i}" for i, (_, f) in enumerate(_OUTCOME_ROWS)
+)
+_orows = [f"SELECT {i} AS position, '{lab}' AS outcome, o{i} AS complaints, total FROM w" for i, (lab, _) in enumerate(_OUTCOME_ROWS)]
+_orows.append(
+    f"SELECT {len(_OUTCOME_ROWS)} AS position, 'Other outcomes' AS outcome, "
+    f"greatest(0, total - ({' + '.join(f'o{i}' for i in range(len(_OUTCOME_ROWS)))})) AS complaints, total FROM w"
+)
+ORACLES["outcome_mix"] = with_models(
+    "SELECT position, outcome, complaints, 100.0 * complaints / total AS share_pct FROM ("
+    + " UNION ALL ".join(_orows)
+    + ")",
+    ctes=f"w AS (SELECT CAST(COALESCE(SUM(complaint_count), 0) AS BIGINT) AS total, {_osums} FROM grain_overview WHERE {FULL})",
+)
+
+# --- Step 8: governed metric query ------------------------------------------
+from ledgerline.plans.registry import MQ_REQUESTS  # noqa: E402
+from ledgerline.schema import RATIOS  # noqa: E402
+
+_MQ_EXPR = {f: f"CAST(SUM({f}) AS BIGINT)" for f in FLAGS}
+_MQ_EXPR.update({n: _rate(f"SUM({a})", f"SUM({b})") for n, (a, b) in RATIOS.items()})
+_MQ_EXPR["company_count"] = "COUNT(DISTINCT company_name)"
+
+
+def _mq_sql(req) -> str:
+    where = [FULL]
+    if req.start_date:
+        where.append(f"date_received >= DATE '{req.start_date}'")
+    if req.end_date:
+        where.append(f"date_received <= DATE '{req.end_date}'")
+    for col, values in req.filters:
+        labels = [v for v in values if v is not None]
+        clauses = [f"{col} IN ({', '.join(repr(v) for v in labels)})"] if labels else []
+        if None in values:
+            clauses.append(f"{col} IS NULL")
+        where.append("(" + " OR ".join(clauses) + ")")
+    sel = [
+        f"CAST(date_trunc('{req.interval}', date_received) AS DATE) AS period" if g == "period" else g
+        for g in req.group_by
+    ] + [f"{_MQ_EXPR[m]} AS {m}" for m in req.metrics]
+    sql = f"SELECT {', '.join(sel)} FROM grain_{req.dataset} WHERE {' AND '.join(where)}"
+    if req.group_by:
+        sql += " GROUP BY " + ", ".join(str(i + 1) for i in range(len(req.group_by)))
+    order = [f"{req.order_by} {'DESC' if req.descending else 'ASC'} NULLS LAST"]
+    order += [f"{g} ASC NULLS LAST" for g in req.group_by if g != req.order_by]
+    sql += f" ORDER BY {', '.join(order)} LIMIT {req.limit + 1}"
+    return (
+        f"SELECT * EXCLUDE (__pos) FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(order)}) AS __pos, "
+        f"count(*) OVER () > {req.limit} AS truncated FROM ({sql})) WHERE __pos <= {req.limit}"
+    )
+
+
+for _name, _req in MQ_REQUESTS.items():
+    ORACLES[_name] = with_models(_mq_sql(_req))
+ORACLES["dataset_bounds"] = with_models(
+    "SELECT min(date_received) AS first_date, max(date_received) AS last_date FROM grain_overview"
+)
