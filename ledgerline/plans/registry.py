@@ -219,3 +219,112 @@ for _name, _req in MQ_REQUESTS.items():
     QUERIES[_name] = (lambda req: lambda s, d: MQ.query_metrics(_g(s, d, req.dataset), FULL, req))(_req)
 
 QUERIES["dataset_bounds"] = lambda s, d: MQ.dataset_bounds(_g(s, d))
+
+
+# Step 9: narratives (deterministic part).  The evidence sample size is the
+# sampling operator's feature parameter; 500 of the sf0.01 corpus of 1,000
+# exercises the hash threshold, the default 60,000 is the export size.
+from ledgerline.plans import narratives as N  # noqa: E402
+from ledgerline.functions.text import redact as _redact  # noqa: E402
+
+SAMPLE_ROWS = 500
+EVIDENCE_ROWS = 60000
+
+
+def _evidence(spark, sf_dir):
+    w = for_testdata(spark, sf_dir)
+    key = "__evidence"
+    if key not in w._tables:
+        w._tables[key] = N.evidence_export(
+            w["complaint_metrics"], w["complaint_narratives"], w.grain("overview"), EVIDENCE_ROWS
+        )
+    return w._tables[key]
+
+
+def _two_periods(spark, sf_dir):
+    w = for_testdata(spark, sf_dir)
+    first = w.grain("overview").agg(F.min("date_received")).first()[0]
+    return N.two_periods(_evidence(spark, sf_dir), YEAR, cap=None, coverage_start=first)
+
+
+@register("redact_documents")
+def _redact_documents(spark, sf_dir):
+    from ledgerline.sources.testdata import read_table
+
+    return read_table(spark, sf_dir, "documents").select("doc_id", _redact("text").alias("redacted"))
+
+
+@register("redact_conversations")
+def _redact_conversations(spark, sf_dir):
+    from ledgerline.sources.testdata import read_table
+
+    return read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", _redact("text").alias("redacted")
+    )
+
+
+@register("excerpt")
+def _excerpt(spark, sf_dir):
+    from ledgerline.functions.text import excerpt
+
+    n = for_testdata(spark, sf_dir)["complaint_narratives"]
+    text, truncated = excerpt("narrative")
+    return n.select("complaint_id", text.alias("excerpt"), truncated.alias("excerpt_truncated"))
+
+
+@register("hash_sample")
+def _hash_sample(spark, sf_dir):
+    w = for_testdata(spark, sf_dir)
+    return N.hash_sample_context(w["complaint_metrics"], w["complaint_narratives"], SAMPLE_ROWS)
+
+
+@register("evidence_export")
+def _evidence_export(spark, sf_dir):
+    return _evidence(spark, sf_dir).drop("overview_fingerprint")
+
+
+@register("evidence_reconcile")
+def _evidence_reconcile(spark, sf_dir):
+    w = for_testdata(spark, sf_dir)
+    return N.reconcile_evidence(w["complaint_metrics"], w["complaint_narratives"], w.grain("overview"))
+
+
+@register("narrative_search")
+def _narrative_search(spark, sf_dir):
+    return N.search(_evidence(spark, sf_dir), FULL, "the", issue="BUILDING", limit=8)
+
+
+@register("match_gate")
+def _match_gate(spark, sf_dir):
+    return N.match_gate(_evidence(spark, sf_dir), YEAR)
+
+
+@register("concern_summary")
+def _concern_summary(spark, sf_dir):
+    return N.concern_summary(_two_periods(spark, sf_dir))
+
+
+@register("briefing_facts")
+def _briefing_facts(spark, sf_dir):
+    return N.briefing_facts(N.concern_summary(_two_periods(spark, sf_dir)))
+
+
+@register("largest_changes")
+def _largest_changes(spark, sf_dir):
+    return N.largest_changes(N.concern_summary(_two_periods(spark, sf_dir)))
+
+
+@register("review_question")
+def _review_question(spark, sf_dir):
+    return N.questions(N.concern_summary(_two_periods(spark, sf_dir)))
+
+
+@register("representative_quote")
+def _representative_quote(spark, sf_dir):
+    from ledgerline.operators.quote import representative_quote
+
+    ev = _evidence(spark, sf_dir)
+    return ev.select(
+        "complaint_id",
+        representative_quote(F.col("excerpt"), N.concern_column()).alias("quote"),
+    )

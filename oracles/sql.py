@@ -287,3 +287,132 @@ for _name, _req in MQ_REQUESTS.items():
 ORACLES["dataset_bounds"] = with_models(
     "SELECT min(date_received) AS first_date, max(date_received) AS last_date FROM grain_overview"
 )
+
+# --- Step 9: narratives -----------------------------------------------------
+# RE2 has no look-around: the word-boundary and "not preceded/followed by a
+# word character" rules are emulated with captured neighbour characters.
+_W = r"\p{L}\p{N}_"
+_SP = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def redact_sql(col: str) -> str:
+    """The redaction chain in RE2: e-mail, link, long number (two passes,
+    since a consumed neighbour character can hide an adjacent number), then
+    whitespace collapse and trim."""
+    email = (
+        f"regexp_replace({col}, '(^|[^{_W}.+-])([{_W}.+-]*?)([{_W}][{_W}.+-]*@[{_W}.-]+\\.[A-Za-z]{{2,}})\\b', "
+        "'\\1\\2[email]', 'g')"
+    )
+    link = f"regexp_replace({email}, 'https?://[^{_SP}]+', '[link]', 'g')"
+    number = f"(^|[^{_W}])\\+?\\p{{Nd}}[\\p{{Nd}} ().-]{{6,}}\\p{{Nd}}([^{_W}]|$)"
+    once = f"regexp_replace({link}, '{number}', '\\1[number]\\2', 'g')"
+    twice = f"regexp_replace({once}, '{number}', '\\1[number]\\2', 'g')"
+    return f"trim(regexp_replace({twice}, '[{_SP}]+', ' ', 'g'), ' ')"
+
+
+_CTX = "m.complaint_id, m.date_received, m.company_name, m.product, m.sub_product, m.issue, m.state, m.company_response"
+_EVIDENCE = (
+    f"ev AS (SELECT {_CTX}, {redact_sql('left(n.narrative, 2000)')} AS excerpt, "
+    "length(n.narrative) > 2000 AS excerpt_truncated FROM complaint_metrics m "
+    "JOIN complaint_narratives n ON m.complaint_id = n.complaint_id WHERE length(trim(n.narrative)) > 0 "
+    "AND n.complaint_id IN (SELECT complaint_id FROM complaint_narratives WHERE length(trim(narrative)) > 0 "
+    "ORDER BY md5(complaint_id), complaint_id LIMIT 60000))"
+)
+_YEAR_SEL = "date_received BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'"
+_YEAR_PRE = "date_received BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
+_FRAME = (
+    _EVIDENCE + ", fr AS (SELECT *, 'Selected' AS period FROM ev WHERE " + _YEAR_SEL
+    + " UNION ALL SELECT *, 'Previous' AS period FROM ev WHERE " + _YEAR_PRE + ")"
+)
+_SUMMARY = (
+    _FRAME
+    + ", per AS (SELECT coalesce(nullif(issue, ''), 'Issue not recorded') AS concern, "
+    "count(*) FILTER (WHERE period = 'Selected') AS narratives, count(*) FILTER (WHERE period = 'Previous') AS prior_narratives "
+    "FROM fr GROUP BY 1), tot AS (SELECT count(*) FILTER (WHERE period = 'Selected') AS n_sel, "
+    "count(*) FILTER (WHERE period = 'Previous') AS n_pre FROM fr), "
+    "s AS (SELECT concern, narratives, 100.0 * narratives / n_sel AS share_pct, prior_narratives, "
+    "CASE WHEN n_sel >= 50 AND n_pre >= 50 AND narratives >= 10 AND prior_narratives >= 10 "
+    "THEN 100.0 * narratives / n_sel - 100.0 * prior_narratives / n_pre END AS change_pp, n_sel "
+    "FROM per, tot WHERE narratives > 0)"
+)
+_QUESTIONS = [
+    (["incorrect", "error"], "Which information errors recur, and what do customers report about correction attempts?"),
+    (["improper use", "identity"], "What do customers describe about report access, authorization or identity-related disputes?"),
+    (["investigation", "dispute"], "Do customers describe repeated disputes, unclear outcomes or difficulty getting a response?"),
+    (["payment"], "What do customers report about payment processing, fees or account records?"),
+    (["collection", "debt"], "Which collection contacts or disputed-debt experiences recur in the evidence?"),
+]
+_QCASE = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(concern), '{k}')" for k in keys) + f" THEN '{q}'"
+    for keys, q in _QUESTIONS
+) + " ELSE 'Which repeated customer experiences within this issue warrant a closer process review?' END"
+
+ORACLES.update(
+    {
+        "redact_documents": with_models(f"SELECT doc_id, {redact_sql('text')} AS redacted FROM documents"),
+        "redact_conversations": with_models(
+            f"SELECT conv_id, turn, {redact_sql('text')} AS redacted FROM conversations"
+        ),
+        "excerpt": with_models(
+            "SELECT complaint_id, left(narrative, 2000) AS excerpt, length(narrative) > 2000 AS excerpt_truncated "
+            "FROM complaint_narratives"
+        ),
+        "hash_sample": with_models(
+            f"SELECT {_CTX}, left(n.narrative, 2000) AS excerpt, length(n.narrative) > 2000 AS excerpt_truncated "
+            "FROM complaint_metrics m JOIN complaint_narratives n ON m.complaint_id = n.complaint_id "
+            "WHERE n.complaint_id IN (SELECT complaint_id FROM complaint_narratives WHERE length(trim(narrative)) > 0 "
+            "ORDER BY md5(complaint_id), complaint_id LIMIT 500)"
+        ),
+        "evidence_export": with_models(
+            "SELECT ev.*, (SELECT count(*) FROM complaint_narratives WHERE length(trim(narrative)) > 0) AS corpus_narratives, "
+            "'global_md5_id_v1' AS sample_method FROM ev",
+            ctes=_EVIDENCE,
+        ),
+        "evidence_reconcile": with_models(
+            "SELECT c.corpus_narratives, "
+            "(o.o_rows IS NOT DISTINCT FROM g.g_rows AND o.o_narr IS NOT DISTINCT FROM g.g_narr "
+            "AND o.o_first IS NOT DISTINCT FROM g.g_first AND o.o_last IS NOT DISTINCT FROM g.g_last) AS snapshot_ok, "
+            "c.corpus_narratives = g.g_narr AS corpus_ok FROM "
+            "(SELECT CAST(sum(complaint_count) AS BIGINT) AS o_rows, CAST(sum(narrative_count) AS BIGINT) AS o_narr, "
+            "min(date_received) AS o_first, max(date_received) AS o_last FROM grain_overview) o, "
+            "(SELECT count(*) AS g_rows, CAST(sum(narrative_count) AS BIGINT) AS g_narr, "
+            "min(date_received) AS g_first, max(date_received) AS g_last FROM complaint_metrics) g, "
+            "(SELECT count(*) AS corpus_narratives FROM complaint_narratives WHERE length(trim(narrative)) > 0) c"
+        ),
+        "narrative_search": with_models(
+            "SELECT r.*, c.matching_sample_excerpts FROM (SELECT complaint_id, date_received, company_name, product, issue, "
+            f"left({redact_sql('excerpt')}, 2000) AS excerpt, excerpt_truncated FROM ev WHERE {FULL} "
+            "AND contains(lower(excerpt), lower('the')) AND issue = 'BUILDING' "
+            "ORDER BY md5(complaint_id), complaint_id LIMIT 8) r CROSS JOIN "
+            f"(SELECT count(*) AS matching_sample_excerpts FROM ev WHERE {FULL} "
+            "AND contains(lower(excerpt), lower('the')) AND issue = 'BUILDING') c",
+            ctes=_EVIDENCE,
+        ),
+        "match_gate": with_models(
+            f"SELECT count(*) AS matches, count(*) >= 20 AS enough FROM ev WHERE {YEAR}", ctes=_EVIDENCE
+        ),
+        "concern_summary": with_models(
+            "SELECT concern, narratives, share_pct, prior_narratives, change_pp FROM s", ctes=_SUMMARY
+        ),
+        "briefing_facts": with_models(
+            "SELECT l.concern AS leading_concern, l.share_pct AS leading_share_pct, t.top3_share_pct, "
+            "g.largest_change_concern, g.largest_change_pp, g.largest_change_pp > 0 AS gained FROM "
+            "(SELECT concern, share_pct FROM s ORDER BY narratives DESC, concern LIMIT 1) l CROSS JOIN "
+            "(SELECT 100.0 * sum(narratives) / max(n_sel) AS top3_share_pct FROM "
+            "(SELECT narratives, n_sel FROM s ORDER BY narratives DESC, concern LIMIT 3)) t CROSS JOIN "
+            "(SELECT (SELECT concern FROM s WHERE change_pp IS NOT NULL ORDER BY change_pp DESC, concern LIMIT 1) "
+            "AS largest_change_concern, (SELECT max(change_pp) FROM s) AS largest_change_pp) g",
+            ctes=_SUMMARY,
+        ),
+        "largest_changes": with_models(
+            "SELECT concern, prior_narratives, narratives, change_pp, CASE WHEN change_pp > 0 THEN 'Gained' "
+            "WHEN change_pp < 0 THEN 'Lost' ELSE 'Unchanged by' END AS direction FROM s "
+            "WHERE change_pp IS NOT NULL ORDER BY abs(change_pp) DESC, concern LIMIT 3",
+            ctes=_SUMMARY,
+        ),
+        "review_question": with_models(
+            f"SELECT concern, {_QCASE} AS question FROM s ORDER BY narratives DESC, concern LIMIT 3",
+            ctes=_SUMMARY,
+        ),
+    }
+)
