@@ -328,3 +328,58 @@ def _representative_quote(spark, sf_dir):
         "complaint_id",
         representative_quote(F.col("excerpt"), N.concern_column()).alias("quote"),
     )
+
+
+# Step 10: TF-IDF vocabulary (SQL-checkable) and NMF themes (rows-only).
+def _themes(spark, sf_dir):
+    from ledgerline.plans import topics as T
+
+    w = for_testdata(spark, sf_dir)
+    key = "__themes"
+    if key not in w._tables:
+        w._tables[key] = T.discover(_two_periods(spark, sf_dir))
+    return w._tables[key]
+
+
+@register("tfidf_vocabulary")
+def _tfidf_vocabulary(spark, sf_dir):
+    from ledgerline.operators import tfidf
+
+    model = tfidf.fit(_two_periods(spark, sf_dir))
+    return model.vocabulary
+
+
+@register("topics")
+def _topics(spark, sf_dir):
+    assigned, _ = _themes(spark, sf_dir)
+    return assigned.select("complaint_id", "period", "topic", "weight")
+
+
+@register("theme_summary")
+def _theme_summary(spark, sf_dir):
+    assigned, labels = _themes(spark, sf_dir)
+    return N.theme_summary(assigned, labels)
+
+
+@register("phrase_mentions")
+def _phrase_mentions(spark, sf_dir):
+    from ledgerline.plans import topics as T
+
+    assigned, labels = _themes(spark, sf_dir)
+    return T.phrase_mentions(assigned, labels)
+
+
+@register("best_evidence")
+def _best_evidence(spark, sf_dir):
+    assigned, _ = _themes(spark, sf_dir)
+    return N.best_evidence(assigned)
+
+
+@register("evidence_topk")
+def _evidence_topk(spark, sf_dir):
+    assigned, _ = _themes(spark, sf_dir)
+    lead = N.briefing_facts(N.concern_summary(assigned)).first()
+    concern = lead["leading_concern"] if lead else "Issue not recorded"
+    return N.evidence_list(assigned, concern, topic=None, phrase="", k=5).select(
+        "complaint_id", "date_received", "company_name", "product", "issue", "topic", "weight"
+    )

@@ -416,3 +416,19 @@ ORACLES.update(
         ),
     }
 )
+
+# --- Step 10: TF-IDF vocabulary ---------------------------------------------
+from ledgerline.operators.tfidf import stop_words  # noqa: E402
+
+_STOPS = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + "]"
+ORACLES["tfidf_vocabulary"] = with_models(
+    "SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, term, df, cf FROM ("
+    "SELECT term, df, cf FROM st WHERE df >= 2 AND df <= 0.95 * (SELECT count(*) FROM fr) "
+    "ORDER BY cf DESC, term LIMIT 4000)",
+    ctes=_FRAME
+    + ", tok AS (SELECT complaint_id, list_filter(list_filter(regexp_extract_all(lower(excerpt), '[\\p{L}\\p{N}_]+'), "
+    "lambda x: regexp_full_match(x, '[a-z]{3,}')), lambda x: NOT list_contains(" + _STOPS + ", x)) AS t FROM fr), "
+    "grams AS (SELECT complaint_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms FROM tok), "
+    "cnt AS (SELECT complaint_id, term, count(*) AS tf FROM (SELECT complaint_id, unnest(terms) AS term FROM grams) GROUP BY ALL), "
+    "st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM cnt GROUP BY term)",
+)
