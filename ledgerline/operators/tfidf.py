@@ -88,6 +88,7 @@ def fit(
         .select("doc_id", F.explode("terms").alias("term"))
         .groupBy("doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
+        .persist()  # read twice: vocabulary statistics and the weights
     )
     stats = counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")

@@ -86,7 +86,17 @@ class Warehouse:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             df = self._builders[name]()
-            if self.store and name not in VIEWS and name != "incoming":
+            if self.store and name not in VIEWS:
+                df = self._materialise(name, df)
+            self._tables[name] = df
+        return self._tables[name]
+
+    def derived(self, name: str, build: Callable[[], DataFrame], materialise: bool = True) -> DataFrame:
+        """Memoise (and optionally store) a table derived from the models,
+        such as the published evidence sample."""
+        if name not in self._tables:
+            df = build()
+            if self.store and materialise:
                 df = self._materialise(name, df)
             self._tables[name] = df
         return self._tables[name]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.plans.registry import MODEL_QUERIES
-from oracles.prefix import with_models
+from oracles.prefix import _date, with_models
 
 ORACLES: dict[str, str] = {}
 
@@ -432,3 +432,126 @@ ORACLES["tfidf_vocabulary"] = with_models(
     "cnt AS (SELECT complaint_id, term, count(*) AS tf FROM (SELECT complaint_id, unnest(terms) AS term FROM grams) GROUP BY ALL), "
     "st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM cnt GROUP BY term)",
 )
+
+# --- Step 6: raw rows: ingest, dedup, retention, coverage, profiling --------
+_RAW_DATE = _date('"Date received"')
+_NARR = "coalesce(trim(\"Consumer complaint narrative\"), '') <> ''"
+_BLANK_FIELDS = [
+    "Company", "Product", "Sub-product", "Issue", "Sub-issue", "State", "ZIP code", "Tags",
+    "Submitted via", "Date sent to company", "Company public response",
+    "Company response to consumer", "Timely response?",
+]
+_VALUE_FIELDS = ["Tags", "Submitted via", "Company response to consumer", "Timely response?"]
+_IV = (
+    "iv AS (SELECT _source_archive AS name, _source_priority AS priority, "
+    f"CAST(date_trunc('month', min({_RAW_DATE})) AS DATE) AS first_month, "
+    f"CAST(date_trunc('month', max({_RAW_DATE})) AS DATE) AS last_month FROM incoming GROUP BY ALL), "
+    "win AS (SELECT CAST(max(last_month) - INTERVAL 35 MONTH AS DATE) AS ws, "
+    "CAST(max(last_month) + INTERVAL 1 MONTH AS DATE) AS we FROM iv), "
+    "sel AS (SELECT iv.* FROM iv, win WHERE last_month >= ws AND first_month < we)"
+)
+
+ORACLES.update(
+    {
+        "overlap_excess": with_models(
+            "SELECT count(*) - count(DISTINCT trim(\"Complaint ID\")) AS overlap_records_removed FROM incoming"
+        ),
+        "validity_gate": with_models(
+            f"SELECT count(*) FILTER (WHERE {_RAW_DATE} IS NULL) AS unparsed_dates, "
+            "count(*) FILTER (WHERE trim(coalesce(\"Complaint ID\", '')) = '') AS blank_ids FROM incoming"
+        ),
+        "retention_window": with_models(
+            "SELECT _source_archive, count(*) AS rows FROM (SELECT * FROM incoming "
+            f"WHERE {_RAW_DATE} >= DATE '1996-01-01' AND {_RAW_DATE} < DATE '2000-01-01' "
+            "QUALIFY row_number() OVER (PARTITION BY trim(\"Complaint ID\") ORDER BY _source_priority DESC, "
+            "_source_record_number DESC) = 1) GROUP BY 1"
+        ),
+        "profile_quality": with_models(
+            f"SELECT count(*) AS raw_records, min({_RAW_DATE}) AS earliest_date, max({_RAW_DATE}) AS latest_date, "
+            "count(*) FILTER (WHERE nullif(trim(\"Complaint ID\"), '') IS NULL) AS missing_complaint_ids, "
+            f"count(*) FILTER (WHERE {_RAW_DATE} IS NULL) AS missing_or_unparsed_dates, "
+            f"count(*) FILTER (WHERE {_NARR}) AS records_with_narrative FROM incoming"
+        ),
+        "profile_yearly": with_models(
+            "SELECT year, raw_records, records_with_narrative, "
+            "CAST((20000 * records_with_narrative + raw_records) // (2 * raw_records) AS DOUBLE) / 100.0 AS narrative_coverage_pct FROM ("
+            f"SELECT CAST(extract(year FROM {_RAW_DATE}) AS INTEGER) AS year, count(*) AS raw_records, "
+            f"count(*) FILTER (WHERE {_NARR}) AS records_with_narrative FROM incoming GROUP BY 1)"
+        ),
+        "profile_duplicates": with_models(
+            "SELECT count(*) AS distinct_nonempty_ids, count(*) FILTER (WHERE occurrences > 1) AS ids_appearing_multiple_times, "
+            "CAST(coalesce(sum(occurrences - 1), 0) AS BIGINT) AS extra_records FROM ("
+            "SELECT nullif(trim(\"Complaint ID\"), '') AS id, count(*) AS occurrences FROM incoming "
+            "WHERE nullif(trim(\"Complaint ID\"), '') IS NOT NULL GROUP BY 1)"
+        ),
+        "profile_blanks": with_models(
+            " UNION ALL ".join(
+                f"SELECT '{f}' AS field, count(*) FILTER (WHERE coalesce(trim(\"{f}\"), '') = '') AS blank_records FROM incoming"
+                for f in _BLANK_FIELDS
+            )
+        ),
+        "profile_top_values": with_models(
+            "SELECT field, value, complaints, rank FROM (SELECT *, row_number() OVER (PARTITION BY field "
+            "ORDER BY complaints DESC, value) AS rank FROM ("
+            + " UNION ALL ".join(
+                f"SELECT '{f}' AS field, coalesce(nullif(trim(\"{f}\"), ''), '[blank]') AS value, count(*) AS complaints "
+                f"FROM incoming GROUP BY 1, 2"
+                for f in _VALUE_FIELDS
+            )
+            + ")) WHERE rank <= 20"
+        ),
+        "source_inventory": with_models(
+            f"SELECT _source_archive, _source_csv, count(*) AS rows, count(*) FILTER (WHERE {_NARR}) AS rows_with_narrative "
+            "FROM incoming GROUP BY ALL"
+        ),
+        "month_coverage": with_models(
+            "SELECT m.month, CAST(coalesce(c.archives, 0) AS BIGINT) AS archives FROM "
+            "(SELECT CAST(t.m AS DATE) AS month FROM win, generate_series(ws, ws + INTERVAL 35 MONTH, INTERVAL 1 MONTH) AS t(m)) m "
+            "LEFT JOIN (SELECT CAST(t.m AS DATE) AS month, count(DISTINCT name) AS archives FROM sel, win, "
+            "generate_series(greatest(first_month, ws), last_month, INTERVAL 1 MONTH) AS t(m) GROUP BY 1) c ON m.month = c.month",
+            ctes=_IV,
+        ),
+        "interval_selection": with_models(
+            "SELECT name, priority, first_month, last_month FROM sel", ctes=_IV
+        ),
+        "source_dedup": with_models(
+            "SELECT d.doc_id AS skipped_id, f.kept_id, d.signature FROM "
+            "(SELECT doc_id, md5(text) AS signature FROM documents) d JOIN "
+            "(SELECT md5(text) AS signature, min(doc_id) AS kept_id FROM documents GROUP BY 1) f "
+            "ON d.signature = f.signature WHERE d.doc_id <> f.kept_id"
+        ),
+        "csv_roundtrip": with_models(
+            "SELECT _source_archive, count(*) AS rows, 1 AS first_record, count(*) AS last_record, "
+            f"count(*) AS distinct_records, count(*) FILTER (WHERE trim(\"Consumer complaint narrative\") <> '') AS rows_with_narrative "
+            "FROM incoming GROUP BY 1"
+        ),
+        "export_grains": with_models(
+            " UNION ALL ".join(
+                f"SELECT '{g}' AS export, count(*) AS rows, CAST(sum(complaint_count) AS BIGINT) AS complaint_count, "
+                f"CAST(sum(narrative_count) AS BIGINT) AS narrative_count, "
+                f"CAST(sum(timely_response_count) AS BIGINT) AS timely_response_count FROM grain_{g}"
+                for g in ("overview", "issues", "geography", "channels")
+            )
+        ),
+        "manifest": with_models(
+            "SELECT win.ws AS window_start, win.we AS window_end_exclusive, m.* FROM win CROSS JOIN ("
+            "SELECT min(date_received) AS observed_first_date, max(date_received) AS observed_last_date, "
+            "count(*) AS complaints, " + ", ".join(f"CAST(sum({f}) AS BIGINT) AS {f}" for f in FLAGS)
+            + " FROM complaint_metrics) m",
+            ctes=_IV,
+        ),
+        "display_format": with_models(
+            "SELECT category, "
+            + "CASE WHEN abs(v) >= 1e9 THEN printf('%.2f B', v / 1e9) WHEN abs(v) >= 1e6 THEN printf('%.2f M', v / 1e6) "
+            "WHEN abs(v) >= 1e3 AND round_even(v / 1000.0, 0) >= 1000 THEN printf('%.2f M', v / 1e6) "
+            "WHEN abs(v) >= 1e3 THEN printf('%.0fK', round_even(v / 1000.0, 0)) ELSE printf('%.0f', round_even(v, 0)) END AS complaints_label, "
+            + "CASE WHEN abs(t) >= 1e9 THEN printf('%.2f B', t / 1e9) WHEN abs(t) >= 1e6 THEN printf('%.2f M', t / 1e6) "
+            "WHEN abs(t) >= 1e3 AND round_even(t / 1000.0, 0) >= 1000 THEN printf('%.2f M', t / 1e6) "
+            "WHEN abs(t) >= 1e3 THEN printf('%.0fK', round_even(t / 1000.0, 0)) ELSE printf('%.0f', round_even(t, 0)) END AS total_label, "
+            "CASE WHEN coalesce(t, 0) <> 0 THEN printf('%.2f%%', 100.0 * v / t) ELSE 'N/A' END AS share_label FROM ("
+            "SELECT category, CAST(complaints AS DOUBLE) AS v, CAST(scope_total AS DOUBLE) AS t FROM ("
+            + _rank("company_name", "grain_overview", FULL, 1000000)
+            + f") CROSS JOIN (SELECT CAST(SUM(complaint_count) AS BIGINT) AS scope_total FROM grain_overview WHERE {FULL}))"
+        ),
+    }
+)
