@@ -146,12 +146,24 @@ def snapshot_compatible(evidence: DataFrame, overview: DataFrame) -> bool:
     return stored[0][0] == fingerprint(overview).first()[0]
 
 
-def search(evidence: DataFrame, scope: Scope, phrase: str, issue: str | None = None, limit: int = 8) -> DataFrame:
+def search(
+    evidence: DataFrame,
+    scope: Scope,
+    phrase: str,
+    issue: str | None = None,
+    limit: int = 8,
+    overview: DataFrame | None = None,
+) -> DataFrame:
     """Literal, case-insensitive phrase search in scope (SRT-8): up to
     ``limit`` rows in hash order, re-redacted and clipped, each carrying the
-    total number of matching excerpts."""
+    total number of matching excerpts.  With ``overview`` given, evidence cut
+    from another snapshot is refused (QA-16)."""
     if not isinstance(phrase, str) or len(phrase) > 100 or not 1 <= limit <= 8:
         raise ValueError("Evidence search exceeds phrase or result limit.")
+    if issue is not None and (not isinstance(issue, str) or len(issue) > 300):
+        raise ValueError("Invalid issue filter.")
+    if overview is not None and not snapshot_compatible(evidence, overview):
+        raise ValueError("Narratives are from a different release; evidence search disabled.")
     df = evidence.filter(scope.predicate())
     if phrase.strip():
         df = df.filter(contains_ci("excerpt", phrase.strip()))
