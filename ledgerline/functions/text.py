@@ -61,10 +61,17 @@ def yes_no(c: Column | str) -> Column:
 
 
 def redact(c: Column | str) -> Column:
-    """Mask e-mails, links and long numbers, then collapse whitespace."""
-    out = F.regexp_replace(_col(c), EMAIL_RE, EMAIL_TOKEN)
-    out = F.regexp_replace(out, LINK_RE, LINK_TOKEN)
-    out = F.regexp_replace(out, NUMBER_RE, NUMBER_TOKEN)
+    """Mask e-mails, links and long numbers, then collapse whitespace.
+
+    Each rule runs only on texts that can match it (an '@', 'http', a
+    digit): the cheap guards skip the look-around scans on most rows and
+    leave the result unchanged."""
+    text = _col(c)
+    out = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL_RE, EMAIL_TOKEN)).otherwise(text)
+    out = F.when(F.contains(out, F.lit("http")), F.regexp_replace(out, LINK_RE, LINK_TOKEN)).otherwise(out)
+    out = F.when(
+        F.regexp_like(out, F.lit(r"\p{Nd}")), F.regexp_replace(out, NUMBER_RE, NUMBER_TOKEN)
+    ).otherwise(out)
     return F.trim(F.regexp_replace(out, SPACE_CLASS + "+", " "))
 
 

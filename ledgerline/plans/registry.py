@@ -472,17 +472,19 @@ def _export_grains(spark, sf_dir):
 
     w = for_testdata(spark, sf_dir)
     base = w.store or __import__("ledgerline.session", fromlist=["x"]).shared_path(spark, "ledgerline-io")
-    parts = []
-    for g in ("overview", "issues", "geography", "channels"):
-        back = sinks.export_grain(w["complaint_metrics"], g, f"{base}/export_{g}")
-        parts.append(
-            back.agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.sum("complaint_count").alias("complaint_count"),
-                F.sum("narrative_count").alias("narrative_count"),
-                F.sum("timely_response_count").alias("timely_response_count"),
-            ).select(F.lit(g).alias("export"), "*")
+    names = ("overview", "issues", "geography", "channels")
+    written = sinks.export_grains(w["complaint_metrics"], {f"export_{g}": w.grain(g) for g in names}, base)
+    parts = [
+        written[f"export_{g}"]
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum("complaint_count").alias("complaint_count"),
+            F.sum("narrative_count").alias("narrative_count"),
+            F.sum("timely_response_count").alias("timely_response_count"),
         )
+        .select(F.lit(g).alias("export"), "*")
+        for g in names
+    ]
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)

@@ -10,12 +10,13 @@ from ledgerline.plans import serving
 from ledgerline.schema import metric_columns
 
 
-def write_parquet_verified(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+def write_parquet_verified(df: DataFrame, path: str, expected_rows: int | None = None, mode: str = "overwrite") -> DataFrame:
     """Write ZSTD Parquet, re-read and check the row count (SRC-6).
 
-    The frame is counted from the written files, not recomputed, so the
-    check proves what landed on storage; returns the re-read table."""
-    expected = df.count()
+    The count is taken from the written files, so the check proves what
+    landed on storage; ``expected_rows`` defaults to counting the source.
+    Returns the re-read table."""
+    expected = df.count() if expected_rows is None else expected_rows
     df.write.mode(mode).option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.parquet(path)
     if back.count() != expected:
@@ -23,13 +24,30 @@ def write_parquet_verified(df: DataFrame, path: str, mode: str = "overwrite") ->
     return back
 
 
+def export_grains(metrics: DataFrame, grains: dict[str, DataFrame], base: str) -> dict[str, DataFrame]:
+    """Write every serving grain (SRC-7) and reconcile each file's 18 totals
+    with the gold table's (QA-14); any difference blocks the release.
+
+    The gold totals are one aggregate row computed once; each written file
+    is summed from storage."""
+    names = metric_columns(metrics.columns)
+    expected = serving.totals(metrics).first()
+    out = {}
+    for name, grain in grains.items():
+        path = f"{base.rstrip('/')}/{name}"
+        grain.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        back = grain.sparkSession.read.parquet(path)
+        actual = serving.totals(back).first()
+        if any(expected[n] != actual[n] for n in names):
+            raise ValueError(f"Metric totals differ in {name}")
+        out[name] = back
+    return out
+
+
 def export_grain(metrics: DataFrame, name: str, path: str) -> DataFrame:
-    """Aggregate one serving grain and write it (SRC-7); reconcile its 18
-    totals with the gold table before accepting it (QA-14)."""
-    back = write_parquet_verified(serving.grain(metrics, name), path)
-    if serving.reconcile(metrics, back).limit(1).count():
-        raise ValueError(f"Metric totals differ in {name}")
-    return back
+    """Aggregate one serving grain from the gold table, write and reconcile it."""
+    base, leaf = path.rstrip("/").rsplit("/", 1)
+    return export_grains(metrics, {leaf: serving.grain(metrics, name)}, base)[leaf]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
