@@ -69,10 +69,21 @@ def reconcile_evidence(metrics: DataFrame, narratives: DataFrame, overview: Data
     )
 
 
-def sample_excerpts(narratives: DataFrame, limit: int) -> DataFrame:
+def narrative_ids(metrics: DataFrame) -> DataFrame:
+    """IDs of narrative-bearing complaints from two narrow gold columns.
+
+    Equal to the non-blank narrative population: staging turns blank text
+    into NULL and ``reconcile_evidence`` asserts the corpus count equals
+    ``sum(narrative_count)`` before any export, so the sample never has to
+    scan the wide text column to find its population."""
+    return metrics.filter(F.col("narrative_count") == 1).select("complaint_id")
+
+
+def sample_excerpts(narratives: DataFrame, limit: int, ids_population: DataFrame | None = None) -> DataFrame:
     """Hash sample of IDs, then the excerpt of just those narratives (TXT-2, SRT-4)."""
     pop = population(narratives)
-    ids = hash_sample(pop.select("complaint_id"), "complaint_id", limit)
+    source = ids_population if ids_population is not None else pop.select("complaint_id")
+    ids = hash_sample(source, "complaint_id", limit)
     ids = F.broadcast(ids) if limit <= BROADCAST_MAX_ROWS else ids
     text, truncated = excerpt("narrative", EXCERPT_CHARS)
     return pop.join(ids, "complaint_id", "left_semi").select(
@@ -82,7 +93,7 @@ def sample_excerpts(narratives: DataFrame, limit: int) -> DataFrame:
 
 def hash_sample_context(metrics: DataFrame, narratives: DataFrame, limit: int) -> DataFrame:
     """Sampled excerpts with their complaint context (JOIN-4), unredacted."""
-    sample = sample_excerpts(narratives, limit)
+    sample = sample_excerpts(narratives, limit, narrative_ids(metrics))
     small = F.broadcast(sample) if limit <= BROADCAST_MAX_ROWS else sample
     return metrics.select(*CONTEXT).join(small, "complaint_id", "inner")
 
