@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ledgerline.session import ensure_checkpoint_dir
 
 EPS = float(np.finfo(np.float32).eps)
+BLOCK_DOCS = 500
 
 
 @dataclass
@@ -94,7 +95,9 @@ def fit(
     sc = spark.sparkContext
     ensure_checkpoint_dir(spark)
     p = n_features
-    n_blocks = max(1, min(sc.defaultParallelism * 2, math.ceil(n_docs / 500)))
+    # ~BLOCK_DOCS documents per block: a block (one grouped row) stays
+    # bounded however many documents there are
+    n_blocks = max(1, math.ceil(n_docs / BLOCK_DOCS))
     blocks = _blocks(weights, n_blocks).cache()
 
     # --- randomised SVD: X ~ U S V^T with power iterations ---------------

@@ -555,3 +555,35 @@ ORACLES.update(
         ),
     }
 )
+
+# --- representative quote (TXT-8) --------------------------------------------
+# Python's look-behind sentence split becomes "mark the split points, then
+# split on the mark"; word-boundary token counts become whole word-run tests.
+_WRUN = "'[\\p{L}\\p{N}_]+'"
+
+
+def quote_sql(text: str, concern: str) -> str:
+    words = (
+        f"list_filter(list_distinct(regexp_extract_all(lower({concern}), '[a-z]{{4,}}')), "
+        "lambda w: NOT list_contains(['your', 'with', 'from', 'into', 'problem', 'information'], w))"
+    )
+    sentences = f"string_split(regexp_replace({text}, '([.!?])[{_SP}]+', '\\1' || chr(1), 'g'), chr(1))"
+    scored = (
+        f"list_transform({sentences}, lambda s, i: {{'score': len(list_intersect(list_distinct("
+        f"regexp_extract_all(lower(s), '[a-z]{{4,}}')), {words})) - CASE WHEN regexp_matches(s, "
+        f"'(?i)(^|[^{_W}])(section|usc|u\\.s\\.c|statute)([^{_W}]|$)') THEN 2 ELSE 0 END, 'neg': -i, 's': s, "
+        f"'ok': length(s) BETWEEN 40 AND 420 AND len(list_filter(regexp_extract_all(s, {_WRUN}), "
+        "lambda t: regexp_full_match(t, '[xX]{2,}'))) < 5})"
+    )
+    eligible = f"list_filter({scored}, lambda x: x.ok)"
+    best = f"list_max(list_transform({eligible}, lambda x: {{'score': x.score, 'neg': x.neg, 's': x.s}}))"
+    fallback = f"left({text}, 300) || CASE WHEN length({text}) > 300 THEN '…' ELSE '' END"
+    return f"CASE WHEN len({eligible}) > 0 THEN ({best}).s ELSE {fallback} END"
+
+
+ORACLES["representative_quote"] = with_models(
+    "SELECT complaint_id, "
+    + quote_sql("excerpt", "coalesce(nullif(issue, ''), 'Issue not recorded')")
+    + " AS quote FROM ev",
+    ctes=_EVIDENCE,
+)
