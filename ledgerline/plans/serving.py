@@ -20,6 +20,40 @@ def grain(metrics: DataFrame, name: str) -> DataFrame:
     return metrics.groupBy(*keys).agg(*sums)
 
 
+GRAIN_COLUMN = "grain"
+
+
+def all_grains(metrics: DataFrame) -> DataFrame:
+    """Every serving grain from one scan of the gold table (AGG-2a..d).
+
+    One ``GROUPING SETS`` aggregate: the gold rows are expanded once per
+    grain, partially aggregated map-side and shuffled once; ``grouping_id``
+    names the grain, so genuine NULL keys stay distinct from the keys a
+    grain does not use.  ``grain(all_grains(m), name)`` equals
+    ``grain(m, name)``.
+    """
+    extras = [c for name in GRAINS for c in GRAINS[name]]
+    keys = BASE_FIELDS + extras
+    sets = [BASE_FIELDS + GRAINS[name] for name in GRAINS]
+    sums = [F.sum(c).alias(c) for c in metric_columns(metrics.columns)]
+    agg = metrics.groupingSets(sets, *keys).agg(F.grouping_id().alias("__gid"), *sums)
+    # grouping_id has one bit per key column, set when the column is absent
+    label = None
+    for name in GRAINS:
+        used = set(BASE_FIELDS + GRAINS[name])
+        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in used)
+        cond = F.col("__gid") == F.lit(gid)
+        label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
+    return agg.select(label.alias(GRAIN_COLUMN), *keys, *metric_columns(metrics.columns))
+
+
+def split_grain(grains: DataFrame, name: str, metric_names: list[str]) -> DataFrame:
+    """One grain out of ``all_grains`` (a partition filter once stored)."""
+    return grains.filter(F.col(GRAIN_COLUMN) == F.lit(name)).select(
+        *(BASE_FIELDS + GRAINS[name]), *metric_names
+    )
+
+
 def totals(df: DataFrame) -> DataFrame:
     """Grand totals of every additive ``_count`` column (AGG-1), one row."""
     return df.agg(*[F.sum(c).alias(c) for c in metric_columns(df.columns)])

@@ -35,7 +35,12 @@ VIEWS = {
     "dim_company",
     "dim_product",
     "dim_submission_channel",
+    "grain_overview",
+    "grain_issues",
+    "grain_geography",
+    "grain_channels",
 }
+PARTITIONED = {"grains": "grain"}
 
 
 class Warehouse:
@@ -87,12 +92,18 @@ class Warehouse:
             "dim_response": lambda: SR.dim_response(self["complaint_metrics"]),
             "dim_date": lambda: SR.dim_date(self["complaint_metrics"]),
             "fact_complaints": lambda: SR.fact_complaints(self["complaint_metrics"]),
-            "grain_overview": lambda: S.grain(self["complaint_metrics"], "overview"),
-            "grain_issues": lambda: S.grain(self["complaint_metrics"], "issues"),
-            "grain_geography": lambda: S.grain(self["complaint_metrics"], "geography"),
-            "grain_channels": lambda: S.grain(self["complaint_metrics"], "channels"),
+            "grains": lambda: S.all_grains(self["complaint_metrics"]),
+            "grain_overview": lambda: self._split("overview"),
+            "grain_issues": lambda: self._split("issues"),
+            "grain_geography": lambda: self._split("geography"),
+            "grain_channels": lambda: self._split("channels"),
         }
 
+    def _split(self, name: str) -> DataFrame:
+        from ledgerline.schema import metric_columns
+
+        return S.split_grain(self["grains"], name, metric_columns(self["complaint_metrics"].columns))
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             df = self._builders[name]()
@@ -122,7 +133,10 @@ class Warehouse:
         read the table back so later plans start from the stored files."""
         path = f"{self.store.rstrip('/')}/{name}"
         if not _complete(self.spark, path):
-            df.write.mode("overwrite").parquet(path)
+            writer = df.write.mode("overwrite")
+            if name in PARTITIONED:
+                writer = writer.partitionBy(PARTITIONED[name])
+            writer.parquet(path)
         return self.spark.read.parquet(path)
 
 

@@ -87,8 +87,12 @@ def order_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("state"),
     )
     docs = t("documents").select(F.col("doc_id"), F.col("text").alias("doc_text"))
+    # Hash-partition orders by key: the line aggregate and the documents
+    # join on the same key, so they meet co-partitioned (no further shuffle
+    # of the order side), and a single large input file still fans out.
     o = (
         t("orders")
+        .repartition("o_orderkey")
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(docs, F.col("o_orderkey") == F.col("doc_id"), "left")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
