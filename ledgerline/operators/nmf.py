@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.session import ensure_checkpoint_dir
+from ledgerline.session import ensure_checkpoint_dir, ship_package
 
 EPS = float(np.finfo(np.float32).eps)
 BLOCK_DOCS = 500
@@ -94,6 +94,7 @@ def fit(
     spark = weights.sparkSession
     sc = spark.sparkContext
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     p = n_features
     # ~BLOCK_DOCS documents per block: a block (one grouped row) stays
     # bounded however many documents there are

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from collections.abc import Callable
 from pathlib import Path
 
@@ -23,7 +24,7 @@ from ledgerline.plans import serving as S
 from ledgerline.plans import silver as SV
 from ledgerline.plans import staging as ST
 from ledgerline.plans import star as SR
-from ledgerline.session import checkpoint_dir
+from ledgerline.session import checkpoint_dir, ship_package
 
 # Views are recomputed from their (stored) inputs on read: the staging models
 # and the pure projections of stored tables.
@@ -56,6 +57,8 @@ class Warehouse:
         self._incoming = incoming
         self.store = store
         self._tables: dict[str, DataFrame] = {}
+        self._locks: dict[str, threading.Lock] = {}
+        self._guard = threading.Lock()
         self._builders: dict[str, Callable[[], DataFrame]] = {
             "incoming": self._incoming,
             "bronze_complaints": lambda: B.dedup_latest(self["incoming"]),
@@ -105,13 +108,30 @@ class Warehouse:
         return S.split_grain(self["grains"], name, metric_columns(self["complaint_metrics"].columns))
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._tables:
-            df = self._builders[name]()
-            if self.store and name not in VIEWS:
-                df = self._materialise(name, df)
-            self._tables[name] = df
+        if name in self._tables:
+            return self._tables[name]
+        # one lock per model; models only wait on their (acyclic) inputs,
+        # so concurrent builds cannot deadlock
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.Lock())
+        with lock:
+            if name not in self._tables:
+                df = self._builders[name]()
+                if self.store and name not in VIEWS:
+                    df = self._materialise(name, df)
+                self._tables[name] = df
         return self._tables[name]
 
+    def build(self, names: list[str] | None = None, threads: int = 4) -> dict[str, DataFrame]:
+        """Build (and store) models concurrently, like a DAG runner with
+        ``threads`` workers: independent models become concurrent Spark jobs
+        that share the cluster, dependent ones wait for their inputs."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        names = names or self.names()
+        with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+            return dict(zip(names, pool.map(self.__getitem__, names)))
+
     def derived(self, name: str, build: Callable[[], DataFrame], materialise: bool = True) -> DataFrame:
         """Memoise (and optionally store) a table derived from the models,
         such as the published evidence sample."""
@@ -173,6 +193,7 @@ def for_testdata(spark: SparkSession, sf_dir: str, materialise: bool = True) ->
     """
     from ledgerline.sources import testdata
 
+    ship_package(spark)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), materialise)
     if key not in _CACHE:
         base = checkpoint_dir(spark) if materialise else None

@@ -71,6 +71,9 @@ def with_record_numbers(df: DataFrame, file_col: str = "_source_csv") -> DataFra
     scan: no shuffle, no sort, and the counter is evaluated exactly once
     (a ``monotonically_increasing_id`` read in two plan branches may differ).
     """
+    from ledgerline.session import ship_package
+
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField("_source_record_number", T.LongType())])
 
     def number(batches):
