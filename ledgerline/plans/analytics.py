@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import bucket
+from ledgerline.operators.totals import attach_totals
 from ledgerline.plans.scope import Scope
 from ledgerline.schema import MISSING_LABEL, STATE_CODES, ratio
 
@@ -93,7 +94,7 @@ def _scope_total(metrics: DataFrame, scope: Scope) -> DataFrame:
 def top_share(metrics: DataFrame, scope: Scope, column: str = "company_name", k: int = 5) -> DataFrame:
     """Share of the scope held by the top ``k`` labels (AGG-16)."""
     top = rank(metrics, scope, column, limit=k).agg(F.sum("complaints").alias("top_complaints"))
-    return top.crossJoin(_scope_total(metrics, scope)).select(
+    return attach_totals(top, _scope_total(metrics, scope)).select(
         "top_complaints",
         "scope_total",
         (F.lit(100.0) * F.col("top_complaints") / F.col("scope_total")).alias("top_share_pct"),
@@ -115,7 +116,7 @@ def company_comparison(metrics: DataFrame, scope: Scope) -> DataFrame:
             ),
         )
     )
-    return per.crossJoin(F.broadcast(_scope_total(metrics, scope))).select(
+    return attach_totals(per, _scope_total(metrics, scope)).select(
         "company",
         "complaints",
         "timely_rate_pct",
@@ -127,8 +128,7 @@ def company_comparison(metrics: DataFrame, scope: Scope) -> DataFrame:
 def product_share(metrics: DataFrame, scope: Scope, limit: int = 100) -> DataFrame:
     """Ranked products with their share of the scope (AGG-18)."""
     return (
-        rank(metrics, scope, "product", limit=limit)
-        .crossJoin(F.broadcast(_scope_total(metrics, scope)))
+        attach_totals(rank(metrics, scope, "product", limit=limit), _scope_total(metrics, scope))
         .select(
             "category",
             "complaints",
@@ -214,18 +214,16 @@ def prior_period(metrics: DataFrame, scope: Scope, coverage_start: dt.date | Non
     """
     prior = scope.prior()
     labels = scope.labels_predicate()
-    cur = scope.dates_predicate()
-    pre = prior.dates_predicate()
-    sums = metrics.filter(labels & (cur | pre)).agg(
+    cur = labels & scope.dates_predicate()
+    pre = labels & prior.dates_predicate()
+    # one pass: both windows and the coverage start are conditional aggregates
+    sums = metrics.agg(
         _sum0_expr(F.when(cur, F.col("complaint_count"))).alias("current_complaints"),
         _sum0_expr(F.when(pre, F.col("complaint_count"))).alias("previous_complaints"),
+        (F.min("date_received") if coverage_start is None else F.lit(coverage_start)).alias("coverage_start"),
     )
-    if coverage_start is None:
-        first = metrics.agg(F.min("date_received").alias("coverage_start"))
-    else:
-        first = metrics.sparkSession.range(1).select(F.lit(coverage_start).alias("coverage_start"))
     available = F.lit(prior.start) >= F.col("coverage_start")
-    return sums.crossJoin(first).select(
+    return sums.select(
         F.lit(prior.start).alias("prior_start"),
         F.lit(prior.end).alias("prior_end"),
         available.alias("available"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import parse_mixed_date, shift_months
+from ledgerline.operators.totals import attach_totals
 
 
 def intervals_from_rows(raw: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def select_intervals(intervals: DataFrame, months: int = 36) -> DataFrame:
     """Archives overlapping the window, in priority order (QA-18)."""
     w = rolling_window(intervals, months)
     return (
-        intervals.crossJoin(F.broadcast(w))
+        attach_totals(intervals, w)
         .filter((F.col("last_month") >= F.col("window_start")) & (F.col("first_month") < F.col("window_end")))
         .select("name", "priority", "first_month", "last_month")
         .orderBy("priority", "name")
@@ -50,8 +51,7 @@ def month_coverage(intervals: DataFrame, months: int = 36) -> DataFrame:
         F.explode(F.sequence("window_start", shift_months(F.col("window_start"), months - 1), F.expr("INTERVAL 1 MONTH"))).alias("month")
     )
     covered = (
-        select_intervals(intervals, months)
-        .crossJoin(F.broadcast(w))
+        attach_totals(select_intervals(intervals, months), w)
         .select(
             "name",
             F.explode(

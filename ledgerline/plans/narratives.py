@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.text import contains_ci, excerpt, nonblank, redact
 from ledgerline.operators.quote import representative_quote, review_question
 from ledgerline.operators.topk import BROADCAST_MAX_ROWS, hash_sample
+from ledgerline.operators.totals import attach_totals
 from ledgerline.plans.scope import Scope
 from ledgerline.schema import ISSUE_NOT_RECORDED
 
@@ -43,21 +44,40 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def reconcile_evidence(metrics: DataFrame, narratives: DataFrame, overview: DataFrame) -> DataFrame:
     """One row comparing the overview grain with the gold table and the
-    narrative corpus (QA-15): every ``*_ok`` must be true before export."""
-    o = overview.agg(
-        F.sum("complaint_count").alias("o_rows"),
-        F.sum("narrative_count").alias("o_narr"),
-        F.min("date_received").alias("o_first"),
-        F.max("date_received").alias("o_last"),
+    narrative corpus (QA-15): every ``*_ok`` must be true before export.
+
+    The three inputs are projected to a common labelled shape and unioned,
+    so one aggregate (one job, no join) computes all the figures."""
+    def part(df: DataFrame, src: str, rows, narr, day) -> DataFrame:
+        return df.select(
+            F.lit(src).alias("src"),
+            rows.cast("long").alias("rows"),
+            narr.cast("long").alias("narr"),
+            day.alias("day"),
+        )
+
+    stacked = (
+        part(overview, "o", F.col("complaint_count"), F.col("narrative_count"), F.col("date_received"))
+        .unionByName(part(metrics, "g", F.lit(1), F.col("narrative_count"), F.col("date_received")))
+        .unionByName(
+            part(population(narratives), "c", F.lit(1), F.lit(0), F.lit(None).cast("date"))
+        )
     )
-    g = metrics.agg(
-        F.count(F.lit(1)).alias("g_rows"),
-        F.sum("narrative_count").alias("g_narr"),
-        F.min("date_received").alias("g_first"),
-        F.max("date_received").alias("g_last"),
+    def on(src: str, c: str):
+        return F.when(F.col("src") == src, F.col(c))
+
+    t = stacked.agg(
+        F.sum(on("o", "rows")).alias("o_rows"),
+        F.sum(on("o", "narr")).alias("o_narr"),
+        F.min(on("o", "day")).alias("o_first"),
+        F.max(on("o", "day")).alias("o_last"),
+        F.sum(on("g", "rows")).alias("g_rows"),
+        F.sum(on("g", "narr")).alias("g_narr"),
+        F.min(on("g", "day")).alias("g_first"),
+        F.max(on("g", "day")).alias("g_last"),
+        F.count_if(F.col("src") == "c").alias("corpus_narratives"),
     )
-    c = population(narratives).agg(F.count(F.lit(1)).alias("corpus_narratives"))
-    return o.crossJoin(g).crossJoin(c).select(
+    return t.select(
         "corpus_narratives",
         (
             F.col("o_rows").eqNullSafe(F.col("g_rows"))
@@ -120,7 +140,7 @@ def evidence_export(
     if budget_bytes is not None:
         rows = shrink_to_budget(rows, budget_bytes, min_rows)
     ident = fingerprint(overview).select(F.col("fingerprint").alias("overview_fingerprint"))
-    return rows.crossJoin(ident).select(
+    return attach_totals(rows, ident).select(
         "*",
         F.lit(check["corpus_narratives"]).cast("long").alias("corpus_narratives"),
         F.lit(SAMPLE_METHOD).alias("sample_method"),
@@ -190,7 +210,7 @@ def search(
             "excerpt_truncated",
         )
     )
-    return rows.crossJoin(matches)
+    return attach_totals(rows, matches)
 
 
 def two_periods(evidence: DataFrame, scope: Scope, cap: int | None = None, coverage_start=None) -> DataFrame:
@@ -234,7 +254,7 @@ def _period_summary(frame: DataFrame, key: F.Column, key_name: str) -> DataFrame
     share = F.lit(100.0) * F.col("narratives") / F.col("n_sel")
     return (
         per.filter(F.col("narratives") > 0)
-        .crossJoin(F.broadcast(totals))
+        .transform(lambda df: attach_totals(df, totals))
         .select(
             key_name,
             F.col("narratives").cast("long").alias("narratives"),
@@ -272,7 +292,7 @@ def briefing_facts(summary: DataFrame) -> DataFrame:
         summary.orderBy(*order)
         .limit(3)
         .agg(F.sum("narratives").alias("top3"))
-        .crossJoin(summary.agg(F.sum("narratives").alias("n_sel")))
+        .transform(lambda df: attach_totals(df, summary.agg(F.sum("narratives").alias("n_sel"))))
         .select((F.lit(100.0) * F.col("top3") / F.col("n_sel")).alias("top3_share_pct"))
     )
     gain = summary.filter(F.col("change_pp").isNotNull()).agg(
@@ -281,7 +301,7 @@ def briefing_facts(summary: DataFrame) -> DataFrame:
         ),
         F.max("change_pp").alias("largest_change_pp"),
     )
-    return lead.crossJoin(top3).crossJoin(gain).select(
+    return attach_totals(attach_totals(lead, top3), gain).select(
         "*", (F.col("largest_change_pp") > 0).alias("gained")
     )
 

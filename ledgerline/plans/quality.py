@@ -156,39 +156,55 @@ def product_issue_mismatch(complaints: DataFrame, issue_categories: DataFrame) -
     )
 
 
+def _count_delta(a: DataFrame, b: DataFrame, where_b=None) -> DataFrame:
+    """``|rows(a) - rows(b)|`` from one aggregate over the labelled union."""
+    left = a.select(F.lit(1).alias("__side"))
+    right = (b.filter(where_b) if where_b is not None else b).select(F.lit(2).alias("__side"))
+    u = left.unionByName(right)
+    return u.agg(
+        F.abs(F.count_if(F.col("__side") == 1) - F.count_if(F.col("__side") == 2)).alias("failures")
+    )
+
+
 def star_matches_wide(fact: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Count of totals (rows + 18 flags) where star and wide differ, NULL-safe."""
+    """Count of totals (rows + 18 flags) where star and wide differ, NULL-safe.
+
+    One aggregate over the labelled union of both tables (no join)."""
     names = ["rows"] + FLAGS
-    s = fact.agg(F.count(F.lit(1)).alias("s_rows"), *[F.sum(f).alias(f"s_{f}") for f in FLAGS])
-    g = metrics.agg(F.count(F.lit(1)).alias("g_rows"), *[F.sum(f).alias(f"g_{f}") for f in FLAGS])
+    u = fact.select(F.lit("s").alias("__src"), F.lit(1).alias("rows"), *FLAGS).unionByName(
+        metrics.select(F.lit("g").alias("__src"), F.lit(1).alias("rows"), *FLAGS)
+    )
+    sums = u.agg(
+        *[F.sum(F.when(F.col("__src") == s, F.col(n))).alias(f"{s}_{n}") for n in names for s in ("s", "g")]
+    )
     diff = sum(
         (F.when(~F.col(f"s_{n}").eqNullSafe(F.col(f"g_{n}")), 1).otherwise(0) for n in names), F.lit(0)
     )
-    return s.crossJoin(g).select(diff.cast("long").alias("failures"))
+    return sums.select(diff.cast("long").alias("failures"))
 
 
 def singular_checks(w, layer: str) -> list[DataFrame]:
     out = []
     for name, a, b in PRESERVES:
         if name.startswith(layer):
-            ca = w[a].agg(F.count(F.lit(1)).alias("n"))
-            cb = w[b].agg(F.count(F.lit(1)).alias("m"))
-            out.append(_one(name, ca.crossJoin(cb).select(F.abs(F.col("n") - F.col("m")).alias("failures"))))
+            out.append(_one(name, _count_delta(w[a], w[b])))
     if layer == "silver":
-        narr_stg = w["stg_complaints"].agg(F.count_if(F.col("narrative").isNotNull()).alias("n"))
-        narr_sil = w["complaint_narratives"].agg(F.count(F.lit(1)).alias("m"))
         out.append(_one("silver_preserves_narratives",
-                        narr_stg.crossJoin(narr_sil).select(F.abs(F.col("n") - F.col("m")).alias("failures"))))
+                        _count_delta(w["complaint_narratives"], w["stg_complaints"], F.col("narrative").isNotNull())))
         out.append(_one("consistent_product_issue",
                         _count(product_issue_mismatch(w["complaints"], w["issue_categories"]))))
         out.append(_one("unique_complaint_tag_pairs",
                         _count(duplicates(w["complaint_tags"], ["complaint_id", "tag_id"]))))
     if layer == "gold":
         m = w["complaint_metrics"]
-        narr = w["complaint_narratives"].agg(F.count(F.lit(1)).alias("n"))
-        flagged = m.agg(F.sum("narrative_count").alias("m"))
-        out.append(_one("gold_preserves_narratives",
-                        narr.crossJoin(flagged).select(F.abs(F.col("n") - F.col("m")).alias("failures"))))
+        narr = w["complaint_narratives"].select(F.lit(1).alias("__side"), F.lit(0).alias("n"))
+        flagged = m.select(F.lit(2).alias("__side"), F.col("narrative_count").alias("n"))
+        u = narr.unionByName(flagged).agg(
+            F.abs(
+                F.count_if(F.col("__side") == 1) - F.coalesce(F.sum(F.when(F.col("__side") == 2, F.col("n"))), F.lit(0))
+            ).alias("failures")
+        )
+        out.append(_one("gold_preserves_narratives", u))
         out.append(_one("gold_flags_are_binary", _count(flags_are_binary(m))))
         out.append(_one("gold_flag_consistency", _count(flag_consistency(m))))
     if layer == "star":

@@ -514,7 +514,9 @@ def _display_format(spark, sf_dir):
     g = _g(spark, sf_dir)
     per = A.rank(g, FULL, "company_name", limit=1_000_000)
     total = g.filter(FULL.predicate()).agg(F.sum("complaint_count").alias("scope_total"))
-    return per.crossJoin(total).select(
+    from ledgerline.operators.totals import attach_totals
+
+    return attach_totals(per, total).select(
         "category",
         compact_number(F.col("complaints")).alias("complaints_label"),
         compact_number(F.col("scope_total")).alias("total_label"),

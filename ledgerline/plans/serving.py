@@ -60,15 +60,21 @@ def totals(df: DataFrame) -> DataFrame:
 
 
 def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Metric names whose totals differ (NULL-safe); empty means reconciled."""
+    """Metric names whose totals differ (NULL-safe); empty means reconciled.
+
+    Both inputs are labelled and unioned, so one aggregate computes the two
+    sets of totals side by side (no join)."""
     names = metric_columns(expected.columns)
-    e = totals(expected).select(*[F.col(n).alias(f"e_{n}") for n in names])
-    a = totals(actual).select(*[F.col(n).alias(f"a_{n}") for n in names])
-    both = e.crossJoin(a)  # two one-row aggregates
+    both = expected.select(F.lit("e").alias("__src"), *names).unionByName(
+        actual.select(F.lit("a").alias("__src"), *names)
+    )
+    sums = both.agg(
+        *[F.sum(F.when(F.col("__src") == s, F.col(n))).alias(f"{s}_{n}") for n in names for s in ("e", "a")]
+    )
     diffs = F.array(
         *[F.when(~F.col(f"e_{n}").eqNullSafe(F.col(f"a_{n}")), F.lit(n)) for n in names]
     )
-    return both.select(F.explode(F.array_compact(diffs)).alias("metric"))
+    return sums.select(F.explode(F.array_compact(diffs)).alias("metric"))
 
 
 def coverage(metrics: DataFrame) -> DataFrame:
