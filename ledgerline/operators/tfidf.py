@@ -58,6 +58,12 @@ class TfIdf:
     vocabulary: DataFrame  # term_index, term, df, cf (term_index in term order)
     n_docs: int
     n_features: int
+    counts: DataFrame | None = None  # persisted (doc, term, tf) counts
+
+    def release(self) -> None:
+        """Drop the cached term counts once the weights have been consumed."""
+        if self.counts is not None:
+            self.counts.unpersist()
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,7 +119,7 @@ def fit(
     weights = w.join(norm, "doc_id").select(
         "doc_id", "term_index", (F.col("w") / F.col("norm")).alias("weight")
     )
-    return TfIdf(weights, vocab, n_docs, n_features)
+    return TfIdf(weights, vocab, n_docs, n_features, counts)
 
 
 def _index(top: DataFrame) -> DataFrame:

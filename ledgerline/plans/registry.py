@@ -348,6 +348,7 @@ def _tfidf_vocabulary(spark, sf_dir):
     from ledgerline.operators import tfidf
 
     model = tfidf.fit(_two_periods(spark, sf_dir))
+    model.release()  # the vocabulary is a small local table
     return model.vocabulary
 
 

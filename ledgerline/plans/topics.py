@@ -35,6 +35,7 @@ def discover(frame: DataFrame, topics: int = 6, id_col: str = "complaint_id", te
     k = min(topics, model.n_features, model.n_docs - 1)
     weights = model.weights.withColumn("doc_id", F.col("doc_id").cast("string"))
     result = nmf.fit(weights, model.n_docs, model.n_features, k)
+    model.release()  # the NMF blocks now hold the matrix
     terms = [r["term"] for r in model.vocabulary.orderBy("term_index").collect()]
     label_rows = []
     for t, comp in enumerate(result.components):
