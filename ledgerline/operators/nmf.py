@@ -106,13 +106,20 @@ def fit(
     rng = np.random.default_rng(seed)
     z = rng.normal(size=(p, l))
     n_iter = 7 if k < 0.1 * min(n_docs, p) else 4
-    total = blocks.map(lambda b: (float(b["data"].sum()), float(b["data"] @ b["data"]))).treeReduce(_add)
-    x_sum, x_sq = total
+    x_sum = x_sq = None
     for _ in range(n_iter + 1):
         zb = sc.broadcast(z)
-        gram, xty = blocks.map(
-            lambda b: (lambda y: (y.T @ y, _xtdot(b, y, p)))(_xdot(b, zb.value))
+        first = x_sum is None  # the first pass also sums X and its squares
+        gram, xty, xs, xq = blocks.map(
+            lambda b, zb=zb, first=first: (lambda y: (
+                y.T @ y,
+                _xtdot(b, y, p),
+                float(b["data"].sum()) if first else 0.0,
+                float(b["data"] @ b["data"]) if first else 0.0,
+            ))(_xdot(b, zb.value))
         ).treeReduce(_add)
+        if first:
+            x_sum, x_sq = xs, xq
         zb.unpersist()
         r = np.linalg.cholesky(gram + 1e-12 * np.trace(gram) * np.eye(l)).T  # Y = Q R
         r_inv = np.linalg.inv(r)
