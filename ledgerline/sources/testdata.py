@@ -30,7 +30,7 @@ RESPONSES = [
     "Untimely response",
     "",
 ]
-PUBLIC_RESPONSE = "Company has responded to the consumer and the CFPB and chooses not to provide a public response"
+PUBLIC_RESPONSE = "Company has responded to the consumer and chooses not to provide a public response"
 SOURCE_CSV = "complaints.csv"
 REVISED_ARCHIVE = "archive_revised.zip"
 INGESTED_AT = "2026-01-01T00:00:00+00:00"
