@@ -10,8 +10,8 @@ driver's scale factor.  The same mapping is written in SQL for the oracle
 Missingness and quirks are injected deterministically so that the blank ->
 NULL rules, the two date formats, the ID trim, NULL key components, the
 three-valued timeliness and the release-precedence dedup are all exercised.
-A second, higher-priority "revised" release re-issues every tenth order with
-a changed company label.
+A second, higher-priority "revised" release re-issues every complaint whose
+timeliness was still unrecorded (pending orders) with a changed company label.
 """
 
 from __future__ import annotations
@@ -156,7 +156,9 @@ def order_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both releases, unioned by name: the input of the overlap dedup."""
     first = order_complaints(spark, sf_dir)
-    revised = first.filter(F.col("_order_key") % 10 == 0).select(
+    # the revision re-issues every complaint whose timeliness was still
+    # unrecorded (pending orders) under a changed company label
+    revised = first.filter(F.col("`Timely response?`") == "").select(
         *[
             F.concat(F.lit(REVISED_PREFIX), F.col("Company")).alias("Company")
             if name == "Company"
@@ -167,7 +169,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         F.lit(REVISED_ARCHIVE).alias("_source_archive"),
         F.lit(SOURCE_CSV).alias("_source_csv"),
-        (F.col("_order_key") / 10 + 1).cast("long").alias("_source_record_number"),
+        (F.col("_order_key") + 1).alias("_source_record_number"),
         F.lit(INGESTED_AT).alias("_ingested_at"),
         F.lit(2).alias("_source_priority"),
     )
