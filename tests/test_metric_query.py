@@ -73,3 +73,54 @@ def test_truncation_and_zero_denominator(grains):
 def test_bounds(grains):
     b = dataset_bounds(grains["overview"]).first()
     assert (b["first_date"], b["last_date"]) == (dt.date(2024, 1, 1), dt.date(2024, 1, 2))
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from ledgerline.schema import FLAGS  # noqa: E402
+
+grain_rows = st.lists(
+    st.tuples(
+        st.dates(dt.date(2024, 1, 1), dt.date(2024, 3, 31)),
+        st.sampled_from(["A", "B", None]),
+        st.sampled_from(["Card", "Loan", None]),
+        st.integers(0, 50),
+        st.integers(0, 50),
+    ),
+    min_size=1,
+    max_size=40,
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(grain_rows, st.booleans())
+def test_grouped_query_matches_pandas(spark, rows, descending):
+    fields = [T.StructField("date_received", T.DateType()), T.StructField("company_name", T.StringType()),
+              T.StructField("product", T.StringType()), T.StructField("sub_product", T.StringType())]
+    fields += [T.StructField(f, T.LongType()) for f in FLAGS]
+    data = []
+    for d, company, product, n, timely in rows:
+        vals = {f: 0 for f in FLAGS}
+        vals.update(complaint_count=n, timely_response_count=min(timely, n), known_timeliness_count=n)
+        data.append((d, company, product, None, *[vals[f] for f in FLAGS]))
+    grain = spark.createDataFrame(data, T.StructType(fields))
+    scope = Scope(dt.date(2024, 1, 1), dt.date(2024, 2, 29))
+    req = MetricRequest("overview", ("product",), ("complaint_count", "timely_response_rate", "company_count"),
+                        order_by="complaint_count", descending=descending, limit=50)
+    got = {r["product"]: (r["complaint_count"], r["timely_response_rate"], r["company_count"])
+           for r in query_metrics(grain, scope, req).collect()}
+    kept = [r for r in data if scope.start <= r[0] <= scope.end]
+    want = {}
+    for product in {r[2] for r in kept}:
+        sub = [r for r in kept if r[2] == product]
+        n = sum(r[4 + FLAGS.index("complaint_count")] for r in sub)
+        t = sum(r[4 + FLAGS.index("timely_response_count")] for r in sub)
+        k = sum(r[4 + FLAGS.index("known_timeliness_count")] for r in sub)
+        want[product] = (n, 100.0 * t / k if k else None, len({r[1] for r in sub if r[1] is not None}))
+    assert set(got) == set(want)
+    for key, (n, rate, companies) in want.items():
+        g = got[key]
+        assert g[0] == n and g[2] == companies
+        assert (g[1] is None and rate is None) or abs(g[1] - rate) < 1e-9
