@@ -125,6 +125,7 @@ def evidence_export(
     limit: int = 60000,
     budget_bytes: int | None = None,
     min_rows: int = 1000,
+    exported_at: str | None = None,
 ) -> DataFrame:
     """The published evidence sample (TXT-3): reconciled, hash-sampled,
     context-joined, redacted, tagged with population and snapshot identity.
@@ -140,11 +141,12 @@ def evidence_export(
     if budget_bytes is not None:
         rows = shrink_to_budget(rows, budget_bytes, min_rows)
     ident = fingerprint(overview).select(F.col("fingerprint").alias("overview_fingerprint"))
-    return attach_totals(rows, ident).select(
+    out = attach_totals(rows, ident).select(
         "*",
         F.lit(check["corpus_narratives"]).cast("long").alias("corpus_narratives"),
         F.lit(SAMPLE_METHOD).alias("sample_method"),
     )
+    return out.withColumn("exported_at_utc", F.lit(exported_at)) if exported_at else out
 
 
 def shrink_to_budget(rows: DataFrame, budget_bytes: int, min_rows: int) -> DataFrame:

@@ -87,6 +87,41 @@ def manifest(metrics: DataFrame, window_start=None, window_end=None) -> DataFram
     )
 
 
+def release_manifest(
+    spark: SparkSession,
+    metrics: DataFrame,
+    exports: dict[str, str],
+    window_start=None,
+    window_end=None,
+    overlap_records_removed: int | None = None,
+) -> dict:
+    """The release record (SRC-12) as a plain dict for a JSON file: window,
+    observed dates, rows, every metric total, the overlap removed by the
+    dedup and, per written export, its row count, bytes and an order-free
+    content fingerprint (QA-16 compares that fingerprint later)."""
+    from ledgerline.plans.narratives import fingerprint
+
+    row = manifest(metrics, window_start, window_end).first().asDict()
+    out = {
+        "window_start": row.pop("window_start"),
+        "window_end_exclusive": row.pop("window_end_exclusive"),
+        "observed_first_date": row.pop("observed_first_date"),
+        "observed_last_date": row.pop("observed_last_date"),
+        "complaints": row.pop("complaints"),
+        "metric_totals": {k: int(v) for k, v in row.items()},
+        "exports": {},
+    }
+    if overlap_records_removed is not None:
+        out["overlap_records_removed"] = int(overlap_records_removed)
+    for name, path in exports.items():
+        table = spark.read.parquet(path)
+        out["exports"][name] = {
+            "fingerprint": fingerprint(table).first()[0],
+            "bytes": output_bytes(spark, path),
+        }
+    return out
+
+
 def metric_names(df: DataFrame) -> list[str]:
     """Schema introspection: the additive metrics of a relation (SRC-11)."""
     return metric_columns(df.columns)

@@ -59,3 +59,16 @@ def test_inspect_datasets(spark):
     info = inspect_datasets(g["overview"], scope)
     assert info["snapshot_coverage"] == {"first_date": dt.date(2024, 1, 1), "last_date": dt.date(2024, 1, 2)}
     assert "timely_response_rate" in info["metrics"] and len(info["metrics"]) == 23
+
+
+def test_release_manifest(spark, wh, tmp_path):
+    written = sinks.export_grains(
+        wh["complaint_metrics"], {"overview": serving.grain(wh["complaint_metrics"], "overview")}, str(tmp_path)
+    )
+    assert written
+    record = sinks.release_manifest(
+        spark, wh["complaint_metrics"], {"overview": str(tmp_path / "overview")}, overlap_records_removed=0
+    )
+    assert record["complaints"] == 6 and record["metric_totals"]["narrative_count"] == 4
+    entry = record["exports"]["overview"]
+    assert entry["bytes"] > 0 and entry["fingerprint"].startswith(f"{written['overview'].count()}:")
