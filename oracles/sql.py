@@ -491,8 +491,8 @@ ORACLES.update(
             )
         ),
         "profile_top_values": with_models(
-            "SELECT field, value, complaints, rank FROM (SELECT *, row_number() OVER (PARTITION BY field "
-            "ORDER BY complaints DESC, value) AS rank FROM ("
+            "SELECT field, value, complaints, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY field "
+            "ORDER BY complaints DESC, value) AS INTEGER) AS rank FROM ("
             + " UNION ALL ".join(
                 f"SELECT '{f}' AS field, coalesce(nullif(trim(\"{f}\"), ''), '[blank]') AS value, count(*) AS complaints "
                 f"FROM incoming GROUP BY 1, 2"
@@ -521,7 +521,7 @@ ORACLES.update(
             "ON d.signature = f.signature WHERE d.doc_id <> f.kept_id"
         ),
         "csv_roundtrip": with_models(
-            "SELECT _source_archive, count(*) AS rows, 1 AS first_record, count(*) AS last_record, "
+            "SELECT _source_archive, count(*) AS rows, CAST(1 AS BIGINT) AS first_record, count(*) AS last_record, "
             f"count(*) AS distinct_records, count(*) FILTER (WHERE trim(\"Consumer complaint narrative\") <> '') AS rows_with_narrative "
             "FROM incoming GROUP BY 1"
         ),
