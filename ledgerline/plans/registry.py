@@ -335,12 +335,13 @@ def _themes(spark, sf_dir):
     from ledgerline.plans import topics as T
 
     w = for_testdata(spark, sf_dir)
-    key = "__themes"
-    if key not in w._tables:
+
+    def build():
         assigned, labels = T.discover(_two_periods(spark, sf_dir))
         # the assignment is a small published result: store it once
-        w._tables[key] = (w.derived("theme_assignments", lambda: assigned), labels)
-    return w._tables[key]
+        return w.derived("theme_assignments", lambda: assigned), labels
+
+    return w.memo("__themes", build)
 
 
 @register("tfidf_vocabulary")

@@ -132,15 +132,25 @@ class Warehouse:
         with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
             return dict(zip(names, pool.map(self.__getitem__, names)))
 
+    def memo(self, name: str, build: Callable[[], object]) -> object:
+        """Build ``name`` once per warehouse, even under concurrent callers."""
+        if name in self._tables:
+            return self._tables[name]
+        with self._guard:
+            lock = self._locks.setdefault(name, threading.Lock())
+        with lock:
+            if name not in self._tables:
+                self._tables[name] = build()
+        return self._tables[name]
+
     def derived(self, name: str, build: Callable[[], DataFrame], materialise: bool = True) -> DataFrame:
         """Memoise (and optionally store) a table derived from the models,
         such as the published evidence sample."""
-        if name not in self._tables:
+        def make() -> DataFrame:
             df = build()
-            if self.store and materialise:
-                df = self._materialise(name, df)
-            self._tables[name] = df
-        return self._tables[name]
+            return self._materialise(name, df) if self.store and materialise else df
+
+        return self.memo(name, make)
 
     def names(self) -> list[str]:
         return list(self._builders)
@@ -183,6 +193,7 @@ def _source_fingerprint(sf_dir: str) -> str:
 
 
 _CACHE: dict[tuple[str, str, bool], Warehouse] = {}
+_CACHE_LOCK = threading.Lock()
 
 
 def for_testdata(spark: SparkSession, sf_dir: str, materialise: bool = True) -> Warehouse:
@@ -191,10 +202,15 @@ def for_testdata(spark: SparkSession, sf_dir: str, materialise: bool = True) ->
     Materialisation goes to the cluster's shared ``spark.checkpoint.dir``;
     without one configured the graph stays lazy.
     """
-    from ledgerline.sources import testdata
-
     ship_package(spark)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), materialise)
+    with _CACHE_LOCK:
+        return _cached(spark, sf_dir, materialise, key)
+
+
+def _cached(spark: SparkSession, sf_dir: str, materialise: bool, key) -> Warehouse:
+    from ledgerline.sources import testdata
+
     if key not in _CACHE:
         base = checkpoint_dir(spark) if materialise else None
         store = (
