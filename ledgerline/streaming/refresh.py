@@ -5,7 +5,7 @@ archives were published.  Here the same intake runs as a file stream over
 a landing folder, one micro-batch per trigger: each batch is checked
 (required columns, unparseable dates, blank IDs -> the query fails, as the
 batch run aborts), numbered per source file, tagged with provenance and
-appended to the bronze table.  ``trigger(availableNow=True)`` processes
+written to the bronze table (one idempotent folder per micro-batch).  ``trigger(availableNow=True)`` processes
 everything that has landed and stops, which is the scheduled-refresh
 behaviour; the checkpoint makes every file count exactly once across runs
 and survives lost executors and restarts.
@@ -61,7 +61,9 @@ def _intake(priority_of: dict[str, int], ingested_at: str, bronze_path: str):
             F.lit(ingested_at).alias("_ingested_at"),
             F.coalesce(priority, F.lit(0)).alias("_source_priority"),
         )
-        out.write.mode("append").option("compression", "zstd").parquet(bronze_path)
+        # one folder per micro-batch, overwritten on replay: a batch retried
+        # after a failure rewrites its own output instead of appending twice
+        out.write.mode("overwrite").option("compression", "zstd").parquet(f"{bronze_path}/_epoch={epoch_id}")
 
     return write
 
