@@ -63,7 +63,7 @@ def _intake(priority_of: dict[str, int], ingested_at: str, bronze_path: str):
         )
         # one folder per micro-batch, overwritten on replay: a batch retried
         # after a failure rewrites its own output instead of appending twice
-        out.write.mode("overwrite").option("compression", "zstd").parquet(f"{bronze_path}/_epoch={epoch_id}")
+        out.write.mode("overwrite").option("compression", "zstd").parquet(f"{bronze_path}/intake_batch={epoch_id}")
 
     return write
 
