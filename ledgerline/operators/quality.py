@@ -34,7 +34,8 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
     """Child rows whose non-NULL key has no parent (``relationships`` test)."""
     parent_key = parent_key or child_key
-    p = parent.select(F.col(parent_key).alias("__pk")).distinct()
+    # an anti join is unaffected by repeated parent keys, so no distinct
+    p = parent.select(F.col(parent_key).alias("__pk"))
     return child.filter(F.col(child_key).isNotNull()).join(
         p, F.col(child_key) == F.col("__pk"), "left_anti"
     )
