@@ -524,3 +524,14 @@ def _display_format(spark, sf_dir):
         compact_number(F.col("scope_total")).alias("total_label"),
         percent_text(F.col("complaints"), F.col("scope_total")).alias("share_label"),
     )
+
+
+@register("evidence_budget")
+def _evidence_budget(spark, sf_dir):
+    """The evidence sample shrunk by halving its hash-ordered prefix until
+    the redacted text fits a 1 MB budget, never below 100 rows (SRT-5)."""
+    w = for_testdata(spark, sf_dir)
+    rows = N.hash_sample_context(w["complaint_metrics"], w["complaint_narratives"], EVIDENCE_ROWS).withColumn(
+        "excerpt", _redact("excerpt")
+    )
+    return N.shrink_to_budget(rows, 1_000_000, 100).select("complaint_id", "excerpt")

@@ -587,3 +587,16 @@ ORACLES["representative_quote"] = with_models(
     + " AS quote FROM ev",
     ctes=_EVIDENCE,
 )
+
+# --- SRT-5: budget shrink ----------------------------------------------------
+ORACLES["evidence_budget"] = with_models(
+    "SELECT complaint_id, excerpt FROM ranked WHERE pos <= (SELECT keep FROM choice)",
+    ctes=_EVIDENCE
+    + ", ranked AS (SELECT complaint_id, excerpt, row_number() OVER (ORDER BY md5(complaint_id), complaint_id) AS pos, "
+    "sum(strlen(excerpt)) OVER (ORDER BY md5(complaint_id), complaint_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used "
+    "FROM ev), total AS (SELECT count(*) AS n FROM ranked), "
+    "steps AS (SELECT k, n // (2 ** k)::BIGINT AS keep FROM total, generate_series(0, 62) AS g(k) WHERE n // (2 ** k)::BIGINT > 0), "
+    "fits AS (SELECT s.k, s.keep FROM steps s JOIN ranked r ON r.pos = s.keep WHERE r.used < 1000000), "
+    "choice AS (SELECT keep FROM fits WHERE k <= (SELECT coalesce(min(k), 0) FROM steps WHERE keep <= 100) "
+    "OR NOT EXISTS (SELECT 1 FROM steps WHERE keep <= 100) ORDER BY k LIMIT 1)",
+)
