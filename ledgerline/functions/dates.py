@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import zs_trim
 
-# An ISO date prefix; other text never reaches the ISO cast (Spark would
-# otherwise read '2024' as 2024-01-01).
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
+# ISO-style dates as the reference's engine casts them: year, month, day
+# separated consistently by '-', '/' or ' ', optionally followed by a time of
+# day; anything else never reaches the cast (Spark would read '2024' as a date).
+_ISO = r"^(\d{1,4})([-/ ])(\d{1,2})\2(\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
 
 
 def _col(c: Column | str) -> Column:
@@ -17,9 +17,16 @@ def _col(c: Column | str) -> Column:
 
 
 def parse_mixed_date(c: Column | str) -> Column:
-    """ISO ``yyyy-m-d`` or US ``m/d/yyyy`` text -> DATE; anything else NULL."""
-    t = zs_trim(_col(c))
-    iso = F.when(t.rlike(_ISO), t.try_cast("date"))
+    """ISO ``yyyy-m-d`` (also '/' or ' ' separated, time part ignored) or US
+    ``m/d/yyyy`` text -> DATE; anything else, or an impossible date, NULL."""
+    t = F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    iso_text = F.concat_ws(
+        "-",
+        F.lpad(F.regexp_extract(t, _ISO, 1), 4, "0"),
+        F.regexp_extract(t, _ISO, 3),
+        F.regexp_extract(t, _ISO, 4),
+    )
+    iso = F.when(t.rlike(_ISO), iso_text.try_cast("date"))
     us = F.try_to_date(t, "M/d/yyyy")
     return F.coalesce(iso, us)
 
