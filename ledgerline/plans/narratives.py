@@ -159,11 +159,13 @@ def shrink_to_budget(rows: DataFrame, budget_bytes: int, min_rows: int) -> DataF
     ranked = rows.withColumn("__pos", F.row_number().over(w)).withColumn(
         "__bytes", F.sum(F.octet_length("excerpt")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
-    stats = ranked.agg(F.count(F.lit(1)).alias("n")).first()
-    keep = stats["n"]
+    n = rows.count()
+    # every candidate cut (n, n/2, n/4, ...) is read in one job: at most 64 rows
+    cuts = [n >> k for k in range(64) if n >> k > 0]
+    used = dict(ranked.filter(F.col("__pos").isin(cuts)).select("__pos", "__bytes").collect())
+    keep = n
     while keep > 0:
-        used = ranked.filter(F.col("__pos") == keep).select("__bytes").first()[0]
-        if used < budget_bytes:
+        if used[keep] < budget_bytes:
             break
         if keep <= min_rows:
             raise ValueError("Narrative evidence exceeds the size budget")
