@@ -14,7 +14,6 @@ whose size is bounded by ``max_features``.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 from pyspark.ml.feature import NGram, StopWordsRemover
@@ -26,25 +25,29 @@ DOMAIN_STOP_WORDS = [
     "xxxx", "xx", "xxx", "xxxxxxxx", "complaint", "company", "consumer", "please",
     "said", "told", "would", "cfpb", "received", "date",
 ]
+# Spark ML's English list, in its own order.
+SPARK_ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
+her hers herself it its itself they them their theirs themselves what which who whom this that
+these those am is are was were be been being have has had having do does did doing a an the and
+but if or because as until while of at by for with about against between into through during
+before after above below to from up down in out on off over under again further then once here
+there when where why how all any both each few more most other some such no nor not only own
+same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll
+i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't
+shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+what's when's where's who's why's would
+"""
 # --- end of fixed values ----------------------------------------------------
 WORD_RUN = r"[\p{L}\p{N}_]+"
 TOKEN = r"[a-z]{3,}"
 
 
-@functools.lru_cache(maxsize=1)
 def spark_english_stop_words() -> tuple[str, ...]:
-    """Spark ML's bundled English stop-word list, read from the MLlib jar
-    (the same resource ``StopWordsRemover.loadDefaultStopWords`` loads)."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as jar:
-        text = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return tuple(w for w in text.split() if w)
+    """Spark ML's default English stop-word list (equal to
+    ``StopWordsRemover.loadDefaultStopWords("english")``; a test compares them)."""
+    return tuple(SPARK_ENGLISH.split())
 
 
 def stop_words() -> list[str]:

@@ -38,3 +38,24 @@ def test_some_oracles_match_at_small_scale(spark):
         assert len(got) == len(want), name
         if name not in ("headline", "outcome_mix", "concern_summary"):  # float columns compared below
             assert got == want, name
+
+
+def test_import_needs_no_spark_jars():
+    """The registry must load where Spark's jars are not inside the Python package."""
+    import subprocess
+    import sys
+
+    code = (
+        "import glob; glob.glob = lambda *a, **k: []\n"
+        "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)
+
+
+def test_stop_words_equal_sparks(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from ledgerline.operators.tfidf import spark_english_stop_words
+
+    assert list(spark_english_stop_words()) == StopWordsRemover.loadDefaultStopWords("english")
