@@ -1,4 +1,73 @@
-"""Corpus pipeline: quality rules, exact and near duplicates, secrets, packing."""
+"""Corpus pipeline: quality rules, exact duplicates, near-duplicates, secrets,
+packing.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which
+:func:`run` writes as Parquet in the shared folder and reads again as the next
+stage's ``docs``.  All stages but the last return the columns of ``documents``;
+the last returns one row per packed piece.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import exact_dedup, packing, quality, secrets, simhash
+from ledgerline.llm.common import documents
+from ledgerline.session import ensure_checkpoint_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.keep_documents(docs)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.keep_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the smallest id stays."""
+    return simhash.keep_documents(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found secrets are masked; ``n_chars`` follows the new text."""
+    masked = secrets.mask_documents(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    kind = docs.schema["n_chars"].dataType
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole remaining texts in sequences of at most 4,096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_duplicates),
+    ("simhash_near_dedup", near_duplicates),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: A perplexity model, linked components and a tokenizer have no SQL; the
+#: tests hold every stage against a brute-force version instead.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is stored before the next."""
+    docs = documents(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import exact_dedup, quality, secrets
+import corpus_pipeline
+from ledgerline.llm import bpe, chat, exact_dedup, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.query,
     "op3_secret_scan": secrets.query,
+    "op4_bpe": bpe.query,
+    "op5_chat_formatting": chat.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_packing": packing.query,
     "op10_quality_rules": quality.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op5_chat_formatting": chat.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }

@@ -44,3 +44,81 @@ def quality_base(text: str | None):
     symbols = sum(c in "#*$%&|<>" for c in text)
     failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
     return len(words), sum(map(len, words)), symbols, dup, len(covered), failed
+
+
+def simhash_fp(text: str | None, width: int = 3) -> int:
+    import xxhash
+
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(fps: dict, limit: int = 3) -> dict:
+    """{id: smallest id reachable} for {id: fingerprint}, from all pairs."""
+    ids = list(fps)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (fps[a] ^ fps[b]).bit_count() <= limit:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def check_pieces(pieces, ids_of: dict, window: int = 4096) -> int:
+    """Asserts the packing contract for rows of pieces; returns the padding."""
+    import zlib
+    from collections import defaultdict
+
+    import numpy as np
+
+    at, sequences = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        ids = ids_of[p["doc_id"]]
+        assert p["doc_tokens"] == len(ids)
+        part = ids[p["start"] : p["start"] + p["length"]]
+        assert p["length"] == len(part) > 0
+        assert p["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+        at[p["doc_id"]].append((p["start"], p["length"]))
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert set(at) == set(ids_of)
+    for doc, parts in at.items():
+        end = 0
+        for start, length in sorted(parts):
+            assert start == end
+            end += length
+        assert end == len(ids_of[doc])
+    padding = 0
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= window
+        padding += 0 if end & (end - 1) == 0 else window - end
+    return padding
+
+
+def maximal_chats(turns) -> dict:
+    """{conv_id: (number of turns, number of equal conversations)}."""
+    by: dict = {}
+    for t in turns:
+        by.setdefault(t["conv_id"], []).append((t["turn"], t["role"], t["text"]))
+    convs = {k: tuple((r, x) for _, r, x in sorted(v)) for k, v in by.items()}
+    whole: dict = {}
+    for k in sorted(convs):
+        whole.setdefault(convs[k], []).append(k)
+    proper = {c[:n] for c in whole for n in range(1, len(c))}
+    return {ks[0]: (len(c), len(ks)) for c, ks in whole.items() if c not in proper}
