@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerline.llm import bpe, chat, exact_dedup, packing, quality, secrets, simhash
+from ledgerline.llm import bpe, chat, exact_dedup, packing, quality, secrets, simhash, suffix
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_secret_scan": secrets.query,
     "op4_bpe": bpe.query,

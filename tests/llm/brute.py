@@ -122,3 +122,20 @@ def maximal_chats(turns) -> dict:
         whole.setdefault(convs[k], []).append(k)
     proper = {c[:n] for c in whole for n in range(1, len(c))}
     return {ks[0]: (len(c), len(ks)) for c, ks in whole.items() if c not in proper}
+
+
+def repeated_spans(texts: list[str | None], length: int = 200) -> list[list[tuple[int, int]]]:
+    """Maximal covered runs of each text, from a dictionary of all strings."""
+    datas = [(t or "").encode() for t in texts]
+    times = Counter(d[i : i + length] for d in datas for i in range(len(d) - length + 1))
+    out = []
+    for d in datas:
+        spans: list[tuple[int, int]] = []
+        for i in range(len(d) - length + 1):
+            if times[d[i : i + length]] > 1:
+                if spans and spans[-1][1] >= i:
+                    spans[-1] = (spans[-1][0], i + length)
+                else:
+                    spans.append((i, i + length))
+        out.append(spans)
+    return out
