@@ -139,3 +139,19 @@ def repeated_spans(texts: list[str | None], length: int = 200) -> list[list[tupl
                     spans.append((i, i + length))
         out.append(spans)
     return out
+
+
+def unigram(docs) -> dict:
+    """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)}."""
+    import math
+    import zlib
+
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    tokens = {d: [*WORD.findall(lower(t)), None] for d, t in docs}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    count = Counter(x for d, ts in tokens.items() if not held[d] for x in ts)
+    n, v = sum(count.values()), len(count)
+    return {
+        d: (held[d], len(ts), sum(count[x] > 0 for x in ts), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in ts))
+        for d, ts in tokens.items()
+    }
