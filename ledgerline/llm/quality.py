@@ -312,7 +312,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     id_type = rows.schema["doc_id"].dataType.simpleString()
     scored = stored(rows.mapInArrow(_scorer(models), f"doc_id {id_type}, lang string, digest long, {_FIGURES}"), "quality")
     limits = bands(scored, band)
-    more = F.lit(SHORT_TEXT) / F.sqrt("n_letters")
+    more = F.lit(SHORT_TEXT) / F.sqrt(F.greatest("n_letters", F.lit(1)))
     inside = F.coalesce(F.col("log_ppl").between(F.col("least") - more, F.col("most") + more), F.lit(True))
     # One row of limits per language: languages are bounded by their tags' form.
     return (

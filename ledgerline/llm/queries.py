@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerline.llm import bpe, chat, class_lm, exact_dedup, packing, quality, secrets, simhash, suffix
+from ledgerline.llm import bpe, chat, class_lm, exact_dedup, packing, pii, quality, secrets, simhash, suffix
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_class_lm": class_lm.query,
     "op8_packing": packing.query,
+    "op9_pii_surrogates": pii.query,
     "op10_quality_rules": quality.query,
     "pipeline": corpus_pipeline.run,
 }
