@@ -39,13 +39,3 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(
         p, F.col(child_key) == F.col("__pk"), "left_anti"
     )
-
-
-def row_count_delta(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left rows, right rows, delta`` from one aggregate over the
-    labelled union (row-preservation tests; no join)."""
-    u = left.select(F.lit(1).alias("__side")).unionByName(right.select(F.lit(2).alias("__side")))
-    counts = u.agg(
-        F.count_if(F.col("__side") == 1).alias("left_rows"), F.count_if(F.col("__side") == 2).alias("right_rows")
-    )
-    return counts.select("*", (F.col("left_rows") - F.col("right_rows")).alias("delta"))

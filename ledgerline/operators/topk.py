@@ -1,4 +1,4 @@
-"""Top-k, deterministic hash sampling and bounded broadcasting.
+"""Deterministic hash sampling.
 
 ``hash_sample`` returns exactly the ``n`` rows that sort first by
 ``(md5(id), id)`` without funnelling the whole input through one task: a
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 HASH = "__md5"
 PREFIX_HEX = 12  # 48 bits of the hash decide the threshold
-BROADCAST_MAX_ROWS = 1_000_000
 
 
 def hash_order(id_col: str) -> list[Column]:
@@ -43,15 +42,3 @@ def hash_sample(df: DataFrame, id_col: str, n: int, total: int | None = None) ->
         fraction = min(1.0, fraction * 4)
     source = candidates if fraction < 1.0 else keyed
     return source.orderBy(F.col(HASH), F.col(id_col)).limit(n).drop(HASH)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` when its row count is bounded by construction (for
-    example a sample of at most ``max_rows``) and that bound is small."""
-    return F.broadcast(df) if max_rows <= BROADCAST_MAX_ROWS else df
-
-
-def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    """``ORDER BY ... LIMIT k``: planned as TakeOrderedAndProject (each task
-    keeps its own k best rows, then one merge of at most tasks*k rows)."""
-    return df.orderBy(*order).limit(k)

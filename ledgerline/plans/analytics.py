@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import bucket
@@ -72,19 +72,20 @@ def rank(
     metrics: DataFrame,
     scope: Scope,
     column: str,
-    limit: int = 10,
+    limit: int | None = 10,
     extra=None,
 ) -> DataFrame:
-    """Top ``limit`` labels by volume, ties by label; NULL -> 'Missing label' (AGG-15)."""
+    """Top ``limit`` labels (all with ``None``) by volume, ties by label; NULL
+    -> 'Missing label' (AGG-15)."""
     df = metrics.filter(scope.predicate())
     if extra is not None:
         df = df.filter(extra)
-    return (
-        df.groupBy(F.coalesce(F.col(column), F.lit(MISSING_LABEL)).alias("category"))
-        .agg(F.sum("complaint_count").alias("complaints"))
-        .orderBy(F.col("complaints").desc(), F.col("category").asc())
-        .limit(limit)
+    per = df.groupBy(F.coalesce(F.col(column), F.lit(MISSING_LABEL)).alias("category")).agg(
+        F.sum("complaint_count").alias("complaints")
     )
+    if limit is None:
+        return per
+    return per.orderBy(F.col("complaints").desc(), F.col("category").asc()).limit(limit)
 
 
 def _scope_total(metrics: DataFrame, scope: Scope) -> DataFrame:
@@ -125,10 +126,10 @@ def company_comparison(metrics: DataFrame, scope: Scope) -> DataFrame:
     )
 
 
-def product_share(metrics: DataFrame, scope: Scope, limit: int = 100) -> DataFrame:
-    """Ranked products with their share of the scope (AGG-18)."""
+def product_share(metrics: DataFrame, scope: Scope) -> DataFrame:
+    """Every product with its share of the scope (AGG-18)."""
     return (
-        attach_totals(rank(metrics, scope, "product", limit=limit), _scope_total(metrics, scope))
+        attach_totals(rank(metrics, scope, "product", limit=None), _scope_total(metrics, scope))
         .select(
             "category",
             "complaints",
@@ -137,6 +138,7 @@ def product_share(metrics: DataFrame, scope: Scope, limit: int = 100) -> DataFra
     )
 
 
+# --- fixed values: outcome labels of the dashboard -----------------------------
 OUTCOME_ROWS = [
     ("Closed with explanation", "closed_with_explanation_count"),
     ("Monetary relief", "monetary_relief_count"),
@@ -145,6 +147,8 @@ OUTCOME_ROWS = [
     ("Untimely response outcome", "untimely_response_outcome_count"),
     ("Missing outcome", "unknown_response_outcome_count"),
 ]
+OTHER_OUTCOMES = "Other outcomes"
+# --- end of fixed values ---------------------------------------------------------
 
 
 def outcome_mix(metrics: DataFrame, scope: Scope) -> DataFrame:
@@ -162,7 +166,7 @@ def outcome_mix(metrics: DataFrame, scope: Scope) -> DataFrame:
     rows.append(
         F.struct(
             F.lit(len(OUTCOME_ROWS)).alias("position"),
-            F.lit("Other outcomes").alias("outcome"),
+            F.lit(OTHER_OUTCOMES).alias("outcome"),
             F.greatest(F.lit(0).cast("long"), F.col("total") - listed).alias("complaints"),
         )
     )
@@ -188,10 +192,10 @@ def response_rates(metrics: DataFrame, scope: Scope) -> DataFrame:
     )
 
 
-def location_totals(geography: DataFrame, scope: Scope, limit: int = 100) -> DataFrame:
-    """Ranked locations split into the map allow-list (50 states + DC) and
+def location_totals(geography: DataFrame, scope: Scope) -> DataFrame:
+    """All locations split into the map allow-list (50 states + DC) and
     the rest, which stays in totals but off the map (AGG-21, FLT-9)."""
-    states = rank(geography, scope, "state", limit=limit)
+    states = rank(geography, scope, "state", limit=None)
     mapped = F.col("category").isin(*STATE_CODES)
     return states.agg(
         _sum0_expr(F.when(mapped, F.col("complaints"))).alias("mapped_complaints"),
@@ -248,8 +252,3 @@ def issue_drilldown(issues: DataFrame, scope: Scope, issue: str | None, column:
     """Rank of ``column`` inside one issue (equality drill-down, FLT-6)."""
     extra = F.col("issue") == F.lit(issue) if issue is not None else None
     return rank(issues, scope, column, extra=extra)
-
-
-def with_row_order(df: DataFrame, *order) -> DataFrame:
-    """Attach a 1-based position for bounded, already-limited results."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import parse_mixed_date
+from ledgerline.functions.text import zs_trim
 from ledgerline.operators.dedup import latest_per_key
 
 ID = "Complaint ID"
@@ -18,19 +19,12 @@ def dedup_latest(incoming: DataFrame) -> DataFrame:
     then the highest record number (WIN-1); the priority column is dropped."""
     best = latest_per_key(
         incoming,
-        F.trim(F.col(ID)),
+        zs_trim(ID),
         [F.col("_source_priority").desc(), F.col("_source_record_number").desc()],
     )
     return best.drop("_source_priority")
 
 
-def overlap_excess(incoming: DataFrame) -> DataFrame:
-    """Rows that the dedup removes: ``count(*) - count(distinct trim(id))``."""
-    return incoming.agg(
-        (F.count(F.lit(1)) - F.count_distinct(F.trim(F.col(ID)))).alias("overlap_records_removed")
-    )
-
-
 def retain_window(raw: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Half-open retention ``[start, end)`` on the parsed received date."""
     d = parse_mixed_date(F.col("Date received"))

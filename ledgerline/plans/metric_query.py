@@ -59,7 +59,7 @@ def validate(req: MetricRequest, scope: Scope) -> list:
     for bound, op in ((req.start_date, ">="), (req.end_date, "<=")):
         if bound is not None:
             parsed = dt.date.fromisoformat(bound)
-            if not scope.start <= parsed <= scope.end:
+            if not scope.holds(parsed):
                 raise ValueError("Requested dates are outside active filters.")
             col = F.col("date_received")
             preds.append(col >= F.lit(parsed) if op == ">=" else col <= F.lit(parsed))

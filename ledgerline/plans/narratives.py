@@ -8,20 +8,20 @@ wide narrative text never travels through the large side of a join.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import contains_ci, excerpt, nonblank, redact
 from ledgerline.operators.quote import representative_quote, review_question
-from ledgerline.operators.topk import BROADCAST_MAX_ROWS, hash_sample
+from ledgerline.operators.topk import hash_sample
 from ledgerline.operators.totals import attach_totals
 from ledgerline.plans.scope import Scope
 from ledgerline.schema import ISSUE_NOT_RECORDED
 
 EXCERPT_CHARS = 2000
 SAMPLE_METHOD = "global_md5_id_v1"
+#: An ID list is broadcast while its size stays below the second figure.
+ID_BYTES, BROADCAST_BYTES = 64, 32 * 1024**2
 CONTEXT = ["complaint_id", "date_received", "company_name", "product", "sub_product", "issue",
            "state", "company_response"]
 SELECTED, PREVIOUS = "Selected", "Previous"
@@ -34,9 +34,12 @@ def population(narratives: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free identity of a table: row count and the decimal sum of a
-    64-bit row hash (a sum, unlike XOR, does not cancel duplicate rows)."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    """Order-free identity of a table: row count and the decimal sum of the
+    first 60 bits of each row's MD5 (a sum, unlike XOR, does not cancel
+    duplicate rows).  A row's text is its columns as strings, each ended by
+    U+001F, NULL as U+0000, so any engine can compute it."""
+    text = F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("\x00")), F.lit("\x1f")) for c in df.columns])
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).alias("hash_sum")).select(
         F.concat_ws(":", F.col("rows").cast("string"), F.col("hash_sum").cast("string")).alias("fingerprint")
     )
@@ -104,7 +107,8 @@ def sample_excerpts(narratives: DataFrame, limit: int, ids_population: DataFrame
     pop = population(narratives)
     source = ids_population if ids_population is not None else pop.select("complaint_id")
     ids = hash_sample(source, "complaint_id", limit)
-    ids = F.broadcast(ids) if limit <= BROADCAST_MAX_ROWS else ids
+    if limit * ID_BYTES <= BROADCAST_BYTES:  # a list of IDs of known size; else the planner decides
+        ids = F.broadcast(ids)
     text, truncated = excerpt("narrative", EXCERPT_CHARS)
     return pop.join(ids, "complaint_id", "left_semi").select(
         "complaint_id", text.alias("excerpt"), truncated.alias("excerpt_truncated")
@@ -114,8 +118,16 @@ def sample_excerpts(narratives: DataFrame, limit: int, ids_population: DataFrame
 def hash_sample_context(metrics: DataFrame, narratives: DataFrame, limit: int) -> DataFrame:
     """Sampled excerpts with their complaint context (JOIN-4), unredacted."""
     sample = sample_excerpts(narratives, limit, narrative_ids(metrics))
-    small = F.broadcast(sample) if limit <= BROADCAST_MAX_ROWS else sample
-    return metrics.select(*CONTEXT).join(small, "complaint_id", "inner")
+    return metrics.select(*CONTEXT).join(sample, "complaint_id", "inner")
+
+
+def corpus(metrics: DataFrame, narratives: DataFrame) -> DataFrame:
+    """Every narrative, whole and redacted, with its complaint context: the
+    input of search, concerns and themes.  ``excerpt`` is the whole text."""
+    texts = population(narratives).select(
+        "complaint_id", redact("narrative").alias("excerpt"), F.lit(False).alias("excerpt_truncated")
+    )
+    return metrics.select(*CONTEXT).join(texts, "complaint_id", "inner")
 
 
 def evidence_export(
@@ -152,25 +164,45 @@ def evidence_export(
 def shrink_to_budget(rows: DataFrame, budget_bytes: int, min_rows: int) -> DataFrame:
     """Halve the hash-ordered prefix until its UTF-8 text size fits (SRT-5).
 
-    ``rows`` is already a bounded sample, so numbering it in one ordered
-    window is bounded by the sample size.
+    Nothing is numbered in one task: rows and bytes are summed per leading
+    hash digits, the few sums give every candidate cut's bucket, and only the
+    rows of those buckets are ordered.  The narrow (ID, hash, bytes) table is
+    checkpointed, so the texts are measured once.
     """
-    w = Window.orderBy(F.md5("complaint_id"), "complaint_id")
-    ranked = rows.withColumn("__pos", F.row_number().over(w)).withColumn(
-        "__bytes", F.sum(F.octet_length("excerpt")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    n = rows.count()
-    # every candidate cut (n, n/2, n/4, ...) is read in one job: at most 64 rows
-    cuts = [n >> k for k in range(64) if n >> k > 0]
-    used = dict(ranked.filter(F.col("__pos").isin(cuts)).select("__pos", "__bytes").collect())
-    keep = n
-    while keep > 0:
-        if used[keep] < budget_bytes:
+    from ledgerline.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(rows.sparkSession)
+    h = F.md5("complaint_id")
+    sizes = rows.select("complaint_id", h.alias("h"), F.octet_length("excerpt").alias("bytes")).checkpoint()
+    bucket = F.substring("h", 1, 3)  # 4,096 buckets: a bounded table of sums
+    table = sizes.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).orderBy("b").collect()
+    total = sum(r["n"] for r in table)
+    cut = total
+    while cut > 0:
+        n = used = 0
+        inner = None
+        for r in table:
+            if n + r["n"] > cut:
+                inner = r["b"]
+                break
+            n, used = n + r["n"], used + (r["bytes"] or 0)
+        edge = None
+        if cut > n:
+            first = sizes.filter(bucket == inner).orderBy("h", "complaint_id").limit(cut - n)
+            last = first.agg(F.sum("bytes").alias("bytes"), F.max(F.struct("h", "complaint_id")).alias("last")).first()
+            used, edge = used + (last["bytes"] or 0), last["last"]
+        if used < budget_bytes:
             break
-        if keep <= min_rows:
+        if cut <= min_rows:
             raise ValueError("Narrative evidence exceeds the size budget")
-        keep //= 2
-    return ranked.filter(F.col("__pos") <= keep).drop("__pos", "__bytes")
+        cut //= 2
+    if cut >= total:
+        return rows
+    if cut == 0:
+        return rows.limit(0)
+    if edge is None:  # the cut ends with a bucket
+        return rows.filter(F.substring(h, 1, 3) < F.lit(inner))
+    return rows.filter((h < edge["h"]) | ((h == edge["h"]) & (F.col("complaint_id") <= edge["complaint_id"])))
 
 
 def snapshot_compatible(evidence: DataFrame, overview: DataFrame) -> bool:
@@ -188,10 +220,11 @@ def search(
     issue: str | None = None,
     limit: int = 8,
     overview: DataFrame | None = None,
+    clip: int | None = None,
 ) -> DataFrame:
     """Literal, case-insensitive phrase search in scope (SRT-8): up to
-    ``limit`` rows in hash order, re-redacted and clipped, each carrying the
-    total number of matching excerpts.  With ``overview`` given, evidence cut
+    ``limit`` rows in hash order, re-redacted (and cut to ``clip`` characters
+    if given), each carrying the total number of matching excerpts.  With ``overview`` given, evidence cut
     from another snapshot is refused (QA-16)."""
     if not isinstance(phrase, str) or len(phrase) > 100 or not 1 <= limit <= 8:
         raise ValueError("Evidence search exceeds phrase or result limit.")
@@ -210,7 +243,7 @@ def search(
         .limit(limit)
         .select(
             "complaint_id", "date_received", "company_name", "product", "issue",
-            F.left(redact("excerpt"), F.lit(EXCERPT_CHARS)).alias("excerpt"),
+            (redact("excerpt") if clip is None else F.left(redact("excerpt"), F.lit(clip))).alias("excerpt"),
             "excerpt_truncated",
         )
     )
@@ -362,7 +395,3 @@ def match_gate(evidence: DataFrame, scope: Scope) -> DataFrame:
     return evidence.filter(scope.predicate()).agg(F.count(F.lit(1)).alias("matches")).select(
         "matches", (F.col("matches") >= MIN_MATCHES).alias("enough")
     )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

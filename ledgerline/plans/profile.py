@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import parse_mixed_date
+from ledgerline.functions.text import zs_trim
 
 # --- Fixed values that must equal the reference's --------------------------
 BLANK_FIELDS = [
@@ -25,12 +26,12 @@ def _c(name: str) -> Column:
 
 
 def _has_narrative() -> Column:
-    return F.coalesce(F.trim(_c("Consumer complaint narrative")), F.lit("")) != ""
+    return F.coalesce(zs_trim(_c("Consumer complaint narrative")), F.lit("")) != ""
 
 
 def _checked(raw: DataFrame) -> DataFrame:
     return raw.select(
-        F.nullif(F.trim(_c("Complaint ID")), F.lit("")).alias("complaint_id_checked"),
+        F.nullif(zs_trim(_c("Complaint ID")), F.lit("")).alias("complaint_id_checked"),
         parse_mixed_date(_c("Date received")).alias("received_date_checked"),
         _has_narrative().alias("has_narrative"),
     )
@@ -83,14 +84,14 @@ def duplicate_ids(raw: DataFrame) -> DataFrame:
 def overlap_excess(raw: DataFrame) -> DataFrame:
     """``count(*) - count(distinct trim(id))`` (AGG-7)."""
     return raw.agg(
-        (F.count(F.lit(1)) - F.count_distinct(F.trim(_c("Complaint ID")))).alias("overlap_records_removed")
+        (F.count(F.lit(1)) - F.count_distinct(zs_trim(_c("Complaint ID")))).alias("overlap_records_removed")
     )
 
 
 def blanks_by_field(raw: DataFrame, fields: list[str] = BLANK_FIELDS) -> DataFrame:
     """Blank count of each field from a single scan, unpivoted (AGG-11)."""
     wide = raw.agg(
-        *[F.count_if(F.coalesce(F.trim(_c(f)), F.lit("")) == "").alias(f"b{i}") for i, f in enumerate(fields)]
+        *[F.count_if(F.coalesce(zs_trim(_c(f)), F.lit("")) == "").alias(f"b{i}") for i, f in enumerate(fields)]
     )
     rows = [F.struct(F.lit(f).alias("field"), F.col(f"b{i}").alias("blank_records")) for i, f in enumerate(fields)]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.field", "r.blank_records")
@@ -107,7 +108,7 @@ def top_values(raw: DataFrame, fields: list[str] = VALUE_FIELDS, k: int = 20) ->
                 *[
                     F.struct(
                         F.lit(f).alias("field"),
-                        F.coalesce(F.nullif(F.trim(_c(f)), F.lit("")), F.lit(BLANK_VALUE)).alias("value"),
+                        F.coalesce(F.nullif(zs_trim(_c(f)), F.lit("")), F.lit(BLANK_VALUE)).alias("value"),
                     )
                     for f in fields
                 ]

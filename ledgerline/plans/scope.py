@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Scope:
-    """Inclusive ``[start, end]`` on ``date_received``; each non-empty label
-    list restricts its column with ``IN``; an empty list keeps every value,
-    NULL labels included."""
+    """Inclusive ``[start, end]`` on ``date_received``; ``None`` leaves an end
+    open, and with both ends open rows without a date belong to the scope too.
+    Each non-empty label list restricts its column with ``IN``; an empty list
+    keeps every value, NULL labels included."""
 
-    start: dt.date
-    end: dt.date
+    start: dt.date | None = None
+    end: dt.date | None = None
     companies: tuple[str, ...] = field(default_factory=tuple)
     products: tuple[str, ...] = field(default_factory=tuple)
     sub_products: tuple[str, ...] = field(default_factory=tuple)
@@ -25,7 +26,12 @@ class Scope:
         return self.dates_predicate(date_col) & self.labels_predicate()
 
     def dates_predicate(self, date_col: str = "date_received") -> Column:
-        return F.col(date_col).between(F.lit(self.start), F.lit(self.end))
+        pred = F.lit(True)
+        if self.start is not None:
+            pred = pred & (F.col(date_col) >= F.lit(self.start))
+        if self.end is not None:
+            pred = pred & (F.col(date_col) <= F.lit(self.end))
+        return pred
 
     def labels_predicate(self) -> Column:
         pred = F.lit(True)
@@ -38,12 +44,19 @@ class Scope:
                 pred = pred & F.col(column).isin(*values)
         return pred
 
+    def holds(self, day: dt.date) -> bool:
+        return (self.start is None or self.start <= day) and (self.end is None or day <= self.end)
+
     @property
     def days(self) -> int:
+        if self.start is None or self.end is None:
+            raise ValueError("an open scope has no length")
         return (self.end - self.start).days + 1
 
     def prior(self) -> Scope:
         """The equal-length window ending the day before ``start``."""
+        if self.start is None or self.end is None:
+            raise ValueError("an open scope has no prior window")
         prior_end = self.start - dt.timedelta(days=1)
         prior_start = prior_end - (self.end - self.start)
         return replace(self, start=prior_start, end=prior_end)

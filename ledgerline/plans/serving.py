@@ -75,12 +75,3 @@ def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
         *[F.when(~F.col(f"e_{n}").eqNullSafe(F.col(f"a_{n}")), F.lit(n)) for n in names]
     )
     return sums.select(F.explode(F.array_compact(diffs)).alias("metric"))
-
-
-def coverage(metrics: DataFrame) -> DataFrame:
-    """Observed first/last received date and complaint rows (AGG-5)."""
-    return metrics.agg(
-        F.min("date_received").alias("observed_first_date"),
-        F.max("date_received").alias("observed_last_date"),
-        F.count(F.lit(1)).alias("complaints"),
-    )

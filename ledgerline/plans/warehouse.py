@@ -11,7 +11,6 @@ executor then only recomputes from the last written table.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 from collections.abc import Callable
 from pathlib import Path
@@ -24,7 +23,7 @@ from ledgerline.plans import serving as S
 from ledgerline.plans import silver as SV
 from ledgerline.plans import staging as ST
 from ledgerline.plans import star as SR
-from ledgerline.session import checkpoint_dir, ship_package
+from ledgerline.session import file_status, shared_path, ship_package
 
 # Views are recomputed from their (stored) inputs on read: the staging models
 # and the pure projections of stored tables.
@@ -171,24 +170,18 @@ class Warehouse:
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(os.path.join(path.removeprefix("file:"), "_SUCCESS"))
-    try:
-        spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
-        return True
-    except Exception:  # noqa: BLE001 - a missing marker means "not written"
-        return False
+    return bool(file_status(spark, f"{path}/_SUCCESS"))
 
 
-def _source_fingerprint(sf_dir: str) -> str:
+def _source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Identity of the input files and of this package's model code."""
-    h = hashlib.sha256(os.path.abspath(sf_dir).encode())
-    for p in sorted(Path(sf_dir).glob("*.parquet")):
-        st = p.stat()
-        h.update(f"{p.name}:{st.st_size}:{st.st_mtime_ns}".encode())
+    h = hashlib.sha256(sf_dir.encode())
+    for found in file_status(spark, f"{sf_dir}/*.parquet") + file_status(spark, f"{sf_dir}/*.parquet/*"):
+        h.update(repr(found).encode())
     pkg = Path(__file__).resolve().parents[1]
     for p in sorted(pkg.rglob("*.py")):
-        h.update(p.read_bytes())
+        if p.relative_to(pkg).parts[0] != "llm":
+            h.update(p.read_bytes())
     return h.hexdigest()[:20]
 
 
@@ -199,11 +192,11 @@ _CACHE_LOCK = threading.Lock()
 def for_testdata(spark: SparkSession, sf_dir: str, materialise: bool = True) -> Warehouse:
     """The warehouse over the driver's tables, memoised per session and input.
 
-    Materialisation goes to the cluster's shared ``spark.checkpoint.dir``;
-    without one configured the graph stays lazy.
+    Tables are stored under the shared ``spark.checkpoint.dir`` unless
+    ``materialise`` is false; that argument alone decides.
     """
     ship_package(spark)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), materialise)
+    key = (spark.sparkContext.applicationId, sf_dir, materialise)
     with _CACHE_LOCK:
         return _cached(spark, sf_dir, materialise, key)
 
@@ -212,9 +205,6 @@ def _cached(spark: SparkSession, sf_dir: str, materialise: bool, key) -> Warehou
     from ledgerline.sources import testdata
 
     if key not in _CACHE:
-        base = checkpoint_dir(spark) if materialise else None
-        store = (
-            os.path.join(base, "ledgerline-warehouse", _source_fingerprint(sf_dir)) if base else None
-        )
+        store = shared_path(spark, "ledgerline-warehouse", _source_fingerprint(spark, sf_dir)) if materialise else None
         _CACHE[key] = Warehouse(spark, lambda: testdata.incoming(spark, sf_dir), store)
     return _CACHE[key]

@@ -41,12 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is set (tests,
-    a laptop) fall back to a fresh local folder."""
+    """Use the configured checkpoint folder.  Only a ``local`` master (tests,
+    a laptop) may go without one and gets a fresh folder; on a cluster a
+    machine-local folder would be a different one on each executor."""
     configured = checkpoint_dir(spark)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -58,6 +61,14 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
 
 
+def file_status(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(path, bytes, modification time)`` of what ``path`` (a glob) names, in
+    whatever file system Spark reads it from; empty if it names nothing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found or [])
+
+
 _SHIPPED: set[str] = set()
 
 

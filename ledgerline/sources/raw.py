@@ -7,12 +7,14 @@ inference), so identifiers and ZIP codes keep leading zeros and masks.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.dates import parse_mixed_date
+from ledgerline.functions.text import SPACE_CLASS
 from ledgerline.schema import RAW_FIELDS
 
 
@@ -46,30 +48,35 @@ def require_columns(df: DataFrame, required: list[str] = RAW_FIELDS) -> DataFram
     return df
 
 
-def validity_counts(df: DataFrame) -> DataFrame:
-    """One scan: unparseable received dates and blank complaint IDs (SRC-4)."""
+def validity_counts(df: DataFrame, *more) -> DataFrame:
+    """One scan: unparseable received dates and complaint IDs of white space
+    only, tabs and line ends included (SRC-4)."""
     return df.agg(
         F.count_if(parse_mixed_date(F.col("`Date received`")).isNull()).alias("unparsed_dates"),
-        F.count_if(F.trim(F.coalesce(F.col("`Complaint ID`"), F.lit(""))) == "").alias("blank_ids"),
+        F.count_if(F.regexp_replace(F.coalesce(F.col("`Complaint ID`"), F.lit("")), SPACE_CLASS, "") == "").alias("blank_ids"),
+        *more,
     )
 
 
-def validate(df: DataFrame) -> DataFrame:
-    """Abort the whole run on any invalid row, before retention filtering."""
-    bad = validity_counts(df).first()
-    if bad["unparsed_dates"] or bad["blank_ids"]:
+def validate(df: DataFrame, *more) -> dict:
+    """Abort the whole run on any invalid row, before retention filtering;
+    returns the counts, with ``more`` aggregates from the same scan."""
+    counts = validity_counts(df, *more).first().asDict()
+    if counts["unparsed_dates"] or counts["blank_ids"]:
         raise ValueError("Source has invalid dates or missing complaint IDs")
-    return df
+    return counts
 
 
-def with_record_numbers(df: DataFrame, file_col: str = "_source_csv") -> DataFrame:
+def with_record_numbers(df: DataFrame, file_col: str = "_source_file") -> DataFrame:
     """1-based logical record number per source file (SRC-5, WIN-3).
 
-    A multi-line CSV file is not splittable, so one task reads it whole and
-    in order; counting rows per file inside each task is therefore the
-    record number.  This runs as an Arrow-batched ``mapInPandas`` over the
-    scan: no shuffle, no sort, and the counter is evaluated exactly once
-    (a ``monotonically_increasing_id`` read in two plan branches may differ).
+    ``file_col`` must hold the full path: files of the same name in different
+    folders are different files.  A multi-line CSV file is not splittable, so
+    one task reads it whole and in order; counting rows per file inside each
+    task is therefore the record number.  This runs as an Arrow-batched
+    ``mapInPandas`` over the scan: no shuffle, no sort, and the counter is
+    evaluated exactly once.  For Parquet, whose files are split, use
+    :func:`parquet_record_number`.
     """
     from ledgerline.session import ship_package
 
@@ -89,6 +96,12 @@ def with_record_numbers(df: DataFrame, file_col: str = "_source_csv") -> DataFra
     return df.mapInPandas(number, schema)
 
 
+def parquet_record_number():
+    """Record number of a Parquet row: its stored position in the file, the
+    same however the file is split among tasks."""
+    return (F.col("_metadata.row_index") + 1).alias("_source_record_number")
+
+
 def ingest(
     spark: SparkSession,
     sources: list[tuple[str, str, int]],
@@ -98,23 +111,32 @@ def ingest(
     fmt: str = "csv",
 ) -> DataFrame:
     """Validated, provenance-tagged, retention-filtered rows of every source
-    (SRC-2..5, FLT-1): ``sources`` is ``(path, archive name, priority)``."""
-    parts = []
+    (SRC-2..5, FLT-1): ``sources`` is ``(path, archive name, priority)``.
+
+    All sources are validated in one aggregate before any row is filtered; a
+    window that retains no row is an error, as nothing could be published.
+    """
+    parts, gates = [], []
     for path, archive, priority in sources:
-        raw = read_csv(spark, path) if fmt == "csv" else read_parquet(spark, path)
-        raw = require_columns(raw)
-        raw = raw.select(*[F.col(f"`{c}`") for c in RAW_FIELDS]).withColumn(
-            "_source_csv", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-        )
-        validate(raw)
-        numbered = with_record_numbers(raw)
+        raw = require_columns(read_csv(spark, path) if fmt == "csv" else read_parquet(spark, path))
+        file = F.col("_metadata.file_path")
+        columns = [*[F.col(f"`{c}`") for c in RAW_FIELDS], file.alias("_source_file")]
+        gates.append(raw.select("Date received", "Complaint ID"))
+        if fmt == "csv":
+            numbered = with_record_numbers(raw.select(*columns))
+        else:
+            numbered = raw.select(*columns, parquet_record_number())
         parts.append(
-            numbered.withColumn("_source_archive", F.lit(archive))
+            numbered.withColumn("_source_csv", F.regexp_extract("_source_file", r"([^/]+)$", 1))
+            .drop("_source_file")
+            .withColumn("_source_archive", F.lit(archive))
             .withColumn("_ingested_at", F.lit(ingested_at))
             .withColumn("_source_priority", F.lit(priority))
         )
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p, allowMissingColumns=True)
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     d = parse_mixed_date(F.col("`Date received`"))
-    return df.filter((d >= F.lit(start)) & (d < F.lit(end)))
+    retained = (d >= F.lit(start)) & (d < F.lit(end))
+    rows = reduce(DataFrame.union, gates)
+    if validate(rows, F.count_if(retained).alias("retained"))["retained"] == 0:
+        raise ValueError("No source row falls into the retention window")
+    return df.filter(retained)

@@ -92,7 +92,7 @@ ORACLES["grain_invariant"] = with_models(
 )
 
 # --- Step 7: analytics -----------------------------------------------------
-FULL = "date_received BETWEEN DATE '1990-01-01' AND DATE '2030-12-31'"
+FULL = "true"
 PRODUCTS = FULL + " AND product IN ('ECONOMY', 'PROMO')"
 YEAR = "date_received BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'"
 
@@ -101,10 +101,11 @@ def _rate(n: str, d: str) -> str:
     return f"100.0 * {n} / NULLIF({d}, 0)"
 
 
-def _rank(col: str, rel: str, where: str, limit: int) -> str:
+def _rank(col: str, rel: str, where: str, limit: int | None) -> str:
+    order = "" if limit is None else f" ORDER BY complaints DESC, category LIMIT {limit}"
     return (
         f"SELECT COALESCE({col}, 'Missing label') AS category, CAST(SUM(complaint_count) AS BIGINT) AS complaints "
-        f"FROM {rel} WHERE {where} GROUP BY 1 ORDER BY complaints DESC, category LIMIT {limit}"
+        f"FROM {rel} WHERE {where} GROUP BY 1{order}"
     )
 
 
@@ -167,7 +168,7 @@ ORACLES.update(
         ),
         "product_share": with_models(
             "SELECT category, complaints, 100.0 * complaints / scope_total AS share_pct FROM "
-            f"({_rank('product', 'grain_overview', PRODUCTS, 100)}) "
+            f"({_rank('product', 'grain_overview', PRODUCTS, None)}) "
             f"CROSS JOIN (SELECT CAST(SUM(complaint_count) AS BIGINT) AS scope_total FROM grain_overview WHERE {PRODUCTS})"
         ),
         "response_rates": with_models(
@@ -182,7 +183,7 @@ ORACLES.update(
             "CAST(count(*) FILTER (WHERE mapped) AS BIGINT) AS mapped_locations, "
             "CAST(count(*) FILTER (WHERE NOT mapped) AS BIGINT) AS omitted_locations FROM ("
             "SELECT *, category IN ('" + "', '".join(__import__('ledgerline.schema', fromlist=['x']).STATE_CODES) + "') AS mapped "
-            f"FROM ({_rank('state', 'grain_geography', FULL, 100)}))"
+            f"FROM ({_rank('state', 'grain_geography', FULL, None)}))"
         ),
         "prior_period": with_models(
             "SELECT DATE '1998-01-01' AS prior_start, DATE '1998-12-31' AS prior_end, available, current_complaints, "
@@ -222,20 +223,14 @@ ORACLES.update(
     }
 )
 
-_OUTCOME_ROWS = [
-    ("Closed with explanation", "closed_with_explanation_count"),
-    ("Monetary relief", "monetary_relief_count"),
-    ("Non-monetary relief", "non_monetary_relief_count"),
-    ("In progress", "in_progress_count"),
-    ("Untimely response outcome", "untimely_response_outcome_count"),
-    ("Missing outcome", "unknown_response_outcome_count"),
-]
+from ledgerline.plans.analytics import OTHER_OUTCOMES, OUTCOME_ROWS as _OUTCOME_ROWS  # noqa: E402
+
 _osums = ", ".join(
     f"CAST(COALESCE(SUM({f}), 0) AS BIGINT) AS o{i}" for i, (_, f) in enumerate(_OUTCOME_ROWS)
 )
 _orows = [f"SELECT {i} AS position, '{lab}' AS outcome, o{i} AS complaints, total FROM w" for i, (lab, _) in enumerate(_OUTCOME_ROWS)]
 _orows.append(
-    f"SELECT {len(_OUTCOME_ROWS)} AS position, 'Other outcomes' AS outcome, "
+    f"SELECT {len(_OUTCOME_ROWS)} AS position, '{OTHER_OUTCOMES}' AS outcome, "
     f"greatest(0, total - ({' + '.join(f'o{i}' for i in range(len(_OUTCOME_ROWS)))})) AS complaints, total FROM w"
 )
 ORACLES["outcome_mix"] = with_models(
@@ -318,10 +313,15 @@ _EVIDENCE = (
     "AND n.complaint_id IN (SELECT complaint_id FROM complaint_narratives WHERE length(trim(narrative)) > 0 "
     "ORDER BY md5(complaint_id), complaint_id LIMIT 60000))"
 )
+_CORPUS = (
+    f"ev AS (SELECT {_CTX}, {redact_sql('n.narrative')} AS excerpt, false AS excerpt_truncated "
+    "FROM complaint_metrics m JOIN complaint_narratives n ON m.complaint_id = n.complaint_id "
+    "WHERE length(trim(n.narrative)) > 0)"
+)
 _YEAR_SEL = "date_received BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'"
 _YEAR_PRE = "date_received BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
 _FRAME = (
-    _EVIDENCE + ", fr AS (SELECT *, 'Selected' AS period FROM ev WHERE " + _YEAR_SEL
+    _CORPUS + ", fr AS (SELECT *, 'Selected' AS period FROM ev WHERE " + _YEAR_SEL
     + " UNION ALL SELECT *, 'Previous' AS period FROM ev WHERE " + _YEAR_PRE + ")"
 )
 _SUMMARY = (
@@ -381,15 +381,15 @@ ORACLES.update(
         ),
         "narrative_search": with_models(
             "SELECT r.*, c.matching_sample_excerpts FROM (SELECT complaint_id, date_received, company_name, product, issue, "
-            f"left({redact_sql('excerpt')}, 2000) AS excerpt, excerpt_truncated FROM ev WHERE {FULL} "
+            f"{redact_sql('excerpt')} AS excerpt, excerpt_truncated FROM ev WHERE {FULL} "
             "AND contains(lower(excerpt), lower('the')) AND issue = 'BUILDING' "
             "ORDER BY md5(complaint_id), complaint_id LIMIT 8) r CROSS JOIN "
             f"(SELECT count(*) AS matching_sample_excerpts FROM ev WHERE {FULL} "
             "AND contains(lower(excerpt), lower('the')) AND issue = 'BUILDING') c",
-            ctes=_EVIDENCE,
+            ctes=_CORPUS,
         ),
         "match_gate": with_models(
-            f"SELECT count(*) AS matches, count(*) >= 20 AS enough FROM ev WHERE {YEAR}", ctes=_EVIDENCE
+            f"SELECT count(*) AS matches, count(*) >= 20 AS enough FROM ev WHERE {YEAR}", ctes=_CORPUS
         ),
         "concern_summary": with_models(
             "SELECT concern, narratives, share_pct, prior_narratives, change_pp FROM s", ctes=_SUMMARY
@@ -436,12 +436,8 @@ ORACLES["tfidf_vocabulary"] = with_models(
 # --- Step 6: raw rows: ingest, dedup, retention, coverage, profiling --------
 _RAW_DATE = _date('"Date received"')
 _NARR = "coalesce(trim(\"Consumer complaint narrative\"), '') <> ''"
-_BLANK_FIELDS = [
-    "Company", "Product", "Sub-product", "Issue", "Sub-issue", "State", "ZIP code", "Tags",
-    "Submitted via", "Date sent to company", "Company public response",
-    "Company response to consumer", "Timely response?",
-]
-_VALUE_FIELDS = ["Tags", "Submitted via", "Company response to consumer", "Timely response?"]
+from ledgerline.plans.profile import BLANK_FIELDS as _BLANK_FIELDS, VALUE_FIELDS as _VALUE_FIELDS  # noqa: E402
+
 _IV = (
     "iv AS (SELECT _source_archive AS name, _source_priority AS priority, "
     f"CAST(date_trunc('month', min({_RAW_DATE})) AS DATE) AS first_month, "
@@ -458,7 +454,7 @@ ORACLES.update(
         ),
         "validity_gate": with_models(
             f"SELECT count(*) FILTER (WHERE {_RAW_DATE} IS NULL) AS unparsed_dates, "
-            "count(*) FILTER (WHERE trim(coalesce(\"Complaint ID\", '')) = '') AS blank_ids FROM incoming"
+            f"count(*) FILTER (WHERE regexp_replace(coalesce(\"Complaint ID\", ''), '[{_SP}]', '', 'g') = '') AS blank_ids FROM incoming"
         ),
         "retention_window": with_models(
             "SELECT _source_archive, count(*) AS rows FROM (SELECT * FROM incoming "
@@ -521,8 +517,8 @@ ORACLES.update(
             "ON d.signature = f.signature WHERE d.doc_id <> f.kept_id"
         ),
         "csv_roundtrip": with_models(
-            "SELECT _source_archive, count(*) AS rows, CAST(1 AS BIGINT) AS first_record, count(*) AS last_record, "
-            f"count(*) AS distinct_records, count(*) FILTER (WHERE trim(\"Consumer complaint narrative\") <> '') AS rows_with_narrative "
+            "SELECT _source_archive, count(*) AS rows, CAST(1 AS BIGINT) AS first_record, count(*) AS records_numbered, "
+            "true AS numbers_exact, count(*) FILTER (WHERE trim(\"Consumer complaint narrative\") <> '') AS rows_with_narrative "
             "FROM incoming GROUP BY 1"
         ),
         "export_grains": with_models(
@@ -550,7 +546,7 @@ ORACLES.update(
             "WHEN abs(t) >= 1e3 THEN printf('%.0fK', round_even(t / 1000.0, 0)) ELSE printf('%.0f', round_even(t, 0)) END AS total_label, "
             "CASE WHEN coalesce(t, 0) <> 0 THEN printf('%.2f%%', 100.0 * v / t) ELSE 'N/A' END AS share_label FROM ("
             "SELECT category, CAST(complaints AS DOUBLE) AS v, CAST(scope_total AS DOUBLE) AS t FROM ("
-            + _rank("company_name", "grain_overview", FULL, 1000000)
+            + _rank("company_name", "grain_overview", FULL, None)
             + f") CROSS JOIN (SELECT CAST(SUM(complaint_count) AS BIGINT) AS scope_total FROM grain_overview WHERE {FULL}))"
         ),
     }
@@ -585,7 +581,7 @@ ORACLES["representative_quote"] = with_models(
     "SELECT complaint_id, "
     + quote_sql("excerpt", "coalesce(nullif(issue, ''), 'Issue not recorded')")
     + " AS quote FROM ev",
-    ctes=_EVIDENCE,
+    ctes=_CORPUS,
 )
 
 # --- SRT-5: budget shrink ----------------------------------------------------
@@ -600,3 +596,121 @@ ORACLES["evidence_budget"] = with_models(
     "choice AS (SELECT keep FROM fits WHERE k <= (SELECT coalesce(min(k), 0) FROM steps WHERE keep <= 100) "
     "OR NOT EXISTS (SELECT 1 FROM steps WHERE keep <= 100) ORDER BY k LIMIT 1)",
 )
+
+# --- themes on the deterministic assignment, TF-IDF weights --------------------
+from ledgerline.plans.registry import THEME_LABELS  # noqa: E402
+
+_HEX = "strpos('0123456789abcdef', substr(md5(complaint_id), 1, 1)) - 1"
+_ASSIGNED = (
+    _FRAME
+    + f", asg AS (SELECT *, CAST(({_HEX}) % 6 AS INTEGER) AS topic, (length(excerpt) % 97) / 97.0 AS weight, "
+    "coalesce(nullif(issue, ''), 'Issue not recorded') AS concern FROM fr), "
+    "lab AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(THEME_LABELS)) + ") AS v(topic, theme))"
+)
+_WEIGHTS = (
+    ORACLES["tfidf_vocabulary"].partition("tok AS (")[2].rpartition("\nSELECT CAST(row_number()")[0]
+)
+ORACLES.update(
+    {
+        "tfidf_weights": with_models(
+            "SELECT complaint_id, term_index, round(w / sqrt(sum(w * w) OVER (PARTITION BY complaint_id)), 9) AS weight FROM ("
+            "SELECT c.complaint_id, v.term_index, (1 + ln(c.tf)) * (ln((1.0 + n.n) / (1.0 + v.df)) + 1) AS w "
+            "FROM cnt c JOIN voc v ON c.term = v.term CROSS JOIN (SELECT count(*) AS n FROM fr) n)",
+            ctes=_FRAME + ", tok AS (" + _WEIGHTS
+            + ", voc AS (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, term, df FROM ("
+            "SELECT term, df, cf FROM st WHERE df >= 2 AND df <= 0.95 * (SELECT count(*) FROM fr) ORDER BY cf DESC, term LIMIT 4000))",
+        ),
+        "topics": with_models(
+            "SELECT period, count(*) AS narratives, true AS topics_in_range, true AS weights_not_negative FROM fr GROUP BY 1",
+            ctes=_FRAME,
+        ),
+        "theme_summary": with_models(
+            "SELECT p.topic, lab.theme, p.narratives, 100.0 * p.narratives / t.n_sel AS share_pct, "
+            "CASE WHEN t.n_sel >= 50 AND t.n_pre >= 50 AND p.narratives >= 10 AND p.prior >= 10 "
+            "THEN 100.0 * p.narratives / t.n_sel - 100.0 * p.prior / t.n_pre END AS change_pp FROM "
+            "(SELECT topic, count(*) FILTER (WHERE period = 'Selected') AS narratives, "
+            "count(*) FILTER (WHERE period = 'Previous') AS prior FROM asg GROUP BY 1) p "
+            "JOIN lab USING (topic) CROSS JOIN (SELECT count(*) FILTER (WHERE period = 'Selected') AS n_sel, "
+            "count(*) FILTER (WHERE period = 'Previous') AS n_pre FROM asg) t WHERE p.narratives > 0",
+            ctes=_ASSIGNED,
+        ),
+        "phrase_mentions": with_models(
+            "SELECT a.topic, CAST(w.position AS INTEGER) AS position, w.term, count(*) FILTER (WHERE list_contains("
+            f"regexp_extract_all(lower(a.excerpt), {_WRUN}), w.term)) AS mentions "
+            "FROM asg a JOIN (SELECT topic, generate_subscripts(string_split(theme, ' · '), 1) - 1 AS position, "
+            "unnest(string_split(theme, ' · ')) AS term FROM lab) w USING (topic) WHERE a.period = 'Selected' GROUP BY ALL",
+            ctes=_ASSIGNED,
+        ),
+        "best_evidence": with_models(
+            "SELECT concern, complaint_id, date_received, " + quote_sql("excerpt", "concern") + " AS quote FROM ("
+            "SELECT *, row_number() OVER (PARTITION BY concern ORDER BY weight DESC, complaint_id) AS place "
+            "FROM asg WHERE period = 'Selected') WHERE place = 1",
+            ctes=_ASSIGNED,
+        ),
+        "evidence_topk": with_models(
+            "SELECT complaint_id, date_received, company_name, product, issue, topic, weight FROM asg "
+            "WHERE period = 'Selected' AND concern = 'BUILDING' AND topic = 2 AND contains(lower(excerpt), 'the') "
+            "ORDER BY weight DESC, complaint_id LIMIT 5",
+            ctes=_ASSIGNED,
+        ),
+    }
+)
+
+# --- identities ------------------------------------------------------------------
+_GRAIN_COLUMNS = {
+    "overview": "date_received company_id company_name product_category_id product sub_product",
+    "issues": "date_received company_id company_name product_category_id product sub_product issue sub_issue",
+    "geography": "date_received company_id company_name product_category_id product sub_product state",
+    "channels": "date_received company_id company_name product_category_id product sub_product submission_channel",
+}
+
+
+def fingerprint_sql(grain: str) -> str:
+    columns = [*_GRAIN_COLUMNS[grain].split(), *FLAGS]
+    text = " || ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0)) || chr(31)" for c in columns)
+    return (
+        f"SELECT CAST(count(*) AS VARCHAR) || ':' || CAST(coalesce(sum(CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)), 0) AS VARCHAR) "
+        f"AS fingerprint FROM grain_{grain}"
+    )
+
+
+ORACLES["snapshot_identity"] = with_models(fingerprint_sql("overview"))
+ORACLES["manifest_exports"] = with_models(
+    " UNION ALL ".join(f"SELECT '{g}' AS export, fingerprint FROM ({fingerprint_sql(g)})" for g in _GRAIN_COLUMNS)
+)
+
+# --- Step 12: sources, sinks and gates ---------------------------------------------
+ORACLES.update(
+    {
+        "parquet_parts": (
+            "WITH both_ AS (SELECT lang, text, NULL AS quality FROM documents UNION ALL SELECT NULL, NULL, quality FROM labels) "
+            "SELECT lang, count(*) AS rows, count(text) AS rows_with_text, count(quality) AS rows_with_quality FROM both_ GROUP BY 1"
+        ),
+        "column_gate": with_models(
+            " UNION ALL ".join(
+                f"SELECT '{f}' AS field, true AS present, "
+                + (f"(SELECT count(*) FROM incoming WHERE coalesce(trim(\"{f}\"), '') = '')" if f in _BLANK_FIELDS else "CAST(NULL AS BIGINT)")
+                + " AS blank_records"
+                for f in __import__("ledgerline.schema", fromlist=["x"]).RAW_FIELDS
+            )
+        ),
+        "verified_parquet": with_models("SELECT * FROM companies"),
+        "csv_report": with_models(_rank("product", "grain_overview", FULL, None)),
+        "metric_columns": with_models(
+            " UNION ALL ".join(f"SELECT '{f}' AS metric, CAST(sum({f}) AS BIGINT) AS total FROM grain_overview" for f in FLAGS)
+        ),
+        "named_views": with_models("SELECT product, count(*) AS complaints FROM complaint_metrics GROUP BY 1"),
+        "snapshot_gate": with_models(
+            "SELECT overview, compatible, (SELECT count(*) FROM grain_overview) AS overview_rows "
+            "FROM (VALUES ('own', true), ('other', false)) AS v(overview, compatible)"
+        ),
+        "size_gate": with_models("SELECT count(*) AS rows, true AS within_large_limit, false AS within_one_byte FROM grain_channels"),
+        "inspect_datasets": with_models(
+            " UNION ALL ".join(
+                f"SELECT '{g}' AS dataset, count(*) AS rows, min(date_received) AS first_date, max(date_received) AS last_date, "
+                f"CAST({len(_MQ_EXPR)} AS BIGINT) AS metrics, CAST(50 AS BIGINT) AS row_limit FROM grain_{g}"
+                for g in _GRAIN_COLUMNS
+            )
+        ),
+    }
+)

@@ -42,6 +42,7 @@ def test_some_oracles_match_at_small_scale(spark):
 
 def test_import_needs_no_spark_jars():
     """The registry must load where Spark's jars are not inside the Python package."""
+    import os
     import subprocess
     import sys
 
