@@ -24,9 +24,12 @@ def write_parquet_verified(df: DataFrame, path: str, expected_rows: int | None =
     return back
 
 
-def export_grains(metrics: DataFrame, grains: dict[str, DataFrame], base: str) -> dict[str, DataFrame]:
+def export_grains(
+    metrics: DataFrame, grains: dict[str, DataFrame], base: str, limit_bytes: int | None = None
+) -> dict[str, DataFrame]:
     """Write every serving grain (SRC-7) and reconcile each file's 18 totals
-    with the gold table's (QA-14); any difference blocks the release.
+    with the gold table's (QA-14); any difference blocks the release, and so
+    does a written grain of ``limit_bytes`` or more, if given (QA-19).
 
     The gold totals are one aggregate row computed once; each written file
     is summed from storage."""
@@ -40,6 +43,8 @@ def export_grains(metrics: DataFrame, grains: dict[str, DataFrame], base: str) -
         actual = serving.totals(back).first()
         if any(expected[n] != actual[n] for n in names):
             raise ValueError(f"Metric totals differ in {name}")
+        if limit_bytes is not None:
+            size_guard(grain.sparkSession, path, limit_bytes)
         out[name] = back
     return out
 

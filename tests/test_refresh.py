@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.plans import bronze, coverage
+from ledgerline.plans import bronze, coverage, profile, refresh
 from ledgerline.plans.warehouse import Warehouse
 from ledgerline.schema import RAW_FIELDS
 from ledgerline.sources import raw
@@ -27,7 +27,7 @@ def write_archive(path, rows):
 
 def record(cid, received, company, narrative=""):
     return {"Complaint ID": cid, "Date received": received, "Company": company,
-            "Product": "Card", "Submitted via": "Web", "Date sent to company": received,
+            "Product": "Card", "Submitted via": "Web", "Timely response?": "Yes", "Date sent to company": received,
             "Consumer complaint narrative": narrative}
 
 
@@ -49,7 +49,7 @@ def test_ingest_retention_and_precedence(spark, archives):
     assert incoming.count() == 3
     nums = {(r["Complaint ID"], r["_source_record_number"]) for r in incoming.collect()}
     assert ("1", 2) in nums and ("2", 3) in nums  # numbered before the retention filter
-    assert bronze.overlap_excess(incoming).first()[0] == 1
+    assert profile.overlap_excess(incoming).first()[0] == 1
     w = Warehouse(spark, lambda: incoming)
     gold = w["complaint_metrics"]
     assert gold.count() == 2
@@ -89,3 +89,68 @@ def test_rolling_window_and_gaps(spark):
     assert coverage.gaps(intervals(spark, only_last)).count() == 35
     with pytest.raises(ValueError):
         coverage.require_no_gaps(intervals(spark, only_last))
+
+
+def test_record_numbers_per_full_path(spark, tmp_path):
+    """Forty files of one name, several read by one task: numbers restart in each."""
+    for k in range(40):
+        write_archive(tmp_path / f"f{k}", [record(f"{k}-{i}", "2024-01-01", "A") for i in range(3)])
+    rows = raw.ingest(
+        spark, [(f"{tmp_path}/f*", "all.zip", 1)], dt.date(2024, 1, 1), dt.date(2025, 1, 1), "now"
+    )
+    got = rows.groupBy("_source_record_number").count().collect()
+    assert {(r["_source_record_number"], r["count"]) for r in got} == {(1, 40), (2, 40), (3, 40)}
+
+
+def test_record_numbers_of_split_parquet(spark, tmp_path):
+    columns = [F.lit("").alias(c) for c in RAW_FIELDS if c not in ("Complaint ID", "Date received")]
+    frame = spark.range(200_000).coalesce(1).select(
+        F.col("id").cast("string").alias("Complaint ID"), F.lit("2024-01-01").alias("Date received"), *columns
+    )
+    frame.write.option("parquet.block.size", 64 * 1024).parquet(str(tmp_path / "big"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+        rows = raw.ingest(
+            spark, [(str(tmp_path / "big"), "big.zip", 1)], dt.date(2024, 1, 1), dt.date(2025, 1, 1), "now", fmt="parquet"
+        ).select("Complaint ID", "_source_record_number")
+        assert rows.rdd.getNumPartitions() > 1
+        n = F.col("_source_record_number")
+        assert rows.filter(n != F.col("`Complaint ID`").cast("long") + 1).count() == 0 and rows.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_gates(spark, archives, tmp_path):
+    with pytest.raises(ValueError, match="retention window"):
+        raw.ingest(spark, archives, dt.date(2030, 1, 1), dt.date(2031, 1, 1), "now")
+    for blank in ("\t", "\u00a0", "\u2003\r\n"):
+        write_archive(tmp_path / f"blank{ord(blank[0])}", [record(blank, "2024-01-01", "A")])
+        with pytest.raises(ValueError, match="missing complaint IDs"):
+            raw.ingest(spark, [(str(tmp_path / f"blank{ord(blank[0])}"), "x", 1)], dt.date(2024, 1, 1), dt.date(2025, 1, 1), "now")
+
+
+def test_unicode_space_around_ids_is_one_complaint(spark, tmp_path):
+    write_archive(tmp_path / "pad", [record("7", "2024-01-01", "A"), record("7\u00a0", "2024-01-02", "B")])
+    rows = raw.ingest(spark, [(str(tmp_path / "pad"), "x", 1)], dt.date(2024, 1, 1), dt.date(2025, 1, 1), "now")
+    assert bronze.dedup_latest(rows).count() == 1
+    assert profile.overlap_excess(rows).first()[0] == 1
+    assert Warehouse(spark, lambda: rows)["complaints"].count() == 1
+
+
+def test_refresh_end_to_end(spark, archives, tmp_path):
+    """The two archives give three retained rows, one overlap, two complaints,
+    four exports and evidence; the size guard stops a release."""
+    start, end = dt.date(2023, 9, 1), dt.date(2026, 9, 1)
+    out = str(tmp_path / "release")
+    record_ = refresh.refresh(spark, archives, start, end, out, "2026-10-04T00:00:00+00:00")
+    assert record_["complaints"] == 2 and record_["overlap_records_removed"] == 1
+    assert set(record_["exports"]) == {"overview", "issues", "geography", "channels", "evidence"}
+    assert record_["metric_totals"]["narrative_count"] == 2
+    assert len({e["fingerprint"] for e in record_["exports"].values()}) == 5
+    evidence = spark.read.parquet(f"{out}/evidence")
+    assert evidence.count() == 2 and {r["company_name"] for r in evidence.collect()} == {"Company A", "Revised Company"}
+    with pytest.raises(ValueError, match="size guard"):
+        refresh.refresh(spark, archives, start, end, str(tmp_path / "small"), "now", size_limit=100)
+    with pytest.raises(ValueError, match="retention window"):
+        refresh.refresh(spark, archives, dt.date(2030, 1, 1), dt.date(2031, 1, 1), str(tmp_path / "none"), "now")
