@@ -22,6 +22,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def fit(
     # ~BLOCK_DOCS documents per block: a block (one grouped row) stays
     # bounded however many documents there are
     n_blocks = max(1, math.ceil(n_docs / BLOCK_DOCS))
-    blocks = _blocks(weights, n_blocks).cache()
+    blocks = _blocks(weights, n_blocks).persist(StorageLevel.MEMORY_AND_DISK)
 
     # --- randomised SVD: X ~ U S V^T with power iterations ---------------
     l = min(k + oversamples, p)
@@ -177,7 +178,7 @@ def fit(
         out["W"] = w
         return out
 
-    state = blocks.map(init_w).cache()
+    state = blocks.map(init_w).persist(StorageLevel.MEMORY_AND_DISK)
 
     # --- multiplicative updates -----------------------------------------
     def step(b, hb):
@@ -202,7 +203,7 @@ def fit(
     prev = None
     while True:
         hb = sc.broadcast((h, h @ h.T))
-        nxt = cur.map(lambda t, hb=hb: step(t[0], hb)).cache()
+        nxt = cur.map(lambda t, hb=hb: step(t[0], hb)).persist(StorageLevel.MEMORY_AND_DISK)
         if it > 0 and it % checkpoint_every == 0:
             nxt.checkpoint()  # reliable checkpoint in spark.checkpoint.dir
         cross, wtw_old, wtx, wtw = nxt.map(lambda t: t[1]).treeReduce(_add)
@@ -210,9 +211,11 @@ def fit(
         stop = False
         if error_at_init is None:
             error_at_init = previous = err
+            stop = err == 0.0  # already exact
         elif it % 10 == 0:
             stop = (previous - err) / error_at_init < tol
             previous = err
+        hb.unpersist()
         if stop or it == max_iter:
             nxt.unpersist()
             break
@@ -232,5 +235,10 @@ def fit(
             topic = int(np.argmax(row)) if row.sum() > 0 else -1
             yield (doc, topic, float(row.max()))
 
-    topics = spark.createDataFrame(final_state.flatMap(assign), "doc_id string, topic int, weight double")
+    topics = spark.createDataFrame(final_state.flatMap(assign), "doc_id string, topic int, weight double").checkpoint()
+    for rdd in (blocks, state, prev, cur):  # the assignment is stored: nothing else is needed
+        if rdd is not None:
+            rdd.unpersist()
+    for b in (proj, init):
+        b.unpersist()
     return NmfResult(topics, final_h, it, err)

@@ -47,32 +47,29 @@ def representative_quote(text: Column, concern: Column) -> Column:
     """A verbatim sentence of 40-420 characters with fewer than 5 masking
     tokens, maximising overlap with the concern's words minus 2 for legal
     boilerplate, earliest on ties; else the first 300 characters (+ '…')."""
-    words = F.array_except(_words(concern), F.array(*[F.lit(w) for w in CONCERN_STOP_WORDS]))
-    sentences = F.split(text, SENTENCE_SPLIT, -1)
-    scored = F.transform(
-        sentences,
-        lambda s, i: F.struct(
-            (
-                F.size(F.array_intersect(_words(s), words))
-                - F.when(s.rlike(LEGAL), 2).otherwise(0)
-            ).alias("score"),
-            (-i).alias("neg_index"),
-            s.alias("sentence"),
-            (
-                F.length(s).between(QUOTE_MIN_CHARS, QUOTE_MAX_CHARS)
-                & (F.size(F.regexp_extract_all(s, F.lit(MASK_TOKEN), 0)) < QUOTE_MAX_MASKS)
-            ).alias("eligible"),
-        ),
-    )
-    eligible = F.filter(scored, lambda x: x["eligible"])
-    best = F.array_max(
-        F.transform(eligible, lambda x: F.struct(x["score"], x["neg_index"], x["sentence"]))
-    )
+    topic = F.array_except(_words(concern), F.array(*[F.lit(w) for w in CONCERN_STOP_WORDS]))
     fallback = F.concat(
         F.left(text, F.lit(FALLBACK_CHARS)),
         F.when(F.length(text) > FALLBACK_CHARS, F.lit(ELLIPSIS)).otherwise(F.lit("")),
     )
-    return F.when(F.size(eligible) > 0, best["sentence"]).otherwise(fallback)
+
+    def best(words: Column) -> Column:
+        scored = F.transform(
+            F.split(text, SENTENCE_SPLIT, -1),
+            lambda s, i: F.when(
+                F.length(s).between(QUOTE_MIN_CHARS, QUOTE_MAX_CHARS)
+                & (F.size(F.regexp_extract_all(s, F.lit(MASK_TOKEN), 0)) < QUOTE_MAX_MASKS),
+                F.struct(
+                    (F.size(F.array_intersect(_words(s), words)) - F.when(s.rlike(LEGAL), 2).otherwise(0)).alias("score"),
+                    (-i).alias("neg_index"),
+                    s.alias("sentence"),
+                ),
+            ),
+        )
+        return F.array_max(scored)["sentence"]  # NULL entries (not eligible) are skipped
+
+    # A one-element transform binds the concern's words once for all sentences.
+    return F.coalesce(F.element_at(F.transform(F.array(topic), best), 1), fallback)
 
 
 def review_question(concern: Column) -> Column:

@@ -115,15 +115,20 @@ def _count(df: DataFrame) -> DataFrame:
 
 
 def generic_checks(w, model: str) -> list[DataFrame]:
+    """Not-null and relationship checks of a model in one scan (each parent
+    joins its distinct keys to the child's columns), and a grouped count per
+    unique column."""
     not_null, unique, rels = SUITE[model]
     df = w[model]
-    out = [check_counts(df, {f"not_null:{model}.{c}": F.col(c).isNull() for c in not_null})]
+    rows = df.select(*dict.fromkeys([*not_null, *rels]))
+    checks = {f"not_null:{model}.{c}": F.col(c).isNull() for c in not_null}
+    for k, (c, (parent, pc)) in enumerate(rels.items()):
+        keys = w[parent].select(F.col(pc).alias(f"__parent{k}")).distinct()
+        rows = rows.join(keys, F.col(c) == F.col(f"__parent{k}"), "left")
+        checks[f"relationships:{model}.{c}->{parent}.{pc}"] = F.col(c).isNotNull() & F.col(f"__parent{k}").isNull()
+    out = [check_counts(rows, checks)] if checks else []
     for c in unique:
         out.append(_one(f"unique:{model}.{c}", _count(duplicates(df.select(c), [c]))))
-    for c, (parent, pc) in rels.items():
-        out.append(
-            _one(f"relationships:{model}.{c}->{parent}.{pc}", _count(orphans(df.select(c), w[parent], c, pc)))
-        )
     return out
 
 

@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from ledgerline.functions.keys import surrogate_key
 
 
+# Lookups take the distinct labels first and hash only those: the key columns
+# of ``keyed`` are not read, so no key is computed per complaint.
+
+
 def companies(keyed: DataFrame) -> DataFrame:
-    return keyed.select("company_id", "company_name").distinct()
+    labels = keyed.select("company_name").distinct()
+    return labels.select(surrogate_key("company_name").alias("company_id"), "company_name")
 
 
 def product_categories(keyed: DataFrame) -> DataFrame:
-    return keyed.select("product_category_id", "product", "sub_product").distinct()
+    labels = keyed.select("product", "sub_product").distinct()
+    return labels.select(surrogate_key("product", "sub_product").alias("product_category_id"), "product", "sub_product")
 
 
 def issue_categories(keyed: DataFrame) -> DataFrame:
-    return keyed.select("issue_category_id", "product_category_id", "issue", "sub_issue").distinct()
+    labels = keyed.select("product", "sub_product", "issue", "sub_issue").distinct()
+    return labels.select(
+        surrogate_key("product", "sub_product", "issue", "sub_issue").alias("issue_category_id"),
+        surrogate_key("product", "sub_product").alias("product_category_id"),
+        "issue",
+        "sub_issue",
+    )
 
 
 def submission_channels(keyed: DataFrame) -> DataFrame:
-    return keyed.select("submission_channel_id", "submission_channel").distinct()
+    labels = keyed.select("submission_channel").distinct()
+    return labels.select(surrogate_key("submission_channel").alias("submission_channel_id"), "submission_channel")
 
 
 def complaints(keyed: DataFrame) -> DataFrame:
@@ -52,7 +65,7 @@ def complaint_narratives(stg: DataFrame) -> DataFrame:
 
 
 def tags(stg_tags: DataFrame) -> DataFrame:
-    return stg_tags.select(surrogate_key("tag_name").alias("tag_id"), "tag_name").distinct()
+    return stg_tags.select("tag_name").distinct().select(surrogate_key("tag_name").alias("tag_id"), "tag_name")
 
 
 def complaint_tags(stg_tags: DataFrame) -> DataFrame:

@@ -57,12 +57,28 @@ def discover(frame: DataFrame, topics: int = 6, id_col: str = "complaint_id", te
 
 def phrase_mentions(assigned: DataFrame, labels: DataFrame) -> DataFrame:
     """Per topic label term: selected excerpts of that topic mentioning the
-    term as a whole word, case-insensitive (AGG-27).  The label table is at
-    most topics x 4 rows, so it is broadcast."""
-    terms = labels.select("topic", F.posexplode(F.split("theme", SEPARATOR)).alias("position", "term"))
-    sel = assigned.filter(F.col("period") == SELECTED).select("topic", "excerpt")
+    term as a whole word, case-insensitive (AGG-27).
+
+    Labels are at most topics x 4 terms, so each becomes a literal pattern
+    (compiled once) in one aggregate over the texts; no text is copied."""
+    terms = labels.select("topic", F.posexplode(F.split("theme", SEPARATOR)).alias("position", "term")).collect()
+    topic = F.col("topic")
+    counts = [
+        F.struct(
+            F.lit(r["topic"]).alias("topic"),
+            F.lit(r["position"]).alias("position"),
+            F.lit(r["term"]).alias("term"),
+            F.count_if((topic == r["topic"]) & whole_word_match(F.col("excerpt"), r["term"])).alias("mentions"),
+            F.count_if(topic == r["topic"]).alias("texts"),
+        )
+        for r in terms
+    ]
+    selected = assigned.filter(F.col("period") == SELECTED).select("topic", "excerpt")
+    if not counts:
+        return selected.select("topic", F.lit(0).alias("position"), F.lit("").alias("term"), F.lit(0).cast("long").alias("mentions")).limit(0)
     return (
-        sel.join(F.broadcast(terms), "topic")
-        .groupBy("topic", "position", "term")
-        .agg(F.count_if(whole_word_match(F.col("excerpt"), F.col("term"))).alias("mentions"))
+        selected.agg(F.array(*counts).alias("all"))
+        .select(F.explode("all").alias("r"))
+        .filter("r.texts > 0")
+        .select("r.topic", "r.position", "r.term", "r.mentions")
     )
