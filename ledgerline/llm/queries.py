@@ -19,6 +19,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op3_secret_scan": secrets.ORACLE,
     "op5_chat_formatting": chat.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }

@@ -191,3 +191,70 @@ def query(spark, sf_dir):
     from ledgerline.llm.common import documents
 
     return digest_columns(scan_secrets(documents(spark, sf_dir)))
+
+
+def _either_case(pattern: str) -> str:
+    """Letters of key words as classes: RE2's own case folding would also
+    match letters outside ASCII."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern)
+
+
+def _oracle() -> str:
+    """The scan in DuckDB: spans from the lengths between matches; look-behind
+    becomes a leading group that is cut off again."""
+    edge, lead = "(?<![", "(^|[^"
+    blocks = []
+    for at, (kind, pattern, group, least, role) in enumerate(KINDS):
+        shift = edge in pattern
+        if pattern.startswith("(?i)"):
+            # Only the key words (before the first separator or "://") hold letters outside classes.
+            body = pattern[4:]
+            stop = "://" if "://" in body else r"""["']?\x20*[:=]"""
+            head, rest = body.split(stop, 1)
+            if shift:
+                behind, _, words = head.partition("])")
+                behind = behind.replace(edge, lead).replace("[^a-z0-9", "[^A-Za-z0-9")
+                head = f"{behind}]){_either_case(words)}"
+            else:
+                head = _either_case(head)
+            pattern = head + stop + rest
+        sql = pattern.replace("'", "''")
+        cut_off = f"regexp_extract_all(t, '{sql}', 1)" if shift else f"list_transform(regexp_extract_all(t, '{sql}', 0), lambda x: '')"
+        blocks.append(
+            f"SELECT r, {at} AS place, '{kind}' AS kind, {least} AS least, '{role}' AS role, regexp_split_to_array(t, '{sql}') AS parts, "
+            f"regexp_extract_all(t, '{sql}', 0) AS found, {cut_off} AS lead, "
+            f"regexp_extract_all(t, '{sql}', {group + shift if group or not shift else 0}) AS tested "
+            f"FROM d WHERE regexp_matches(t, '{sql}')"
+        )
+    near = "EXISTS (SELECT 1 FROM spans o WHERE o.r = w.r AND o.role = '{}' AND abs(o.start - w.start) <= {})"
+    ident, secret = (near.format(r, SCOPE) for r in ("identifier", "secret"))
+    line = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place, stop)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({" UNION ALL ".join(blocks)}),
+numbered AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM hits),
+ends AS (
+  SELECT r, place, kind, role, least, length(tested[i]) - if(tested[i] = found[i], length(lead[i]), 0) AS k, length(found[i]) - length(lead[i]) AS n,
+         CAST(sum(length(parts[i]) + length(found[i])) OVER (PARTITION BY r, place ORDER BY i) AS BIGINT) AS stop
+  FROM numbered
+),
+spans AS (SELECT r, place, kind, role, stop - n AS start, stop FROM ends WHERE k >= least),
+kept AS (
+  SELECT * FROM spans WHERE place < {len(STRONG)}
+  UNION ALL
+  SELECT * FROM spans w WHERE place >= {len(STRONG)}
+    AND NOT EXISTS (SELECT 1 FROM spans a WHERE a.r = w.r AND a.kind = 'assign' AND a.start = w.start)
+    AND CASE role WHEN 'identifier' THEN {secret} WHEN 'secret' THEN {ident} ELSE {secret} AND {ident} END
+),
+sums AS (
+  SELECT r, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in STRONG)},
+         {line} FILTER (WHERE place < {len(STRONG)}) AS base, {line} AS spans
+  FROM kept GROUP BY r
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in STRONG)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums USING (r)
+"""
+
+
+ORACLE = _oracle()

@@ -155,6 +155,12 @@ def test_secret_parts_are_linked(spark):
     assert got[1].spans == "ident:0:13,phrase:14:28,endpoint:29:61"
     assert got[2].spans == got[3].spans == got[7].spans == ""
     assert [s.split(":")[0] for s in got[4].spans.split(",")] == ["access", "phrase", "endpoint"]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert multiset(con.execute(secrets.ORACLE).fetchall()) == multiset(tuple(r) for r in got.values())
     masked = {r.doc_id: r.text for r in secrets.mask_documents(frame).collect()}
     assert masked[1] == "[SECRET] [SECRET] [SECRET]" and masked[2] == rows[1][1] and masked[7] is None
     assert masked[5] == "é [SECRET] é [SECRET] [SECRET]"
@@ -353,6 +359,20 @@ def test_packing_odd_rows(spark, odd, empty, word_bpe):
     assert packing.pack(empty, word_bpe[0]).count() == 0
 
 
+def test_word_encoder_equals_library(word_bpe):
+    """Every character below U+3100 in several places, and random strings."""
+    path, library = word_bpe
+    own = packing.Encoder(path)
+    for c in range(1, 0x3100):
+        text = f"a{chr(c)}B {chr(c)}1 x{chr(c)}"
+        assert own(text, 2).tolist() == library(text), hex(c)
+    rng = np.random.default_rng(8)
+    parts = ["a", "B", "É", "e\u0301", "'s", "'RE", "1", "22", "<|", "<|endoftext|>", "<|startoftext|>", " ", "\n", "\xa0", "\u3000", "ß", "İ", "Σ", "ς", "…", "😀", "ﬁ", "-", "."]
+    for _ in range(3000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 12)))
+        assert own(text, 2).tolist() == library(text)
+
+
 def test_packer_keeps_few_windows_open():
     rng, done = np.random.default_rng(6), []
     packer = packing.Packer(done.append, 64, 5)
