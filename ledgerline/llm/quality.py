@@ -28,15 +28,18 @@ SYMBOLS = 64
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOL_CHARS = "#*$%&|<>"
-#: A band reaches this many quartile distances beyond either quartile of the
-#: language's log perplexity; a distance counts as LEAST_SPREAD at least.
-BAND = 4.0
-LEAST_SPREAD = 0.03
+#: A band reaches this many median absolute deviations to either side of the
+#: language's median log perplexity; a deviation counts as LEAST_SPREAD at least.
+BAND = 8.0
+LEAST_SPREAD = 0.016
 #: A text of n symbols may lie this / sqrt(n) further out: short texts vary more.
 SHORT_TEXT = 1.0
-#: A document's perplexity is the median over its segments of so many symbols,
-#: so that a quoted passage in another language does not decide it.
+#: A document's perplexity is the median over its segments of so many symbols.
+#: A rejected document must also have three quarters of its segments beyond
+#: INNER of the band, so that a quoted passage in another language does not
+#: decide it.
 SEGMENT = 256
+INNER = 0.7
 #: Log perplexities are read off histograms of this bin width.
 BIN = 0.001
 #: Codes gathered before they are sorted and merged into a task's counts.
@@ -220,12 +223,14 @@ class Model:
             logs[~seen] = np.log(self.prob(code[~seen]))
         return logs
 
-    def log_perplexity(self, code: np.ndarray) -> float:
-        """Median log perplexity of the text's segments (a last one of under
-        half a segment is joined to the one before it)."""
+    def log_perplexity(self, code: np.ndarray) -> tuple[float, float, float]:
+        """Median, lower and upper quartile of the log perplexities of the
+        text's segments (a last one of under half a segment is joined to the
+        one before it)."""
         starts = np.arange(0, max(len(code) - SEGMENT // 2, 1), SEGMENT)
         sizes = np.diff(np.append(starts, len(code)))
-        return float(np.median(-np.add.reduceat(self.log_prob(code), starts) / sizes))
+        each = -np.add.reduceat(self.log_prob(code), starts) / sizes
+        return tuple(np.quantile(each, (0.5, 0.25, 0.75)).tolist())
 
 
 def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +253,7 @@ def fit(counts: DataFrame) -> dict[str, Model]:
 
 # --- scoring --------------------------------------------------------------------
 
-_FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double, n_letters long"
+_FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double, low_ppl double, high_ppl double, n_letters long"
 
 
 def _scorer(models):
@@ -260,38 +265,47 @@ def _scorer(models):
                 text = text.as_py() or ""
                 words = text.encode().split()
                 code = codes_of(words) if words else ()
-                out.append((*base_of(text, words), by_lang[lang].log_perplexity(code) if len(code) else None, len(code)))
-            figures = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64()], strict=True)]
+                out.append((*base_of(text, words), *(by_lang[lang].log_perplexity(code) if len(code) else [None] * 3), len(code)))
+            figures = [pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.bool_(), *[pa.float64()] * 3, pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["lang"], batch["digest"], *figures],
-                names=["doc_id", "lang", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "n_letters"],
+                names=["doc_id", "lang", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "low_ppl", "high_ppl", "n_letters"],
             )
 
     return score
 
 
+def _weighted_median(rows: DataFrame, value: str) -> DataFrame:
+    """``lang, m``: the median of ``value`` weighted by ``n``, per language."""
+    upto = Window.partitionBy("lang").orderBy(value)
+    half = rows.withColumn("half", F.sum("n").over(upto) * 2 >= F.sum("n").over(Window.partitionBy("lang")))
+    return half.where("half").groupBy("lang").agg(F.min(value).alias("m"))
+
+
 def bands(scored: DataFrame, band: float = BAND) -> DataFrame:
-    """``b_lang, least, most``: limits of log perplexity from the quartiles of
-    each language's documents that pass the base rules.  Quartiles are exact
-    on a histogram, whose size is bounded by the range of log perplexity."""
+    """``b_lang, least, most``: limits of log perplexity around the median of
+    each language's distinct texts that pass the base rules.  A group of
+    copies counts once; median and deviation stand up to near copies of less
+    than half of the texts.  Both are exact on a histogram, whose size is
+    bounded by the range of log perplexity."""
     bins = (
         scored.where("not base_failed and log_ppl is not null")
+        .dropDuplicates(["lang", "digest"])
         .groupBy("lang", F.round(F.col("log_ppl") / BIN).cast("long").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("lang").orderBy("bin")
-    share = bins.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("lang")))
-    q = share.groupBy(F.col("lang").alias("b_lang")).agg(
-        (F.min(F.when(F.col("share") >= 0.25, F.col("bin"))) * BIN).alias("q1"),
-        (F.min(F.when(F.col("share") >= 0.75, F.col("bin"))) * BIN).alias("q3"),
-    )
-    reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD)) * band
-    return q.select("b_lang", (F.col("q1") - reach).alias("least"), (F.col("q3") + reach).alias("most"))
+    middle = _weighted_median(bins, "bin")
+    away = bins.join(middle, "lang").withColumn("away", F.abs(F.col("bin") - F.col("m"))).drop("m")
+    spread = _weighted_median(away, "away").select(F.col("lang").alias("b_lang"), F.col("m").alias("spread"))
+    reach = F.greatest(F.col("spread") * BIN, F.lit(LEAST_SPREAD)) * band
+    centre = F.col("m") * BIN
+    return middle.join(spread, F.col("lang") == F.col("b_lang")).select("b_lang", (centre - reach).alias("least"), (centre + reach).alias("most"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", band: float = BAND) -> DataFrame:
     """One row per input row: ``doc_id, lang, digest``, the base figures,
-    ``base_failed``, ``log_ppl`` (natural log of the perplexity per symbol),
+    ``base_failed``, ``log_ppl`` (natural log of the perplexity per symbol,
+    the median of the segments; ``low_ppl`` and ``high_ppl`` their quartiles),
     the language's ``least`` and ``most`` and ``kept``.
 
     A null text has no words (and fails the base rules); a null or odd
@@ -313,7 +327,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     scored = stored(rows.mapInArrow(_scorer(models), f"doc_id {id_type}, lang string, digest long, {_FIGURES}"), "quality")
     limits = bands(scored, band)
     more = F.lit(SHORT_TEXT) / F.sqrt(F.greatest("n_letters", F.lit(1)))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("least") - more, F.col("most") + more), F.lit(True))
+    shift = (F.col("most") - F.col("least")) / 2 * (1 - INNER)
+    below = (F.col("log_ppl") < F.col("least") - more) & (F.col("high_ppl") < F.col("least") + shift - more)
+    above = (F.col("log_ppl") > F.col("most") + more) & (F.col("low_ppl") > F.col("most") - shift + more)
+    inside = F.coalesce(~(below | above), F.lit(True))
     # One row of limits per language: languages are bounded by their tags' form.
     return (
         scored.join(F.broadcast(limits), scored["lang"] == limits["b_lang"], "left")
