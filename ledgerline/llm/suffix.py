@@ -169,7 +169,7 @@ class Chunk:
             np.add.at(edge, start, 1)
             np.add.at(edge, end, -1)
         covered = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-        borders = self.starts[1:]  # runs of neighbouring documents stay apart
+        borders = np.unique(self.starts[1:])  # runs of neighbouring documents stay apart
         change = covered[1:] != covered[:-1]
         start = np.flatnonzero(change & covered[1:])
         end = np.flatnonzero(change & covered[:-1])
@@ -334,8 +334,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other; ids may be null or repeated; other columns are not read; an empty
     table gives no rows.
     """
-    if length < 2 * PERIOD - PERIOD // 2 or length >= 4096:
-        raise ValueError(f"length must be from {2 * PERIOD - PERIOD // 2} to 4095")
+    if not PERIOD + 16 <= length < 4096:  # a tuple needs some bytes; a zone's shape is kept in 12 bits
+        raise ValueError(f"length must be from {PERIOD + 16} to 4095")
     spark = docs.sparkSession
     ready(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

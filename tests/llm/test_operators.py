@@ -47,9 +47,10 @@ def test_suffix_odd_rows(odd, empty):
     assert suffix.suffix_dedup(empty).count() == 0
 
 
-def test_suffix_random_edits(spark):
+@pytest.mark.parametrize("length", [150, 200])
+def test_suffix_random_edits(spark, length):
     """Many documents cut from few sources at random, so that repeats begin
-    and end at every residue."""
+    and end at every residue; whole copies with empty texts between them."""
     rng = np.random.default_rng(5)
     sources = ["".join(map(chr, rng.integers(97, 123, 1500))) for _ in range(4)]
     texts = []
@@ -59,9 +60,12 @@ def test_suffix_random_edits(spark):
             s, a, n = sources[rng.integers(4)], rng.integers(0, 1200), rng.integers(150, 500)
             text += s[a : a + n] + "".join(map(chr, rng.integers(97, 123, rng.integers(0, 30))))
         texts.append(text)
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix.suffix_dedup(frame).collect()}
-    assert got == dict(enumerate(brute.repeated_spans(texts)))
+    texts += ["", texts[0], "", "", texts[0], None, texts[0][:length], texts[0], ""]
+    for parts in (1, 3):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).repartition(parts)
+        found = suffix.suffix_dedup(frame, length=length)
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found.collect()}
+        assert got == dict(enumerate(brute.repeated_spans(texts, length)))
 
 
 def test_cover_is_complete():
