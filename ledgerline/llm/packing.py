@@ -13,14 +13,17 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.bpe import byte_characters
 from ledgerline.llm.common import ready, stored
 
 WINDOW = 4096
@@ -32,8 +35,8 @@ LEAST_CUT = 16
 #: Partitions whose leftovers are merged in one task.
 MERGED = 64
 END_ID = 2
-#: Pieces remembered by a tokenizing worker; emptied when full.
-REMEMBERED = 400_000
+#: Words, and pieces of words, that a tokenizing worker remembers.
+REMEMBERED = 600_000
 #: Rows of a task's output batch.
 ROWS = 20_000
 
@@ -43,36 +46,65 @@ PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long,
 # --- token ids ------------------------------------------------------------------
 
 
+# --- fixed values: the tokenizer's published split pattern ---------------------------
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# --- end of fixed values ---------------------------------------------------------------
+#: Words of these characters are in normal form already and have one spelling
+#: in lower case, so they are split here and only their pieces are looked up.
+PLAIN = regex.compile(r"[!-~\xa1-\u024f]+").fullmatch
+#: What the pattern leaves for lower-case ASCII without an apostrophe.
+ASCII = re.compile("[a-z]+|[0-9]|[^a-z0-9]+").findall
+
+
+class Words(dict):
+    """Ids of words, as the bytes of little-endian 32-bit numbers, worked out
+    when first asked for; emptied when full."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        self.chars = byte_characters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(self.pieces) >= REMEMBERED:
+            self.pieces.clear()
+        text = word.decode()
+        if word.isascii() and "'" not in text and "<|" not in text:
+            ids = b"".join(map(self._piece, ASCII(text.lower())))
+        elif PLAIN(text) and "<|" not in text:
+            ids = b"".join(map(self._piece, SPLIT.findall(text.lower())))
+        else:  # special strings, marks to compose, other scripts: the library's own steps
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            symbols = piece if piece.isascii() and piece.isprintable() else "".join(self.chars[b] for b in piece.encode())
+            ids = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+            self.pieces[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that drops white space: texts are cut
-    at ASCII white space, and the library encodes each distinct word once."""
+    at ASCII white space, and each distinct word is encoded once."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[bytes, list[int]] = {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.words = Words(tokenizer)
 
     def __call__(self, text: str, end_id: int) -> np.ndarray:
         words = text.encode().split()  # bytes split at ASCII white space only
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, e.ids) for w, e in zip(part, found, strict=True))
-        ids: list[int] = []
-        for w in words:
-            ids += known[w]
-        ids.append(end_id)
-        return np.array(ids, np.uint32)
+        return np.frombuffer(b"".join([*map(self.words.__getitem__, words), end_id.to_bytes(4, "little")]), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
