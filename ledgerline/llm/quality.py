@@ -2,7 +2,7 @@
 
 Base rules look at one document.  The model then judges how ordinary the
 text's spelling is for its language: Spark counts all character 4-grams of
-the corpus per language, the smoothed log probability of every seen n-gram
+the corpus' distinct texts per language, the smoothed log probability of every seen n-gram
 is kept in sorted hash arrays, and documents whose perplexity lies outside a
 band taken from their language's own distribution are rejected.
 
@@ -322,7 +322,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest"),
         text.alias("text"),
     )
-    models = spark.sparkContext.broadcast(fit(count_ngrams(rows.select("lang", "text"))))
+    # Copies of a text, however many, count once in the model as in the bands.
+    # Each task of the scan drops its own copies before the shuffle.
+    distinct = rows.select("lang", "digest", "text").dropDuplicates(["lang", "digest"])
+    models = spark.sparkContext.broadcast(fit(count_ngrams(distinct.select("lang", "text"))))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     scored = stored(rows.mapInArrow(_scorer(models), f"doc_id {id_type}, lang string, digest long, {_FIGURES}"), "quality")
     limits = bands(scored, band)

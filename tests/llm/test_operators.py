@@ -468,6 +468,21 @@ def test_quality_odd_rows(odd, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_keeps_a_hot_clean_text(spark):
+    """Copies of one clean text, a third of the rows, do not teach the model the text by heart."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+    clean = docs.join(labels, "doc_id").orderBy("doc_id").collect()
+    clean = [r for r in clean if not brute.quality_base(r.text)[-1]]
+    for r in (min(clean, key=lambda r: len(r.text)), max(clean, key=lambda r: len(r.text))):
+        n = docs.count() // 2
+        hot = spark.range(-n, 0).select(F.col("id").alias("doc_id"), F.lit(r.text).alias("text"), F.lit("en").alias("lang"))
+        got = quality.quality(docs.unionByName(hot))
+        assert got.where("doc_id < 0 and kept").count() == n
+        assert quality.keep_documents(docs.unionByName(hot)).where("doc_id < 0").count() == n
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(1)
     words = [bytes(rng.integers(97, 105, 5).tolist()) for _ in range(300)]
