@@ -483,6 +483,15 @@ def test_quality_keeps_a_hot_clean_text(spark):
         assert quality.keep_documents(docs.unionByName(hot)).where("doc_id < 0").count() == n
 
 
+def test_quality_rejects_labelled_junk(spark):
+    """Of labelled documents that pass the base rules, most bad ones go and the clean ones stay."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = QUERIES["op10_quality_rules"](spark, folder).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r.quality == 1: r.kept for r in got.collect()}
+    assert kept[False] <= 0.4 and kept[True] >= 0.99
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(1)
     words = [bytes(rng.integers(97, 105, 5).tolist()) for _ in range(300)]
