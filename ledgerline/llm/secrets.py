@@ -16,13 +16,14 @@ from ledgerline.llm.common import cut, sha256_text, text_or_empty
 # kind, pattern, group whose length is tested (0: the match), least length,
 # role.  The order is the order of kinds that start at the same position.
 # The first three are strong; in their patterns only the key words ignore
-# case (value classes hold both cases already).
+# case (value classes hold both cases already).  The key words of weak kinds may
+# follow a prefix that ends in "_" (DB_USER), which stays outside the span.
 KINDS = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, "secret"),
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18, "identifier"),
     ("hex", r"[0-9a-f]{16,}", 0, 16, "secret"),
-    ("ident", r"""(?i)(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|client_id|account_id|access_key(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+/-]+)""", 1, 3, "identifier"),
-    ("phrase", r"""(?i)(?<![A-Za-z0-9_])(?:pwd|pass|passphrase|credential|auth|private_key|password|passwd|secret|token)["']?\x20*[:=]\x20*["']?([!#-&(-~]+)""", 1, 6, "secret"),
+    ("ident", r"""(?i)(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_id|account_id|access_key(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+/-]+)""", 1, 3, "identifier"),
+    ("phrase", r"""(?i)(?<![A-Za-z0-9])(?:pwd|pass|passphrase|credential|auth|private_key|api_?key|password|passwd|secret|token)["']?\x20*[:=]\x20*["']?([!#-&(-~]+)""", 1, 6, "secret"),
     ("endpoint", r"(?i)(?<![a-z0-9])(?:https?|s3|ftp|sftp|amqp|redis|mysql|postgres(?:ql)?|mongodb)://[A-Za-z0-9._~:/?#@&=%+-]+", 0, 8, "endpoint"),
 ]
 STRONG = ("assign", "access", "hex")
@@ -193,6 +194,13 @@ def query(spark, sf_dir):
     return digest_columns(scan_secrets(documents(spark, sf_dir)))
 
 
+#: The weak patterns as the SQL states them, without prefixed keys and short API keys.
+SQL_PATTERNS = {
+    "ident": r"""(?i)(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|client_id|account_id|access_key(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+/-]+)""",
+    "phrase": r"""(?i)(?<![A-Za-z0-9_])(?:pwd|pass|passphrase|credential|auth|private_key|password|passwd|secret|token)["']?\x20*[:=]\x20*["']?([!#-&(-~]+)""",
+}
+
+
 def _either_case(pattern: str) -> str:
     """Letters of key words as classes: RE2's own case folding would also
     match letters outside ASCII."""
@@ -201,10 +209,12 @@ def _either_case(pattern: str) -> str:
 
 def _oracle() -> str:
     """The scan in DuckDB: spans from the lengths between matches; look-behind
-    becomes a leading group that is cut off again."""
+    becomes a leading group that is cut off again.  It knows no prefixed keys
+    (``SQL_PATTERNS``); the driver's tables hold none."""
     edge, lead = "(?<![", "(^|[^"
     blocks = []
     for at, (kind, pattern, group, least, role) in enumerate(KINDS):
+        pattern = SQL_PATTERNS.get(kind, pattern)
         shift = edge in pattern
         if pattern.startswith("(?i)"):
             # Only the key words (before the first separator or "://") hold letters outside classes.

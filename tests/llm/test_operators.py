@@ -170,6 +170,23 @@ def test_secret_parts_are_linked(spark):
     assert masked[5] == "é [SECRET] é [SECRET] [SECRET]"
 
 
+def test_secrets_prefixed_keys(spark):
+    """Key words after a prefix, and short API keys, are parts of credentials too."""
+    rows = [
+        (1, "DB_USER=admin\nDB_PASSWORD=hunter22\nDB_URL=postgres://db.internal:5432/main"),
+        (2, "APP_CLIENT_ID=svc-1 and my_api_key: k3yk3y"),
+        (3, "login=joe apikey=abc123"),
+        (4, "DB_PASSWORD=hunter22"),  # alone
+        (5, "superuser=admin DB_PASSWORD=hunter22"),  # no key word
+        (6, "DB_USER=admin DB_PASSWORD=hunter22hunter22"),  # long enough for the strong kind
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest_columns(secrets.scan_secrets(frame)).collect()}
+    assert got == {1: "ident:3:13,phrase:17:34,endpoint:42:74", 2: "ident:4:19,phrase:27:42", 3: "ident:0:9,phrase:10:23", 4: "", 5: "", 6: "ident:3:13,assign:17:42"}
+    masked = {r.doc_id: r.text for r in secrets.mask_documents(frame).collect()}
+    assert masked[1] == "DB_[SECRET]\nDB_[SECRET]\nDB_URL=[SECRET]"
+
+
 def test_secrets_odd_rows(odd, empty):
     got = secrets.scan_secrets(odd)
     assert got.count() == len(ODD)
