@@ -20,6 +20,7 @@ from ledgerline.llm.common import cut, ready, sha256_text, text_or_empty
 # --- fixed values: titles by the gender they show -------------------------------------
 MALE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Госпожа|Κυρία"
+NEUTRAL = "Dr|Prof|Doctor|Doktor|Docteur|Professor|Доктор|Профессор"
 # --- end of fixed values ----------------------------------------------------------------
 
 # Every pattern starts at a boundary and has bounded repeats (or possessive
@@ -34,13 +35,17 @@ PHONE = (
     r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])"
 )
 CARD = r"(?<![\p{L}\p{N}+])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
-MALE, FEMALE = f"{MALE}|{MALE.upper()}", f"{FEMALE}|{FEMALE.upper()}"
-WORD = rf"(?!(?:{MALE}|{FEMALE})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'’-]{{1,40}}"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE})\.? {WORD}(?: {WORD}){{0,2}}"
+MALE, FEMALE, NEUTRAL = (f"{x}|{x.upper()}" for x in (MALE, FEMALE, NEUTRAL))
+TITLE = f"{MALE}|{FEMALE}|{NEUTRAL}"
+# A word of a name; quotation marks and a possessive 's after it are not part of it.
+WORD = rf"(?!(?:{TITLE})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}|-(?=\p{{L}})|['’](?=\p{{L}})(?![sS](?!\p{{L}}))){{1,40}}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.? {WORD}(?: {WORD}){{0,2}}"
+# A word that may be a later mention of a name.
+PLAIN = rf"(?<![\p{{L}}\p{{N}}]){WORD}(?!\p{{L}})"
 ANY = "|".join((EMAIL, IBAN, IP, SSN, PHONE, CARD, NAME))
 
 KEY = "ledgerline"
-NAMES = ("given_m", "given_f", "surname")
+NAMES = ("given", "given_m", "given_f", "surname")
 KINDS = ("email", "iban", "ip", "ssn", "phone", "card", "name")
 #: Draws of a surrogate before the space of a type counts as exhausted.
 DRAWS = 64
@@ -84,7 +89,7 @@ def _kind(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike(rf"^(?:{MALE}|{FEMALE})\.? "), "name")
+        .when(m.rlike(rf"^(?:{TITLE})\.? "), "name")
         .when(m.rlike("^[A-Z]"), "iban")
         .when(whole(IP), "ip")
         .when(whole(SSN), "ssn")
@@ -98,7 +103,7 @@ def _units(m: Column, kind: Column) -> Column:
     """The parts of a match that are replaced separately: (kind, raw, norm).
     A name has its title, given names and the surname; others are one part."""
     words = F.split(m, " ")
-    gender = F.when(m.rlike(rf"^(?:{MALE})\.? "), "given_m").otherwise("given_f")
+    gender = F.when(m.rlike(rf"^(?:{MALE})\.? "), "given_m").when(m.rlike(rf"^(?:{FEMALE})\.? "), "given_f").otherwise("given")
     last = F.size(words) - 1
     of_name = F.transform(
         words,
@@ -153,6 +158,7 @@ def _draw(key: str) -> Column:
     latin = (
         F.when(F.col("kind") == "surname", F.concat(syllables(4), F.lit("r")))
         .when(F.col("kind") == "given_f", F.concat(syllables(3), F.substring(letters, 9, 1), F.lit("a")))
+        .when(F.col("kind") == "given", F.concat(syllables(3), F.substring(letters, 9, 1), F.lit("i")))
         .otherwise(F.concat(syllables(3), F.substring(letters, 9, 1), F.lit("on")))
     )
     script = _script(F.col("norm"))
@@ -198,6 +204,40 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {DRAWS} draws")
 
 
+def _assign_names(entities: DataFrame, key: str) -> DataFrame:
+    """:func:`assign`, where a given name after a neutral title is the one
+    that a gendered title shows elsewhere, if any."""
+    entities = cut(entities.select("kind", "norm").distinct())
+    shown = entities.where("kind in ('given_m', 'given_f')").groupBy("norm").agg(F.min("kind").alias("shown"))
+    same = cut(entities.where("kind = 'given'").join(shown, "norm").select("kind", "norm", "shown"))
+    table = assign(entities.join(same.select("kind", "norm"), ["kind", "norm"], "left_anti"), key)
+    again = same.join(table.select(F.col("kind").alias("shown"), "norm", "new"), ["shown", "norm"]).select("kind", "norm", "new")
+    return table.unionByName(again)
+
+
+def _later_mentions(found: DataFrame, new: DataFrame) -> DataFrame:
+    """``p_id, p_digest, plain``: for texts with names, the capitalised words
+    of each piece between the entities, those that are a name's word of the
+    same text replaced.  A word that is both surname and given name there
+    counts as the surname."""
+    key = ["doc_id", "digest"]
+    names = new.where(F.col("kind").isin(*NAMES)).groupBy(*[F.col(c).alias(f"n_{c}") for c in key], F.col("norm").alias("n_norm")).agg(
+        F.max_by(F.struct("kind", "new"), "kind").alias("name")
+    )
+    named = names.select(F.col("n_doc_id").alias("s_id"), F.col("n_digest").alias("s_digest")).distinct()
+    texts = found.join(named, found["doc_id"].eqNullSafe(named["s_id"]) & (found["digest"] == named["s_digest"]), "left_semi")
+    words = (
+        texts.select(*key, F.posexplode(F.split("text", ANY, -1)).alias("at", "piece"))
+        .select(*key, "at", F.posexplode_outer(F.regexp_extract_all("piece", F.lit(PLAIN), F.lit(0))).alias("i", "raw"))
+    )
+    on = words["doc_id"].eqNullSafe(names["n_doc_id"]) & (words["digest"] == names["n_digest"]) & (F.lower("raw") == names["n_norm"])
+    each = words.join(names, on, "left").withColumn("out", _formatted(F.col("name.kind"), F.col("raw"), F.col("name.new")))
+    pieces = each.groupBy(*key, "at").agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "out")))).alias("words"))
+    return pieces.groupBy(F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "words"))).alias("plain")
+    )
+
+
 def _formatted(kind: Column, raw: Column, new: Column) -> Column:
     """A surrogate in the format of the text it replaces."""
     keep = F.when((kind == "phone") & (F.length(_digits(raw)) > 10), F.expr("substring(regexp_replace(raw, '[^0-9]', ''), 1, length(regexp_replace(raw, '[^0-9]', '')) - 10)")).otherwise(F.lit(""))
@@ -219,7 +259,9 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text stays null and counts no entities; empty texts and texts
     without entities are unchanged; rows that repeat (id, text) get the same
     result; ids may be null; other columns are not read.  A number is a card
-    only if its check digit is right.
+    only if its check digit is right.  Names are found after a title; their
+    words get the same surrogates wherever else they stand capitalised in the
+    same text (``n_name`` counts the mentions with a title).
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", sha256_text(text_or_empty("text")))
@@ -235,7 +277,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             *id_digest, "at", "of", "part", "u.kind", "u.raw", "u.norm"
         )
     )
-    table = assign(units.where("kind not in ('title', 'none')"), key)
+    table = _assign_names(units.where("kind not in ('title', 'none')"), key)
     # An entity may be mentioned by a large share of the texts; it is one row
     # here, and adaptive execution splits its mentions.
     new = units.join(table, ["kind", "norm"], "left").withColumn("out", _formatted(F.col("kind"), F.col("raw"), F.col("new")))
@@ -249,11 +291,15 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
     )
     on = rows["doc_id"].eqNullSafe(by_text["d_id"]) & (rows["digest"] == by_text["d_digest"])
+    plain = _later_mentions(rows.where(F.col("text").rlike(NAME)).dropDuplicates(id_digest), new)
+    on_plain = rows["doc_id"].eqNullSafe(plain["p_id"]) & (rows["digest"] == plain["p_digest"])
+    inner = lambda a, w: F.array_join(F.zip_with(F.split(a, PLAIN, -1), w["words"]["out"], lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
     between = F.split("text", ANY, -1)
+    between = F.when(F.col("plain").isNull(), between).otherwise(F.zip_with(between, "plain", inner))
     replaced = F.array_join(F.zip_with(between, "new.out", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     counts = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS]
     total = sum((F.coalesce(f"n_{k}", F.lit(0).cast("long")) for k in KINDS), F.lit(0).cast("long"))
-    return rows.join(by_text, on, "left").select(
+    return rows.join(by_text, on, "left").join(plain, on_plain, "left").select(
         "doc_id", total.alias("n_entities"), *counts, F.when(F.col("new").isNull(), F.col("text")).otherwise(replaced).alias("text")
     )
 

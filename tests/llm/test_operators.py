@@ -443,6 +443,27 @@ def test_surrogates(spark):
     assert pii.surrogates(frame.limit(0)).count() == 0
 
 
+def test_surrogates_of_later_mentions(spark):
+    """Names found after a title are replaced wherever else they stand in the same text."""
+    rows = [
+        (1, "Mr. John Smith came. Then John Smith left; 'Smith' and SMITH's dog, Smithson and a smith a@b.co Smith"),
+        (2, "Dr. John Smith and Prof. Kim Lee: Kim's note to O'Brien@x.com, Lee"),
+        (3, "John Smith without a title"),
+        (None, "Mrs Ada Berg, Ada"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r for r in pii.surrogates(frame).collect()}
+    import re
+
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Then (\w+) (\w+) left; '(\w+)' and ([A-Z]+)'s dog, Smithson and a smith \S+@\S+ (\w+)", by[1].text)
+    assert one and one[1] == one[3] != "John" and one[2] == one[4] == one[5] == one[7] != "Smith" and one[6] == one[2].upper()
+    two = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. (\w+) (\w+): (\w+)'s note to O'(\S+@\S+), (\w+)", by[2].text)
+    assert two and two.group(1, 2) == one.group(1, 2) and two[3] == two[5] != "Kim" and two[4] == two[7] != "Lee" and two[6] != "Brien@x.com"
+    assert by[3].text == rows[2][1] and by[3].n_entities == 0
+    last = re.fullmatch(r"Mrs (\w+) (\w+), (\w+)", by[None].text)
+    assert last and last[1] == last[3] != "Ada" and by[None].n_name == 1
+
+
 def test_surrogates_are_distinct(spark, monkeypatch):
     """With a tiny space almost all draws collide; distinctness still holds."""
     monkeypatch.setattr(pii, "_draw", lambda key: (F.xxhash64("norm", "draw") % 50).cast("string"))
