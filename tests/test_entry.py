@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
