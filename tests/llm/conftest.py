@@ -2,12 +2,9 @@ import pathlib
 import sys
 
 import pytest
+from odd_rows import ODD
 
-HERE = pathlib.Path(__file__).resolve().parent
-sys.path[:0] = [str(HERE), str(HERE.parents[1])]
-
-LONG = "lorem ipsum dolor " * 3000
-COPY = "the quick brown fox jumps over the lazy dog near the old river bank while seven small birds sing " * 4
+sys.path.append(str(pathlib.Path(__file__).resolve().parents[2]))
 
 
 @pytest.fixture(scope="session")
@@ -30,14 +27,6 @@ def documents(spark, sf):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
 
 
-#: Nulls, empty and very long texts, ties, repeated rows, odd languages.
-ODD = [
-    (1, None, "en"), (2, "", None), (3, "   \n\t", "en"), (4, "one", "EN-us"), (5, LONG, "en"), (6, COPY, "de"), (7, COPY, "de"),
-    (7, COPY, "de"), (8, COPY + "end", "??"), (None, COPY, "en"), (None, "x y z", "en"), (9, "ABC abc ÀÉ " * 30, "fr"),
-    (10, "<|endoftext|> a<|endoftext|>　́é  \r\n", "en"), (11, "a" * 5000, "en"),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """The odd rows, with extra columns whose names clash with inner ones."""

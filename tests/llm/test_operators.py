@@ -7,7 +7,7 @@ import hashlib
 import brute
 import numpy as np
 import pytest
-from conftest import COPY, ODD
+from odd_rows import COPY, ODD
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, chat, class_lm, exact_dedup, packing, pii, quality, secrets, simhash, suffix
