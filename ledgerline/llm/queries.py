@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerline.llm import bpe, chat, class_lm, exact_dedup, packing, pii, quality, secrets, simhash, suffix
+from ledgerline.llm import bpe, chat, class_lm, exact_dedup, packing, pii, quality, secrets, simhash, suffix, token_count, vector_codes, whitening
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_pii_surrogates": pii.query,
     "op10_quality_rules": quality.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_whitening": whitening.query,
+    "op13_token_counts": token_count.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
