@@ -87,7 +87,8 @@ def _grain_invariant(spark, sf_dir):
 
 # Step 7: dashboard analytics.  Scopes are feature parameters: the whole
 # snapshot, a product selection, and one calendar year with its prior year.
-import datetime as _dt  # noqa: E402
+import datetime as _dt
+import uuid as _uuid  # noqa: E402
 
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -463,47 +464,69 @@ def _source_dedup(spark, sf_dir):
     return P.signature_duplicates(docs, "doc_id", [F.col("text")])
 
 
-@register("csv_roundtrip")
-def _csv_roundtrip(spark, sf_dir):
-    """Write the raw rows as CSV files, several per archive, read them back
-    with the CSV reader and number the records of each file (SRC-2, SRC-5,
-    WIN-3)."""
-    from ledgerline.schema import RAW_FIELDS
-    from ledgerline.sources import raw as R
+#: Rows of one exported CSV file, about.
+CSV_ROWS = 20_000
 
-    from ledgerline.plans.warehouse import _complete
+
+def _csv_export(spark, sf_dir):
+    """The raw rows as CSV files, read back with record numbers (SRC-2, SRC-5,
+    WIN-3).  A large archive becomes several files: as many buckets of the ID's
+    md5 as its rows need, each sorted by ID.  Any of them may be read by
+    several tasks."""
+    from ledgerline.schema import RAW_FIELDS
+    from ledgerline.sources import csv_ranges
 
     w = for_testdata(spark, sf_dir)
-    path = f"{w.store}/csv_export"
-    raw = _raw(spark, sf_dir)
-    if not _complete(spark, path):
-        # A large archive becomes several files: rows are dealt by archive and
-        # a few salts, so no task writes (or later reads) a whole archive.
-        salt = F.pmod(F.xxhash64("Complaint ID"), F.lit(8))
+
+    def build():
+        path = f"{w.store}/csv_export-{_uuid.uuid4().hex}"
+        raw = _raw(spark, sf_dir)
+        files = raw.groupBy("_source_archive").agg((F.floor(F.count(F.lit(1)) / CSV_ROWS) + 1).alias("files"))
+        number = F.conv(F.substring(F.md5("Complaint ID"), 1, 8), 16, 10).cast("long")
         (
             raw.select(*[F.col(f"`{c}`") for c in RAW_FIELDS], "_source_archive")
-            .repartition("_source_archive", salt)
-            .write.mode("overwrite")
-            .option("header", True)
+            .join(F.broadcast(files), "_source_archive")  # one row per archive
+            .withColumn("bucket", F.pmod(number, F.col("files")))
+            .drop("files")
+            .repartition("_source_archive", "bucket")
+            .sortWithinPartitions("_source_archive", "bucket", "Complaint ID", F.md5("Consumer complaint narrative"))
+            .write.option("header", True)
             .option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
-            .option("maxRecordsPerFile", 50_000)
-            .partitionBy("_source_archive")
+            .partitionBy("_source_archive", "bucket")
             .csv(path)
         )
-    narrow = R.read_csv(spark, path).select(
-        "_source_archive",
-        F.col("_metadata.file_path").alias("_source_file"),
-        (F.trim(F.col("`Consumer complaint narrative`")) != "").alias("has_narrative"),
-    )
-    n = F.col("_source_record_number")
-    per_file = R.with_record_numbers(narrow).groupBy("_source_archive", "_source_file").agg(
+        back = csv_ranges.read_csv_numbered(spark, path)
+        return back.select(
+            F.url_decode(F.regexp_extract("_source_file", "_source_archive=([^/]+)", 1)).alias("_source_archive"),
+            F.regexp_extract("_source_file", "bucket=([0-9]+)", 1).cast("long").alias("bucket"),
+            F.col("Complaint ID").alias("complaint_id"),
+            F.col("_source_record_number").alias("record_number"),
+            F.col("Consumer complaint narrative").alias("narrative"),
+        )
+
+    return w.memo("__csv_export", build)
+
+
+@register("csv_records")
+def _csv_records(spark, sf_dir):
+    """Every record of the exported files with its number."""
+    rows = _csv_export(spark, sf_dir)
+    return rows.withColumn("narrative_md5", F.md5("narrative")).drop("narrative")
+
+
+@register("csv_roundtrip")
+def _csv_roundtrip(spark, sf_dir):
+    """Counts of the records read back, and whether the numbers of each file
+    run from 1 to its rows."""
+    n = F.col("record_number")
+    per_file = _csv_export(spark, sf_dir).groupBy("_source_archive", "bucket").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(n).alias("first"),
         F.max(n).alias("last"),
         F.sum(n).alias("total"),
-        F.count_if("has_narrative").alias("narratives"),
+        F.count_if(F.trim("narrative") != "").alias("narratives"),
     )
     # Numbers 1..rows of a file, each once: right ends and the right sum.
     exact = (F.col("first") == 1) & (F.col("last") == F.col("rows")) & (F.col("total") * 2 == F.col("rows") * (F.col("rows") + 1))

@@ -61,6 +61,16 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
 
 
+def shared_table(df, name: str):
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts
+    lineage, and a lost executor takes nothing with it."""
+    import uuid
+
+    path = shared_path(df.sparkSession, "ledgerline-tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_status(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """``(path, bytes, modification time)`` of what ``path`` (a glob) names, in
     whatever file system Spark reads it from; empty if it names nothing."""

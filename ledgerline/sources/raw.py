@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ledgerline.functions.dates import parse_mixed_date
 from ledgerline.functions.text import SPACE_CLASS
 from ledgerline.schema import RAW_FIELDS
+from ledgerline.sources.csv_ranges import read_csv_numbered
 
 
 def read_csv(spark: SparkSession, paths: list[str] | str, encoding: str = "UTF-8") -> DataFrame:
@@ -71,12 +72,13 @@ def with_record_numbers(df: DataFrame, file_col: str = "_source_file") -> DataFr
     """1-based logical record number per source file (SRC-5, WIN-3).
 
     ``file_col`` must hold the full path: files of the same name in different
-    folders are different files.  A multi-line CSV file is not splittable, so
-    one task reads it whole and in order; counting rows per file inside each
+    folders are different files.  :func:`read_csv` gives a multi-line file to
+    one task, which reads it whole and in order; counting rows per file inside each
     task is therefore the record number.  This runs as an Arrow-batched
     ``mapInPandas`` over the scan: no shuffle, no sort, and the counter is
-    evaluated exactly once.  For Parquet, whose files are split, use
-    :func:`parquet_record_number`.
+    evaluated exactly once.  Batch intake reads CSV in byte ranges
+    (``csv_ranges.read_csv_numbered``); for Parquet, whose files are split too,
+    use :func:`parquet_record_number`.
     """
     from ledgerline.session import ship_package
 
@@ -118,14 +120,14 @@ def ingest(
     """
     parts, gates = [], []
     for path, archive, priority in sources:
-        raw = require_columns(read_csv(spark, path) if fmt == "csv" else read_parquet(spark, path))
-        file = F.col("_metadata.file_path")
-        columns = [*[F.col(f"`{c}`") for c in RAW_FIELDS], file.alias("_source_file")]
-        gates.append(raw.select("Date received", "Complaint ID"))
+        columns = [F.col(f"`{c}`") for c in RAW_FIELDS]
         if fmt == "csv":
-            numbered = with_record_numbers(raw.select(*columns))
+            raw = require_columns(read_csv_numbered(spark, path))
+            numbered = raw.select(*columns, "_source_file", "_source_record_number")
         else:
-            numbered = raw.select(*columns, parquet_record_number())
+            raw = require_columns(read_parquet(spark, path))
+            numbered = raw.select(*columns, F.col("_metadata.file_path").alias("_source_file"), parquet_record_number())
+        gates.append(raw.select("Date received", "Complaint ID"))
         parts.append(
             numbered.withColumn("_source_csv", F.regexp_extract("_source_file", r"([^/]+)$", 1))
             .drop("_source_file")

@@ -438,6 +438,13 @@ _RAW_DATE = _date('"Date received"')
 _NARR = "coalesce(trim(\"Consumer complaint narrative\"), '') <> ''"
 from ledgerline.plans.profile import BLANK_FIELDS as _BLANK_FIELDS, VALUE_FIELDS as _VALUE_FIELDS  # noqa: E402
 
+_CSV_FILES = (
+    "archive_files AS (SELECT _source_archive, count(*) // 20000 + 1 AS files FROM incoming GROUP BY 1),\n"
+    "bucketed AS (SELECT i.*, CAST('0x' || substr(md5(\"Complaint ID\"), 1, 8) AS BIGINT) % files AS bucket "
+    "FROM incoming i JOIN archive_files USING (_source_archive)),\n"
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY _source_archive, bucket "
+    "ORDER BY \"Complaint ID\", md5(\"Consumer complaint narrative\")) AS number FROM bucketed)"
+)
 _IV = (
     "iv AS (SELECT _source_archive AS name, _source_priority AS priority, "
     f"CAST(date_trunc('month', min({_RAW_DATE})) AS DATE) AS first_month, "
@@ -516,10 +523,16 @@ ORACLES.update(
             "(SELECT md5(text) AS signature, min(doc_id) AS kept_id FROM documents GROUP BY 1) f "
             "ON d.signature = f.signature WHERE d.doc_id <> f.kept_id"
         ),
+        "csv_records": with_models(
+            'SELECT _source_archive, bucket, "Complaint ID" AS complaint_id, number AS record_number, md5("Consumer complaint narrative") AS narrative_md5 FROM numbered',
+            ctes=_CSV_FILES,
+        ),
         "csv_roundtrip": with_models(
-            "SELECT _source_archive, count(*) AS rows, CAST(1 AS BIGINT) AS first_record, count(*) AS records_numbered, "
-            "true AS numbers_exact, count(*) FILTER (WHERE trim(\"Consumer complaint narrative\") <> '') AS rows_with_narrative "
-            "FROM incoming GROUP BY 1"
+            "SELECT _source_archive, CAST(sum(n) AS BIGINT) AS rows, min(first) AS first_record, CAST(sum(last) AS BIGINT) AS records_numbered, "
+            "bool_and(first = 1 AND last = n AND numbers = n) AS numbers_exact, CAST(sum(narratives) AS BIGINT) AS rows_with_narrative "
+            "FROM (SELECT _source_archive, bucket, count(*) AS n, min(number) AS first, max(number) AS last, count(DISTINCT number) AS numbers, "
+            "count(*) FILTER (WHERE trim(\"Consumer complaint narrative\") <> '') AS narratives FROM numbered GROUP BY 1, 2) f GROUP BY 1",
+            ctes=_CSV_FILES,
         ),
         "export_grains": with_models(
             " UNION ALL ".join(
