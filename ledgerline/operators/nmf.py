@@ -18,6 +18,7 @@ tested every 10 iterations on the relative error decrease.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -38,6 +39,7 @@ class NmfResult:
     components: np.ndarray  # k x p
     iterations: int
     error: float
+    errors: list[float]  # Frobenius distance of X and WH before each update and at the end
 
 
 def _xdot(b, m: np.ndarray) -> np.ndarray:
@@ -92,6 +94,7 @@ def fit(
     oversamples: int = 10,
     checkpoint_every: int = 10,
 ) -> NmfResult:
+    """Factorise from the NNDSVDa start until the error rests."""
     spark = weights.sparkSession
     sc = spark.sparkContext
     ensure_checkpoint_dir(spark)
@@ -180,7 +183,48 @@ def fit(
 
     state = blocks.map(init_w).persist(StorageLevel.MEMORY_AND_DISK)
 
-    # --- multiplicative updates -----------------------------------------
+    result = _updates(spark, state, h, x_sq, max_iter, tol, checkpoint_every)
+    for rdd in (blocks, state):  # the assignment is stored: nothing else is needed
+        rdd.unpersist()
+    for b in (proj, init):
+        b.unpersist()
+    return result
+
+
+def hash_start(kind: str, topic: int, name) -> float:
+    """A number above 0 and at most 1 from the first 24 bits of an md5, the
+    same on any machine and in SQL."""
+    return (int(hashlib.md5(f"{kind}:{topic}:{name}".encode()).hexdigest()[:6], 16) + 1) / 2**24
+
+
+def steps(weights: DataFrame, n_docs: int, n_features: int, k: int, updates: int, checkpoint_every: int = 10) -> NmfResult:
+    """A fixed number of updates from a start computed by hash: W from topic
+    and document id, H from topic and term index.  Nothing is random and
+    nothing depends on the data's order, so the result can be checked against
+    plain matrix algebra; ``errors`` is the certificate that each update
+    lowers the objective."""
+    spark = weights.sparkSession
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    blocks = _blocks(weights, max(1, math.ceil(n_docs / BLOCK_DOCS)))
+
+    def begin(b):
+        w = [[hash_start("w", j, doc) for j in range(k)] for doc in b["ids"]]
+        return dict(b, W=np.array(w).reshape(-1, k))
+
+    state = blocks.map(begin).persist(StorageLevel.MEMORY_AND_DISK)
+    h = np.array([[hash_start("h", j, t) for t in range(n_features)] for j in range(k)]).reshape(k, n_features)
+    x_sq = state.map(lambda b: float(b["data"] @ b["data"])).treeReduce(lambda a, b: a + b)
+    result = _updates(spark, state, h, x_sq, updates, None, checkpoint_every)
+    state.unpersist()
+    return result
+
+
+def _updates(spark, state, h: np.ndarray, x_sq: float, max_iter: int, tol: float | None, checkpoint_every: int) -> NmfResult:
+    """Multiplicative updates of blocks holding W rows, until ``max_iter`` or,
+    with ``tol``, until the relative decrease over 10 updates falls below it."""
+    sc, p = spark.sparkContext, h.shape[1]
+
     def step(b, hb):
         hh, hht = hb.value
         w = b["W"]
@@ -198,6 +242,7 @@ def fit(
         return math.sqrt(max(x_sq - 2.0 * cross + float(np.sum((wtw @ hh) * hh)), 0.0) )
 
     error_at_init = previous = err = None
+    errors: list[float] = []
     it = 0
     cur = state.map(lambda b: (b, None))  # (block entering the step, stats)
     prev = None
@@ -208,11 +253,12 @@ def fit(
             nxt.checkpoint()  # reliable checkpoint in spark.checkpoint.dir
         cross, wtw_old, wtx, wtw = nxt.map(lambda t: t[1]).treeReduce(_add)
         err = error(cross, wtw_old, h)  # error of the state entering this step
+        errors.append(err)
         stop = False
         if error_at_init is None:
             error_at_init = previous = err
-            stop = err == 0.0  # already exact
-        elif it % 10 == 0:
+            stop = tol is not None and err == 0.0  # already exact
+        elif tol is not None and it % 10 == 0:
             stop = (previous - err) / error_at_init < tol
             previous = err
         hb.unpersist()
@@ -236,9 +282,7 @@ def fit(
             yield (doc, topic, float(row.max()))
 
     topics = spark.createDataFrame(final_state.flatMap(assign), "doc_id string, topic int, weight double").checkpoint()
-    for rdd in (blocks, state, prev, cur):  # the assignment is stored: nothing else is needed
+    for rdd in (prev, cur):
         if rdd is not None:
             rdd.unpersist()
-    for b in (proj, init):
-        b.unpersist()
-    return NmfResult(topics, final_h, it, err)
+    return NmfResult(topics, final_h, it, err, errors)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from ledgerline.plans.warehouse import for_testdata
 
@@ -337,32 +337,27 @@ def _representative_quote(spark, sf_dir):
     )
 
 
-# Step 10: TF-IDF and NMF themes.  The readers of an assignment are registered
-# on one that SQL can express too: topic and weight from the ID and the length.
+# Step 10: TF-IDF and NMF themes.  Registered readers of an assignment use the
+# one after a fixed number of updates from the hash start, which SQL can follow.
+TOPIC_UPDATES = 3
+
+
 def _themes(spark, sf_dir):
     from ledgerline.plans import topics as T
 
     w = for_testdata(spark, sf_dir)
 
     def build():
-        assigned, labels = T.discover(_two_periods(spark, sf_dir))
-        # labels and assignment come from one fit and are stored together
-        w.derived("theme_labels", lambda: labels)
-        return w.derived("theme_assignments", lambda: assigned), w.derived("theme_labels", lambda: labels)
+        found = T.topic_steps(_two_periods(spark, sf_dir), TOPIC_UPDATES)
+        # all parts come from one run and are stored together
+        return T.TopicSteps(*[w.derived(f"theme_{name}", lambda part=part: part) for name, part in zip(found._fields, found)])
 
     return w.memo("__themes", build)
 
 
-THEME_LABELS = ["the · of", "and · in", "que · de", "der · die", "la · les", "is · to"]
-
-
 def _assigned(spark, sf_dir):
-    """The two-period corpus with topic = first hex digit of md5(ID) modulo 6
-    and weight = length modulo 97 over 97; labels of fixed words."""
-    frame = _two_periods(spark, sf_dir)
-    digit = F.conv(F.substring(F.md5("complaint_id"), 1, 1), 16, 10).cast("int")
-    assigned = frame.withColumn("topic", digit % 6).withColumn("weight", (F.length("excerpt") % 97) / F.lit(97.0))
-    return assigned, spark.createDataFrame(list(enumerate(THEME_LABELS)), "topic int, theme string")
+    found = _themes(spark, sf_dir)
+    return found.assigned.withColumn("weight", F.round("weight", 7)), found.labels
 
 
 def _tfidf(spark, sf_dir):
@@ -386,15 +381,39 @@ def _tfidf_weights(spark, sf_dir):
     )
 
 
+@register("topic_steps")
+def _topic_steps(spark, sf_dir):
+    """Each narrative's theme and weight after the updates (TXT-5, TXT-6)."""
+    return _assigned(spark, sf_dir)[0].select("complaint_id", "period", "topic", "weight")
+
+
+@register("topic_components")
+def _topic_components(spark, sf_dir):
+    """The terms' weights in each theme after the updates (TXT-5)."""
+    return _themes(spark, sf_dir).components.withColumn("weight", F.round("weight", 7))
+
+
+@register("topic_objective")
+def _topic_objective(spark, sf_dir):
+    """Distance of the matrix and its factors before each update and after the
+    last; no update raises it (TXT-5)."""
+    found = _themes(spark, sf_dir).objective
+    before = F.lag("error").over(Window.orderBy("step"))  # one row per update
+    return found.select("step", F.round("error", 6).alias("error"), F.coalesce(F.col("error") <= before, F.lit(True)).alias("not_higher"))
+
+
+@register("topic_labels")
+def _topic_labels(spark, sf_dir):
+    """Each theme's four heaviest terms (TXT-7)."""
+    return _themes(spark, sf_dir).labels
+
+
 @register("topics")
 def _topics(spark, sf_dir):
-    """The fitted assignment, summed up per period (TXT-5, TXT-6): all rows
-    have a topic in range and a weight that is not negative."""
-    assigned, _ = _themes(spark, sf_dir)
-    return assigned.groupBy("period").agg(
-        F.count(F.lit(1)).alias("narratives"),
-        F.bool_and(F.col("topic").between(-1, 5)).alias("topics_in_range"),
-        F.bool_and(F.col("weight") >= 0).alias("weights_not_negative"),
+    """Narratives and their weight per period and theme (TXT-6)."""
+    assigned, _ = _assigned(spark, sf_dir)
+    return assigned.groupBy("period", "topic").agg(
+        F.count(F.lit(1)).alias("narratives"), F.round(F.sum("weight"), 4).alias("weight"), F.round(F.max("weight"), 6).alias("strongest")
     )
 
 

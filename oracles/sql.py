@@ -610,32 +610,85 @@ ORACLES["evidence_budget"] = with_models(
     "OR NOT EXISTS (SELECT 1 FROM steps WHERE keep <= 100) ORDER BY k LIMIT 1)",
 )
 
-# --- themes on the deterministic assignment, TF-IDF weights --------------------
-from ledgerline.plans.registry import THEME_LABELS  # noqa: E402
+# --- TF-IDF weights, themes after a fixed number of updates ---------------------
+from ledgerline.plans.registry import TOPIC_UPDATES  # noqa: E402
 
-_HEX = "strpos('0123456789abcdef', substr(md5(complaint_id), 1, 1)) - 1"
-_ASSIGNED = (
-    _FRAME
-    + f", asg AS (SELECT *, CAST(({_HEX}) % 6 AS INTEGER) AS topic, (length(excerpt) % 97) / 97.0 AS weight, "
-    "coalesce(nullif(issue, ''), 'Issue not recorded') AS concern FROM fr), "
-    "lab AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(THEME_LABELS)) + ") AS v(topic, theme))"
-)
 _WEIGHTS = (
-    ORACLES["tfidf_vocabulary"].partition("tok AS (")[2].rpartition("\nSELECT CAST(row_number()")[0]
+    _FRAME + ", tok AS ("
+    + ORACLES["tfidf_vocabulary"].partition("tok AS (")[2].rpartition("\nSELECT CAST(row_number()")[0]
+    + ", voc AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, term, df FROM ("
+    "SELECT term, df, cf FROM st WHERE df >= 2 AND df <= 0.95 * (SELECT count(*) FROM fr) ORDER BY cf DESC, term LIMIT 4000)), "
+    "x AS MATERIALIZED (SELECT complaint_id AS d, term_index AS t, w / sqrt(sum(w * w) OVER (PARTITION BY complaint_id)) AS v FROM ("
+    "SELECT c.complaint_id, v.term_index, (1 + ln(c.tf)) * (ln((1.0 + n.n) / (1.0 + v.df)) + 1) AS w "
+    "FROM cnt c JOIN voc v ON c.term = v.term CROSS JOIN (SELECT count(*) AS n FROM fr) n))"
 )
+
+
+def _start(kind: str, name: str) -> str:
+    return f"(CAST('0x' || substr(md5('{kind}:' || j || ':' || {name}), 1, 6) AS BIGINT) + 1) / 16777216.0 AS v"
+
+
+def _steps(updates: int) -> str:
+    """The updates as matrix algebra: W (d, j) and H (j, t) after each."""
+    nonzero = "CASE WHEN n.v = 0 THEN 1.1920928955078125e-07 ELSE n.v END"
+    out = [
+        "ks AS (SELECT unnest(generate_series(0, least(6, (SELECT count(*) FROM voc), (SELECT count(*) FROM fr) - 1) - 1)) AS j)",
+        f"w0 AS MATERIALIZED (SELECT d, j, {_start('w', 'd')} FROM (SELECT DISTINCT d FROM x), ks)",
+        f"h0 AS MATERIALIZED (SELECT j, term_index AS t, {_start('h', 'term_index')} FROM voc, ks)",
+    ]
+    for i in range(updates + 1):
+        out += [
+            f"hh{i} AS MATERIALIZED (SELECT p.j AS a, q.j AS b, sum(p.v * q.v) AS v FROM h{i} p JOIN h{i} q USING (t) GROUP BY 1, 2)",
+            f"xh{i} AS MATERIALIZED (SELECT x.d, h.j, sum(x.v * h.v) AS v FROM x JOIN h{i} h USING (t) GROUP BY 1, 2)",
+            f"wo{i} AS (SELECT p.j AS a, q.j AS b, sum(p.v * q.v) AS v FROM w{i} p JOIN w{i} q USING (d) GROUP BY 1, 2)",
+            f"er{i} AS (SELECT sqrt(greatest(0, (SELECT sum(v * v) FROM x) - 2 * (SELECT sum(w.v * xh.v) FROM w{i} w JOIN xh{i} xh USING (d, j)) "
+            f"+ (SELECT sum(wo.v * hh.v) FROM wo{i} wo JOIN hh{i} hh USING (a, b)))) AS error)",
+        ]
+        if i < updates:
+            n = i + 1
+            out += [
+                f"wn{i} AS (SELECT w.d, hh.b AS j, sum(w.v * hh.v) AS v FROM w{i} w JOIN hh{i} hh ON w.j = hh.a GROUP BY 1, 2)",
+                f"w{n} AS MATERIALIZED (SELECT w.d, w.j, w.v * (xh.v / {nonzero}) AS v FROM w{i} w JOIN xh{i} xh USING (d, j) JOIN wn{i} n USING (d, j))",
+                f"wx{i} AS (SELECT w.j, x.t, sum(w.v * x.v) AS v FROM w{n} w JOIN x USING (d) GROUP BY 1, 2)",
+                f"ww{i} AS (SELECT p.j AS a, q.j AS b, sum(p.v * q.v) AS v FROM w{n} p JOIN w{n} q USING (d) GROUP BY 1, 2)",
+                f"hn{i} AS (SELECT ww.a AS j, h.t, sum(ww.v * h.v) AS v FROM ww{i} ww JOIN h{i} h ON ww.b = h.j GROUP BY 1, 2)",
+                f"h{n} AS MATERIALIZED (SELECT h.j, h.t, h.v * (wx.v / {nonzero}) AS v FROM h{i} h JOIN wx{i} wx USING (j, t) JOIN hn{i} n USING (j, t))",
+            ]
+    last = updates
+    out += [
+        f"top AS (SELECT d, v, CASE WHEN total > 0 THEN j ELSE -1 END AS topic FROM (SELECT *, sum(v) OVER (PARTITION BY d) AS total, "
+        f"row_number() OVER (PARTITION BY d ORDER BY v DESC, j) AS place FROM w{last}) r WHERE place = 1)",
+        "asg AS MATERIALIZED (SELECT fr.*, CAST(coalesce(top.topic, -1) AS INTEGER) AS topic, round(coalesce(top.v, 0.0), 7) AS weight, "
+        "coalesce(nullif(issue, ''), 'Issue not recorded') AS concern FROM fr LEFT JOIN top ON fr.complaint_id = top.d)",
+        f"lab AS MATERIALIZED (SELECT CAST(j AS INTEGER) AS topic, string_agg(term, ' · ' ORDER BY v DESC, t DESC) AS theme FROM ("
+        f"SELECT h.j, h.t, h.v, voc.term, row_number() OVER (PARTITION BY h.j ORDER BY h.v DESC, h.t DESC) AS place "
+        f"FROM h{last} h JOIN voc ON voc.term_index = h.t) r WHERE place <= 4 GROUP BY j)",
+    ]
+    return ", ".join(out)
+
+
+_ASSIGNED = _WEIGHTS + ", " + _steps(TOPIC_UPDATES)
 ORACLES.update(
     {
         "tfidf_weights": with_models(
-            "SELECT complaint_id, term_index, round(w / sqrt(sum(w * w) OVER (PARTITION BY complaint_id)), 9) AS weight FROM ("
-            "SELECT c.complaint_id, v.term_index, (1 + ln(c.tf)) * (ln((1.0 + n.n) / (1.0 + v.df)) + 1) AS w "
-            "FROM cnt c JOIN voc v ON c.term = v.term CROSS JOIN (SELECT count(*) AS n FROM fr) n)",
-            ctes=_FRAME + ", tok AS (" + _WEIGHTS
-            + ", voc AS (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index, term, df FROM ("
-            "SELECT term, df, cf FROM st WHERE df >= 2 AND df <= 0.95 * (SELECT count(*) FROM fr) ORDER BY cf DESC, term LIMIT 4000))",
+            "SELECT d AS complaint_id, t AS term_index, round(v, 9) AS weight FROM x", ctes=_WEIGHTS
         ),
+        "topic_steps": with_models("SELECT complaint_id, period, topic, weight FROM asg", ctes=_ASSIGNED),
+        "topic_components": with_models(
+            "SELECT CAST(h.j AS INTEGER) AS topic, h.t AS term_index, voc.term, round(h.v, 7) AS weight "
+            f"FROM h{TOPIC_UPDATES} h JOIN voc ON voc.term_index = h.t",
+            ctes=_ASSIGNED,
+        ),
+        "topic_objective": with_models(
+            "SELECT CAST(step AS INTEGER) AS step, round(error, 6) AS error, coalesce(error <= lag(error) OVER (ORDER BY step), true) AS not_higher FROM ("
+            + " UNION ALL ".join(f"SELECT {i} AS step, error FROM er{i}" for i in range(TOPIC_UPDATES + 1))
+            + ")",
+            ctes=_ASSIGNED,
+        ),
+        "topic_labels": with_models("SELECT topic, theme FROM lab", ctes=_ASSIGNED),
         "topics": with_models(
-            "SELECT period, count(*) AS narratives, true AS topics_in_range, true AS weights_not_negative FROM fr GROUP BY 1",
-            ctes=_FRAME,
+            "SELECT period, topic, count(*) AS narratives, round(sum(weight), 4) AS weight, round(max(weight), 6) AS strongest FROM asg GROUP BY 1, 2",
+            ctes=_ASSIGNED,
         ),
         "theme_summary": with_models(
             "SELECT p.topic, lab.theme, p.narratives, 100.0 * p.narratives / t.n_sel AS share_pct, "
@@ -648,8 +701,8 @@ ORACLES.update(
             ctes=_ASSIGNED,
         ),
         "phrase_mentions": with_models(
-            "SELECT a.topic, CAST(w.position AS INTEGER) AS position, w.term, count(*) FILTER (WHERE list_contains("
-            f"regexp_extract_all(lower(a.excerpt), {_WRUN}), w.term)) AS mentions "
+            "SELECT a.topic, CAST(w.position AS INTEGER) AS position, w.term, count(*) FILTER (WHERE regexp_matches("
+            "lower(a.excerpt), '(^|[^\\p{L}\\p{N}_])' || w.term || '($|[^\\p{L}\\p{N}_])')) AS mentions "
             "FROM asg a JOIN (SELECT topic, generate_subscripts(string_split(theme, ' · '), 1) - 1 AS position, "
             "unnest(string_split(theme, ' · ')) AS term FROM lab) w USING (topic) WHERE a.period = 'Selected' GROUP BY ALL",
             ctes=_ASSIGNED,
