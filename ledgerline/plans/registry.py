@@ -474,6 +474,45 @@ QUERIES.update(
 )
 
 
+def _releases(spark, sf_dir):
+    """The archives as a first release and the revision as a second one, merged
+    in that order."""
+    from ledgerline.plans.releases import ReleaseStore
+    from ledgerline.session import shared_path
+
+    def build():
+        store = ReleaseStore(spark, shared_path(spark, "ledgerline-releases", _uuid.uuid4().hex))
+        raw = _raw(spark, sf_dir)
+        for priority in (1, 2):
+            store.merge(raw.filter(F.col("_source_priority") == priority))
+        return store
+
+    return for_testdata(spark, sf_dir).memo("__releases", build)
+
+
+@register("release_bronze")
+def _release_bronze(spark, sf_dir):
+    """Bronze after both merges (WIN-1)."""
+    return _releases(spark, sf_dir).bronze()
+
+
+@register("release_grains")
+def _release_grains(spark, sf_dir):
+    """The channels grain after the signed change of the second merge (AGG-2d)."""
+    return _releases(spark, sf_dir).grain("channels")
+
+
+@register("release_changes")
+def _release_changes(spark, sf_dir):
+    """Rows that arrived and left and months written anew in each version."""
+    store = _releases(spark, sf_dir)
+    rows = []
+    for v in store.versions():
+        c = store.manifest(v)["changes"]
+        rows.append((v, c["arrived"], c["left"], len(c["months"])))
+    return spark.createDataFrame(rows, "version int, arrived long, left_rows long, months_written int")
+
+
 @register("source_dedup")
 def _source_dedup(spark, sf_dir):
     """Exact-copy documents: each skipped copy with the first (lowest id) kept."""

@@ -523,6 +523,17 @@ ORACLES.update(
             "(SELECT md5(text) AS signature, min(doc_id) AS kept_id FROM documents GROUP BY 1) f "
             "ON d.signature = f.signature WHERE d.doc_id <> f.kept_id"
         ),
+        "release_bronze": with_models("SELECT * FROM bronze_complaints"),
+        "release_grains": with_models("SELECT * FROM grain_channels"),
+        "release_changes": with_models(
+            "SELECT CAST(v AS INTEGER) AS version, arrived, left_rows, CAST(months_written AS INTEGER) AS months_written FROM ("
+            "SELECT 1 AS v, (SELECT count(DISTINCT k) FROM best WHERE p = 1) AS arrived, 0 AS left_rows, "
+            "(SELECT count(DISTINCT m) FROM best WHERE p = 1) AS months_written UNION ALL "
+            "SELECT 2, (SELECT count(*) FROM best WHERE p = 2), (SELECT count(*) FROM best b JOIN best a ON a.k = b.k AND a.p = 1 WHERE b.p = 2), "
+            "(SELECT count(DISTINCT m) FROM (SELECT m FROM best WHERE p = 2 UNION ALL SELECT a.m FROM best b JOIN best a ON a.k = b.k AND a.p = 1 WHERE b.p = 2) x)) r",
+            ctes=f"best AS (SELECT * FROM (SELECT trim(\"Complaint ID\") AS k, _source_priority AS p, strftime({_RAW_DATE}, '%Y-%m') AS m, row_number() OVER ("
+            "PARTITION BY trim(\"Complaint ID\"), _source_priority ORDER BY _source_record_number DESC) AS n FROM incoming) r WHERE n = 1)",
+        ),
         "csv_records": with_models(
             'SELECT _source_archive, bucket, "Complaint ID" AS complaint_id, number AS record_number, md5("Consumer complaint narrative") AS narrative_md5 FROM numbered',
             ctes=_CSV_FILES,
