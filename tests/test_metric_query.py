@@ -1,14 +1,15 @@
-"""the governed metric query contract."""
+"""The governed metric query contract."""
 
 import datetime as dt
 
 import pytest
 
-from fixtures import metric_grains
+from fixtures import GRAIN_ROWS, metric_grains
 from ledgerline.plans.metric_query import MetricRequest, dataset_bounds, query_metrics
 from ledgerline.plans.scope import Scope
 
-SCOPE = Scope(dt.date(2024, 1, 1), dt.date(2024, 1, 2), products=("Card",))
+SCOPE = Scope(dt.date(2022, 5, 30), dt.date(2022, 5, 31), products=("Loan",))
+LOANS = [r for r in GRAIN_ROWS if r[2] == "Loan"]
 
 
 def req(**changes):
@@ -28,51 +29,72 @@ def run(grains, r):
     return query_metrics(grains[r.dataset], SCOPE, r).collect()
 
 
-def test_weighted_rate_and_narrowing(grains):
-    row = run(grains, req())[0]
-    assert row["complaint_count"] == 30
-    assert abs(row["timely_response_rate"] - 100 * 18 / 28) < 1e-8
-    assert run(grains, req(start_date="2024-01-02"))[0]["complaint_count"] == 20
-    assert run(grains, req(filters=(("sub_product", (None,)),)))[0]["complaint_count"] == 30
+def expect(rows):
+    """Complaints and the rate of all rows together, not the mean of rates."""
+    complaints, timely, known = (sum(r[k] for r in rows) for k in (3, 4, 5))
+    return complaints, 100 * timely / known
 
 
-def test_hostile_label_is_data(grains):
-    rows = run(grains, req(filters=(("company_name", ("A'); DROP TABLE metrics; --",)),)))
-    assert rows[0]["complaint_count"] is None
+def test_rate_is_weighted_and_filters_narrow(grains):
+    cases = [
+        (req(), LOANS),
+        (req(start_date="2022-05-31"), [r for r in LOANS if r[0] == "2022-05-31"]),
+        (req(end_date="2022-05-30"), [r for r in LOANS if r[0] == "2022-05-30"]),
+        (req(filters=(("company_name", ("Harbor Bank", "nobody")),)), [r for r in LOANS if r[1] == "Harbor Bank"]),
+        (req(filters=(("sub_product", (None,)),)), LOANS),
+    ]
+    for request, rows in cases:
+        (got,) = run(grains, request)
+        assert (got["complaint_count"], got["timely_response_rate"]) == (expect(rows)[0], pytest.approx(expect(rows)[1]))
 
 
-@pytest.mark.parametrize(
-    "changes",
-    [
-        dict(metrics=("read_csv('/etc/passwd')",)),
-        dict(group_by=("state",)),
-        dict(dataset="issues", group_by=("issue", "state")),
-        dict(start_date="2023-01-01"),
-        dict(order_by="1;COPY"),
-        dict(limit=51),
-        dict(interval="hour"),
-        dict(group_by=("product", "product")),
-    ],
-)
-def test_rejected(grains, changes):
+@pytest.mark.parametrize("label", ["Harbor Bank' OR '1'='1", "x\"; SELECT 1", "100%", "\\", "🚗"])
+def test_labels_are_values(grains, label):
+    """A label is compared, never read as SQL: no row bears it."""
+    (row,) = run(grains, req(filters=(("company_name", (label,)),)))
+    assert row["complaint_count"] is None and row["timely_response_rate"] is None
+
+
+REJECTED = {
+    "unknown metric": dict(metrics=("sum(complaint_count)",)),
+    "dimension of another grain": dict(group_by=("submission_channel",)),
+    "dimensions of two grains": dict(dataset="geography", group_by=("state", "issue")),
+    "before the scope": dict(start_date="2022-05-01"),
+    "after the scope": dict(end_date="2022-06-30"),
+    "unknown order": dict(order_by="complaint_count DESC"),
+    "too many rows": dict(limit=1000),
+    "unknown interval": dict(interval="decade"),
+    "dimension twice": dict(group_by=("company_name", "company_name")),
+}
+
+
+@pytest.mark.parametrize("why", REJECTED)
+def test_rejected(grains, why):
     with pytest.raises(ValueError):
-        run(grains, req(**changes))
+        run(grains, req(**REJECTED[why]))
+
+
+def test_truncation_shows(grains):
+    by_day = req(group_by=("period",), interval="day", order_by="period", descending=False)
+    assert [(r["period"].isoformat(), r["complaint_count"], r["truncated"]) for r in run(grains, by_day)] == [
+        ("2022-05-30", 12, False), ("2022-05-31", 13, False)]
+    cut = run(grains, MetricRequest(**{**by_day.__dict__, "limit": 1}))
+    assert len(cut) == 1 and cut[0]["truncated"]
+
+
+def test_no_known_timeliness_gives_no_rate(grains):
+    (row,) = run(grains, req(filters=(("company_name", ("Pine Credit",)),)))
+    assert row["complaint_count"] == 5 and row["timely_response_rate"] is None
 
 
-def test_truncation_and_zero_denominator(grains):
-    rows = run(grains, req(group_by=("period",), interval="day", limit=1))
-    assert len(rows) == 1 and rows[0]["truncated"]
-    assert not run(grains, req(group_by=("period",), interval="month"))[0]["truncated"]
-    zero = run(grains, req(filters=(("company_name", ("absent",)),)))
-    assert zero[0]["timely_response_rate"] is None
-    ranked = run(grains, req(dataset="issues", group_by=("issue", "sub_issue"), metrics=("company_count",),
-                             order_by="company_count"))
-    assert ranked[0]["company_count"] == 1
+def test_companies_are_counted_once(grains):
+    rows = run(grains, req(dataset="issues", group_by=("issue", "sub_issue"), metrics=("company_count",), order_by="company_count"))
+    assert [(r["issue"], r["sub_issue"], r["company_count"]) for r in rows] == [("Fees", None, 2)]
 
 
 def test_bounds(grains):
-    b = dataset_bounds(grains["overview"]).first()
-    assert (b["first_date"], b["last_date"]) == (dt.date(2024, 1, 1), dt.date(2024, 1, 2))
+    days = sorted(r[0] for r in GRAIN_ROWS)
+    assert [d.isoformat() for d in dataset_bounds(grains["overview"]).first()] == [days[0], days[-1]]
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402

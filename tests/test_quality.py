@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fixtures import bronze_df, smoke_rows
+from fixtures import bronze_df, edge_rows
 from ledgerline.operators.quality import duplicates, not_null_counts, orphans
 from ledgerline.plans import quality
 from ledgerline.plans.warehouse import Warehouse
@@ -12,7 +12,7 @@ class Broken(Warehouse):
     """A warehouse whose named tables can be overridden."""
 
     def __init__(self, spark, overrides):
-        super().__init__(spark, lambda: bronze_df(spark, smoke_rows()))
+        super().__init__(spark, lambda: bronze_df(spark, edge_rows()))
         self.overrides = overrides
 
     def __getitem__(self, name):
@@ -31,16 +31,16 @@ def test_detects_duplicates_nulls_orphans(spark):
         {
             "complaint_metrics": lambda df: df.unionByName(df.limit(1)).withColumn(
                 "timely_response_count",
-                F.when(F.col("complaint_id") == "101", F.lit(7)).otherwise(F.col("timely_response_count")),
+                F.when(F.col("complaint_id") == "7002", F.lit(7)).otherwise(F.col("timely_response_count")),
             ),
-            "companies": lambda df: df.filter(F.col("company_name") != "Company 0"),
+            "companies": lambda df: df.filter(F.col("company_name") != "Northwind Motors"),
         },
     )
     gold = failures(w, "gold")
     assert gold["unique:complaint_metrics.complaint_id"] == 1
     assert gold["gold_flags_are_binary"] >= 1 and gold["gold_flag_consistency"] >= 1
     silver = failures(w, "silver")
-    assert silver["relationships:complaints.company_id->companies.company_id"] == 3
+    assert silver["relationships:complaints.company_id->companies.company_id"] == 8
 
 
 def test_star_mismatch(spark):

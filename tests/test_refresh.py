@@ -1,4 +1,4 @@
-"""archive ingest, validation gates, retention, release precedence and
+"""Archive intake, validation gates, retention, release precedence and
 rolling-window month coverage."""
 
 import csv
@@ -31,33 +31,38 @@ def record(cid, received, company, narrative=""):
             "Consumer complaint narrative": narrative}
 
 
+STORY = 'First it rained,\nthen they said ""no"" and hung up\n'
+#: The window in which the archives below are kept.
+START, END = dt.date(2021, 4, 1), dt.date(2022, 4, 1)
+
+
 @pytest.fixture()
 def archives(tmp_path):
-    write_archive(tmp_path / "a1", [
-        record("old", "2023-08-31", "Company A"),
-        record("1", "2023-09-01", "Company A", 'Line one\n"quoted", line two'),
-        record("2", "08/31/2026", "Company B"),
-        record("future", "2026-09-01", "Company A"),
+    """Rows on both sides of both borders of the window; the later archive
+    revises one complaint and dates another out of the window."""
+    write_archive(tmp_path / "spring", [
+        record("50", "2021-03-31", "Elm Lender"),
+        record("51", "2021-04-01", "Elm Lender", STORY),
+        record("52", "03/31/2022", "Oak Lender"),
+        record("53", "2021-11-05", "Oak Lender"),
+        record("54", "4/1/2022", "Oak Lender"),
     ])
-    write_archive(tmp_path / "a2", [record("2", "2026-08-31", "Revised Company", "text")])
-    return [(str(tmp_path / "a1"), "archive_1.zip", 1), (str(tmp_path / "a2"), "archive_2.zip", 2)]
+    write_archive(tmp_path / "summer", [record("55", "2022-04-02", "Fir Lender"), record("52", "2022-03-31", "Oak Lender (renamed)", "Now with a text")])
+    return [(str(tmp_path / "spring"), "spring.zip", 1), (str(tmp_path / "summer"), "summer.zip", 2)]
 
 
-def test_ingest_retention_and_precedence(spark, archives):
-    start, end = dt.date(2023, 9, 1), dt.date(2026, 9, 1)
-    incoming = raw.ingest(spark, archives, start, end, "2026-10-04T00:00:00+00:00")
-    assert incoming.count() == 3
-    nums = {(r["Complaint ID"], r["_source_record_number"]) for r in incoming.collect()}
-    assert ("1", 2) in nums and ("2", 3) in nums  # numbered before the retention filter
+def test_intake_numbers_window_and_precedence(spark, archives):
+    incoming = raw.ingest(spark, archives, START, END, "2022-05-05T00:00:00+00:00")
+    got = {(r["_source_archive"], r["Complaint ID"], r["_source_record_number"]) for r in incoming.collect()}
+    # numbered in the whole file, then cut to the window
+    assert got == {("spring.zip", "51", 2), ("spring.zip", "52", 3), ("spring.zip", "53", 4), ("summer.zip", "52", 2)}
     assert profile.overlap_excess(incoming).first()[0] == 1
     w = Warehouse(spark, lambda: incoming)
-    gold = w["complaint_metrics"]
-    assert gold.count() == 2
-    assert gold.filter(F.col("complaint_id") == "2").first()["company_name"] == "Revised Company"
-    assert bronze.rows_outside_window(gold, start, end).first()[0] == 0
-    assert gold.agg(F.sum("narrative_count")).first()[0] == 2
-    multi = w["complaint_narratives"].filter(F.col("complaint_id") == "1").first()["narrative"]
-    assert multi == 'Line one\n"quoted", line two'
+    gold = {r["complaint_id"]: r for r in w["complaint_metrics"].collect()}
+    assert {i: r["company_name"] for i, r in gold.items()} == {"51": "Elm Lender", "52": "Oak Lender (renamed)", "53": "Oak Lender"}
+    assert [gold[i]["narrative_count"] for i in ("51", "52", "53")] == [1, 1, 0]
+    assert bronze.rows_outside_window(w["complaint_metrics"], START, END).first()[0] == 0
+    assert w["complaint_narratives"].filter("complaint_id = '51'").first()["narrative"] == STORY
 
 
 def test_validity_gate_rejects_bad_rows(spark, tmp_path):
@@ -77,18 +82,20 @@ def intervals(spark, months):
 
 
 def test_rolling_window_and_gaps(spark):
-    base = [(dt.date(2023, 1, 1), dt.date(2026, 8, 1))]
-    w = coverage.rolling_window(intervals(spark, base)).first()
-    assert (w["window_start"], w["window_end"]) == (dt.date(2023, 9, 1), dt.date(2026, 9, 1))
-    coverage.require_no_gaps(intervals(spark, base))
-    more = base + [(dt.date(2026, 9, 1), dt.date(2026, 9, 1))]
-    w = coverage.rolling_window(intervals(spark, more)).first()
-    assert (w["window_start"], w["window_end"]) == (dt.date(2023, 10, 1), dt.date(2026, 10, 1))
-    assert coverage.select_intervals(intervals(spark, more)).count() == 2
-    only_last = [(dt.date(2026, 8, 1), dt.date(2026, 8, 1))]
-    assert coverage.gaps(intervals(spark, only_last)).count() == 35
+    """36 months up to the last covered one, over a year's end; holes count."""
+    day = dt.date
+    years = [(day(2015, 2, 1), day(2017, 6, 1)), (day(2017, 7, 1), day(2019, 12, 1))]
+    w = coverage.rolling_window(intervals(spark, years)).first()
+    assert (w["window_start"], w["window_end"]) == (day(2017, 1, 1), day(2020, 1, 1))
+    coverage.require_no_gaps(intervals(spark, years))
+    later = [*years, (day(2020, 2, 1), day(2020, 3, 1))]  # January 2020 is missing
+    w = coverage.rolling_window(intervals(spark, later)).first()
+    assert (w["window_start"], w["window_end"]) == (day(2017, 4, 1), day(2020, 4, 1))
+    assert coverage.gaps(intervals(spark, later)).count() == 1
+    assert coverage.select_intervals(intervals(spark, later)).count() == 3
+    assert coverage.select_intervals(intervals(spark, [*later, (day(2010, 1, 1), day(2010, 5, 1))])).count() == 3
     with pytest.raises(ValueError):
-        coverage.require_no_gaps(intervals(spark, only_last))
+        coverage.require_no_gaps(intervals(spark, later))
 
 
 def test_record_numbers_per_full_path(spark, tmp_path):
@@ -139,18 +146,15 @@ def test_unicode_space_around_ids_is_one_complaint(spark, tmp_path):
 
 
 def test_refresh_end_to_end(spark, archives, tmp_path):
-    """The two archives give three retained rows, one overlap, two complaints,
-    four exports and evidence; the size guard stops a release."""
-    start, end = dt.date(2023, 9, 1), dt.date(2026, 9, 1)
+    """Three complaints from four retained rows; gates stop a release."""
     out = str(tmp_path / "release")
-    record_ = refresh.refresh(spark, archives, start, end, out, "2026-10-04T00:00:00+00:00")
-    assert record_["complaints"] == 2 and record_["overlap_records_removed"] == 1
-    assert set(record_["exports"]) == {"overview", "issues", "geography", "channels", "evidence"}
-    assert record_["metric_totals"]["narrative_count"] == 2
-    assert len({e["fingerprint"] for e in record_["exports"].values()}) == 5
-    evidence = spark.read.parquet(f"{out}/evidence")
-    assert evidence.count() == 2 and {r["company_name"] for r in evidence.collect()} == {"Company A", "Revised Company"}
+    made = refresh.refresh(spark, archives, START, END, out, "2022-05-05T00:00:00+00:00")
+    assert (made["complaints"], made["overlap_records_removed"], made["metric_totals"]["narrative_count"]) == (3, 1, 2)
+    assert set(made["exports"]) == {"overview", "issues", "geography", "channels", "evidence"}
+    assert len({e["fingerprint"] for e in made["exports"].values()}) == 5
+    told = {r["complaint_id"]: r["company_name"] for r in spark.read.parquet(f"{out}/evidence").collect()}
+    assert told == {"51": "Elm Lender", "52": "Oak Lender (renamed)"}
     with pytest.raises(ValueError, match="size guard"):
-        refresh.refresh(spark, archives, start, end, str(tmp_path / "small"), "now", size_limit=100)
+        refresh.refresh(spark, archives, START, END, str(tmp_path / "small"), "now", size_limit=100)
     with pytest.raises(ValueError, match="retention window"):
         refresh.refresh(spark, archives, dt.date(2030, 1, 1), dt.date(2031, 1, 1), str(tmp_path / "none"), "now")
