@@ -194,13 +194,6 @@ def query(spark, sf_dir):
     return digest_columns(scan_secrets(documents(spark, sf_dir)))
 
 
-#: The weak patterns as the SQL states them, without prefixed keys and short API keys.
-SQL_PATTERNS = {
-    "ident": r"""(?i)(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|client_id|account_id|access_key(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+/-]+)""",
-    "phrase": r"""(?i)(?<![A-Za-z0-9_])(?:pwd|pass|passphrase|credential|auth|private_key|password|passwd|secret|token)["']?\x20*[:=]\x20*["']?([!#-&(-~]+)""",
-}
-
-
 def _either_case(pattern: str) -> str:
     """Letters of key words as classes: RE2's own case folding would also
     match letters outside ASCII."""
@@ -209,12 +202,12 @@ def _either_case(pattern: str) -> str:
 
 def _oracle() -> str:
     """The scan in DuckDB: spans from the lengths between matches; look-behind
-    becomes a leading group that is cut off again.  It knows no prefixed keys
-    (``SQL_PATTERNS``); the driver's tables hold none."""
+    becomes a leading group that is cut off again (a value takes every
+    character that could begin the next key word, so no match ends where the
+    next one's leading character would be needed)."""
     edge, lead = "(?<![", "(^|[^"
     blocks = []
     for at, (kind, pattern, group, least, role) in enumerate(KINDS):
-        pattern = SQL_PATTERNS.get(kind, pattern)
         shift = edge in pattern
         if pattern.startswith("(?i)"):
             # Only the key words (before the first separator or "://") hold letters outside classes.

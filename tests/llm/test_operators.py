@@ -179,9 +179,18 @@ def test_secrets_prefixed_keys(spark):
         (4, "DB_PASSWORD=hunter22"),  # alone
         (5, "superuser=admin DB_PASSWORD=hunter22"),  # no key word
         (6, "DB_USER=admin DB_PASSWORD=hunter22hunter22"),  # long enough for the strong kind
+        (7, "_user=ann;_pwd='secret66'_login=bob-user=eve.pass=qwerty,http://a.b/c_https://d.e/f"),  # neighbours without a gap
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.spans for r in secrets.digest_columns(secrets.scan_secrets(frame)).collect()}
+    found = secrets.digest_columns(secrets.scan_secrets(frame)).collect()
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert multiset(con.execute(secrets.ORACLE).fetchall()) == multiset(tuple(r) for r in found)
+    got = {r.doc_id: r.spans for r in found}
+    assert got.pop(7)
     assert got == {1: "ident:3:13,phrase:17:34,endpoint:42:74", 2: "ident:4:19,phrase:27:42", 3: "ident:0:9,phrase:10:23", 4: "", 5: "", 6: "ident:3:13,assign:17:42"}
     masked = {r.doc_id: r.text for r in secrets.mask_documents(frame).collect()}
     assert masked[1] == "DB_[SECRET]\nDB_[SECRET]\nDB_URL=[SECRET]"
