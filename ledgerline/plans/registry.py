@@ -222,6 +222,37 @@ for _name, _req in MQ_REQUESTS.items():
 QUERIES["dataset_bounds"] = lambda s, d: MQ.dataset_bounds(_g(s, d))
 
 
+# Distinct companies from bitmaps (AGG-4): name -> grain, groups, filter.
+BITMAP_QUERIES = {
+    "all": ("overview", (), "true"),
+    "product": ("overview", ("product",), "date_received >= DATE '1995-03-15'"),
+    "state": ("geography", ("state", "product"), "product IN ('ECONOMY', 'STANDARD') OR state = 'TX'"),
+}
+
+
+def _company_bitmaps(name):
+    from ledgerline.operators import bitmaps
+
+    grain, by, where = BITMAP_QUERIES[name]
+
+    def run(spark, sf_dir):
+        w = for_testdata(spark, sf_dir)
+        source = w.grain(grain)
+        table = w.derived(f"company_bitmaps_{grain}", lambda: bitmaps.build(source, "company_name", drop=("company_id",), numbers=_company_numbers(w)))
+        return bitmaps.count_distinct(table.filter(where), by, "company_count")
+
+    return run
+
+
+def _company_numbers(w):
+    from ledgerline.operators import bitmaps
+
+    return w.derived("company_numbers", lambda: bitmaps.number_labels(w["companies"], "company_name"))
+
+
+QUERIES.update({f"company_bitmaps_{name}": _company_bitmaps(name) for name in BITMAP_QUERIES})
+
+
 # Step 9: narratives (deterministic part).  Search, concerns and themes read
 # every narrative whole.  Sample sizes belong to the sampling operators only:
 # 500 of the sf0.01 corpus of 1,000 exercises the hash threshold, 60,000 is

@@ -622,7 +622,7 @@ ORACLES["evidence_budget"] = with_models(
 )
 
 # --- TF-IDF weights, themes after a fixed number of updates ---------------------
-from ledgerline.plans.registry import TOPIC_UPDATES  # noqa: E402
+from ledgerline.plans.registry import BITMAP_QUERIES, TOPIC_UPDATES  # noqa: E402
 
 _WEIGHTS = (
     _FRAME + ", tok AS ("
@@ -765,7 +765,7 @@ ORACLES.update(
         ),
         "column_gate": with_models(
             " UNION ALL ".join(
-                f"SELECT '{f}' AS field, true AS present, "
+                f"SELECT '{f}' AS field, list_contains((SELECT json_keys(to_json(i)) FROM (SELECT * FROM incoming LIMIT 1) i), '{f}') AS present, "
                 + (f"(SELECT count(*) FROM incoming WHERE coalesce(trim(\"{f}\"), '') = '')" if f in _BLANK_FIELDS else "CAST(NULL AS BIGINT)")
                 + " AS blank_records"
                 for f in __import__("ledgerline.schema", fromlist=["x"]).RAW_FIELDS
@@ -778,10 +778,24 @@ ORACLES.update(
         ),
         "named_views": with_models("SELECT product, count(*) AS complaints FROM complaint_metrics GROUP BY 1"),
         "snapshot_gate": with_models(
-            "SELECT overview, compatible, (SELECT count(*) FROM grain_overview) AS overview_rows "
-            "FROM (VALUES ('own', true), ('other', false)) AS v(overview, compatible)"
-        ),
-        "size_gate": with_models("SELECT count(*) AS rows, true AS within_large_limit, false AS within_one_byte FROM grain_channels"),
+            f"SELECT v.overview, v.fingerprint = cut.fingerprint AS compatible, (SELECT count(*) FROM grain_overview) AS overview_rows FROM ("
+            f"SELECT 'own' AS overview, fingerprint FROM ({fingerprint_sql('overview')}) a UNION ALL "
+            f"SELECT 'other', fingerprint FROM ({fingerprint_sql('overview')} WHERE complaint_count > 1) b) v "
+            f"CROSS JOIN ({fingerprint_sql('overview')}) cut"
+        ),
+        # a stored row takes at least a byte, and less than ten times its text
+        "size_gate": with_models(
+            "SELECT count(*) AS rows, coalesce(sum(10 * length(CAST(g AS VARCHAR))), 0) < 1000000000000 AS within_large_limit, "
+            "count(*) < 1 AS within_one_byte FROM grain_channels g"
+        ),
+        **{
+            f"company_bitmaps_{name}": with_models(
+                f"SELECT {', '.join(by)}, count(DISTINCT company_name) AS company_count FROM grain_{grain} WHERE {where} GROUP BY ALL"
+                if by
+                else f"SELECT count(DISTINCT company_name) AS company_count FROM grain_{grain} WHERE {where}"
+            )
+            for name, (grain, by, where) in BITMAP_QUERIES.items()
+        },
         "inspect_datasets": with_models(
             " UNION ALL ".join(
                 f"SELECT '{g}' AS dataset, count(*) AS rows, min(date_received) AS first_date, max(date_received) AS last_date, "
