@@ -222,6 +222,49 @@ for _name, _req in MQ_REQUESTS.items():
 QUERIES["dataset_bounds"] = lambda s, d: MQ.dataset_bounds(_g(s, d))
 
 
+# Ranges from running totals (AGG-13, AGG-14, AGG-22): two days instead of a scan.
+ODD_RANGE = Scope(_dt.date(1996, 5, 17), _dt.date(1998, 2, 3), products=("ECONOMY", "PROMO"))
+
+
+def _running(spark, sf_dir):
+    from ledgerline.operators import cumulative
+
+    w = for_testdata(spark, sf_dir)
+    return w.derived("running_totals", lambda: cumulative.build(w.grain("overview"), ("product", "sub_product")))
+
+
+def _range_headline(scope):
+    from ledgerline.operators import cumulative
+
+    return lambda s, d: A.headline(cumulative.between(_running(s, d), scope.start, scope.end), scope)
+
+
+def _range_trend(scope, interval):
+    from ledgerline.operators import cumulative
+
+    labels = Scope(products=scope.products)
+    return lambda s, d: A.trend(cumulative.buckets(_running(s, d), scope.start, scope.end, interval), labels, interval)
+
+
+def _range_prior(spark, sf_dir):
+    from ledgerline.operators import cumulative
+
+    table, prior = _running(spark, sf_dir), YEAR.prior()
+    both = cumulative.between(table, YEAR.start, YEAR.end).unionByName(cumulative.between(table, prior.start, prior.end))
+    return A.prior_period(both, YEAR, coverage_start=cumulative.bounds(table)[0])
+
+
+QUERIES.update(
+    {
+        "range_headline": _range_headline(YEAR),
+        "range_headline_products": _range_headline(ODD_RANGE),
+        "range_trend_month": _range_trend(ODD_RANGE, "month"),
+        "range_trend_week": _range_trend(YEAR, "week"),
+        "range_prior_period": _range_prior,
+    }
+)
+
+
 # Distinct companies from bitmaps (AGG-4): name -> grain, groups, filter.
 BITMAP_QUERIES = {
     "all": ("overview", (), "true"),

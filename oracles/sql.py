@@ -94,6 +94,7 @@ ORACLES["grain_invariant"] = with_models(
 # --- Step 7: analytics -----------------------------------------------------
 FULL = "true"
 PRODUCTS = FULL + " AND product IN ('ECONOMY', 'PROMO')"
+_ODD_RANGE = "date_received BETWEEN DATE '1996-05-17' AND DATE '1998-02-03' AND product IN ('ECONOMY', 'PROMO')"
 YEAR = "date_received BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'"
 
 
@@ -523,6 +524,11 @@ ORACLES.update(
             "(SELECT md5(text) AS signature, min(doc_id) AS kept_id FROM documents GROUP BY 1) f "
             "ON d.signature = f.signature WHERE d.doc_id <> f.kept_id"
         ),
+        "range_headline": _headline(YEAR),
+        "range_headline_products": _headline(_ODD_RANGE),
+        "range_trend_month": _trend("month", _ODD_RANGE),
+        "range_trend_week": _trend("week", YEAR),
+        "range_prior_period": ORACLES["prior_period"],
         "release_bronze": with_models("SELECT * FROM bronze_complaints"),
         "release_grains": with_models("SELECT * FROM grain_channels"),
         "release_changes": with_models(
