@@ -221,11 +221,13 @@ def search(
     limit: int = 8,
     overview: DataFrame | None = None,
     clip: int | None = None,
+    index=None,
 ) -> DataFrame:
     """Literal, case-insensitive phrase search in scope (SRT-8): up to
     ``limit`` rows in hash order, re-redacted (and cut to ``clip`` characters
     if given), each carrying the total number of matching excerpts.  With ``overview`` given, evidence cut
-    from another snapshot is refused (QA-16)."""
+    from another snapshot is refused (QA-16).  A ``PhraseIndex`` of the
+    excerpts by complaint ID spares reading those that cannot match."""
     if not isinstance(phrase, str) or len(phrase) > 100 or not 1 <= limit <= 8:
         raise ValueError("Evidence search exceeds phrase or result limit.")
     if issue is not None and (not isinstance(issue, str) or len(issue) > 300):
@@ -234,7 +236,8 @@ def search(
         raise ValueError("Narratives are from a different release; evidence search disabled.")
     df = evidence.filter(scope.predicate())
     if phrase.strip():
-        df = df.filter(contains_ci("excerpt", phrase.strip()))
+        text = phrase.strip()
+        df = df.filter(contains_ci("excerpt", text)) if index is None else index.matches(df, "complaint_id", "excerpt", text)
     if issue is not None:
         df = df.filter(F.col("issue") == F.lit(issue))
     matches = df.agg(F.count(F.lit(1)).alias("matching_sample_excerpts"))

@@ -376,6 +376,21 @@ def _narrative_search(spark, sf_dir):
     return N.search(_corpus(spark, sf_dir), FULL, "the", issue="BUILDING", limit=8)
 
 
+@register("narrative_search_indexed")
+def _narrative_search_indexed(spark, sf_dir):
+    """The same kind of search through the index of three-character runs."""
+    from ledgerline.operators import phrase_index
+
+    w = for_testdata(spark, sf_dir)
+    texts = _corpus(spark, sf_dir)
+    index = w.memo("__phrase_index", lambda: phrase_index.build(texts, "complaint_id", "excerpt", f"{w.store}/phrase-index-{_uuid.uuid4().hex}"))
+    return N.search(texts, FULL, SEARCHED, limit=8, index=index)
+
+
+#: Words that some narratives hold next to each other.
+SEARCHED = "in the"
+
+
 @register("match_gate")
 def _match_gate(spark, sf_dir):
     return N.match_gate(_corpus(spark, sf_dir), YEAR)

@@ -389,6 +389,13 @@ ORACLES.update(
             "AND contains(lower(excerpt), lower('the')) AND issue = 'BUILDING') c",
             ctes=_CORPUS,
         ),
+        "narrative_search_indexed": with_models(
+            "SELECT r.*, c.matching_sample_excerpts FROM (SELECT complaint_id, date_received, company_name, product, issue, "
+            f"{redact_sql('excerpt')} AS excerpt, excerpt_truncated FROM ev WHERE {FULL} "
+            "AND contains(lower(excerpt), lower('in the')) ORDER BY md5(complaint_id), complaint_id LIMIT 8) r CROSS JOIN "
+            f"(SELECT count(*) AS matching_sample_excerpts FROM ev WHERE {FULL} AND contains(lower(excerpt), lower('in the'))) c",
+            ctes=_CORPUS,
+        ),
         "match_gate": with_models(
             f"SELECT count(*) AS matches, count(*) >= 20 AS enough FROM ev WHERE {YEAR}", ctes=_CORPUS
         ),
