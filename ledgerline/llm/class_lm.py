@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ready, stored
+from ledgerline.llm.common import bucket_count, ready, stored
 from ledgerline.session import ensure_checkpoint_dir
 
 #: Exchange moves words with at least 1 / CORE of the training tokens.
@@ -263,7 +263,7 @@ def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     total_bytes, end_count = sizes[0] or 0, sizes[1]
 
     # Chunks bucketed by their number: what is found for them joins without moving them.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // BUCKET))
+    tasks = bucket_count(spark, total_bytes, BUCKET)
     name = f"ledgerline_words_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-llm/{name}"
     schema = f"chunk long, ids array<{id_type}>, held array<boolean>, ends array<long>, tokens binary, words array<binary>, train array<long>"

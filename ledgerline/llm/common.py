@@ -42,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucket_count(spark: SparkSession, total_bytes: int, bucket_bytes: int) -> int:
+    """Buckets of about ``bucket_bytes`` for a stored table, no more than Spark
+    allows a table to have: beyond that buckets hold more chunks each, which
+    their tasks still take one by one."""
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // bucket_bytes))
+    return min(wanted, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
 def text_or_empty(col: str = "text") -> Column:
     """A text column with null read as the empty string."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

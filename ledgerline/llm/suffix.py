@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, ready
+from ledgerline.llm.common import bucket_count, cut, ready
 from ledgerline.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------------
@@ -341,7 +341,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    tasks = bucket_count(spark, total, BUCKET)
     buckets = max(tasks, -(-total * len(COVER) // PERIOD // SORTED))
     name = f"ledgerline_chunks_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-llm/{name}"

@@ -68,6 +68,20 @@ def test_suffix_random_edits(spark, length):
         assert got == dict(enumerate(brute.repeated_spans(texts, length)))
 
 
+def test_more_buckets_than_spark_allows(spark, sf, documents):
+    """With the limit lowered, wanted bucket counts exceed it, as they would
+    on a table of over 3.2 TB."""
+    name = "spark.sql.sources.bucketing.maxBuckets"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "3")
+        assert multiset(tuple(r) for r in QUERIES["op1_suffix_array_dedup"](spark, sf).collect()) == expected_suffix(documents)
+        got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in QUERIES["op7_class_lm"](spark, sf).collect()}
+        assert got == {i: v[:4] for i, v in brute.unigram(documents).items()}
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_cover_is_complete():
     differences = {(a - b) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER}
     assert differences == set(range(suffix.PERIOD))
