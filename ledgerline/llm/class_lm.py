@@ -4,12 +4,14 @@ Words are put into classes by exchange clustering: each word moves to the
 class that raises the likelihood of the class bigrams most.  A text is scored
 with class-transition probabilities times word-emission probabilities.
 
-Word counts, class bigrams and every word's bigrams with the classes are
-gathered over all training documents in Spark.  Exchange moves the words that
-make up at least 1 / ``CORE`` of the tokens; there can be at most ``CORE`` of
-them, which bounds the model (``CORE`` x classes) whatever the corpus.  All
-other words belong to fixed classes by their spelling and keep their own
-counts, which are joined to the texts, not broadcast.
+Every training word gets a learned class, in Brown's two steps.  Words that
+make up at least 1 / ``CORE`` of the training words (at most ``CORE`` of them,
+whatever the corpus) are exchanged one by one, pass after pass, from their
+bigrams with the classes, gathered in Spark, until a pass gains less than
+``TOLERANCE``.  Then every other training word is inserted, in tasks, into the
+class that raises the likelihood most given the words right and left of all
+its places; neighbours not yet inserted count by their spelling.  Word counts
+and classes are joined to the texts, only the core words are broadcast.
 """
 
 from __future__ import annotations
@@ -20,20 +22,23 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bucket_count, ready, stored
 from ledgerline.session import ensure_checkpoint_dir
 
-#: Exchange moves words with at least 1 / CORE of the training tokens.
+#: Words with at least 1 / CORE of the training words are exchanged one by one.
 CORE = 65_536
 CLASSES = 64
-#: Passes of exchange over the corpus.
-PASSES = 4
-#: Classes by spelling of all other words: letters a-z and common marks, a
-#: digit, other signs, other scripts.
+#: Exchange rests when a pass gains less than this many nats a training token
+#: (0: when a pass gains nothing).
+TOLERANCE = 1e-3
+#: Classes by spelling of words not (yet) in a learned class: letters a-z and
+#: common marks, a digit, other signs, other scripts.
 SHAPES = 4
+KINDS = CLASSES + SHAPES + 1  # the end of a text is a class of its own
+END = KINDS - 1
 #: Bytes of text whose words are numbered together (one document at least).
 CHUNK = 4_000_000
 #: Chunk bytes read by one task, about.
@@ -56,42 +61,52 @@ def shape(word: bytes) -> int:
 # --- words of chunks ------------------------------------------------------------------
 
 
-def _number_words(batches):
+def _number_words(core: int):
     """A row for each chunk: its documents, their tokens as numbers of the
-    chunk's own word list, that list, and each word's training count."""
-    task, made, docs, size, kind = TaskContext.get().partitionId() << 32, 0, [], 0, None
-
-    def row():
-        number: dict[bytes, int] = defaultdict(lambda: len(number))
-        tokens = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for _, _, words in docs]
-        train = np.zeros(len(number), np.int64)
-        for (_, held, _), t in zip(docs, tokens, strict=True):
-            if not held:
-                np.add.at(train, t, 1)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([task + made]),
-                pa.array([[d for d, _, _ in docs]], pa.list_(kind)),
-                pa.array([[h for _, h, _ in docs]], pa.list_(pa.bool_())),
-                pa.array([np.cumsum([len(t) for t in tokens])], pa.list_(pa.int64())),
-                pa.array([np.concatenate(tokens).astype("<i4").tobytes()], pa.binary()),
-                pa.array([list(number)], pa.list_(pa.binary())),
-                pa.array([train], pa.list_(pa.int64())),
-            ],
-            names=["chunk", "ids", "held", "ends", "tokens", "words", "train"],
-        )
+    chunk's own word list, that list, each word's training count, their sum,
+    and the words that hold 1 / ``core`` of it.  A word that holds that share
+    of all training words does so in one chunk at least."""
+
+    def number_words(batches):
+        task, made, docs, size, kind = TaskContext.get().partitionId() << 32, 0, [], 0, None
+
+        def row():
+            number: dict[bytes, int] = defaultdict(lambda: len(number))
+            tokens = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for _, _, words in docs]
+            train = np.zeros(len(number), np.int64)
+            for (_, held, _), t in zip(docs, tokens, strict=True):
+                if not held:
+                    train += np.bincount(t, minlength=len(train))
+            total, listed = int(train.sum()), list(number)
+            heavy = np.flatnonzero((train > 0) & (train * core >= total))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([task + made]),
+                    pa.array([[d for d, _, _ in docs]], pa.list_(kind)),
+                    pa.array([[h for _, h, _ in docs]], pa.list_(pa.bool_())),
+                    pa.array([np.cumsum([len(t) for t in tokens])], pa.list_(pa.int64())),
+                    pa.array([np.concatenate(tokens).astype("<i4").tobytes()], pa.binary()),
+                    pa.array([listed], pa.list_(pa.binary())),
+                    pa.array([train], pa.list_(pa.int64())),
+                    pa.array([total], pa.int64()),
+                    pa.array([[listed[k] for k in heavy]], pa.list_(pa.binary())),
+                ],
+                names=["chunk", "ids", "held", "ends", "tokens", "words", "train", "total", "heavy"],
+            )
 
-    for batch in batches:
-        kind = batch["doc_id"].type
-        for doc_id, held, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"], strict=True):
-            data = (text.as_py() or "").encode()
-            if docs and size + len(data) > CHUNK:
-                yield row()
-                made, docs, size = made + 1, [], 0
-            docs.append((doc_id, held, data.lower().split()))
-            size += len(data)
-    if docs:
-        yield row()
+        for batch in batches:
+            kind = batch["doc_id"].type
+            for doc_id, held, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"], strict=True):
+                data = (text.as_py() or "").encode()
+                if docs and size + len(data) > CHUNK:
+                    yield row()
+                    made, docs, size = made + 1, [], 0
+                docs.append((doc_id, held, data.lower().split()))
+                size += len(data)
+        if docs:
+            yield row()
+
+    return number_words
 
 
 def _shape_column(word):
@@ -104,39 +119,38 @@ def _shape_column(word):
     )
 
 
-def _coder(core: dict[bytes, int], log_total: float, log_shape: np.ndarray, end_count: int):
-    """Turns a chunk's words into codes (a core word's number, or the core's
-    size plus a shape; END after them) and adds up what needs words' own counts."""
+def _codes(words: list[bytes], core: dict[bytes, int]) -> np.ndarray:
+    """A core word's number, or the core's size plus a shape."""
+    codes = np.fromiter((core.get(w, -1) for w in words), np.int64, len(words))
+    other = np.flatnonzero(codes < 0)
+    codes[other] = [len(core) + shape(words[k]) for k in other]
+    return codes
+
+
+def _tokens(row):
+    """A chunk's tokens (its words' numbers, after each text the number past
+    them) and each text's number of tokens."""
+    ends = row["ends"][0].values.to_numpy()
+    n = np.diff(np.concatenate([[0], ends])) + 1
+    return np.insert(np.frombuffer(row["tokens"][0].as_py(), "<i4"), ends, len(row["words"][0])), n
+
+
+def _single_rows(batches):
+    for batch in batches:
+        for at in range(len(batch)):
+            yield batch.slice(at, 1)
+
+
+def _core_coder(core: dict[bytes, int]):
+    """Chunks with their tokens as codes; the end's code is the last one."""
 
     def code(batches):
-        size = len(core)
-        for batch in batches:
-            for at in range(len(batch)):
-                row = batch.slice(at, 1)
-                words = row["words"][0].values.to_pylist()
-                codes = np.array([core.get(w, -1) for w in words] or [], np.int64)
-                rare = np.flatnonzero(codes < 0)
-                codes[rare] = [size + shape(words[k]) for k in rare]
-                found = row["counts"][0]
-                counts = np.zeros(len(words), np.float64)
-                if found.is_valid:
-                    pair = found.values
-                    counts[pair.field("i").to_numpy()] = pair.field("c").to_numpy()
-                own = np.log10(counts + 1)
-                emission = np.where(codes >= size, own - log_shape[np.maximum(codes - size, 0)], 0.0)
-                tokens = np.frombuffer(row["tokens"][0].as_py(), "<i4")
-                ends = row["ends"][0].values.to_numpy()
-                starts = np.concatenate([[0], ends[:-1]])
-                out = np.insert(codes[tokens], ends, size + SHAPES).astype("<u4")
-                sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[tokens])])[np.append(0, ends)])  # noqa: B023, E731
-                n = ends - starts + 1
-                base = sums(own) + np.log10(end_count + 1) - n * log_total
-                known = sums((counts > 0).astype(np.float64)).astype(np.int64) + (end_count > 0)
-                lists = [pa.array([x], pa.list_(t)) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (sums(emission), pa.float64()))]
-                yield pa.RecordBatch.from_arrays(
-                    [row["chunk"], row["ids"], row["held"], pa.array([out.tobytes()], pa.binary()), *lists],
-                    names=["chunk", "ids", "held", "codes", "n", "known", "base", "rare"],
-                )
+        for row in _single_rows(batches):
+            seq, n = _tokens(row)
+            codes = np.append(_codes(row["words"][0].values.to_pylist(), core), len(core) + SHAPES)[seq]
+            yield pa.RecordBatch.from_arrays(
+                [row["held"], pa.array([n], pa.list_(pa.int64())), pa.array([codes.astype("<u4").tobytes()], pa.binary())], names=["held", "n", "codes"]
+            )
 
     return code
 
@@ -207,6 +221,11 @@ def _matrix(right: np.ndarray, classes: np.ndarray, kinds: int) -> np.ndarray:
     return out
 
 
+def likelihood(m: np.ndarray) -> float:
+    """What the classes add to the training text's log likelihood."""
+    return float(_f(m).sum() - _f(m.sum(0)).sum() - _f(m.sum(1)).sum())
+
+
 def exchange(right: np.ndarray, left: np.ndarray, self_: np.ndarray, classes: np.ndarray, movable: int, kinds: int) -> tuple[np.ndarray, int]:
     """One pass: the first ``movable`` codes, one by one, move to the class
     (0 to CLASSES - 1) that raises the likelihood of the class bigrams most,
@@ -240,10 +259,173 @@ def exchange(right: np.ndarray, left: np.ndarray, self_: np.ndarray, classes: np
     return classes, moves
 
 
+# --- insertion of the other words -----------------------------------------------------
+
+
+def _places(core: dict[bytes, int], classes: np.ndarray):
+    """``chunk, i, word, n, near`` of each chunk's words outside the core:
+    ``near`` holds a byte for each training place's right neighbour (its
+    class) and one for the left neighbour (KINDS plus its class)."""
+
+    def places(batches):
+        for row in _single_rows(batches):
+            listed = row["words"][0].values
+            codes = _codes(listed.to_pylist(), core)
+            other = codes >= len(core)
+            seq, n = _tokens(row)
+            kind = np.append(classes[codes], END)[seq]
+            wanted = np.append(other, False)[seq] & np.repeat(~row["held"][0].values.to_numpy(zero_copy_only=False), n)
+            who = np.tile(seq[wanted], 2)
+            near = np.concatenate([np.append(kind[1:], END)[wanted], KINDS + np.append(END, kind[:-1])[wanted]]).astype(np.uint8)
+            near = near[np.argsort(who, kind="stable")]
+            at = np.flatnonzero(other)
+            size = np.bincount(who, minlength=len(other) + 1)[at]
+            offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(at), row["chunk"][0].as_py())),
+                    pa.array(at.astype(np.int32)),
+                    listed.take(pa.array(at)),
+                    pa.array(size // 2),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(near.tobytes())]),
+                ],
+                names=["chunk", "i", "word", "n", "near"],
+            )
+
+    return places
+
+
+def _runs(batch):
+    """Of a batch's runs of equal words: first rows, counts, and the bounds of
+    their bytes within the batch's neighbours."""
+    number = batch["word"].dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    near = batch["near"]
+    offsets = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1]
+    data = np.frombuffer(near.buffers()[2] or b"", np.uint8)
+    return first, np.add.reduceat(batch["n"].to_numpy(), first), offsets[np.append(first, len(near))], data
+
+
+def _combine(batches):
+    """Rows of equal words that follow each other become one."""
+    for batch in batches:
+        if len(batch):
+            first, n, bounds, data = _runs(batch)
+            near = pa.BinaryArray.from_buffers(
+                pa.binary(), len(first), [None, pa.py_buffer((bounds - bounds[0]).astype(np.int32)), pa.py_buffer(data[bounds[0] : bounds[-1]].tobytes())]
+            )
+            yield pa.RecordBatch.from_arrays([batch["word"].take(pa.array(first)), pa.array(n), near], names=["word", "n", "near"])
+
+
+def best_classes(near: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class (0 to CLASSES - 1, the lowest of equals) in which each word
+    raises the likelihood of the class bigrams ``m`` most, by its counts of
+    right (first KINDS columns) and left neighbours' classes."""
+
+    def gained(cells, at, n):  # of cells [:, at] when n are added, for all classes
+        key, back = np.unique(np.stack([at, n]), axis=1, return_inverse=True)
+        old = cells[:, key[0]]
+        return (_f(old + key[1]) - _f(old)).T[back.ravel()]
+
+    gain = np.zeros((len(near), CLASSES))
+    for cells, total, part in ((m[:CLASSES], m.sum(1), near[:, :KINDS]), (m.T[:CLASSES], m.sum(0), near[:, KINDS:])):
+        w, at = np.nonzero(part)
+        if len(w):
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[first]] += np.add.reduceat(gained(cells, at, part[w, at]), first)
+        size = part.sum(1)
+        gain -= gained(total[:CLASSES, None], np.zeros(len(size), np.int64), size)
+    # A class that is its own neighbour: both counts enter one cell.
+    right, left = near[:, :CLASSES], near[:, KINDS : KINDS + CLASSES]
+    w, c = np.nonzero((right > 0) & (left > 0))
+    d, r, l = m[c, c], right[w, c], left[w, c]
+    gain[w, c] += _f(d + r + l) - _f(d + r) - _f(d + l) + _f(d)
+    return np.argmax(gain, axis=1)
+
+
+def _choose(m: np.ndarray):
+    """``word, c, kind`` of the words, whose rows come one after the other."""
+
+    def out(words, n, near):
+        seen = n > 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array([w for w, s in zip(words, seen, strict=True) if s], pa.binary()), pa.array(n[seen]), pa.array(best_classes(near[seen], m).astype(np.int8))],
+            names=["word", "c", "kind"],
+        )
+
+    def choose(batches):
+        last = None  # the word whose rows may go on, its count and neighbours
+        for batch in batches:
+            if not len(batch):
+                continue
+            first, n, bounds, data = _runs(batch)
+            words = batch["word"].take(pa.array(first)).to_pylist()
+            which = np.repeat(np.arange(len(first)), np.diff(bounds))
+            near = np.bincount(which * 2 * KINDS + data[bounds[0] : bounds[-1]], minlength=len(first) * 2 * KINDS).reshape(-1, 2 * KINDS)
+            if last is not None:
+                if words[0] == last[0]:
+                    n[0] += last[1]
+                    near[0] += last[2]
+                else:
+                    words, n, near = [last[0], *words], np.append(last[1], n), np.vstack([last[2], near])
+            last = words[-1], n[-1], near[-1].copy()
+            yield out(words[:-1], n[:-1], near[:-1])
+        if last is not None:
+            yield out([last[0]], np.array([last[1]]), last[2][None])
+
+    return choose
+
+
+# --- texts in classes -----------------------------------------------------------------
+
+
+def _kinds_of(core: dict[bytes, int], core_count: np.ndarray, classes: np.ndarray, in_class: np.ndarray, log_unseen: np.ndarray, log_seen: float, end_count: int, log_total: float):
+    """Turns a chunk's tokens into classes and adds up what needs words' own counts."""
+    log_class = np.log10(np.maximum(in_class, 1))
+
+    def code(batches):
+        size = len(core)
+        for row in _single_rows(batches):
+            codes = _codes(row["words"][0].values.to_pylist(), core)
+            inside = codes < size
+            counts, kind = np.zeros(len(codes)), classes[codes]
+            counts[inside] = core_count[codes[inside]]
+            found = row["counts"][0]
+            if found.is_valid:
+                at = found.values.field("i").to_numpy()
+                counts[at], kind[at] = found.values.field("c").to_numpy(), found.values.field("kind").to_numpy()
+            seen = counts > 0
+            emission = np.empty(len(codes))
+            emission[seen] = log_seen + np.log10(counts[seen]) - log_class[kind[seen]]
+            emission[~seen] = log_unseen[kind[~seen] - CLASSES]
+            seq, n = _tokens(row)
+            sums = lambda x, end: np.add.reduceat(np.append(x, end)[seq], np.cumsum(n) - n)  # noqa: B023, E731
+            base = sums(np.log10(counts + 1), np.log10(end_count + 1)) - n * log_total
+            known = sums(seen.astype(np.int64), int(end_count > 0))
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (sums(emission, log_seen), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(
+                [row["ids"], row["held"], pa.array([np.append(kind, END)[seq].astype(np.uint8).tobytes()], pa.binary()), *lists],
+                names=["ids", "held", "kinds", "n", "known", "base", "emission"],
+            )
+
+    return code
+
+
+def _transitions(batches):
+    """Class bigrams of a task's training documents."""
+    total = np.zeros(KINDS * KINDS, np.int64)
+    for row in _single_rows(batches):
+        now = np.frombuffer(row["kinds"][0].as_py(), np.uint8).astype(np.int64)
+        train = np.repeat(~row["held"][0].values.to_numpy(zero_copy_only=False), row["n"][0].values.to_numpy())
+        total += np.bincount((np.append(END, now[:-1]) * KINDS + now)[train], minlength=KINDS * KINDS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+
 # --- the operator ---------------------------------------------------------------------
 
 
-def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
+def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, perplexity``.
 
@@ -253,7 +435,16 @@ def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     model's log10 probability, ``score`` the class model's.  A null or empty
     text is the end alone; repeated rows count each time; with no training
     rows every count is zero; other columns are not read.
+
+    A word never met in training gets the share of training words met once
+    (Good and Turing's estimate), divided by spelling, then evenly over one
+    word more than were met; all other probabilities share the rest.
     """
+    return fit(docs, id_col, text_col, core, tolerance)[0]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """:func:`class_lm`'s rows and the model's words: ``word, c, kind``."""
     spark = docs.sparkSession
     ready(spark)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -264,78 +455,117 @@ def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     # Chunks bucketed by their number: what is found for them joins without moving them.
     tasks = bucket_count(spark, total_bytes, BUCKET)
-    name = f"ledgerline_words_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-llm/{name}"
-    schema = f"chunk long, ids array<{id_type}>, held array<boolean>, ends array<long>, tokens binary, words array<binary>, train array<long>"
-    rows.mapInArrow(_number_words, schema).write.option("path", path).option("compression", "zstd").bucketBy(tasks, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
-
-    # Each word's count over all chunks, kept with each chunk's number for it.
-    # A chunk sends a word once, so even "the" is a row per chunk.
-    listed = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("i", "w")).select("chunk", "i", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    by_word = Window.partitionBy("word")
-    counted = stored(
-        listed.select("chunk", "i", "word", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("chunk", "i")).alias("k"))
-        .where("c > 0")
-        .select("chunk", "i", "c", F.when(F.col("k") == 1, F.col("word")).alias("word")),
-        "word-counts",
-    )
-    vocabulary = counted.where("word is not null").select("word", "c")
-    shapes = [F.when(_shape_column(F.col("word")) == k, F.col("c")) for k in range(SHAPES)]
-    figures = vocabulary.agg(F.sum("c"), F.count("c")).first()
-    n_total, n_types = (figures[0] or 0) + end_count, figures[1] + (end_count > 0)
-    in_core = F.col("c") * CORE >= n_total
-    core = vocabulary.where(in_core).orderBy(F.desc("c"), "word").toArrow()
-    per_shape = vocabulary.where(~in_core).agg(*[f(x) for x in shapes for f in (F.sum, F.count)]).first()
-    log_shape = np.log10(np.array([(per_shape[2 * k] or 0) + per_shape[2 * k + 1] + 1 for k in range(SHAPES)], float))
-
-    back = counted.groupBy(F.col("chunk").alias("to")).agg(F.collect_list(F.struct("i", "c")).alias("counts"))
-    core_words = {w: k for k, w in enumerate(core["word"].to_pylist())}
-    coder = _coder(core_words, float(np.log10(n_total + n_types + 1)), log_shape, end_count)
-    coded = stored(
-        chunks.drop("train")
-        .join(back.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left")
-        .drop("to")
-        .mapInArrow(coder, f"chunk long, ids array<{id_type}>, held array<boolean>, codes binary, n array<long>, known array<long>, base array<double>, rare array<double>"),
-        "coded",
-    )
-
-    # Core words start in classes by rank; then passes of exchange.
-    kinds = CLASSES + SHAPES + 1
+    schema = f"chunk long, ids array<{id_type}>, held array<boolean>, ends array<long>, tokens binary, words array<binary>, train array<long>, total long, heavy array<binary>"
+    chunks = _bucketed(rows.mapInArrow(_number_words(core), schema), "words", tasks, "chunk")
+
+    # Core words: those with the share in some chunk, counted over all.
+    n_words = chunks.agg(F.sum("total")).first()[0] or 0
+    heavy = stored(chunks.select(F.explode("heavy").alias("word")).distinct(), "heavy")
+    listed = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n")).where("n > 0")
+    counted = listed.join(heavy, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("c")).where(F.col("c") * core >= n_words)
+    top = counted.orderBy(F.desc("c"), "word").toArrow()
+    core_words = {w: k for k, w in enumerate(top["word"].to_pylist())}
+    core_count = top["c"].to_numpy().astype(float)
     size = len(core_words)
-    classes = np.concatenate([np.arange(size) % CLASSES, CLASSES + np.arange(SHAPES + 1)])
-    for _ in range(passes):
-        classes, moves = exchange(*_gather(coded, classes, kinds), classes, size, kinds)
+
+    # They start in classes by rank; then passes of exchange until it rests.
+    coded = stored(chunks.select("held", "ends", "tokens", "words").mapInArrow(_core_coder(core_words), "held array<boolean>, n array<long>, codes binary"), "coded")
+    now = np.concatenate([np.arange(size) % CLASSES, CLASSES + np.arange(SHAPES + 1)])
+    classes, bigram, best = now, np.zeros((KINDS, KINDS)), -np.inf
+    while True:
+        counts = _gather(coded, now, KINDS)
+        m = _matrix(counts[0], now, KINDS)
+        value = likelihood(m)
+        rests = value <= best + tolerance * (n_words + end_count)
+        if value > best:
+            classes, bigram, best = now, m, value
+        if rests:
+            break
+        now, moves = exchange(*counts, now, size, KINDS)
         if not moves:
             break
-    right, _, _ = _gather(coded, classes, kinds)
-    bigram = _matrix(right, classes, kinds)
 
-    # Smoothed transitions (towards the classes' own frequency) and emissions.
-    into = bigram.sum(0)
-    share = (into + 1) / (into.sum() + kinds)
-    transition = np.log10((bigram + kinds * share) / (bigram.sum(1, keepdims=True) + kinds))
-    count = np.array([*core["c"].to_pylist(), *[1] * (SHAPES + 1)], float)
-    in_class = np.bincount(classes[:size], count[:size], minlength=kinds)
-    emission = np.concatenate([np.log10(count[:size] / in_class[classes[:size]]), np.zeros(SHAPES + 1)])
+    # All other words, with their places, by word; each is inserted once and
+    # joined back to its chunks.
+    schema = "chunk long, i int, word binary, n long, near binary"
+    places = chunks.select("chunk", "held", "ends", "tokens", "words").mapInArrow(_places(core_words, classes), schema)
+    places = _bucketed(places.repartition(tasks, "word").sortWithinPartitions("word"), "places", tasks, "word")
+    combined = places.select("word", "n", "near").mapInArrow(_combine, "word binary, n long, near binary")
+    inserted = stored(combined.repartition("word").sortWithinPartitions("word").mapInArrow(_choose(bigram), "word binary, c long, kind tinyint"), "inserted")
+    back = (
+        places.select("word", "chunk", "i")
+        .join(inserted.hint("shuffle_hash"), "word")
+        .groupBy(F.col("chunk").alias("to"))
+        .agg(F.collect_list(F.struct("i", "c", "kind")).alias("counts"))
+    )
+
+    # Emissions and the share of unseen words.
+    in_class = np.bincount(classes[:size], core_count, minlength=KINDS)
+    for r in inserted.groupBy("kind").agg(F.sum("c").alias("c")).collect():
+        in_class[r.kind] += r.c
+    per_shape = {r.shape: r for r in inserted.groupBy(_shape_column(F.col("word")).alias("shape")).agg(F.count("c").alias("types"), F.count_if(F.col("c") == 1).alias("once")).collect()}
+    types, once = (np.array([per_shape[k][name] if k in per_shape else 0 for k in range(SHAPES)], float) for name in ("types", "once"))
+    for w, c in zip(core_words, core_count, strict=True):
+        types[shape(w)] += 1
+        once[shape(w)] += c == 1
+    n_total, n_types = n_words + end_count, int(types.sum()) + (end_count > 0)
+    unseen = (once.sum() + 1) / (n_total + 2)
+    log_unseen = np.log10(unseen * (once + 1) / (once.sum() + SHAPES) / (types + 1))
+    log_seen = float(np.log10(1 - unseen))
+
+    coder = _kinds_of(core_words, core_count, classes, in_class, log_unseen, log_seen, end_count, float(np.log10(n_total + n_types + 1)))
+    texts = stored(
+        chunks.select("chunk", "ids", "held", "ends", "tokens", "words")
+        .join(back.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left")
+        .drop("to", "chunk")
+        .mapInArrow(coder, f"ids array<{id_type}>, held array<boolean>, kinds binary, n array<long>, known array<long>, base array<double>, emission array<double>"),
+        "texts",
+    )
+
+    # Transitions, smoothed towards the classes' own frequency; an unseen
+    # word's probability is all in its emission.
+    final = np.zeros(KINDS * KINDS)
+    for r in texts.select("held", "kinds", "n").mapInArrow(_transitions, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        final[r["at"]] = r["n"]
+    transition = transitions(final.reshape(KINDS, KINDS))
 
     def score(batches):
-        for batch in batches:
-            for row in (batch.slice(at, 1) for at in range(len(batch))):
-                codes = np.frombuffer(row["codes"][0].as_py(), "<u4")
-                n = row["n"][0].values.to_numpy()
-                kind = classes[codes]
-                logs = transition[np.concatenate([[kinds - 1], kind[:-1]]), kind] + emission[codes]
-                total = np.add.reduceat(logs, np.cumsum(n) - n) + row["rare"][0].values.to_numpy()
-                columns = [row["ids"][0].values, row["held"][0].values, row["n"][0].values, row["known"][0].values]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([n_total] * len(n), pa.int64()), row["base"][0].values, pa.array(total), pa.array(10 ** (-total / n))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
-                )
-
-    return coded.mapInArrow(
+        for row in _single_rows(batches):
+            kind = np.frombuffer(row["kinds"][0].as_py(), np.uint8)
+            n = row["n"][0].values.to_numpy()
+            logs = transition[np.append(np.uint8(END), kind[:-1]), kind]
+            total = np.add.reduceat(logs, np.cumsum(n) - n) + row["emission"][0].values.to_numpy()
+            columns = [row["ids"][0].values, row["held"][0].values, row["n"][0].values, row["known"][0].values]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([n_total] * len(n), pa.int64()), row["base"][0].values, pa.array(total), pa.array(10 ** (-total / n))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
+            )
+
+    scored = texts.mapInArrow(
         score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     )
+    top = top.append_column("kind", pa.array(classes[:size].astype(np.int8)))
+    return scored, inserted.unionByName(spark.createDataFrame(top, inserted.schema))
+
+
+def transitions(bigram: np.ndarray) -> np.ndarray:
+    """log10 of the smoothed transitions; zero into the classes by spelling."""
+    open_ = np.r_[0:CLASSES, END]
+    share = np.zeros(KINDS)
+    share[open_] = bigram.sum(0)[open_] + 1
+    share /= share.sum()
+    out = np.zeros((KINDS, KINDS))
+    out[:, open_] = np.log10((bigram[:, open_] + KINDS * share[open_]) / (bigram.sum(1, keepdims=True) + KINDS))
+    return out
+
+
+def _bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """Cut lineage: a table in the shared folder, bucketed by a column."""
+    spark = df.sparkSession
+    name = f"ledgerline_{name}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-llm/{name}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
 
 
 # --- registered query -----------------------------------------------------------------

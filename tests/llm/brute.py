@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -155,3 +156,76 @@ def unigram(docs) -> dict:
         d: (held[d], len(ts), sum(count[x] > 0 for x in ts), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in ts))
         for d, ts in tokens.items()
     }
+
+
+# --- class language model
+
+
+def class_scores(split, train, model):
+    """log10 probability of each text by plain counting over ``train``."""
+    from ledgerline.llm.class_lm import CLASSES, KINDS, SHAPES, shape
+
+    end = KINDS - 1
+    pairs, in_class, once, types = Counter(), Counter(), [0] * SHAPES, [0] * SHAPES
+    for words in train:
+        kinds = [end, *[model[w][1] for w in words], end]
+        pairs.update(zip(kinds, kinds[1:]))
+    for w, (c, k) in model.items():
+        in_class[k] += c
+        types[shape(w)] += 1
+        once[shape(w)] += c == 1
+    n = sum(map(len, train)) + len(train)
+    unseen = (sum(once) + 1) / (n + 2)
+    into, out = Counter(), Counter()
+    for (a, k), c in pairs.items():
+        into[k] += c
+        out[a] += c
+    goals = [*range(CLASSES), end]
+    mass = sum(into[k] + 1 for k in goals)
+    step = lambda a, k: math.log10((pairs[a, k] + KINDS * (into[k] + 1) / mass) / (out[a] + KINDS))
+
+    def score(words):
+        total, before = 0.0, end
+        for w in words:
+            if w in model:
+                c, k = model[w]
+                total += step(before, k) + math.log10((1 - unseen) * c / in_class[k])
+            else:
+                s = shape(w)
+                k = CLASSES + s
+                total += math.log10(unseen * (once[s] + 1) / (sum(once) + SHAPES) / (types[s] + 1))
+            before = k
+        return total + step(before, end) + math.log10(1 - unseen)
+
+    return {i: score(words) for i, words in split.items()}
+
+
+def insertion_values(word, train, kind):
+    """Likelihood of the class bigrams with ``word``'s neighbours' counts
+    moved into each class, the word's other places as they were."""
+    from ledgerline.llm.class_lm import CLASSES, KINDS
+
+    end = KINDS - 1
+    pairs, near = Counter(), []
+    for words in train:
+        kinds = [end, *map(kind, words), end]
+        pairs.update(zip(kinds, kinds[1:]))
+        near += [(kinds[k], kinds[k + 2]) for k, w in enumerate(words) if w == word]
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    values = []
+    for c in range(CLASSES):
+        moved = pairs.copy()
+        for a, b in near:
+            moved[a, c] += 1
+            moved[c, b] += 1
+        rows, cols = Counter(), Counter()
+        for (a, b), k in moved.items():
+            if a == c:
+                rows[a] += k
+            if b == c:
+                cols[b] += k
+        before_rows = sum(k for (a, _), k in pairs.items() if a == c)
+        before_cols = sum(k for (_, b), k in pairs.items() if b == c)
+        gain = sum(f(k) - f(pairs[p]) for p, k in moved.items())
+        values.append(gain - f(rows[c]) + f(before_rows) - f(cols[c]) + f(before_cols))
+    return values

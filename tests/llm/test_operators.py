@@ -3,6 +3,8 @@ nulls, empty and long texts, ties, repeated rows, empty tables and clashing
 column names."""
 
 import hashlib
+import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -344,6 +346,29 @@ def test_class_lm_odd_rows(odd, empty):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in class_lm.class_lm(only_held).collect())
 
 
+@pytest.mark.parametrize("core", [300, class_lm.CORE])
+def test_class_lm_against_brute_force(spark, documents, core):
+    """Every training word has a learned class; scores follow from the words'
+    classes by plain counting; words outside the core lie in the class that a
+    full count of the likelihood prefers."""
+    docs = [(i, t) for i, t in documents if len(t or "") < 3_000][:120]
+    scored, words = class_lm.fit(spark.createDataFrame(docs, "doc_id long, text string"), core=core)
+    model = {bytes(r.word): (r.c, r.kind) for r in words.collect()}
+    split = {i: (t or "").encode().lower().split() for i, t in docs}
+    train = [w for i, w in split.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for words in train for w in words)
+    assert {w: c for w, (c, _) in model.items()} == counts
+    assert all(0 <= k < class_lm.CLASSES for _, k in model.values())
+    assert {i: s for i, s in brute.class_scores(split, train, model).items()} == pytest.approx({r.doc_id: r.score for r in scored.collect()}, rel=1e-9)
+    n = sum(counts.values())
+    others = [w for w, c in counts.items() if c * core < n]
+    assert bool(others) == (core == 300)
+    for w in others[:: max(len(others) // 12, 1)]:
+        kind = lambda x: model[x][1] if counts[x] * core >= n else class_lm.CLASSES + class_lm.shape(x)
+        values = brute.insertion_values(w, train, kind)
+        assert values[model[w][1]] >= max(values) - 1e-6
+
+
 def test_exchange_raises_likelihood():
     """On a corpus of two alternating word kinds, exchange separates them."""
     rng = np.random.default_rng(4)
