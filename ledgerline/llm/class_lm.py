@@ -39,6 +39,10 @@ TOLERANCE = 1e-3
 SHAPES = 4
 KINDS = CLASSES + SHAPES + 1  # the end of a text is a class of its own
 END = KINDS - 1
+#: Share of the words' own frequency mixed with the class model, so that a word
+#: whose class rests on few places is never much worse off than without it.
+UNIGRAM = 0.2
+ONCE = 128  # added to the class of a word met once, for each spelling
 #: Bytes of text whose words are numbered together (one document at least).
 CHUNK = 4_000_000
 #: Chunk bytes read by one task, about.
@@ -379,10 +383,9 @@ def _choose(m: np.ndarray):
 # --- texts in classes -----------------------------------------------------------------
 
 
-def _kinds_of(core: dict[bytes, int], core_count: np.ndarray, classes: np.ndarray, in_class: np.ndarray, log_unseen: np.ndarray, log_seen: float, end_count: int, log_total: float):
-    """Turns a chunk's tokens into classes and adds up what needs words' own counts."""
-    log_class = np.log10(np.maximum(in_class, 1))
-
+def _kinds_of(core: dict[bytes, int], core_count: np.ndarray, classes: np.ndarray, log_types: np.ndarray, end_count: int, log_total: float):
+    """Turns a chunk's tokens into classes (plus ONCE times 1 + its spelling
+    for a word met once in training) and adds up what needs words' own counts."""
     def code(batches):
         size = len(core)
         for row in _single_rows(batches):
@@ -396,15 +399,18 @@ def _kinds_of(core: dict[bytes, int], core_count: np.ndarray, classes: np.ndarra
                 counts[at], kind[at] = found.values.field("c").to_numpy(), found.values.field("kind").to_numpy()
             seen = counts > 0
             emission = np.empty(len(codes))
-            emission[seen] = log_seen + np.log10(counts[seen]) - log_class[kind[seen]]
-            emission[~seen] = log_unseen[kind[~seen] - CLASSES]
+            emission[seen] = np.log10(counts[seen])
+            emission[~seen] = -log_types[kind[~seen] - CLASSES]
+            once = np.flatnonzero(counts == 1)
+            listed = row["words"][0].values
+            kind[once] += np.array([ONCE * (1 + shape(listed[k].as_py())) for k in once.tolist()], np.int64)
             seq, n = _tokens(row)
             sums = lambda x, end: np.add.reduceat(np.append(x, end)[seq], np.cumsum(n) - n)  # noqa: B023, E731
             base = sums(np.log10(counts + 1), np.log10(end_count + 1)) - n * log_total
             known = sums(seen.astype(np.int64), int(end_count > 0))
-            lists = [pa.array([x], pa.list_(t)) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (sums(emission, log_seen), pa.float64()))]
+            lists = [pa.array([x], pa.list_(t)) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (sums(emission, np.log10(max(end_count, 1))), pa.float64()))]
             yield pa.RecordBatch.from_arrays(
-                [row["ids"], row["held"], pa.array([np.append(kind, END)[seq].astype(np.uint8).tobytes()], pa.binary()), *lists],
+                [row["ids"], row["held"], pa.array([np.append(kind, END)[seq].astype("<u2").tobytes()], pa.binary()), *lists],
                 names=["ids", "held", "kinds", "n", "known", "base", "emission"],
             )
 
@@ -412,11 +418,13 @@ def _kinds_of(core: dict[bytes, int], core_count: np.ndarray, classes: np.ndarra
 
 
 def _transitions(batches):
-    """Class bigrams of a task's training documents."""
+    """Class bigrams of a task's training documents.  A word met once would be
+    an unseen one without its own place, so it counts by its spelling."""
     total = np.zeros(KINDS * KINDS, np.int64)
     for row in _single_rows(batches):
-        now = np.frombuffer(row["kinds"][0].as_py(), np.uint8).astype(np.int64)
+        codes = np.frombuffer(row["kinds"][0].as_py(), "<u2").astype(np.int64)
         train = np.repeat(~row["held"][0].values.to_numpy(zero_copy_only=False), row["n"][0].values.to_numpy())
+        now = np.where(codes < ONCE, codes, CLASSES + codes // ONCE - 1)
         total += np.bincount((np.append(END, now[:-1]) * KINDS + now)[train], minlength=KINDS * KINDS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
@@ -436,9 +444,9 @@ def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     text is the end alone; repeated rows count each time; with no training
     rows every count is zero; other columns are not read.
 
-    A word never met in training gets the share of training words met once
-    (Good and Turing's estimate), divided by spelling, then evenly over one
-    word more than were met; all other probabilities share the rest.
+    Words met once in training stand in for words never met (Good and
+    Turing): a class by spelling follows another class as often as they do,
+    and its probability is shared evenly by one word more than were met.
     """
     return fit(docs, id_col, text_col, core, tolerance)[0]
 
@@ -509,11 +517,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
         types[shape(w)] += 1
         once[shape(w)] += c == 1
     n_total, n_types = n_words + end_count, int(types.sum()) + (end_count > 0)
-    unseen = (once.sum() + 1) / (n_total + 2)
-    log_unseen = np.log10(unseen * (once + 1) / (once.sum() + SHAPES) / (types + 1))
-    log_seen = float(np.log10(1 - unseen))
+    unseen = (once.sum() + 1) / (n_total + 2) * (once + 1) / (once.sum() + SHAPES)
 
-    coder = _kinds_of(core_words, core_count, classes, in_class, log_unseen, log_seen, end_count, float(np.log10(n_total + n_types + 1)))
+    coder = _kinds_of(core_words, core_count, classes, np.log10(types + 1), end_count, float(np.log10(n_total + n_types + 1)))
     texts = stored(
         chunks.select("chunk", "ids", "held", "ends", "tokens", "words")
         .join(back.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left")
@@ -522,18 +528,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
         "texts",
     )
 
-    # Transitions, smoothed towards the classes' own frequency; an unseen
-    # word's probability is all in its emission.
     final = np.zeros(KINDS * KINDS)
     for r in texts.select("held", "kinds", "n").mapInArrow(_transitions, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         final[r["at"]] = r["n"]
-    transition = transitions(final.reshape(KINDS, KINDS))
+    in_class[END] = end_count
+    transition = transitions(final.reshape(KINDS, KINDS), unseen, np.maximum(in_class, 1), max(n_total, 1))
 
     def score(batches):
         for row in _single_rows(batches):
-            kind = np.frombuffer(row["kinds"][0].as_py(), np.uint8)
+            kind = np.frombuffer(row["kinds"][0].as_py(), "<u2") % ONCE
             n = row["n"][0].values.to_numpy()
-            logs = transition[np.append(np.uint8(END), kind[:-1]), kind]
+            logs = transition[np.append(np.uint16(END), kind[:-1]), kind]
             total = np.add.reduceat(logs, np.cumsum(n) - n) + row["emission"][0].values.to_numpy()
             columns = [row["ids"][0].values, row["held"][0].values, row["n"][0].values, row["known"][0].values]
             yield pa.RecordBatch.from_arrays(
@@ -548,14 +553,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
     return scored, inserted.unionByName(spark.createDataFrame(top, inserted.schema))
 
 
-def transitions(bigram: np.ndarray) -> np.ndarray:
-    """log10 of the smoothed transitions; zero into the classes by spelling."""
+def transitions(bigram: np.ndarray, unseen: np.ndarray, in_class: np.ndarray, total: int) -> np.ndarray:
+    """log10 probability of the next class: into the classes by spelling as
+    often as words met once follow, smoothed towards their overall share
+    ``unseen``; the rest into learned classes and the end, smoothed towards
+    their frequency, divided by the class's tokens and mixed with the words'
+    own frequency (times a word's count it is the word's probability)."""
     open_ = np.r_[0:CLASSES, END]
-    share = np.zeros(KINDS)
-    share[open_] = bigram.sum(0)[open_] + 1
-    share /= share.sum()
+    share = bigram[open_][:, open_].sum(0) + 1
+    seen = bigram[:, open_].sum(1, keepdims=True)
+    new = (bigram[:, CLASSES:END] + KINDS * unseen) / (bigram.sum(1, keepdims=True) + KINDS)
     out = np.zeros((KINDS, KINDS))
-    out[:, open_] = np.log10((bigram[:, open_] + KINDS * share[open_]) / (bigram.sum(1, keepdims=True) + KINDS))
+    out[:, CLASSES:END] = np.log10(new)
+    step = (bigram[:, open_] + KINDS * share / share.sum()) / (seen + KINDS)
+    words = (1 - UNIGRAM) * step / in_class[open_] + UNIGRAM / total
+    out[:, open_] = np.log10(words) + np.log10(1 - new.sum(1, keepdims=True))
     return out
 
 

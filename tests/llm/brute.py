@@ -163,39 +163,39 @@ def unigram(docs) -> dict:
 
 def class_scores(split, train, model):
     """log10 probability of each text by plain counting over ``train``."""
-    from ledgerline.llm.class_lm import CLASSES, KINDS, SHAPES, shape
+    from ledgerline.llm.class_lm import CLASSES, KINDS, SHAPES, UNIGRAM, shape
 
     end = KINDS - 1
     pairs, in_class, once, types = Counter(), Counter(), [0] * SHAPES, [0] * SHAPES
-    for words in train:
-        kinds = [end, *[model[w][1] for w in words], end]
-        pairs.update(zip(kinds, kinds[1:]))
     for w, (c, k) in model.items():
         in_class[k] += c
         types[shape(w)] += 1
         once[shape(w)] += c == 1
+    for words in train:
+        kinds = [end, *[model[w][1] if model[w][0] > 1 else CLASSES + shape(w) for w in words], end]
+        pairs.update(zip(kinds, kinds[1:]))
     n = sum(map(len, train)) + len(train)
-    unseen = (sum(once) + 1) / (n + 2)
-    into, out = Counter(), Counter()
-    for (a, k), c in pairs.items():
-        into[k] += c
-        out[a] += c
+    share = [(sum(once) + 1) / (n + 2) * (x + 1) / (sum(once) + SHAPES) for x in once]
     goals = [*range(CLASSES), end]
-    mass = sum(into[k] + 1 for k in goals)
-    step = lambda a, k: math.log10((pairs[a, k] + KINDS * (into[k] + 1) / mass) / (out[a] + KINDS))
+    out = {a: sum(pairs[a, k] for k in goals) for a in range(KINDS)}
+    into = {k: sum(pairs[a, k] for a in goals) + 1 for k in goals}
+    new = {(a, s): (pairs[a, CLASSES + s] + KINDS * share[s]) / (sum(pairs[a, k] for k in range(KINDS)) + KINDS) for a in range(KINDS) for s in range(SHAPES)}
+    old = {a: 1 - sum(new[a, s] for s in range(SHAPES)) for a in range(KINDS)}
+    step = lambda a, k: (pairs[a, k] + KINDS * into[k] / sum(into.values())) / (out[a] + KINDS)
+    in_class[end] = len(train)
+    word = lambda a, k, c: math.log10(old[a] * ((1 - UNIGRAM) * step(a, k) * c / in_class[k] + UNIGRAM * c / n))
 
     def score(words):
         total, before = 0.0, end
         for w in words:
             if w in model:
                 c, k = model[w]
-                total += step(before, k) + math.log10((1 - unseen) * c / in_class[k])
+                total += word(before, k, c)
             else:
-                s = shape(w)
-                k = CLASSES + s
-                total += math.log10(unseen * (once[s] + 1) / (sum(once) + SHAPES) / (types[s] + 1))
+                k = CLASSES + shape(w)
+                total += math.log10(new[before, shape(w)] / (types[shape(w)] + 1))
             before = k
-        return total + step(before, end) + math.log10(1 - unseen)
+        return total + word(before, end, len(train))
 
     return {i: score(words) for i, words in split.items()}
 
