@@ -3,7 +3,8 @@ exact-value CSV reports, size guards and the release manifest."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.plans import serving
@@ -14,16 +15,30 @@ def write_parquet_verified(df: DataFrame, path: str, expected_rows: int | None =
     """Write ZSTD Parquet, re-read and check the row count (SRC-6).
 
     The count is taken from the written files, so the check proves what
-    landed on storage; ``expected_rows`` defaults to counting the source.
-    Returns the re-read table."""
-    expected = df.count() if expected_rows is None else expected_rows
-    df.write.mode(mode).option("compression", "zstd").parquet(path)
+    landed on storage; ``expected_rows`` defaults to the rows that the
+    writing job itself observed, so the source is computed once. Rows
+    already there count too when ``mode`` appends. Returns the re-read
+    table."""
+    before = _rows_at(df.sparkSession, path) if mode == "append" else 0
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("compression", "zstd").parquet(path)
+    expected = before + written.get["rows"] if expected_rows is None else expected_rows
     back = df.sparkSession.read.parquet(path)
     if back.count() != expected:
         raise ValueError(f"Written rows differ from the source rows at {path}")
     return back
 
 
+def _rows_at(spark: SparkSession, path: str) -> int:
+    """Rows of a written table, none where there is no table yet."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
 def export_grains(
     metrics: DataFrame, grains: dict[str, DataFrame], base: str, limit_bytes: int | None = None
 ) -> dict[str, DataFrame]:

@@ -33,6 +33,26 @@ def test_verified_parquet_and_exports(spark, wh, tmp_path):
         sinks.size_guard(spark, str(tmp_path / "overview"), limit_bytes=10)
 
 
+def test_verified_parquet_computes_the_source_once(spark, tmp_path):
+    """The writing job counts its own rows; empty and appended tables too."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    rows = spark.range(0, 1000, 1, 4).mapInPandas(each, "id long")
+    path = str(tmp_path / "table")
+    assert sinks.write_parquet_verified(rows, path).count() == 1000
+    assert computed.value == 1000
+    assert sinks.write_parquet_verified(rows, path, mode="append").count() == 2000
+    assert sinks.write_parquet_verified(rows.where("false"), path).count() == 0
+    assert sinks.write_parquet_verified(spark.range(3), str(tmp_path / "new"), mode="append").count() == 3
+    with pytest.raises(ValueError):
+        sinks.write_parquet_verified(rows, path, expected_rows=999)
+
+
 def test_reconcile_detects_difference(spark, wh):
     m = wh["complaint_metrics"]
     assert serving.reconcile(m, serving.grain(m, "issues")).count() == 0
