@@ -17,6 +17,7 @@ and classes are joined to the texts, only the core words are broadcast.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -47,8 +48,10 @@ ONCE = 128  # added to the class of a word met once, for each spelling
 CHUNK = 4_000_000
 #: Chunk bytes read by one task, about.
 BUCKET = 32_000_000
-#: Words whose bigrams with classes travel in one row.
+#: Words whose bigrams with classes, or slots whose counts, travel in one row.
 BLOCK = 512
+#: Slots over which the words' counts are added up to rule words out of the core.
+SLOTS = 1 << 18
 
 _DIGIT, _PLAIN = frozenset(b"0123456789"), frozenset(b"abcdefghijklmnopqrstuvwxyz.,;:!?'\"()-")
 
@@ -65,52 +68,92 @@ def shape(word: bytes) -> int:
 # --- words of chunks ------------------------------------------------------------------
 
 
-def _number_words(core: int):
+def _number_words(batches):
     """A row for each chunk: its documents, their tokens as numbers of the
-    chunk's own word list, that list, each word's training count, their sum,
-    and the words that hold 1 / ``core`` of it.  A word that holds that share
-    of all training words does so in one chunk at least."""
-
-    def number_words(batches):
-        task, made, docs, size, kind = TaskContext.get().partitionId() << 32, 0, [], 0, None
-
-        def row():
-            number: dict[bytes, int] = defaultdict(lambda: len(number))
-            tokens = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for _, _, words in docs]
-            train = np.zeros(len(number), np.int64)
-            for (_, held, _), t in zip(docs, tokens, strict=True):
-                if not held:
-                    train += np.bincount(t, minlength=len(train))
-            total, listed = int(train.sum()), list(number)
-            heavy = np.flatnonzero((train > 0) & (train * core >= total))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([task + made]),
-                    pa.array([[d for d, _, _ in docs]], pa.list_(kind)),
-                    pa.array([[h for _, h, _ in docs]], pa.list_(pa.bool_())),
-                    pa.array([np.cumsum([len(t) for t in tokens])], pa.list_(pa.int64())),
-                    pa.array([np.concatenate(tokens).astype("<i4").tobytes()], pa.binary()),
-                    pa.array([listed], pa.list_(pa.binary())),
-                    pa.array([train], pa.list_(pa.int64())),
-                    pa.array([total], pa.int64()),
-                    pa.array([[listed[k] for k in heavy]], pa.list_(pa.binary())),
-                ],
-                names=["chunk", "ids", "held", "ends", "tokens", "words", "train", "total", "heavy"],
-            )
+    chunk's own word list, that list, each word's training count and their sum."""
+    task, made, docs, size, kind = TaskContext.get().partitionId() << 32, 0, [], 0, None
+
+    def row():
+        number: dict[bytes, int] = defaultdict(lambda: len(number))
+        tokens = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for _, _, words in docs]
+        train = np.zeros(len(number), np.int64)
+        for (_, held, _), t in zip(docs, tokens, strict=True):
+            if not held:
+                train += np.bincount(t, minlength=len(train))
+        total, listed = int(train.sum()), list(number)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([task + made]),
+                pa.array([[d for d, _, _ in docs]], pa.list_(kind)),
+                pa.array([[h for _, h, _ in docs]], pa.list_(pa.bool_())),
+                pa.array([np.cumsum([len(t) for t in tokens])], pa.list_(pa.int64())),
+                pa.array([np.concatenate(tokens).astype("<i4").tobytes()], pa.binary()),
+                pa.array([listed], pa.list_(pa.binary())),
+                pa.array([train], pa.list_(pa.int64())),
+                pa.array([total], pa.int64()),
+            ],
+            names=["chunk", "ids", "held", "ends", "tokens", "words", "train", "total"],
+        )
+
+    for batch in batches:
+        kind = batch["doc_id"].type
+        for doc_id, held, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"], strict=True):
+            data = (text.as_py() or "").encode()
+            if docs and size + len(data) > CHUNK:
+                yield row()
+                made, docs, size = made + 1, [], 0
+            docs.append((doc_id, held, data.lower().split()))
+            size += len(data)
+    if docs:
+        yield row()
+
+
+# --- core words -----------------------------------------------------------------------
+
+
+def _slots(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % SLOTS
+
+
+def _slot_counts(batches):
+    """Per task: training counts added up by slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for row in _single_rows(batches):
+        total += np.bincount(_slots(row["words"][0].values.to_pylist()), row["train"][0].values.to_numpy(), SLOTS).astype(np.int64)
+    blocks = total.astype("<i8").reshape(-1, BLOCK)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "n"])
+
+
+def _add_slots(table: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.int64)
+    for x in table["n"]:
+        total += np.frombuffer(x.as_py(), "<i8")
+    return pa.table({"block": table["block"][:1], "n": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+
+def _counts_of(open_: np.ndarray):
+    """``word, n`` of the chunks' training words whose slot is open."""
+
+    def counts(batches):
+        for row in _single_rows(batches):
+            listed, train = row["words"][0].values, row["train"][0].values.to_numpy()
+            at = np.flatnonzero(open_[_slots(listed.to_pylist())] & (train > 0))
+            yield pa.RecordBatch.from_arrays([listed.take(pa.array(at)), pa.array(train[at])], names=["word", "n"])
+
+    return counts
 
-        for batch in batches:
-            kind = batch["doc_id"].type
-            for doc_id, held, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"], strict=True):
-                data = (text.as_py() or "").encode()
-                if docs and size + len(data) > CHUNK:
-                    yield row()
-                    made, docs, size = made + 1, [], 0
-                docs.append((doc_id, held, data.lower().split()))
-                size += len(data)
-        if docs:
-            yield row()
 
-    return number_words
+def _core_counts(chunks: DataFrame, core: int, n_words: int) -> DataFrame:
+    """``word, c`` of the words that hold 1 / ``core`` of the training words.
+    A slot's count is at least that of each of its words, so only words of
+    slots with that share are counted one by one."""
+    listed = chunks.select("words", "train")
+    found = listed.mapInArrow(_slot_counts, "block int, n binary").groupBy("block").applyInArrow(_add_slots, "block int, n binary").toArrow()
+    slots = np.zeros((SLOTS // BLOCK, BLOCK), np.int64)
+    for block, n in zip(found["block"].to_pylist(), found["n"].to_pylist(), strict=True):
+        slots[block] = np.frombuffer(n, "<i8")
+    counts = listed.mapInArrow(_counts_of(slots.ravel() * core >= n_words), "word binary, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("c")).where(F.col("c") * core >= n_words)
 
 
 def _shape_column(word):
@@ -463,15 +506,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
 
     # Chunks bucketed by their number: what is found for them joins without moving them.
     tasks = bucket_count(spark, total_bytes, BUCKET)
-    schema = f"chunk long, ids array<{id_type}>, held array<boolean>, ends array<long>, tokens binary, words array<binary>, train array<long>, total long, heavy array<binary>"
-    chunks = _bucketed(rows.mapInArrow(_number_words(core), schema), "words", tasks, "chunk")
+    schema = f"chunk long, ids array<{id_type}>, held array<boolean>, ends array<long>, tokens binary, words array<binary>, train array<long>, total long"
+    chunks = _bucketed(rows.mapInArrow(_number_words, schema), "words", tasks, "chunk")
 
-    # Core words: those with the share in some chunk, counted over all.
     n_words = chunks.agg(F.sum("total")).first()[0] or 0
-    heavy = stored(chunks.select(F.explode("heavy").alias("word")).distinct(), "heavy")
-    listed = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n")).where("n > 0")
-    counted = listed.join(heavy, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("c")).where(F.col("c") * core >= n_words)
-    top = counted.orderBy(F.desc("c"), "word").toArrow()
+    top = _core_counts(chunks, core, n_words).orderBy(F.desc("c"), "word").toArrow()
     core_words = {w: k for k, w in enumerate(top["word"].to_pylist())}
     core_count = top["c"].to_numpy().astype(float)
     size = len(core_words)
@@ -497,7 +536,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
     # joined back to its chunks.
     schema = "chunk long, i int, word binary, n long, near binary"
     places = chunks.select("chunk", "held", "ends", "tokens", "words").mapInArrow(_places(core_words, classes), schema)
-    places = _bucketed(places.repartition(tasks, "word").sortWithinPartitions("word"), "places", tasks, "word")
+    places = _bucketed(places.repartition(tasks, "word"), "places", tasks, "word", sort=True)
     combined = places.select("word", "n", "near").mapInArrow(_combine, "word binary, n long, near binary")
     inserted = stored(combined.repartition("word").sortWithinPartitions("word").mapInArrow(_choose(bigram), "word binary, c long, kind tinyint"), "inserted")
     back = (
@@ -571,12 +610,14 @@ def transitions(bigram: np.ndarray, unseen: np.ndarray, in_class: np.ndarray, to
     return out
 
 
-def _bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
-    """Cut lineage: a table in the shared folder, bucketed by a column."""
+def _bucketed(df: DataFrame, name: str, buckets: int, column: str, sort: bool = False) -> DataFrame:
+    """Cut lineage: a table in the shared folder, bucketed by a column and, if
+    asked for, sorted by it in each bucket (a sort before the writer's is lost)."""
     spark = df.sparkSession
     name = f"ledgerline_{name}_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-llm/{name}"
-    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    writer = df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, column)
+    (writer.sortBy(column) if sort else writer).saveAsTable(name)
     return spark.table(name)
 
 
