@@ -21,6 +21,8 @@ from ledgerline.llm.common import cut, ready, sha256_text, text_or_empty
 MALE = "Mr|Mister|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Госпожа|Κυρία"
 NEUTRAL = "Dr|Prof|Doctor|Doktor|Docteur|Professor|Доктор|Профессор"
+# Small words inside a name; they are not replaced.
+PARTICLE = "de|del|della|der|den|di|du|da|dos|la|le|van|von|zu|zur|zum|ten|ter|el|al|bin|y"
 # --- end of fixed values ----------------------------------------------------------------
 
 # Every pattern starts at a boundary and has bounded repeats (or possessive
@@ -39,7 +41,7 @@ MALE, FEMALE, NEUTRAL = (f"{x}|{x.upper()}" for x in (MALE, FEMALE, NEUTRAL))
 TITLE = f"{MALE}|{FEMALE}|{NEUTRAL}"
 # A word of a name; quotation marks and a possessive 's after it are not part of it.
 WORD = rf"(?!(?:{TITLE})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}|-(?=\p{{L}})|['’](?=\p{{L}})(?![sS](?!\p{{L}}))){{1,40}}"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.? {WORD}(?: {WORD}){{0,2}}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE})\.? {WORD}(?: (?:(?:{PARTICLE}) ){{0,2}}{WORD}){{0,2}}"
 # A word that may be a later mention of a name.
 PLAIN = rf"(?<![\p{{L}}\p{{N}}]){WORD}(?!\p{{L}})"
 ANY = "|".join((EMAIL, IBAN, IP, SSN, PHONE, CARD, NAME))
@@ -47,8 +49,11 @@ ANY = "|".join((EMAIL, IBAN, IP, SSN, PHONE, CARD, NAME))
 KEY = "ledgerline"
 NAMES = ("given", "given_m", "given_f", "surname")
 KINDS = ("email", "iban", "ip", "ssn", "phone", "card", "name")
-#: Draws of a surrogate before the space of a type counts as exhausted.
+#: Draws of a surrogate before the job gives up.
 DRAWS = 64
+#: From this draw on surrogates grow longer, a character or an address part a
+#: draw, because most of those in the entity's own format are taken.
+LONGER = 8
 
 
 # --- small string helpers ---------------------------------------------------------------
@@ -101,14 +106,15 @@ def _kind(m: Column) -> Column:
 
 def _units(m: Column, kind: Column) -> Column:
     """The parts of a match that are replaced separately: (kind, raw, norm).
-    A name has its title, given names and the surname; others are one part."""
+    A name has its title, given names and the surname, and particles, which
+    like the title stay; others are one part."""
     words = F.split(m, " ")
     gender = F.when(m.rlike(rf"^(?:{MALE})\.? "), "given_m").when(m.rlike(rf"^(?:{FEMALE})\.? "), "given_f").otherwise("given")
     last = F.size(words) - 1
     of_name = F.transform(
         words,
         lambda w, i: F.struct(
-            F.when(i == 0, "title").when(i == last, "surname").otherwise(gender).alias("kind"), w.alias("raw"), F.lower(w).alias("norm")
+            F.when((i == 0) | w.rlike(f"^(?:{PARTICLE})$"), "title").when(i == last, "surname").otherwise(gender).alias("kind"), w.alias("raw"), F.lower(w).alias("norm")
         ),
     )
     norm = (
@@ -125,7 +131,10 @@ def _units(m: Column, kind: Column) -> Column:
 
 
 def _draw(key: str) -> Column:
-    """The surrogate of (kind, norm) at a draw, in normal form."""
+    """The surrogate of (kind, norm) at a draw, in normal form.  From draw
+    ``LONGER`` on it is longer than the format asks for: a number or account
+    by 1, 2, 3, ... digits, a name by as many letters, an e-mail by as many
+    digits before the @; an IP becomes one of the IPv6 range for documentation."""
     hexes = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "norm", F.col("draw").cast("string")), 256)
     digits = F.translate(hexes, "abcdef", "012345")
     n = F.length("norm")
@@ -138,7 +147,9 @@ def _draw(key: str) -> Column:
     ip = F.concat_ws(".", first.cast("string"), octet(1), octet(2), octet(3))
     phone = F.concat(F.translate(F.substring(digits, 1, 1), "01", "23"), F.substring(digits, 2, 63))
     phone = F.when(n < 10, digits.substr(F.lit(1), n)).otherwise(F.substring(phone, 1, 10))
-    body = F.concat(F.substring("norm", 1, 1), digits.substr(F.lit(1), n - 2))
+    extra = F.greatest(F.col("draw") - F.lit(LONGER - 1), F.lit(0))
+    more = digits.substr(F.lit(25), extra)
+    body = F.concat(F.substring("norm", 1, 1), digits.substr(F.lit(1), n - 2), more)
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
     country, account = F.substring("norm", 1, 2), F.substring("norm", 5, 40)
     new_account = F.array_join(
@@ -148,19 +159,22 @@ def _draw(key: str) -> Column:
         ),
         "",
     )
+    new_account = F.concat(new_account, more)
     as_digits = F.array_join(
         F.transform(_chars(F.concat(new_account, country, F.lit("00"))), lambda c: F.when(c.rlike("[0-9]"), c).otherwise((F.ascii(c) - 55).cast("string"))), ""
     )
     rest = F.aggregate(_chars(as_digits), F.lit(0), lambda a, c: (a * 10 + c.cast("int")) % 97)
     iban = F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), new_account)
     local = F.concat(syllables(5), F.when(F.col("norm").rlike("^[^@]*[0-9]"), F.concat(F.lit("."), F.substring(digits, 40, 2))).otherwise(F.lit("")))
-    email = F.concat(local, F.lit("@mail"), F.substring(digits, 50, 1), F.lit(".example.org"))
+    email = F.concat(local, more, F.lit("@mail"), F.substring(digits, 50, 1), F.lit(".example.org"))
     latin = (
         F.when(F.col("kind") == "surname", F.concat(syllables(4), F.lit("r")))
         .when(F.col("kind") == "given_f", F.concat(syllables(3), F.substring(letters, 9, 1), F.lit("a")))
         .when(F.col("kind") == "given", F.concat(syllables(3), F.substring(letters, 9, 1), F.lit("i")))
         .otherwise(F.concat(syllables(3), F.substring(letters, 9, 1), F.lit("on")))
     )
+    latin = F.concat(latin, letters.substr(F.lit(25), extra))
+    ip = F.when(extra == 0, ip).otherwise(F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(hexes, 4 * i + 1, 4)) for i in range(6)]))
     script = _script(F.col("norm"))
     name = (
         F.when(script == "cyrillic", F.translate(latin, "bdfgklmnprstvzhjaeiou", "бдфгклмнпрствзхжаеиоу"))
@@ -171,8 +185,8 @@ def _draw(key: str) -> Column:
         F.when(F.col("kind") == "email", email)
         .when(F.col("kind") == "iban", iban)
         .when(F.col("kind") == "ip", ip)
-        .when(F.col("kind") == "ssn", F.concat(F.lit("9"), F.substring(digits, 1, 8)))
-        .when(F.col("kind") == "phone", phone)
+        .when(F.col("kind") == "ssn", F.concat(F.lit("9"), F.substring(digits, 1, 8), more))
+        .when(F.col("kind") == "phone", F.concat(phone, more))
         .when(F.col("kind") == "card", F.concat(body, check.cast("string")))
         .otherwise(name)
     )
@@ -184,7 +198,9 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     Each round draws for the entities still without one, lets the first (by
     norm) of those that collide keep it, and draws again for the others.
-    Rounds are checkpointed; nothing is collected.
+    Where a format has no free surrogate left (all five-digit telephones
+    occur, say) later draws are longer than it.  Rounds are checkpointed;
+    nothing is collected.
     """
     entities = cut(entities.select("kind", "norm").distinct())
     real = entities.select(F.col("kind").alias("r_kind"), F.col("norm").alias("r_norm"))
@@ -259,7 +275,8 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text stays null and counts no entities; empty texts and texts
     without entities are unchanged; rows that repeat (id, text) get the same
     result; ids may be null; other columns are not read.  A number is a card
-    only if its check digit is right.  Names are found after a title; their
+    only if its check digit is right.  Names are found after a title, up to
+    three words with particles like "de la" between them, which stay; their
     words get the same surrogates wherever else they stand capitalised in the
     same text (``n_name`` counts the mentions with a title).
     """

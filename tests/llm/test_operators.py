@@ -520,6 +520,40 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     assert len(table) == 40 and len({r.new for r in table}) == 40 and not {r.new for r in table} & {r.norm for r in table}
 
 
+def test_surrogates_of_a_full_space(spark):
+    """All three-digit telephones occur, so every surrogate must be longer."""
+    frame = spark.range(1000).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("norm"))
+    table = pii.assign(frame).collect()
+    new = [r.new for r in table]
+    assert len(table) == 1000 and len(set(new)) == 1000
+    assert all(len(x) > 3 and x.isdigit() for x in new)
+
+
+def test_longer_surrogates_keep_the_kind(spark):
+    rows = [
+        ("phone", "2125550123"), ("ssn", "123456789"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("ip", "10.1.2.3"),
+        ("email", "a.b1@example.com"), ("surname", "smith"), ("given_f", "анна"),
+    ]
+    frame = spark.createDataFrame(rows, "kind string, norm string")
+    draws = [{r.kind: r.new for r in frame.withColumn("draw", F.lit(d)).withColumn("new", pii._draw("k")).collect()} for d in (0, pii.LONGER + 2)]
+    short, long = draws
+    assert all(len(long[k]) == len(short[k]) + 3 for k in short if k != "ip")
+    assert long["ip"].startswith("2001:db8:") and short["ip"].count(".") == 3
+    iban = long["iban"][4:] + long["iban"][:4]
+    assert int("".join(str(int(c, 36)) for c in iban)) % 97 == 1
+    digits = [int(c) for c in reversed(long["card"])]
+    assert sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_surrogates_of_names_with_particles(spark):
+    frame = spark.createDataFrame([(1, "Señor Juan de la Cruz met Frau von Berg; later Cruz left.")], "doc_id long, text string")
+    row = pii.surrogates(frame).first()
+    assert "Juan" not in row.text and "Cruz" not in row.text
+    words = row.text.split()
+    assert words[0] == "Señor" and words[2:4] == ["de", "la"]
+    assert words[4] == row.text.split("later ")[1].split()[0]
+
+
 def test_surrogates_leave_no_entity(spark, sf, documents):
     import re
 
