@@ -5,9 +5,11 @@ Bronze is stored by received month.  A release first meets the narrow keys of
 the stored rows; only months that gain or lose a row are written anew, into a
 fresh folder.  The grains take the same change as signed rows: those that
 arrive count once, those that leave count minus once, and groups left without
-a complaint vanish.  A version is one small file that names the folders of its
-months and grains; it appears by a single rename, so a merge that dies before
-leaves the version before it as the current one, and its folders unused.
+a complaint vanish.  A change is stored beside the grains before it and summed
+with them when a grain is read; after a number of changes all are summed into
+one folder.  A version is one small file that names the folders of its months
+and grains; it appears by a single rename, so a merge that dies before leaves
+the version before it as the current one, and its folders unused.
 """
 
 from __future__ import annotations
@@ -16,22 +18,24 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import parse_mixed_date
 from ledgerline.functions.text import zs_trim
-from ledgerline.operators.dedup import latest_per_key
+from ledgerline.operators.dedup import latest_per_key, repeated_keys
 from ledgerline.plans import serving
 from ledgerline.plans.bronze import ID
 from ledgerline.plans.warehouse import Warehouse
-from ledgerline.schema import metric_columns
+from ledgerline.schema import BASE_FIELDS, metric_columns
 from ledgerline.session import shared_table
 
 #: Month of rows without a readable date.
 UNDATED = "undated"
 #: Rows of a stored file, about.
-FILE_ROWS = 500_000
+FILE_ROWS = 200_000
+#: Folders of grains that a reader sums, at most.
+GRAIN_FOLDERS = 8
 
 
 class ReleaseStore:
@@ -85,12 +89,29 @@ class ReleaseStore:
 
     def grains(self, version: int | None = None) -> DataFrame:
         """All serving grains of a version (see ``serving.split_grain``)."""
-        return self.spark.read.parquet(self.manifest(version)["grains"])
+        return self._summed(self.manifest(version)["grains"])
 
     def grain(self, name: str, version: int | None = None) -> DataFrame:
-        grains = self.grains(version)
+        grains = self._summed(self.manifest(version)["grains"], name)
         return serving.split_grain(grains, name, metric_columns(grains.columns))
 
+    def _summed(self, folders: list[str], name: str | None = None) -> DataFrame:
+        """The grains (or one) of these folders of signed rows."""
+        parts = [self.spark.read.parquet(f) for f in folders]
+        if name is not None:
+            parts = [p.where(F.col(serving.GRAIN_COLUMN) == name) for p in parts]
+        both = parts[0]
+        for part in parts[1:]:
+            both = both.unionByName(part)
+        if len(parts) == 1:
+            return both
+        names = metric_columns(both.columns)
+        keys = [c for c in both.columns if c not in names]
+        # as in serving.all_grains: rows meet once, and no task holds many groups
+        tasks = serving.task_count(sum(p.count() for p in parts) // len(serving.GRAINS))
+        met = both.repartition(tasks, *BASE_FIELDS)
+        return met.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in names]).where("complaint_count <> 0")
+
     # -- changing
 
     def merge(self, release: DataFrame) -> dict:
@@ -99,17 +120,26 @@ class ReleaseStore:
         or of equal priority and higher record number, so taking in the same
         release again changes nothing."""
         now = self.manifest()
-        month = F.coalesce(F.date_format(parse_mixed_date(F.col("Date received")), "yyyy-MM"), F.lit(UNDATED))
-        order = [F.col("_source_priority").desc(), F.col("_source_record_number").desc()]
-        best = latest_per_key(release, zs_trim(ID), order).withColumns({"_key": zs_trim(ID), "_month": month})
-        best = shared_table(best, "release-rows")
+        best = self._best(release)
         if not now["months"]:
             return self._apply(now, best, None)
+        best = shared_table(best, "release-rows")
         place = F.struct("_source_priority", "_source_record_number")
         stored = self._rows(now["months"]).select("_key", F.col("_month").alias("old_month"), place.alias("old"))
         met = shared_table(stored.join(best.select("_key", place.alias("new")), "_key"), "release-met")  # narrow columns
-        arriving = best.join(met.where("new <= old").select("_key"), "_key", "left_anti")
-        return self._apply(now, shared_table(arriving, "release-arriving"), met.where("new > old").select("_key", F.col("old_month").alias("_month")))
+        stale = met.where("new <= old").select("_key")
+        if not stale.isEmpty():
+            best = shared_table(best.join(stale, "_key", "left_anti"), "release-arriving")
+        return self._apply(now, best, met.where("new > old").select("_key", F.col("old_month").alias("_month")))
+
+    def _best(self, release: DataFrame) -> DataFrame:
+        """One row per key.  The keys alone are looked at first: in a release
+        without repeated ones no wide row is moved."""
+        month = F.coalesce(F.date_format(parse_mixed_date(F.col("Date received")), "yyyy-MM"), F.lit(UNDATED))
+        order = [F.col("_source_priority").desc(), F.col("_source_record_number").desc()]
+        if not repeated_keys(release, zs_trim(ID)).isEmpty():
+            release = shared_table(latest_per_key(release, zs_trim(ID), order), "release-best")
+        return release.withColumns({"_key": zs_trim(ID), "_month": month})
 
     def expire(self, start: dt.date) -> dict:
         """Drop the months before ``start`` (the first of a month) from bronze
@@ -121,55 +151,74 @@ class ReleaseStore:
         return self._version(now, {m: p for m, p in now["months"].items() if m not in old}, None, self._rows(old), sorted(old))
 
     def _apply(self, now: dict, arriving: DataFrame, leaving: DataFrame | None) -> dict:
+        """Write the months that change anew.  One pass shuffles each row once,
+        by month and file: the keys that leave meet the stored rows there, and
+        the rows that leave go to folders of their own, for the grains."""
+        if leaving is not None and leaving.isEmpty():
+            leaving = None
         moved = arriving.select("_month") if leaving is None else arriving.select("_month").union(leaving.select("_month"))
-        touched = sorted(r[0] for r in moved.distinct().collect())  # calendar months
+        sizes = {r["_month"]: r["count"] for r in moved.groupBy("_month").count().collect()}  # calendar months
+        touched = sorted(sizes)
         if not touched:
             return now
-        months = {m: p for m, p in now["months"].items() if m not in touched}
         before = {m: now["months"][m] for m in touched if m in now["months"]}
-        rows, gone = arriving, None
         if before:
-            base = self._rows(before)
-            rows = base.join(leaving.select("_key"), "_key", "left_anti").unionByName(arriving)
-            gone = shared_table(base.join(leaving.select("_key"), "_key", "left_semi"), "release-leaving")
-        sizes = rows.groupBy("_month").agg((F.floor(F.count(F.lit(1)) / FILE_ROWS) + 1).alias("_files"))
+            for r in self._rows(before).groupBy("_month").count().collect():
+                sizes[r["_month"]] += r["count"]
+        shape = [(m, n // FILE_ROWS + 1) for m, n in sizes.items()]
+        files = self.spark.createDataFrame(shape, "_month string, _files long")
+        tasks = 2 * sum(n for _, n in shape)  # few tasks get several files
+
+        # stored rows, those that arrive, and bare keys that leave
+        rows = arriving.withColumn("_kind", F.lit("arrives"))
+        if before:
+            rows = self._rows(before).withColumn("_kind", F.lit("stored")).unionByName(rows)
+        if leaving is not None:
+            rows = rows.unionByName(leaving.withColumn("_kind", F.lit("leaves")), allowMissingColumns=True)
+        numbered = rows.join(F.broadcast(files), "_month").withColumn("_file", F.pmod(F.xxhash64("_key"), F.col("_files")))
+        rows = numbered.drop("_files").repartition(tasks, "_month", "_file").withColumn("_kept", F.lit(True))
+        if leaving is not None:
+            same = Window.partitionBy("_month", "_file", "_key")  # a file's rows are in one task already
+            left = F.bool_or(F.col("_kind") == "leaves").over(same)
+            rows = rows.withColumn("_kept", (F.col("_kind") == "arrives") | ~left).where("_kind <> 'leaves'")
+        rows = rows.drop("_kind")
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        (
-            rows.join(F.broadcast(sizes), "_month")  # one row per month
-            .withColumn("_file", F.pmod(F.xxhash64("_key"), F.col("_files")))
-            .withColumn("month", F.col("_month"))
-            .repartition("month", "_file")
-            .drop("_files", "_file")
-            .write.partitionBy("month")
-            .parquet(folder)
-        )
-        found, fs = self._fs(f"{folder}/month=*")
+        parts = rows.drop("_file").withColumn("month", F.col("_month"))
+        parts.write.option("compression", "zstd").partitionBy("_kept", "month").parquet(folder)
+        found, fs = self._fs(f"{folder}/_kept=true/month=*")
         written = {s.getPath().getName().removeprefix("month="): str(s.getPath()) for s in fs.globStatus(found) or []}
-        return self._version(now, {**months, **written}, arriving, gone, touched)
+        months = {m: p for m, p in now["months"].items() if m not in touched}
+        if not now["months"]:
+            arriving = self._rows(written)  # as stored
+        left = None if leaving is None else self.spark.read.parquet(f"{folder}/_kept=false").drop("month")
+        return self._version(now, {**months, **written}, arriving, left, touched)
 
     def _metrics(self, rows: DataFrame) -> DataFrame:
-        """Gold rows of these complaints alone; keys are hashes of labels, so
-        they are those of a full build."""
-        return Warehouse(self.spark, lambda: rows.drop("_key", "_month"))["complaint_metrics"]
+        """Gold rows of these complaints alone, one stored row each; keys are
+        hashes of labels, so they are those of a full build.  The lookups are
+        stored, so the planner knows their size before it moves the rows."""
+        house = Warehouse(self.spark, lambda: rows, bronze=rows.drop("_key", "_month", "_source_priority"))
+        for name in ("companies", "product_categories", "issue_categories", "submission_channels"):
+            house.derived(name, lambda name=name: shared_table(house.built(name), f"release-{name}"))
+        return house["complaint_metrics"]
 
     def _version(self, now: dict, months: dict, arriving: DataFrame | None, leaving: DataFrame | None, touched: list[str]) -> dict:
-        """Publish ``months`` with the grains after the signed change."""
-        parts, counts = [], {}
+        """Publish ``months`` with the signed change of the grains."""
+        change, counts = None, {}
         for name, rows, sign in (("arrived", arriving, 1), ("left", leaving, -1)):
-            counts[name] = rows.count() if rows is not None else 0
-            if rows is not None and counts[name]:
-                change = serving.all_grains(self._metrics(rows))
-                parts.append(change.withColumns({m: F.col(m) * sign for m in metric_columns(change.columns)}))
-        if now["grains"]:
-            parts.insert(0, self.spark.read.parquet(now["grains"]))
-        names = metric_columns(parts[0].columns)
-        keys = [c for c in parts[0].columns if c not in names]
-        both = parts[0]
-        for part in parts[1:]:
-            both = both.unionByName(part)
-        summed = both.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in names]).where("complaint_count <> 0")
-        folder = f"{self.root}/grains/{uuid.uuid4().hex}"
-        summed.write.partitionBy(serving.GRAIN_COLUMN).parquet(folder)
-        record = {"version": now["version"] + 1, "months": months, "grains": folder, "changes": {**counts, "months": touched}}
+            counts[name] = rows.count() if rows is not None else 0  # from the files' footers
+            if counts[name]:
+                part = serving.all_grains(self._metrics(rows), serving.task_count(counts[name]))
+                part = part.withColumns({m: F.col(m) * sign for m in metric_columns(part.columns)})
+                change = part if change is None else change.unionByName(part)
+        folders = [*(now["grains"] or []), self._store_grains(change)]
+        if len(folders) > GRAIN_FOLDERS:
+            folders = [self._store_grains(self._summed(folders))]
+        record = {"version": now["version"] + 1, "months": months, "grains": folders, "changes": {**counts, "months": touched}}
         self._publish(record)
         return record
+
+    def _store_grains(self, rows: DataFrame) -> str:
+        folder = f"{self.root}/grains/{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").partitionBy(serving.GRAIN_COLUMN).parquet(folder)
+        return folder

@@ -113,3 +113,30 @@ def test_no_release(spark, tmp_path, releases):
         store.bronze()
     assert store.merge(releases[0].limit(0))["version"] == 0
     assert store.expire(dt.date(2030, 1, 1))["version"] == 0
+
+
+def test_rows_are_shuffled_once_per_merge(spark, releases, tmp_path, monkeypatch):
+    """A merge moves its wide rows once, and unchanged grains not at all."""
+    plans = []
+    store = ReleaseStore(spark, str(tmp_path / "store"))
+    version = store._version
+
+    def seen(now, months, arriving, leaving, touched):
+        plans.append(arriving._jdf.queryExecution().executedPlan().toString())
+        return version(now, months, arriving, leaving, touched)
+
+    monkeypatch.setattr(store, "_version", seen)
+    store.merge(releases[1])  # no key twice: not even the dedup shuffles
+    first = store.manifest()["grains"]
+    store.merge(releases[2])
+    assert all("Exchange" not in p for p in plans)
+    assert store.manifest()["grains"][:1] == first and len(store.manifest()["grains"]) == 2
+
+
+def test_many_changes_are_summed_into_one_folder(spark, releases, tmp_path, monkeypatch):
+    monkeypatch.setattr("ledgerline.plans.releases.GRAIN_FOLDERS", 1)
+    store = ReleaseStore(spark, str(tmp_path / "store"))
+    store.merge(releases[0])
+    store.merge(releases[1])
+    assert len(store.manifest()["grains"]) == 1
+    matches_rebuild(store, releases[0].unionByName(releases[1]))
