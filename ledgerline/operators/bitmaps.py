@@ -39,14 +39,16 @@ def number_labels(df: DataFrame, label: str, known: DataFrame | None = None) ->
 def build(grain: DataFrame, label: str, numbers: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
     """The grain's other keys with the bitmaps of their labels: one row per key
     and range of 32,768 numbers.  Groups whose only label is null get an empty
-    bitmap, so that they stay.  Metric columns and ``drop`` are left out."""
+    bitmap, so that they stay.  Metric columns and ``drop`` are left out.
+
+    The narrow rows meet and are sorted before any bitmap exists, so a task
+    holds one bitmap at a time, and none is shuffled."""
     keys = [c for c in grain.columns if c not in {label, *drop, *metric_columns(grain.columns)}]
-    numbered = grain.select(*keys, label).join(numbers, label, "left")
     at = F.col(NUMBER)
-    return (
-        numbered.groupBy(*keys, F.coalesce(F.bitmap_bucket_number(at), F.lit(1).cast("long")).alias(BUCKET))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(BITS))
-    )
+    bucket = F.coalesce(F.bitmap_bucket_number(at), F.lit(1).cast("long"))
+    numbered = grain.select(*keys, label).join(numbers, label, "left").select(*keys, bucket.alias(BUCKET), NUMBER)
+    met = numbered.repartition(*keys, BUCKET).sortWithinPartitions(*keys, BUCKET)
+    return met.groupBy(*keys, BUCKET).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(BITS))
 
 
 def count_distinct(table: DataFrame, by: Sequence[str], name: str) -> DataFrame:

@@ -40,3 +40,12 @@ def test_no_distinct_shuffle(spark):
     table = spark.createDataFrame([("a", 1, bytearray(4096))], f"k string, {bitmaps.BUCKET} long, {bitmaps.BITS} binary")
     plan = bitmaps.count_distinct(table, ("k",), "n")._jdf.queryExecution().executedPlan().toString()
     assert "bitmap_or_agg" in plan and "distinct" not in plan.lower()
+
+
+def test_no_bitmap_is_shuffled(spark):
+    """Narrow rows meet once; bitmaps are built behind that shuffle, in key order."""
+    grain = spark.createDataFrame([("a", "x", 1)], "k string, label string, n_count int")
+    numbers = spark.createDataFrame([("x", 1)], "label string, label_number long")
+    plan = bitmaps.build(grain, "label", F.broadcast(numbers))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("bitmap_construct_agg") < plan.index("Exchange hashpartitioning")  # the plan reads from its end
