@@ -11,16 +11,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import contains_ci
+from ledgerline.session import ship_package
 
 RUN = 3
 #: Lists intersected for one phrase.
 RAREST = 4
 #: Rows of a stored file, about.
 FILE_ROWS = 2_000_000
+#: Characters whose runs are sorted at once, about.
+CHARS = 1_000_000
 
 
 def runs(text) -> F.Column:
@@ -32,6 +37,37 @@ def runs(text) -> F.Column:
     return F.array_distinct(F.array_compact(joined))
 
 
+def _listed(batches):
+    """``id, run`` of a task's texts (lower-cased): the distinct runs of three
+    code points of each, found by sorting their numbers."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < CHARS):  # a bounded part of the batch
+                size += len(texts[end] or "")
+                end += 1
+            points = np.frombuffer("".join(t or "" for t in texts[at:end]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+            lengths = np.array([len(t or "") for t in texts[at:end]], dtype=np.int64)
+            owner = np.repeat(np.arange(end - at), lengths)
+            if len(points) >= RUN:
+                inside = owner[2:] == owner[:-2]
+                code = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inside]
+                who = owner[2:][inside]
+                order = np.lexsort((code, who))
+                code, who = code[order], who[order]
+                new = np.ones(len(code), dtype=bool)
+                new[1:] = (code[1:] != code[:-1]) | (who[1:] != who[:-1])
+                code, who = code[new], who[new]
+                if len(code):
+                    three = np.stack([code >> 42, (code >> 21) & 0x1FFFFF, code & 0x1FFFFF], axis=1).astype("<u4")
+                    text = three.tobytes().decode("utf-32-le", "surrogatepass")
+                    runs_found = pa.array([text[k : k + RUN] for k in range(0, len(text), RUN)], pa.string())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who + at)), runs_found], names=["id", "run"])
+            at = end
+
+
 class PhraseIndex:
     """An index written by :func:`build` under ``path``."""
 
@@ -72,7 +108,9 @@ def build(docs: DataFrame, id_col: str, text_col: str, path: str, buckets: int =
     """Index ``text_col`` of rows with unique ids.  Null and short texts have no
     runs: no phrase of three characters is in them."""
     spark, path = docs.sparkSession, path.rstrip("/")
-    listed = docs.select(F.col(id_col).alias("id"), F.explode(runs(F.col(text_col))).alias("run"))
+    ship_package(spark)
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    listed = texts.mapInArrow(_listed, f"id {docs.schema[id_col].dataType.simpleString()}, run string")
     listed = listed.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
     total = listed.agg(F.count(F.lit(1))).first()[0]
     files = max(1, math.ceil(total / buckets / FILE_ROWS))

@@ -40,3 +40,17 @@ def test_no_texts(spark, tmp_path):
     docs = spark.createDataFrame([], "id string, text string")
     index = P.build(docs, "id", "text", f"{tmp_path}/i")
     assert index.matches(docs, "id", "text", "abc").count() == 0 and index.matches(docs, "id", "text", "a").count() == 0
+
+
+def test_runs_found_in_bulk_are_those_of_each_text(spark, indexed, monkeypatch):
+    """The index holds the runs that ``runs`` gives, however a batch is cut."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    docs, index = indexed
+    want = sorted((r.id, r.run) for r in docs.select("id", F.explode(P.runs(F.col("text"))).alias("run")).collect())
+    assert sorted((r.id, r.run) for r in index.lists.select("id", "run").collect()) == want
+    lower = [(r.id, r.text) for r in docs.select("id", F.lower("text").alias("text")).collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in lower]), pa.array([t for _, t in lower], pa.string())], names=["id", "text"])
+    monkeypatch.setattr(P, "CHARS", 5)
+    assert sorted((r["id"], r["run"]) for b in P._listed([batch]) for r in b.to_pylist()) == want
