@@ -32,3 +32,28 @@ def test_grains_are_shuffled_once_and_not_repeated_before(spark):
             assert sorted(map(repr, got.collect())) == want, name
     assert serving.task_count(0) == 1 and serving.task_count(serving.TASK_ROWS + 1) == 2
     assert grains.where(F.col("complaint_count").isNull()).count() == 0
+
+
+def test_terms_meet_the_vocabulary_without_a_shuffle(spark, monkeypatch):
+    """No row per document and term is shuffled, and the vocabulary found among
+    frequent words only is that of all terms."""
+    from collections import Counter
+
+    from ledgerline.operators import tfidf
+
+    texts = [" ".join(f"w{'abcdefgh'[(i * j) % 8]}{'xyz'[(i + j) % 3]}" for j in range(i % 9 + 2)) for i in range(60)] + [None, "", "\U0001d41aabc \U0001d7d8ghi ab_def déf alone \U0001f600glad"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "complaint_id string, excerpt string")
+    df, cf = Counter(), Counter()
+    for row in tfidf.terms(docs, "complaint_id", "excerpt").collect():
+        cf.update(row.terms)
+        df.update(set(row.terms))
+    assert {"alone", "glad"} <= set(cf) and not {"abc", "def", "ghi"} & set(cf)
+    usable = [t for t in cf if 2 <= df[t] <= 0.95 * len(texts)]
+    for size in (5, 12, 4000):
+        want = sorted(sorted(usable, key=lambda t: (-cf[t], t))[:size])
+        for numbered in (tfidf.NUMBERED_WORDS, 1):
+            monkeypatch.setattr(tfidf, "NUMBERED_WORDS", numbered)
+            model = tfidf.fit(docs, max_features=size)
+            assert [(r.term, r.df, r.cf) for r in model.vocabulary.orderBy("term_index").collect()] == [(t, df[t], cf[t]) for t in want]
+            assert "Exchange" not in plan(model.weights)
+        monkeypatch.undo()
