@@ -57,3 +57,18 @@ def test_terms_meet_the_vocabulary_without_a_shuffle(spark, monkeypatch):
             assert [(r.term, r.df, r.cf) for r in model.vocabulary.orderBy("term_index").collect()] == [(t, df[t], cf[t]) for t in want]
             assert "Exchange" not in plan(model.weights)
         monkeypatch.undo()
+
+
+def test_stored_raw_rows_are_deduplicated_where_they_lie(spark):
+    """The overlap dedup neither shuffles the wide rows nor loses one: same rows
+    as from the plain raw rows."""
+    from __spark_entry__ import SMOKE_DIR
+
+    from ledgerline.plans import bronze
+    from ledgerline.plans.warehouse import for_testdata
+
+    w = for_testdata(spark, SMOKE_DIR)
+    kept, plain = bronze.dedup_latest(w._raw()), bronze.dedup_latest(w["incoming"])
+    assert "Exchange" not in plan(kept) and "Exchange" in plan(plain)
+    assert kept.columns == plain.columns == w["bronze_complaints"].columns and bronze.KEY not in w["incoming"].columns
+    assert kept.count() == plain.count() == w["bronze_complaints"].count() and kept.exceptAll(plain).isEmpty()
