@@ -72,3 +72,20 @@ def test_stored_raw_rows_are_deduplicated_where_they_lie(spark):
     assert "Exchange" not in plan(kept) and "Exchange" in plan(plain)
     assert kept.columns == plain.columns == w["bronze_complaints"].columns and bronze.KEY not in w["incoming"].columns
     assert kept.count() == plain.count() == w["bronze_complaints"].count() and kept.exceptAll(plain).isEmpty()
+
+
+def test_a_block_of_csv_lines_reaches_python_in_small_batches():
+    """A block may be spread over any number of batches: none has to hold a
+    whole block, let alone a task's blocks."""
+    import pyarrow as pa
+
+    from ledgerline.sources.csv_ranges import _cut
+
+    kinds = {"line": pa.string(), "file": pa.string(), "start": pa.int64(), "seq": pa.int32(), "open": pa.bool_(), "before": pa.int64()}
+    blocks = [(("f", 0, 0, False, 0), ["h", 'a,"x', "", 'y"\r', "", "b", 'c,"']), (("f", 0, 1, True, 3), ['z"', "d"]), (("g", 0, 0, False, 0), ["h"])]
+    rows = [(line, *(block if i == 0 else (None,) * 5)) for block, lines in blocks for i, line in enumerate(lines)]
+    want = [("f", 0, "h", True), ("f", 1, 'a,"x\n\ny"', True), ("f", 2, "b", True), ("f", 3, 'c,"', False), ("f", 3, 'z"', False), ("f", 4, "d", True), ("g", 0, "h", True)]
+    for size in (1, 2, 3, len(rows)):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kinds, r)) for r in rows[k : k + size]], pa.schema(kinds.items())) for k in range(0, len(rows), size)]
+        got = [(r["file"], r["number"], r["text"], r["whole"]) for out in _cut(iter(batches)) for r in out.to_pylist()]
+        assert got == want, size
