@@ -12,16 +12,19 @@ bigrams with the classes, gathered in Spark, until a pass gains less than
 class that raises the likelihood most given the words right and left of all
 its places; neighbours not yet inserted count by their spelling.  Word counts
 and classes are joined to the texts, only the core words are broadcast.
+
+A chunk of texts keeps its distinct words as one run of bytes and their
+lengths.  Its words travel to the task that inserts them, and their classes
+back, in one row for each of its blocks (words by hash), not one for each word.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,10 @@ ONCE = 128  # added to the class of a word met once, for each spelling
 CHUNK = 4_000_000
 #: Chunk bytes read by one task, about.
 BUCKET = 32_000_000
+#: Blocks of words inserted together, for each bucket of chunks.
+BLOCKS = 2
+#: Neighbours' counts weighed against all classes at a time.
+WEIGHED = 16_384
 #: Words whose bigrams with classes, or slots whose counts, travel in one row.
 BLOCK = 512
 #: Slots over which the words' counts are added up to rule words out of the core.
@@ -65,6 +72,62 @@ def shape(word: bytes) -> int:
     return 1 if not _DIGIT.isdisjoint(word) else 2
 
 
+# Signs of the bytes of a word (a digit 1, other ASCII 2, other scripts 4), and
+# the shape by the signs met.
+_SIGN = np.array([4 if b > 127 else 1 if b in _DIGIT else 0 if b in _PLAIN else 2 for b in range(256)], np.uint8)
+_SHAPE = np.array([0, 1, 2, 1, 3, 3, 3, 3])
+_MIX = np.random.default_rng(7).integers(1, 1 << 63, 320, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+# --- lists of words -------------------------------------------------------------------
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    """Where each of the runs of these lengths begins, and the last one ends."""
+    return np.append(0, np.cumsum(lengths, dtype=np.int64))
+
+
+def _binary(data, bounds: np.ndarray) -> pa.BinaryArray:
+    """The bytes between bounds, one value each."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _flat(values: pa.BinaryArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values' bytes after each other, and their bounds."""
+    if isinstance(values, pa.ChunkedArray):
+        values = pa.concat_arrays(values.chunks)
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).astype(np.int64)
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _words(row) -> pa.BinaryArray:
+    """The word list of a chunk or block."""
+    return _binary(row["words"][0].as_buffer(), _ends(_numbers(row, "lengths", "<u4")))
+
+
+def _numbers(row, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(row[name][0].as_buffer(), kind)
+
+
+def _shapes(words: pa.BinaryArray) -> np.ndarray:
+    """:func:`shape` of each word (none is empty)."""
+    data, bounds = _flat(words)
+    return _SHAPE[np.bitwise_or.reduceat(_SIGN[data], bounds[:-1])] if len(words) else np.zeros(0, np.int64)
+
+
+def _hashes(words: pa.BinaryArray) -> np.ndarray:
+    """An unsigned 64-bit hash of each word."""
+    data, bounds = _flat(words)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
+    h = np.add.reduceat(_MIX[data] * _MIX[256 + place % 64], bounds[:-1])
+    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
+    return h ^ (h >> np.uint64(29))
+
+
 # --- words of chunks ------------------------------------------------------------------
 
 
@@ -74,35 +137,39 @@ def _number_words(batches):
     task, made, docs, size, kind = TaskContext.get().partitionId() << 32, 0, [], 0, None
 
     def row():
-        number: dict[bytes, int] = defaultdict(lambda: len(number))
-        tokens = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for _, _, words in docs]
-        train = np.zeros(len(number), np.int64)
-        for (_, held, _), t in zip(docs, tokens, strict=True):
-            if not held:
-                train += np.bincount(t, minlength=len(train))
-        total, listed = int(train.sum()), list(number)
+        text = b" ".join(data for _, _, data in docs)
+        bytes_ = np.frombuffer(text, np.uint8)
+        inside = np.concatenate([[False], (bytes_ != 32) & (bytes_ - np.uint8(9) > 4), [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        coded = _binary(text.lower().translate(None, b" \t\n\v\f\r"), _ends(ends - starts)).dictionary_encode()
+        tokens = coded.indices.to_numpy()
+        upto = np.searchsorted(starts, np.cumsum([len(data) + 1 for _, _, data in docs]))
+        train = np.bincount(tokens[np.repeat([not held for _, held, _ in docs], np.diff(upto, prepend=0))], minlength=len(coded.dictionary))
+        words, bounds = _flat(coded.dictionary)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([task + made]),
                 pa.array([[d for d, _, _ in docs]], pa.list_(kind)),
                 pa.array([[h for _, h, _ in docs]], pa.list_(pa.bool_())),
-                pa.array([np.cumsum([len(t) for t in tokens])], pa.list_(pa.int64())),
-                pa.array([np.concatenate(tokens).astype("<i4").tobytes()], pa.binary()),
-                pa.array([listed], pa.list_(pa.binary())),
-                pa.array([train], pa.list_(pa.int64())),
-                pa.array([total], pa.int64()),
+                pa.array([upto], pa.list_(pa.int64())),
+                pa.array([tokens.astype("<i4").tobytes()], pa.binary()),
+                pa.array([words.tobytes()], pa.binary()),
+                pa.array([np.diff(bounds).astype("<u4").tobytes()], pa.binary()),
+                pa.array([train.astype("<u4").tobytes()], pa.binary()),
+                pa.array([int(train.sum())], pa.int64()),
             ],
-            names=["chunk", "ids", "held", "ends", "tokens", "words", "train", "total"],
+            names=["chunk", "ids", "held", "ends", "tokens", "words", "lengths", "train", "total"],
         )
 
     for batch in batches:
         kind = batch["doc_id"].type
         for doc_id, held, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"], strict=True):
-            data = (text.as_py() or "").encode()
+            data = text.as_buffer().to_pybytes() if text.is_valid else b""
             if docs and size + len(data) > CHUNK:
                 yield row()
                 made, docs, size = made + 1, [], 0
-            docs.append((doc_id, held, data.lower().split()))
+            docs.append((doc_id, held, data))
             size += len(data)
     if docs:
         yield row()
@@ -111,15 +178,15 @@ def _number_words(batches):
 # --- core words -----------------------------------------------------------------------
 
 
-def _slots(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % SLOTS
+def _slots(words: pa.BinaryArray) -> np.ndarray:
+    return (_hashes(words) % np.uint64(SLOTS)).astype(np.int64)
 
 
 def _slot_counts(batches):
     """Per task: training counts added up by slot."""
     total = np.zeros(SLOTS, np.int64)
     for row in _single_rows(batches):
-        total += np.bincount(_slots(row["words"][0].values.to_pylist()), row["train"][0].values.to_numpy(), SLOTS).astype(np.int64)
+        total += np.bincount(_slots(_words(row)), _numbers(row, "train", "<u4"), SLOTS).astype(np.int64)
     blocks = total.astype("<i8").reshape(-1, BLOCK)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "n"])
 
@@ -136,9 +203,9 @@ def _counts_of(open_: np.ndarray):
 
     def counts(batches):
         for row in _single_rows(batches):
-            listed, train = row["words"][0].values, row["train"][0].values.to_numpy()
-            at = np.flatnonzero(open_[_slots(listed.to_pylist())] & (train > 0))
-            yield pa.RecordBatch.from_arrays([listed.take(pa.array(at)), pa.array(train[at])], names=["word", "n"])
+            listed, train = _words(row), _numbers(row, "train", "<u4")
+            at = np.flatnonzero(open_[_slots(listed)] & (train > 0))
+            yield pa.RecordBatch.from_arrays([listed.take(pa.array(at)), pa.array(train[at].astype(np.int64))], names=["word", "n"])
 
     return counts
 
@@ -147,7 +214,7 @@ def _core_counts(chunks: DataFrame, core: int, n_words: int) -> DataFrame:
     """``word, c`` of the words that hold 1 / ``core`` of the training words.
     A slot's count is at least that of each of its words, so only words of
     slots with that share are counted one by one."""
-    listed = chunks.select("words", "train")
+    listed = chunks.select("words", "lengths", "train")
     found = listed.mapInArrow(_slot_counts, "block int, n binary").groupBy("block").applyInArrow(_add_slots, "block int, n binary").toArrow()
     slots = np.zeros((SLOTS // BLOCK, BLOCK), np.int64)
     for block, n in zip(found["block"].to_pylist(), found["n"].to_pylist(), strict=True):
@@ -156,21 +223,11 @@ def _core_counts(chunks: DataFrame, core: int, n_words: int) -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("c")).where(F.col("c") * core >= n_words)
 
 
-def _shape_column(word):
-    text = word.cast("string")
-    return (
-        F.when(text.rlike(r"[^\x00-\x7f]"), 3)
-        .when(text.rlike(r"^[a-z.,;:!?'\"()-]*$"), 0)
-        .when(text.rlike(r"[0-9]"), 1)
-        .otherwise(2)
-    )
-
-
-def _codes(words: list[bytes], core: dict[bytes, int]) -> np.ndarray:
+def _codes(words: pa.BinaryArray, core: pa.BinaryArray) -> np.ndarray:
     """A core word's number, or the core's size plus a shape."""
-    codes = np.fromiter((core.get(w, -1) for w in words), np.int64, len(words))
+    codes = pc.index_in(words, value_set=core).fill_null(-1).to_numpy().astype(np.int64)
     other = np.flatnonzero(codes < 0)
-    codes[other] = [len(core) + shape(words[k]) for k in other]
+    codes[other] = len(core) + _shapes(words.take(pa.array(other)))
     return codes
 
 
@@ -179,7 +236,7 @@ def _tokens(row):
     them) and each text's number of tokens."""
     ends = row["ends"][0].values.to_numpy()
     n = np.diff(np.concatenate([[0], ends])) + 1
-    return np.insert(np.frombuffer(row["tokens"][0].as_py(), "<i4"), ends, len(row["words"][0])), n
+    return np.insert(_numbers(row, "tokens", "<i4"), ends, len(row["lengths"][0].as_buffer()) // 4), n
 
 
 def _single_rows(batches):
@@ -188,13 +245,13 @@ def _single_rows(batches):
             yield batch.slice(at, 1)
 
 
-def _core_coder(core: dict[bytes, int]):
+def _core_coder(core: pa.BinaryArray):
     """Chunks with their tokens as codes; the end's code is the last one."""
 
     def code(batches):
         for row in _single_rows(batches):
             seq, n = _tokens(row)
-            codes = np.append(_codes(row["words"][0].values.to_pylist(), core), len(core) + SHAPES)[seq]
+            codes = np.append(_codes(_words(row), core), len(core) + SHAPES)[seq]
             yield pa.RecordBatch.from_arrays(
                 [row["held"], pa.array([n], pa.list_(pa.int64())), pa.array([codes.astype("<u4").tobytes()], pa.binary())], names=["held", "n", "codes"]
             )
@@ -309,144 +366,165 @@ def exchange(right: np.ndarray, left: np.ndarray, self_: np.ndarray, classes: np
 # --- insertion of the other words -----------------------------------------------------
 
 
-def _places(core: dict[bytes, int], classes: np.ndarray):
-    """``chunk, i, word, n, near`` of each chunk's words outside the core:
-    ``near`` holds a byte for each training place's right neighbour (its
-    class) and one for the left neighbour (KINDS plus its class)."""
+def _in_blocks(words: pa.BinaryArray, codes: np.ndarray, size: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words outside the core (codes from ``size`` on) in
+    the order of their blocks, and those blocks."""
+    at = np.flatnonzero(codes >= size)
+    block = ((_hashes(words.take(pa.array(at))) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    return at[order], block[order]
+
+
+def _places(core: pa.BinaryArray, classes: np.ndarray, blocks: int):
+    """A row for each chunk and block: the chunk's words of that block, outside
+    the core, their training places and ``near``, a byte for each place's right
+    neighbour (its class) and one for the left neighbour (KINDS plus its class)."""
 
     def places(batches):
         for row in _single_rows(batches):
-            listed = row["words"][0].values
-            codes = _codes(listed.to_pylist(), core)
-            other = codes >= len(core)
+            listed = _words(row)
+            codes = _codes(listed, core)
+            at, block = _in_blocks(listed, codes, len(core), blocks)
+            rank = np.full(len(listed) + 1, -1)
+            rank[at] = np.arange(len(at))
             seq, n = _tokens(row)
-            kind = np.append(classes[codes], END)[seq]
-            wanted = np.append(other, False)[seq] & np.repeat(~row["held"][0].values.to_numpy(zero_copy_only=False), n)
-            who = np.tile(seq[wanted], 2)
-            near = np.concatenate([np.append(kind[1:], END)[wanted], KINDS + np.append(END, kind[:-1])[wanted]]).astype(np.uint8)
-            near = near[np.argsort(who, kind="stable")]
-            at = np.flatnonzero(other)
-            size = np.bincount(who, minlength=len(other) + 1)[at]
-            offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+            kind = np.append(classes[codes], END).astype(np.uint8)[seq]
+            who = rank[seq]
+            wanted = (who >= 0) & np.repeat(~row["held"][0].values.to_numpy(zero_copy_only=False), n)
+            near = np.stack([np.append(kind[1:], END)[wanted], KINDS + np.append(END, kind[:-1])[wanted]], axis=1).astype(np.uint8)
+            who = who[wanted]
+            near = near[np.argsort(who, kind="stable")].tobytes()
+            size = np.bincount(who, minlength=len(at))
+            data, bounds = _flat(listed.take(pa.array(at)))
+            first = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(at))  # of each block's words
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(at), row["chunk"][0].as_py())),
-                    pa.array(at.astype(np.int32)),
-                    listed.take(pa.array(at)),
-                    pa.array(size // 2),
-                    pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(near.tobytes())]),
+                    pa.array(np.full(len(first) - 1, row["chunk"][0].as_py(), np.int64)),
+                    pa.array(block[first[:-1]].astype(np.int32)),
+                    _binary(data, bounds[first]),
+                    _binary(np.diff(bounds).astype("<u4").tobytes(), 4 * first),
+                    _binary(size.astype("<u4").tobytes(), 4 * first),
+                    _binary(near, 2 * _ends(size)[first]),
                 ],
-                names=["chunk", "i", "word", "n", "near"],
+                names=["chunk", "block", "words", "lengths", "n", "near"],
             )
 
     return places
 
 
-def _runs(batch):
-    """Of a batch's runs of equal words: first rows, counts, and the bounds of
-    their bytes within the batch's neighbours."""
-    number = batch["word"].dictionary_encode().indices.to_numpy()
-    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-    near = batch["near"]
-    offsets = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1]
-    data = np.frombuffer(near.buffers()[2] or b"", np.uint8)
-    return first, np.add.reduceat(batch["n"].to_numpy(), first), offsets[np.append(first, len(near))], data
-
-
-def _combine(batches):
-    """Rows of equal words that follow each other become one."""
-    for batch in batches:
-        if len(batch):
-            first, n, bounds, data = _runs(batch)
-            near = pa.BinaryArray.from_buffers(
-                pa.binary(), len(first), [None, pa.py_buffer((bounds - bounds[0]).astype(np.int32)), pa.py_buffer(data[bounds[0] : bounds[-1]].tobytes())]
-            )
-            yield pa.RecordBatch.from_arrays([batch["word"].take(pa.array(first)), pa.array(n), near], names=["word", "n", "near"])
-
-
-def best_classes(near: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The class (0 to CLASSES - 1, the lowest of equals) in which each word
-    raises the likelihood of the class bigrams ``m`` most, by its counts of
-    right (first KINDS columns) and left neighbours' classes."""
+def best_classes(word: np.ndarray, at: np.ndarray, n: np.ndarray, size: int, m: np.ndarray) -> np.ndarray:
+    """The class (0 to CLASSES - 1, the lowest of equals) in which each of the
+    ``size`` words raises the likelihood of the class bigrams ``m`` most, by
+    its counts ``n`` of right (``at`` is the class) and left neighbours (KINDS
+    plus the class), in the order of words and ``at``."""
 
     def gained(cells, at, n):  # of cells [:, at] when n are added, for all classes
-        key, back = np.unique(np.stack([at, n]), axis=1, return_inverse=True)
-        old = cells[:, key[0]]
-        return (_f(old + key[1]) - _f(old)).T[back.ravel()]
-
-    gain = np.zeros((len(near), CLASSES))
-    for cells, total, part in ((m[:CLASSES], m.sum(1), near[:, :KINDS]), (m.T[:CLASSES], m.sum(0), near[:, KINDS:])):
-        w, at = np.nonzero(part)
-        if len(w):
-            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            gain[w[first]] += np.add.reduceat(gained(cells, at, part[w, at]), first)
-        size = part.sum(1)
-        gain -= gained(total[:CLASSES, None], np.zeros(len(size), np.int64), size)
+        many = n.max(initial=0) + 1
+        key, back = np.unique(at * many + n, return_inverse=True)
+        at, n = np.divmod(key, many)
+        old = cells[:, at]
+        return (_f(old + n) - _f(old)).T[back]
+
+    gain = np.zeros((size, CLASSES))
+    for cells, total, base in ((m[:CLASSES], m.sum(1), 0), (m.T[:CLASSES], m.sum(0), KINDS)):
+        part = np.flatnonzero((at >= base) & (at < base + KINDS))
+        if len(part):
+            first = np.flatnonzero(np.diff(word[part], prepend=-1))
+            gain[word[part][first]] += np.add.reduceat(gained(cells, at[part] - base, n[part]), first)
+        own = np.bincount(word[part], n[part], size).astype(np.int64)
+        gain -= gained(total[:CLASSES, None], np.zeros(size, np.int64), own)
     # A class that is its own neighbour: both counts enter one cell.
-    right, left = near[:, :CLASSES], near[:, KINDS : KINDS + CLASSES]
-    w, c = np.nonzero((right > 0) & (left > 0))
-    d, r, l = m[c, c], right[w, c], left[w, c]
+    cell = word * KINDS + at % KINDS
+    right, left = (np.flatnonzero(x) for x in (at < CLASSES, (at >= KINDS) & (at < KINDS + CLASSES)))
+    both, i, j = np.intersect1d(cell[right], cell[left], assume_unique=True, return_indices=True)
+    w, c = np.divmod(both, KINDS)
+    d, r, l = m[c, c], n[right[i]], n[left[j]]
     gain[w, c] += _f(d + r + l) - _f(d + r) - _f(d + l) + _f(d)
     return np.argmax(gain, axis=1)
 
 
-def _choose(m: np.ndarray):
-    """``word, c, kind`` of the words, whose rows come one after the other."""
+def _insert(m: np.ndarray):
+    """A block's words with their training counts and classes (``chunk`` is
+    null), and for each chunk its words' counts and classes in its own order."""
+
+    def insert(table: pa.Table) -> pa.Table:
+        data, _ = _flat(table["words"])
+        lengths, bounds = _flat(table["lengths"])
+        coded = _binary(data, _ends(lengths.view("<u4"))).dictionary_encode()
+        which, listed = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        n = _flat(table["n"])[0].view("<u4")
+        count = np.bincount(which, n, len(listed)).astype(np.int64)
+        places = np.sort(np.repeat(which * 2 * KINDS, 2 * n.astype(np.int64)) + _flat(table["near"])[0])
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        size = np.diff(first, append=len(places))
+        word, at = np.divmod(places[first], 2 * KINDS)
+        # Words in parts of about WEIGHED neighbours.
+        upto = np.searchsorted(word, np.arange(len(listed) + 1))
+        cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, len(word), WEIGHED)), [0, len(listed)]))
+        kind = np.zeros(len(listed), np.int8)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = slice(upto[a], upto[b])
+            kind[a:b] = best_classes(word[part] - a, at[part], size[part], b - a, m)
+        seen = np.flatnonzero(count)
+        words, ends = _flat(listed.take(pa.array(seen)))
+        per_chunk = bounds // 4
+        block, nothing = table["block"][0].as_py(), pa.nulls(table.num_rows, pa.binary())
+        out = [
+            pa.array([*table["chunk"].to_pylist(), None], pa.int64()),
+            pa.array([block] * (table.num_rows + 1), pa.int32()),
+            pa.concat_arrays([nothing, pa.array([words.tobytes()], pa.binary())]),
+            pa.concat_arrays([nothing, pa.array([np.diff(ends).astype("<u4").tobytes()], pa.binary())]),
+            pa.concat_arrays([_binary(count[which].astype("<i8").tobytes(), 8 * per_chunk), pa.array([count[seen].astype("<i8").tobytes()], pa.binary())]),
+            pa.concat_arrays([_binary(kind[which].tobytes(), per_chunk), pa.array([kind[seen].tobytes()], pa.binary())]),
+        ]
+        return pa.Table.from_arrays(out, names=["chunk", "block", "words", "lengths", "counts", "kinds"])
+
+    return insert
+
+
+def _model_words(batches):
+    """``word, c, kind`` of the blocks' words."""
+    for row in _single_rows(batches):
+        yield pa.RecordBatch.from_arrays([_words(row), pa.array(_numbers(row, "counts", "<i8")), pa.array(_numbers(row, "kinds", "i1"))], names=["word", "c", "kind"])
 
-    def out(words, n, near):
-        seen = n > 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w for w, s in zip(words, seen, strict=True) if s], pa.binary()), pa.array(n[seen]), pa.array(best_classes(near[seen], m).astype(np.int8))],
-            names=["word", "c", "kind"],
-        )
 
-    def choose(batches):
-        last = None  # the word whose rows may go on, its count and neighbours
-        for batch in batches:
-            if not len(batch):
-                continue
-            first, n, bounds, data = _runs(batch)
-            words = batch["word"].take(pa.array(first)).to_pylist()
-            which = np.repeat(np.arange(len(first)), np.diff(bounds))
-            near = np.bincount(which * 2 * KINDS + data[bounds[0] : bounds[-1]], minlength=len(first) * 2 * KINDS).reshape(-1, 2 * KINDS)
-            if last is not None:
-                if words[0] == last[0]:
-                    n[0] += last[1]
-                    near[0] += last[2]
-                else:
-                    words, n, near = [last[0], *words], np.append(last[1], n), np.vstack([last[2], near])
-            last = words[-1], n[-1], near[-1].copy()
-            yield out(words[:-1], n[:-1], near[:-1])
-        if last is not None:
-            yield out([last[0]], np.array([last[1]]), last[2][None])
-
-    return choose
+def _model_sums(batches):
+    """``at, n``: training words by class, then types by spelling, then those met once."""
+    for row in _single_rows(batches):
+        c, shapes = _numbers(row, "counts", "<i8"), _shapes(_words(row))
+        per_class = np.zeros(CLASSES, np.int64)
+        np.add.at(per_class, _numbers(row, "kinds", "i1"), c)
+        n = np.concatenate([per_class, np.bincount(shapes, minlength=SHAPES), np.bincount(shapes[c == 1], minlength=SHAPES)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["at", "n"])
 
 
 # --- texts in classes -----------------------------------------------------------------
 
 
-def _kinds_of(core: dict[bytes, int], core_count: np.ndarray, classes: np.ndarray, log_types: np.ndarray, end_count: int, log_total: float):
+def _kinds_of(core: pa.BinaryArray, blocks: int, core_count: np.ndarray, classes: np.ndarray, log_types: np.ndarray, end_count: int, log_total: float):
     """Turns a chunk's tokens into classes (plus ONCE times 1 + its spelling
     for a word met once in training) and adds up what needs words' own counts."""
     def code(batches):
         size = len(core)
         for row in _single_rows(batches):
-            codes = _codes(row["words"][0].values.to_pylist(), core)
+            listed = _words(row)
+            codes = _codes(listed, core)
             inside = codes < size
             counts, kind = np.zeros(len(codes)), classes[codes]
             counts[inside] = core_count[codes[inside]]
-            found = row["counts"][0]
+            found = row["found"][0]
             if found.is_valid:
-                at = found.values.field("i").to_numpy()
-                counts[at], kind[at] = found.values.field("c").to_numpy(), found.values.field("kind").to_numpy()
+                at, _ = _in_blocks(listed, codes, size, blocks)
+                order = pc.sort_indices(found.values.field("block"))
+                c, k = (_flat(found.values.field(name).take(order))[0].view(width) for name, width in (("counts", "<i8"), ("kinds", "i1")))
+                counts[at] = c
+                kind[at[c > 0]] = k[c > 0]  # words of held-out texts alone keep their spelling
             seen = counts > 0
             emission = np.empty(len(codes))
             emission[seen] = np.log10(counts[seen])
             emission[~seen] = -log_types[kind[~seen] - CLASSES]
             once = np.flatnonzero(counts == 1)
-            listed = row["words"][0].values
-            kind[once] += np.array([ONCE * (1 + shape(listed[k].as_py())) for k in once.tolist()], np.int64)
+            kind[once] += ONCE * (1 + _shapes(listed.take(pa.array(once))))
             seq, n = _tokens(row)
             sums = lambda x, end: np.add.reduceat(np.append(x, end)[seq], np.cumsum(n) - n)  # noqa: B023, E731
             base = sums(np.log10(counts + 1), np.log10(end_count + 1)) - n * log_total
@@ -506,17 +584,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
 
     # Chunks bucketed by their number: what is found for them joins without moving them.
     tasks = bucket_count(spark, total_bytes, BUCKET)
-    schema = f"chunk long, ids array<{id_type}>, held array<boolean>, ends array<long>, tokens binary, words array<binary>, train array<long>, total long"
+    schema = f"chunk long, ids array<{id_type}>, held array<boolean>, ends array<long>, tokens binary, words binary, lengths binary, train binary, total long"
     chunks = _bucketed(rows.mapInArrow(_number_words, schema), "words", tasks, "chunk")
 
     n_words = chunks.agg(F.sum("total")).first()[0] or 0
     top = _core_counts(chunks, core, n_words).orderBy(F.desc("c"), "word").toArrow()
-    core_words = {w: k for k, w in enumerate(top["word"].to_pylist())}
+    core_words = pa.concat_arrays([*top["word"].chunks, pa.array([], pa.binary())])
     core_count = top["c"].to_numpy().astype(float)
     size = len(core_words)
 
     # They start in classes by rank; then passes of exchange until it rests.
-    coded = stored(chunks.select("held", "ends", "tokens", "words").mapInArrow(_core_coder(core_words), "held array<boolean>, n array<long>, codes binary"), "coded")
+    coded = stored(chunks.select("held", "ends", "tokens", "words", "lengths").mapInArrow(_core_coder(core_words), "held array<boolean>, n array<long>, codes binary"), "coded")
     now = np.concatenate([np.arange(size) % CLASSES, CLASSES + np.arange(SHAPES + 1)])
     classes, bigram, best = now, np.zeros((KINDS, KINDS)), -np.inf
     while True:
@@ -534,33 +612,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
 
     # All other words, with their places, by word; each is inserted once and
     # joined back to its chunks.
-    schema = "chunk long, i int, word binary, n long, near binary"
-    places = chunks.select("chunk", "held", "ends", "tokens", "words").mapInArrow(_places(core_words, classes), schema)
-    places = _bucketed(places.repartition(tasks, "word"), "places", tasks, "word", sort=True)
-    combined = places.select("word", "n", "near").mapInArrow(_combine, "word binary, n long, near binary")
-    inserted = stored(combined.repartition("word").sortWithinPartitions("word").mapInArrow(_choose(bigram), "word binary, c long, kind tinyint"), "inserted")
+    blocks = BLOCKS * tasks
+    places = chunks.select("chunk", "held", "ends", "tokens", "words", "lengths").mapInArrow(
+        _places(core_words, classes, blocks), "chunk long, block int, words binary, lengths binary, n binary, near binary"
+    )
+    schema = "chunk long, block int, words binary, lengths binary, counts binary, kinds binary"
+    inserted = stored(places.repartition(tasks, "block").groupBy("block").applyInArrow(_insert(bigram), schema), "inserted")
+    model = inserted.where("chunk is null").select("words", "lengths", "counts", "kinds")
     back = (
-        places.select("word", "chunk", "i")
-        .join(inserted.hint("shuffle_hash"), "word")
-        .groupBy(F.col("chunk").alias("to"))
-        .agg(F.collect_list(F.struct("i", "c", "kind")).alias("counts"))
+        inserted.where("chunk is not null")
+        .select(F.col("chunk").alias("to"), F.struct("block", "counts", "kinds").alias("piece"))
+        .repartition(tasks, "to")
+        .groupBy("to")
+        .agg(F.collect_list("piece").alias("found"))
     )
 
     # Emissions and the share of unseen words.
-    in_class = np.bincount(classes[:size], core_count, minlength=KINDS)
-    for r in inserted.groupBy("kind").agg(F.sum("c").alias("c")).collect():
-        in_class[r.kind] += r.c
-    per_shape = {r.shape: r for r in inserted.groupBy(_shape_column(F.col("word")).alias("shape")).agg(F.count("c").alias("types"), F.count_if(F.col("c") == 1).alias("once")).collect()}
-    types, once = (np.array([per_shape[k][name] if k in per_shape else 0 for k in range(SHAPES)], float) for name in ("types", "once"))
-    for w, c in zip(core_words, core_count, strict=True):
-        types[shape(w)] += 1
-        once[shape(w)] += c == 1
+    sums = np.zeros(CLASSES + 2 * SHAPES)
+    for r in model.mapInArrow(_model_sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        sums[r["at"]] = r["n"]
+    in_class = np.bincount(classes[:size], core_count, minlength=KINDS).astype(float)
+    in_class[:CLASSES] += sums[:CLASSES]
+    types, once = sums[CLASSES:].reshape(2, SHAPES)
+    core_shapes = _shapes(core_words)
+    types += np.bincount(core_shapes, minlength=SHAPES)
+    once += np.bincount(core_shapes[core_count == 1], minlength=SHAPES)
     n_total, n_types = n_words + end_count, int(types.sum()) + (end_count > 0)
     unseen = (once.sum() + 1) / (n_total + 2) * (once + 1) / (once.sum() + SHAPES)
 
-    coder = _kinds_of(core_words, core_count, classes, np.log10(types + 1), end_count, float(np.log10(n_total + n_types + 1)))
+    coder = _kinds_of(core_words, blocks, core_count, classes, np.log10(types + 1), end_count, float(np.log10(n_total + n_types + 1)))
     texts = stored(
-        chunks.select("chunk", "ids", "held", "ends", "tokens", "words")
+        chunks.select("chunk", "ids", "held", "ends", "tokens", "words", "lengths")
         .join(back.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left")
         .drop("to", "chunk")
         .mapInArrow(coder, f"ids array<{id_type}>, held array<boolean>, kinds binary, n array<long>, known array<long>, base array<double>, emission array<double>"),
@@ -589,7 +671,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
         score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     )
     top = top.append_column("kind", pa.array(classes[:size].astype(np.int8)))
-    return scored, inserted.unionByName(spark.createDataFrame(top, inserted.schema))
+    words = model.mapInArrow(_model_words, "word binary, c long, kind tinyint")
+    return scored, words.unionByName(spark.createDataFrame(top, words.schema))
 
 
 def transitions(bigram: np.ndarray, unseen: np.ndarray, in_class: np.ndarray, total: int) -> np.ndarray:
@@ -610,14 +693,12 @@ def transitions(bigram: np.ndarray, unseen: np.ndarray, in_class: np.ndarray, to
     return out
 
 
-def _bucketed(df: DataFrame, name: str, buckets: int, column: str, sort: bool = False) -> DataFrame:
-    """Cut lineage: a table in the shared folder, bucketed by a column and, if
-    asked for, sorted by it in each bucket (a sort before the writer's is lost)."""
+def _bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """Cut lineage: a table in the shared folder, bucketed by a column."""
     spark = df.sparkSession
     name = f"ledgerline_{name}_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-llm/{name}"
-    writer = df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, column)
-    (writer.sortBy(column) if sort else writer).saveAsTable(name)
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
     return spark.table(name)
 
 

@@ -3,11 +3,13 @@ nulls, empty and long texts, ties, repeated rows, empty tables and clashing
 column names."""
 
 import hashlib
+import pathlib
 import zlib
 from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import COPY, ODD
 from pyspark.sql import functions as F
@@ -369,6 +371,36 @@ def test_class_lm_against_brute_force(spark, documents, core):
         assert values[model[w][1]] >= max(values) - 1e-6
 
 
+def test_class_lm_moves_blocks_not_words(spark):
+    """Rows stored and shuffled follow chunks and blocks: a row for each chunk's
+    word cost over half of the CPU time."""
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), "ledgerline-llm")
+    before = set(folder.glob("*"))
+    docs = [(i, " ".join(f"w{k}x" for k in range(i * 4_000, i * 4_000 + 8_000))) for i in range(6)]
+    scored, words = class_lm.fit(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), core=300)
+    assert scored.count() == len(docs)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    counts = Counter(w for i, t in docs if not held[i] for w in t.split())
+    assert {bytes(r.word).decode(): r.c for r in words.collect()} == counts
+    rows = {p.name: spark.read.parquet(str(p)).count() for p in set(folder.glob("*")) - before}
+    assert rows and max(rows.values()) < 100 < len(counts), rows
+
+
+def test_class_lm_word_lists(spark):
+    """Words cut from bytes, their spellings and hashes are those of each word
+    by itself, whatever stands around it."""
+    texts = ["", None, " \t\n\x0b\x0c\r", "A\x0bb\x0cC\rd\n\te  f", "\x1ca\x1f \x85 \xa0x\u2003Y \x00 \x08 \x0e", "É É é ÉA x1 1 a-b \"q\" _ #9 9#", "w" * 500 + " " + "w" * 499]
+    docs = list(enumerate(texts * 3))
+    got = {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in class_lm.class_lm(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: v[:4] for i, v in brute.unigram(docs).items()}
+    words = [w for t in texts for w in (t or "").encode().lower().split()]
+    listed = pa.array([b"left out", *words], pa.binary()).slice(1)
+    assert class_lm._shapes(listed).tolist() == [class_lm.shape(w) for w in words]
+    hashes = class_lm._hashes(listed).tolist()
+    assert hashes == [int(class_lm._hashes(pa.array([w], pa.binary()))[0]) for w in words]
+    assert len(set(hashes)) == len(set(words))
+
+
 def test_exchange_raises_likelihood():
     """On a corpus of two alternating word kinds, exchange separates them."""
     rng = np.random.default_rng(4)
