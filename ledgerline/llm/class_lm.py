@@ -49,10 +49,8 @@ UNIGRAM = 0.2
 ONCE = 128  # added to the class of a word met once, for each spelling
 #: Bytes of text whose words are numbered together (one document at least).
 CHUNK = 4_000_000
-#: Chunk bytes read by one task, about.
+#: Chunk bytes read by one task, and text bytes for each block of words, about.
 BUCKET = 32_000_000
-#: Blocks of words inserted together, for each bucket of chunks.
-BLOCKS = 2
 #: Neighbours' counts weighed against all classes at a time.
 WEIGHED = 16_384
 #: Words whose bigrams with classes, or slots whose counts, travel in one row.
@@ -612,12 +610,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: i
 
     # All other words, with their places, by word; each is inserted once and
     # joined back to its chunks.
-    blocks = BLOCKS * tasks
+    blocks = max(tasks, -(-total_bytes // BUCKET))
     places = chunks.select("chunk", "held", "ends", "tokens", "words", "lengths").mapInArrow(
         _places(core_words, classes, blocks), "chunk long, block int, words binary, lengths binary, n binary, near binary"
-    )
+    ).withColumn("part", F.col("block") % tasks)
     schema = "chunk long, block int, words binary, lengths binary, counts binary, kinds binary"
-    inserted = stored(places.repartition(tasks, "block").groupBy("block").applyInArrow(_insert(bigram), schema), "inserted")
+    inserted = stored(places.repartitionById(tasks, "part").groupBy("part", "block").applyInArrow(_insert(bigram), schema), "inserted")
     model = inserted.where("chunk is null").select("words", "lengths", "counts", "kinds")
     back = (
         inserted.where("chunk is not null")

@@ -386,6 +386,23 @@ def test_class_lm_moves_blocks_not_words(spark):
     assert rows and max(rows.values()) < 100 < len(counts), rows
 
 
+def test_class_lm_more_blocks_than_tasks(spark, documents, monkeypatch):
+    """As on tables beyond the limit of buckets: tasks take several blocks, and
+    how words are dealt over blocks changes nothing."""
+    docs = spark.createDataFrame([(i, t) for i, t in documents[:60]], "doc_id long, text string")
+    ways = []
+    for limit, bucket in (("100000", class_lm.BUCKET), ("3", 5_000)):
+        monkeypatch.setattr(class_lm, "BUCKET", bucket)
+        before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+        try:
+            spark.conf.set("spark.sql.sources.bucketing.maxBuckets", limit)
+            scored, words = class_lm.fit(docs, core=300)
+            ways.append((multiset(tuple(r) for r in scored.collect()), multiset(tuple(r) for r in words.collect())))
+        finally:
+            spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
+    assert ways[0] == ways[1]
+
+
 def test_class_lm_word_lists(spark):
     """Words cut from bytes, their spellings and hashes are those of each word
     by itself, whatever stands around it."""
