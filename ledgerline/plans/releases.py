@@ -3,7 +3,7 @@ FLT-1, AGG-2a..d, QA-14).
 
 Bronze is stored by received month.  A release first meets the narrow keys of
 the stored rows; only months that gain or lose a row are written anew, into a
-fresh folder.  The grains take the same change as signed rows: those that
+fresh folder, without a shuffle of their wide rows.  The grains take the same change as signed rows: those that
 arrive count once, those that leave count minus once, and groups left without
 a complaint vanish.  A change is stored beside the grains before it and summed
 with them when a grain is read; after a number of changes all are summed into
@@ -17,8 +17,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import parse_mixed_date
@@ -28,21 +29,43 @@ from ledgerline.plans import serving
 from ledgerline.plans.bronze import ID
 from ledgerline.plans.warehouse import Warehouse
 from ledgerline.schema import BASE_FIELDS, metric_columns
-from ledgerline.session import shared_table
+from ledgerline.session import drop_table, freed_shuffles, shared_table
 
 #: Month of rows without a readable date.
 UNDATED = "undated"
-#: Rows of a stored file, about.
-FILE_ROWS = 200_000
+#: Rows that a task writes into a month's file, about, where there are enough.
+FILE_ROWS = 10_000
+#: Rows for which one more task is begun while there are cores.
+TASK_ROWS = 50_000
+#: Keys that are broadcast at once to the stored rows that they leave.
+LEAVING_KEYS = 1_000_000
 #: Folders of grains that a reader sums, at most.
 GRAIN_FOLDERS = 8
 
 
+def _by_month(rows: DataFrame) -> dict[str, int]:
+    return {r["_month"]: r["count"] for r in rows.groupBy("_month").count().collect()}  # calendar months
+
+
+def _rounds(months, went: dict[str, int]):
+    """Months to write at once: those that together lose at most
+    ``LEAVING_KEYS`` rows, or one that loses more."""
+    part: list[str] = []
+    for m in sorted(months):
+        if part and sum(went.get(n, 0) for n in [*part, m]) > LEAVING_KEYS:
+            yield part
+            part = []
+        part.append(m)
+    if part:
+        yield part
+
+
 class ReleaseStore:
     """A versioned bronze with its grains under ``root`` (shared storage)."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._steps: list[DataFrame] = []  # stored on the way to a version
 
     # -- versions
 
@@ -114,22 +137,41 @@ class ReleaseStore:
 
     # -- changing
 
+    @contextmanager
+    def _changing(self):
+        """What a change only needs on its way goes as soon as nothing reads it:
+        shuffles with their query, stored steps with the change."""
+        with freed_shuffles(self.spark):
+            try:
+                yield
+            finally:
+                while self._steps:
+                    drop_table(self._steps.pop())
+
+    def _step(self, df: DataFrame, name: str) -> DataFrame:
+        self._steps.append(shared_table(df, f"release-{name}"))
+        return self._steps[-1]
+
     def merge(self, release: DataFrame) -> dict:
         """Take in raw rows with provenance and ``_source_priority``; returns the
         new version's record.  A stored row gives way to one of higher priority,
         or of equal priority and higher record number, so taking in the same
         release again changes nothing."""
+        with self._changing():
+            return self._merged(release)
+
+    def _merged(self, release: DataFrame) -> dict:
         now = self.manifest()
         best = self._best(release)
         if not now["months"]:
             return self._apply(now, best, None)
-        best = shared_table(best, "release-rows")
+        best = self._step(best, "rows")
         place = F.struct("_source_priority", "_source_record_number")
         stored = self._rows(now["months"]).select("_key", F.col("_month").alias("old_month"), place.alias("old"))
-        met = shared_table(stored.join(best.select("_key", place.alias("new")), "_key"), "release-met")  # narrow columns
+        met = self._step(stored.join(best.select("_key", place.alias("new")), "_key"), "met")  # narrow columns
         stale = met.where("new <= old").select("_key")
         if not stale.isEmpty():
-            best = shared_table(best.join(stale, "_key", "left_anti"), "release-arriving")
+            best = self._step(best.join(stale, "_key", "left_anti"), "arriving")
         return self._apply(now, best, met.where("new > old").select("_key", F.col("old_month").alias("_month")))
 
     def _best(self, release: DataFrame) -> DataFrame:
@@ -137,8 +179,8 @@ class ReleaseStore:
         without repeated ones no wide row is moved."""
         month = F.coalesce(F.date_format(parse_mixed_date(F.col("Date received")), "yyyy-MM"), F.lit(UNDATED))
         order = [F.col("_source_priority").desc(), F.col("_source_record_number").desc()]
-        if not repeated_keys(release, zs_trim(ID)).isEmpty():
-            release = shared_table(latest_per_key(release, zs_trim(ID), order), "release-best")
+        if repeated_keys(release, zs_trim(ID)).count():
+            release = self._step(latest_per_key(release, zs_trim(ID), order), "best")
         return release.withColumns({"_key": zs_trim(ID), "_month": month})
 
     def expire(self, start: dt.date) -> dict:
@@ -148,43 +190,32 @@ class ReleaseStore:
         old = {m: p for m, p in now["months"].items() if m != UNDATED and m < f"{start:%Y-%m}"}
         if not old:
             return now
-        return self._version(now, {m: p for m, p in now["months"].items() if m not in old}, None, self._rows(old), sorted(old))
+        with self._changing():
+            return self._version(now, {m: p for m, p in now["months"].items() if m not in old}, None, self._rows(old), sorted(old))
 
     def _apply(self, now: dict, arriving: DataFrame, leaving: DataFrame | None) -> dict:
-        """Write the months that change anew.  One pass shuffles each row once,
-        by month and file: the keys that leave meet the stored rows there, and
-        the rows that leave go to folders of their own, for the grains."""
+        """Write the months that change anew, without a shuffle of their rows:
+        arriving rows go from their partitions to their months' files, stored
+        ones meet the keys that leave where they lie.  The rows that leave go to
+        folders of their own, for the grains."""
         if leaving is not None and leaving.isEmpty():
             leaving = None
-        moved = arriving.select("_month") if leaving is None else arriving.select("_month").union(leaving.select("_month"))
-        sizes = {r["_month"]: r["count"] for r in moved.groupBy("_month").count().collect()}  # calendar months
-        touched = sorted(sizes)
+        came, went = _by_month(arriving), {} if leaving is None else _by_month(leaving)
+        touched = sorted({*came, *went})
         if not touched:
             return now
-        before = {m: now["months"][m] for m in touched if m in now["months"]}
-        if before:
-            for r in self._rows(before).groupBy("_month").count().collect():
-                sizes[r["_month"]] += r["count"]
-        shape = [(m, n // FILE_ROWS + 1) for m, n in sizes.items()]
-        files = self.spark.createDataFrame(shape, "_month string, _files long")
-        tasks = 2 * sum(n for _, n in shape)  # few tasks get several files
-
-        # stored rows, those that arrive, and bare keys that leave
-        rows = arriving.withColumn("_kind", F.lit("arrives"))
-        if before:
-            rows = self._rows(before).withColumn("_kind", F.lit("stored")).unionByName(rows)
-        if leaving is not None:
-            rows = rows.unionByName(leaving.withColumn("_kind", F.lit("leaves")), allowMissingColumns=True)
-        numbered = rows.join(F.broadcast(files), "_month").withColumn("_file", F.pmod(F.xxhash64("_key"), F.col("_files")))
-        rows = numbered.drop("_files").repartition(tasks, "_month", "_file").withColumn("_kept", F.lit(True))
-        if leaving is not None:
-            same = Window.partitionBy("_month", "_file", "_key")  # a file's rows are in one task already
-            left = F.bool_or(F.col("_kind") == "leaves").over(same)
-            rows = rows.withColumn("_kept", (F.col("_kind") == "arrives") | ~left).where("_kind <> 'leaves'")
-        rows = rows.drop("_kind")
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        parts = rows.drop("_file").withColumn("month", F.col("_month"))
-        parts.write.option("compression", "zstd").partitionBy("_kept", "month").parquet(folder)
+        self._write(arriving.withColumn("_kept", F.lit(True)), sum(came.values()), len(came), folder)
+        before = {m: now["months"][m] for m in touched if m in now["months"]}
+        for part in _rounds(before, went):
+            rows = self._rows({m: before[m] for m in part})
+            lost = sum(went.get(m, 0) for m in part)
+            kept = rows.withColumn("_kept", F.lit(True))
+            if lost:
+                keys = leaving.where(F.col("_month").isin(part)).select("_key", F.lit(False).alias("_stays"))
+                met = rows.join(F.broadcast(keys) if lost <= LEAVING_KEYS else keys, "_key", "left")
+                kept = met.withColumn("_kept", F.col("_stays").isNull()).drop("_stays")
+            self._write(kept, rows.count(), len(part), folder)  # counted from the files' footers
         found, fs = self._fs(f"{folder}/_kept=true/month=*")
         written = {s.getPath().getName().removeprefix("month="): str(s.getPath()) for s in fs.globStatus(found) or []}
         months = {m: p for m, p in now["months"].items() if m not in touched}
@@ -193,13 +224,21 @@ class ReleaseStore:
         left = None if leaving is None else self.spark.read.parquet(f"{folder}/_kept=false").drop("month")
         return self._version(now, {**months, **written}, arriving, left, touched)
 
+    def _write(self, rows: DataFrame, count: int, months: int, folder: str) -> None:
+        """Rows with ``_kept`` into their months, from as few tasks as keep the
+        cluster busy: each of them writes a file for each month it meets."""
+        wide = max(1, months) * FILE_ROWS
+        tasks = max(1, count // wide, min(self.spark.sparkContext.defaultParallelism, count // TASK_ROWS))
+        parts = rows.coalesce(tasks).withColumn("month", F.col("_month"))
+        parts.write.mode("append").option("compression", "zstd").partitionBy("_kept", "month").parquet(folder)
+
     def _metrics(self, rows: DataFrame) -> DataFrame:
         """Gold rows of these complaints alone, one stored row each; keys are
         hashes of labels, so they are those of a full build.  The lookups are
         stored, so the planner knows their size before it moves the rows."""
         house = Warehouse(self.spark, lambda: rows, bronze=rows.drop("_key", "_month", "_source_priority"))
         for name in ("companies", "product_categories", "issue_categories", "submission_channels"):
-            house.derived(name, lambda name=name: shared_table(house.built(name), f"release-{name}"))
+            house.derived(name, lambda name=name: self._step(house.built(name), name))
         return house["complaint_metrics"]
 
     def _version(self, now: dict, months: dict, arriving: DataFrame | None, leaving: DataFrame | None, touched: list[str]) -> dict:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,50 @@ def test_many_changes_are_summed_into_one_folder(spark, releases, tmp_path, monk
     store.merge(releases[1])
     assert len(store.manifest()["grains"]) == 1
     matches_rebuild(store, releases[0].unionByName(releases[1]))
+
+
+def left_behind(spark):
+    """Shuffle files and stored steps of merges."""
+    from ledgerline.session import shared_path
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    tables = shared_path(spark, "ledgerline-tables").removeprefix("file:")
+    steps = os.listdir(tables) if os.path.isdir(tables) else []
+    names = [files.apply(k).getName() for k in range(files.size())]
+    return {n for n in names if n.startswith("shuffle_")} | {t for t in steps if t.startswith("release-")}
+
+
+def test_a_merge_leaves_nothing_but_its_version_on_disk(spark, releases, tmp_path):
+    """Shuffles and stored steps go at once, not with the driver's garbage."""
+    store = ReleaseStore(spark, str(tmp_path / "store"))
+    store.merge(releases[0])
+    before = left_behind(spark)
+    store.merge(releases[1])
+    store.expire(dt.date(2023, 2, 1))
+    until = time.time() + 20  # files are removed behind the query
+    while left_behind(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not left_behind(spark) - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_wide_rows_are_written_where_they_lie(spark, releases, tmp_path, monkeypatch):
+    """No write of months has a shuffle; a month that loses more keys than may
+    be broadcast is joined by shuffle, with the same rows."""
+    plans = []
+    write = ReleaseStore._write
+
+    def seen(store, rows, *more):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(store, rows, *more)
+
+    monkeypatch.setattr(ReleaseStore, "_write", seen)
+    for limit in (1_000_000, 1):
+        monkeypatch.setattr("ledgerline.plans.releases.LEAVING_KEYS", limit)
+        store = ReleaseStore(spark, str(tmp_path / f"store{limit}"))
+        store.merge(releases[0])
+        store.merge(releases[1])
+        matches_rebuild(store, releases[0].unionByName(releases[1]))
+    # the first merge; arriving rows and all stored months; ...; arriving rows and each month that loses a row
+    assert len(plans) == 3 + 5
+    assert not any("Exchange hashpartitioning" in p for p in plans[:3])

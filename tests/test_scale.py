@@ -74,6 +74,34 @@ def test_stored_raw_rows_are_deduplicated_where_they_lie(spark):
     assert kept.count() == plain.count() == w["bronze_complaints"].count() and kept.exceptAll(plain).isEmpty()
 
 
+def test_a_stored_step_leaves_no_shuffle_on_disk(spark):
+    """What is stored is read from there: its shuffle is gone, and the rows
+    without texts are dropped once the raw rows are stored."""
+    import os
+    import time
+
+    from __spark_entry__ import SMOKE_DIR
+
+    from ledgerline.plans.warehouse import for_testdata
+    from ledgerline.session import shared_path, shared_table
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    table = shared_table(spark.range(1000).repartition(3, F.col("id") % 7), "step")
+    until = time.time() + 20  # files are removed behind the query
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert for_testdata(spark, SMOKE_DIR)["incoming"].count() > 0
+    assert not [t for t in os.listdir(shared_path(spark, "ledgerline-tables")) if t.startswith("raw-narrow")]
+
+
 def test_a_block_of_csv_lines_reaches_python_in_small_batches():
     """A block may be spread over any number of batches: none has to hold a
     whole block, let alone a task's blocks."""
