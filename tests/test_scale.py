@@ -75,15 +75,10 @@ def test_stored_raw_rows_are_deduplicated_where_they_lie(spark):
 
 
 def test_a_stored_step_leaves_no_shuffle_on_disk(spark):
-    """What is stored is read from there: its shuffle is gone, and the rows
-    without texts are dropped once the raw rows are stored."""
-    import os
+    """What is stored is read from there: its shuffle is gone."""
     import time
 
-    from __spark_entry__ import SMOKE_DIR
-
-    from ledgerline.plans.warehouse import for_testdata
-    from ledgerline.session import shared_path, shared_table
+    from ledgerline.session import shared_table
 
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
@@ -98,8 +93,30 @@ def test_a_stored_step_leaves_no_shuffle_on_disk(spark):
         time.sleep(0.2)
     assert not shuffles() - before and table.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
-    assert for_testdata(spark, SMOKE_DIR)["incoming"].count() > 0
-    assert not [t for t in os.listdir(shared_path(spark, "ledgerline-tables")) if t.startswith("raw-narrow")]
+
+
+def test_stored_raw_rows_are_not_joined_again(spark, tmp_path):
+    """A later warehouse over the same store reads it and starts no job of the
+    raw rows' build; the rows without texts are dropped once those with them are
+    stored."""
+    import os
+
+    from __spark_entry__ import SMOKE_DIR
+
+    from ledgerline.plans.warehouse import Warehouse
+
+    steps, built, seen = [], [], []
+
+    def incoming():
+        built.append(1)
+        rows = testdata.incoming(spark, SMOKE_DIR, 2, steps)
+        seen.extend(os.path.dirname(t.inputFiles()[0].removeprefix("file://")) for t in steps)
+        assert all(map(os.path.isdir, seen))
+        return rows
+
+    rows = [Warehouse(spark, incoming, str(tmp_path), buckets=2, steps=steps)["incoming"].count() for _ in range(2)]
+    assert rows[0] == rows[1] > 0 and len(built) == 1
+    assert len(seen) == 1 and not steps and not os.path.exists(seen[0])
 
 
 def test_a_block_of_csv_lines_reaches_python_in_small_batches():
